@@ -54,7 +54,9 @@ def missing_to_null(c: Column | str) -> Column:
 
 def to_number(c: Column | str) -> Column:
     """Lenient conversion: what is no number becomes NULL."""
-    return F.trim(_col(c).cast("string")).try_cast("double")
+    text = F.trim(_col(c).cast("string"))
+    # A cast also takes type letters, as in "1d", which are no part of a number here.
+    return F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
 
 
 def fixed4(c: Column | str) -> Column:

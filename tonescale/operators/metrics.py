@@ -24,8 +24,13 @@ def _ratio(cov: Column, spread: Column) -> Column:
 
 
 def pearson(y: Column, p: Column) -> Column:
-    """Pearson's r; NULL where a side is constant. ``corr`` would fail there under ANSI rules."""
-    return _ratio(F.covar_pop(y, p), F.stddev_pop(y) * F.stddev_pop(p))
+    """Pearson's r; NULL where a side is constant.
+
+    ``corr`` would fail there under ANSI rules, and the deviation of a constant column
+    need not be exactly zero once partial results are merged: its bounds tell.
+    """
+    varies = (F.max(y) > F.min(y)) & (F.max(p) > F.min(p))
+    return F.when(varies, _ratio(F.covar_pop(y, p), F.stddev_pop(y) * F.stddev_pop(p)))
 
 
 def _all_close(low: Column, high: Column, first: Column) -> Column:
