@@ -46,8 +46,8 @@ def profile_folder(spark: SparkSession, path: str, max_columns: int = 64) -> Dat
     header names, or more than ``max_columns`` fields.
     """
     names = [f"c{i}" for i in range(max_columns)]
-    bad = "__bad"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
+    beyond = "__beyond"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, beyond]])
     fields = F.array(*[F.col(n) for n in names])
     # The rightmost field in use.
     width = F.greatest(F.lit(0), *[F.when(F.col(n).isNotNull(), F.lit(i + 1)) for i, n in enumerate(names)])
@@ -56,7 +56,6 @@ def profile_folder(spark: SparkSession, path: str, max_columns: int = 64) -> Dat
         .option("header", False)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("columnNameOfCorruptRecord", bad)
         .option("pathGlobFilter", "*.csv")
         .csv(path)
         .select(
@@ -64,7 +63,7 @@ def profile_folder(spark: SparkSession, path: str, max_columns: int = 64) -> Dat
             F.monotonically_increasing_id().alias("row"),
             fields.alias("fields"),
             width.alias("width"),
-            F.col(bad).isNotNull().alias("too_wide"),
+            F.col(beyond).isNotNull().alias("too_wide"),
             *[_no_number(F.col(c)).alias(f"{c}_text") for c in names[:2]],
             *[_no_boolean(F.col(c)).alias(f"{c}_other") for c in names[:2]],
         )
@@ -95,9 +94,9 @@ def profile_folder(spark: SparkSession, path: str, max_columns: int = 64) -> Dat
         .when(F.col("too_wide"), F.lit(f"more than {max_columns} fields"))
         .when(F.col("width") > F.col("n_columns"), F.lit("more fields than header names"))
     )
-    listed = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(F.col("path").alias("listed"))
-    )
+    # The file listing, which the driver holds anyway, also has the files without a row.
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).inputFiles()
+    listed = spark.createDataFrame([(f,) for f in found], "listed string").withColumn("listed", F.url_decode("listed"))
 
     def plain(c: str) -> Column:
         # Local paths are listed with one or with three slashes.
