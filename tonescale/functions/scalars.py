@@ -80,4 +80,4 @@ def number_after_equals(line: Column, label: str | None = None) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Whitespace tokens of the whole text, in order; NULL for a NULL text."""
-    return F.filter(F.split(_col(text), r"[ \t\n\r\f]+"), lambda token: token != F.lit(""))
+    return F.array_remove(F.split(_col(text), r"[ \t\n\r\f]+"), "")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonescale.functions import tokens
 from tonescale.operators.position import with_position
+from tonescale.session import materialize
 
 # Ids of padding, unknown token, sequence start and sequence end.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -81,6 +82,8 @@ def _by_join(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     rows); all others meet the vocabulary in a shuffle. The guess only chooses the
     way a token takes, each gets its id either way.
     """
+    # The cut token lists are small next to the texts; stored, the texts are read once.
+    df = materialize(df, "tokens")
     placed = df.select(key, F.posexplode("tokens").alias("at", "token"))
     head = (
         df.sample(HEAD_SAMPLE, seed=0)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonescale.functions import DIMENSIONS
 from tonescale.operators.align import Order, align, choose_key
 from tonescale.operators.clean import auto_unscale, clean_annotated, require_columns
-from tonescale.operators.features import HashedTerms
+from tonescale.operators.features import FEATURES, HashedTerms
 from tonescale.operators.fit import EpochFit, fit_epochs, fit_multi, fit_single
 from tonescale.operators.metrics import evaluate, evaluate_pairs
 from tonescale.operators.report import compare_runs, last_sections, parse_sections, parse_single, report_lines
@@ -36,10 +37,17 @@ def prepare_joint(dev: DataFrame, fraction: float = 0.8, seed: int = 42, key: st
 
 
 def train_single(df: DataFrame, encoder=None, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01) -> LinearWeights:
-    """Closed form, one fit per dimension, on the ``train`` rows of a table with ``split``."""
+    """Closed form, one fit per dimension, on the ``train`` rows of a table with ``split``.
+
+    The features are kept between the fits, on disk where memory is short.
+    """
     encoder = encoder or HashedTerms()
-    rows = encoder.transform(df.filter(F.col("split") == "train"))
-    return as_weights([(d, fit_single(rows, d, reg)) for d in dims], encoder)
+    rows = encoder.transform(df.filter(F.col("split") == "train")).select(FEATURES, *dims)
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return as_weights([(d, fit_single(rows, d, reg)) for d in dims], encoder)
+    finally:
+        rows.unpersist()
 
 
 def train_joint(
