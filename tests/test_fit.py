@@ -78,12 +78,14 @@ def reference_epochs(table, epochs, parts, rate):
     w[:, 0] = y[train].mean(0)
     m, v, step, log = 0.0, 0.0, 0, []
     order = pdf[val].sort_values("id").index
+    folds = fit.FOLDS_PER_BATCH * parts
+    fold = np.array([int(hashlib.md5(f"0-{i}".encode()).hexdigest()[:8], 16) % folds for i in pdf.id])
     for epoch in range(1, epochs + 1):
-        share = np.array([int(hashlib.md5(f"42-{epoch}-{i}".encode()).hexdigest()[:8], 16) for i in pdf.id])
-        part = share * parts // 2**32
+        ranked = sorted(range(folds), key=lambda f: hashlib.md5(f"42-{epoch}-{f}".encode()).hexdigest())
+        rank = np.array([ranked.index(f) for f in fold])
         seen = []
         for k in range(parts):
-            rows = train & (part == k)
+            rows = train & (rank % parts == k)
             e = z[rows] @ w.T - y[rows]
             seen.append(np.where(abs(e) < 1, 0.5 * e * e, abs(e) - 0.5).mean())
             g = np.clip(e, -1, 1).T @ z[rows] / (rows.sum() * 3)

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 
 import numpy as np
 import pytest
@@ -106,3 +107,13 @@ def test_long_form(spark):
     df = spark.createDataFrame([(1, "a", 1.0, 2.0, 3.0)], "id long, text string, V double, A double, D double")
     rows = {r.dim: r.value for r in split.to_long(df).collect()}
     assert rows == {"V": 1.0, "A": 2.0, "D": 3.0}
+
+
+def test_scratch_tables_are_removed_on_request(spark):
+    from tonescale import session
+
+    kept = position.with_position(spark.range(5), ["id"])
+    assert kept.count() == 5
+    path = session._made[-1]
+    assert os.path.isdir(path)
+    assert session.clear_scratch(spark) >= 1 and not os.path.exists(path)

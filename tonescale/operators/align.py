@@ -32,12 +32,19 @@ def _suffixed(preds: DataFrame, gold: DataFrame, key: str) -> tuple[DataFrame, D
     return preds.toDF(*left), gold.toDF(*[c if c == key else f"{c}_gold" if c in shared else c for c in gold.columns])
 
 
+def key_of(key: str) -> Column:
+    """What stands for the key in a shuffle: SHA-256 for a text, which may be long, else the key itself."""
+    if key == "text":
+        return F.unhex(F.sha2(F.col(key).cast("string"), 256))
+    return F.col(key)
+
+
 def _join(preds: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     left, right = _suffixed(preds, gold, key)
-    other = f"__{key}"
-    right = right.withColumnRenamed(key, other)
+    left = left.withColumn("__left", key_of(key))
+    right = right.withColumn("__right", key_of(key)).drop(key)
     # Missing keys pair with each other.
-    return left.join(right, left[key].eqNullSafe(right[other]), "inner").drop(other)
+    return left.join(right, F.col("__left").eqNullSafe(F.col("__right")), "inner").drop("__left", "__right")
 
 
 def align(
@@ -92,10 +99,10 @@ def align_counted(
 def coverage(preds: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """How many rows were paired, lost or multiplied, from the key counts alone."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    sides = preds.select(key, one.alias("p"), none.alias("g")).unionByName(
-        gold.select(key, none.alias("p"), one.alias("g"))
+    sides = preds.select(key_of(key).alias("key"), one.alias("p"), none.alias("g")).unionByName(
+        gold.select(key_of(key).alias("key"), none.alias("p"), one.alias("g"))
     )
-    keys = sides.groupBy(key).agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+    keys = sides.groupBy("key").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
     matched = (F.col("p") > 0) & (F.col("g") > 0)
     zero = F.lit(0).cast("long")
     return keys.agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,16 +22,15 @@ from tonescale.session import materialize
 
 # The product matrix of one task is (features + targets + 1) squared doubles.
 MAX_FEATURES = 1024
-_TASKS_PER_CORE = 4
+# Beyond this many input splits a task goes through several of them and sends one partial sum.
+MAX_PARTIALS = 16_384
+# Parts of the data that a mini-batch is made of.
+FOLDS_PER_BATCH = 8
 
 
 def _few_partials(df: DataFrame) -> DataFrame:
-    """Let one task go through several input splits, so that fewer partial sums are sent.
-
-    Merges splits without a shuffle and only if there are more of them than
-    a few per core.
-    """
-    return df.coalesce(_TASKS_PER_CORE * max(df.sparkSession.sparkContext.defaultParallelism, 1))
+    """Merge input splits, without a shuffle, where there are so many that partial sums would add up."""
+    return df.coalesce(MAX_PARTIALS)
 
 
 def _usable(df: DataFrame, targets: Sequence[str], column: str = FEATURES) -> DataFrame:
@@ -205,6 +205,21 @@ def _validation_loss(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, spr
     return np.array(means.agg(*[F.avg(F.col(c) / F.col("n")) for c in names]).first(), dtype=float)
 
 
+def _in_folds(rows: DataFrame, key: str, folds: int) -> DataFrame:
+    """Store the rows in ``folds`` hash folds, so that a step reads its own rows and no others.
+
+    The rebalancing shuffle gives files of even size however the folds come out.
+    """
+    fold = F.pmod(F.conv(F.substring(order_digest(key, 0), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+    return materialize(rows.withColumn("fold", fold).hint("rebalance", "fold"), "fit", ["fold"])
+
+
+def _batches(folds: int, per_epoch: int, seed: int, epoch: int) -> list[list[int]]:
+    """The folds of each mini-batch, in the random order of one epoch."""
+    order = sorted(range(folds), key=lambda f: hashlib.md5(f"{seed}-{epoch}-{f}".encode()).hexdigest())
+    return [order[at::per_epoch] for at in range(per_epoch)]
+
+
 def fit_epochs(
     df: DataFrame,
     size: int,
@@ -222,11 +237,12 @@ def fit_epochs(
     """Smooth-L1 fit with a train and a validation loss per epoch, early stopping, best epoch kept.
 
     ``df`` has ``key``, ``split`` (train/val), the features and the targets. It is
-    written once, reduced to what the steps read. Each step is one aggregate over one
-    of the ``batches_per_epoch`` parts of that epoch's random order: the driver sends
-    the weights and gets back one sum per weight. ``joint`` stops all dimensions
-    together on their mean loss; otherwise each one is a run of its own and stops and
-    keeps its best epoch by itself, still in the same passes.
+    written once, reduced to what the steps read and cut into hash folds. Each
+    mini-batch takes other folds in every epoch and is one aggregate over these alone,
+    so an epoch reads the training rows once: the driver sends the weights and gets
+    back one sum per weight. ``joint`` stops all dimensions together on their mean
+    loss; otherwise each one is a run of its own and stops and keeps its best epoch by
+    itself, still in the same passes.
     """
     k = len(dims)
     slim = _usable(df, dims).select(
@@ -235,9 +251,9 @@ def fit_epochs(
         F.col(FEATURES).cast("array<double>").alias(FEATURES),
         F.array(*[scale_target(d) for d in dims]).alias("y"),
     )
-    stored = materialize(slim, "fit")
-    train = stored.filter(F.col("split") == "train")
-    val = with_position(stored.filter(F.col("split") == "val").drop("split"), [key])
+    folds = FOLDS_PER_BATCH * batches_per_epoch
+    train = _in_folds(slim.filter(F.col("split") == "train").drop("split"), key, folds)
+    val = with_position(slim.filter(F.col("split") == "val").drop("split"), [key])
     val = val.withColumn("batch_id", batch_of("pos", val_batch))
     stats = train.agg(
         Summarizer.metrics("mean", "std").summary(array_to_vector(FEATURES)).alias("x"),
@@ -254,12 +270,9 @@ def fit_epochs(
     active = np.ones(k, dtype=bool)
     adam, log = _Adam(weights.shape, rate), []
     for epoch in range(1, epochs + 1):
-        digest = F.substring(order_digest(key, seed, epoch), 1, 8)
-        share = F.conv(digest, 16, 10).cast("long") * F.lit(batches_per_epoch)
-        parts = train.withColumn("part", F.shiftright(share, 32))
         seen = []
-        for part in range(batches_per_epoch):
-            n, loss, gradient = _gradient(parts.filter(F.col("part") == part), weights, mean, spread)
+        for chosen in _batches(folds, batches_per_epoch, seed, epoch):
+            n, loss, gradient = _gradient(train.filter(F.col("fold").isin(chosen)), weights, mean, spread)
             if n == 0:
                 continue
             seen.append(loss / n)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonescale.functions import DIMENSIONS, SCALE, is_present, is_scaled, smooth_l1
-from tonescale.operators.align import resolve_columns
+from tonescale.operators.align import key_of, resolve_columns
 
 # Relative and absolute tolerance within which a column counts as constant.
 RTOL, ATOL = 1e-5, 1e-8
@@ -110,10 +110,8 @@ def _distinct_values(preds: DataFrame, gold: DataFrame, key: str, dims: Sequence
     """Per (key, dimension, value): how many predictions and gold rows have it."""
 
     def side(df: DataFrame, columns: dict[str, str], is_pred: int) -> DataFrame:
-        # The digest keeps long texts out of the shuffles; equal digests mean equal texts.
-        digest = F.unhex(F.sha2(F.col(key).cast("string"), 256)).alias("key")
         values = [F.col(c).cast("double").alias(d) for d, c in columns.items()]
-        long = df.select(digest, *values).unpivot(["key"], list(columns), "dim", "v")
+        long = df.select(key_of(key).alias("key"), *values).unpivot(["key"], list(columns), "dim", "v")
         return long.select(
             "key",
             "dim",

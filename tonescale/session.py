@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app_name: str = "tonescale", master: str | None = None, **conf: str) -> SparkSession:
+# Shuffle partitions to start from: enough for this many input bytes each, within these bounds.
+_BYTES_PER_PARTITION = 256 << 20
+_PARTITIONS = (200, 50_000)
+
+
+def build_session(
+    app_name: str = "tonescale", master: str | None = None, input_bytes: int = 0, **conf: str
+) -> SparkSession:
     """Session with the settings the jobs are written for; keyword settings win.
 
-    Shuffle sizing is left to adaptive execution: it starts from many partitions
-    and joins the small ones, so one setting serves any data size.
+    Adaptive execution joins small shuffle partitions but does not cut large ones, so
+    a shuffle starts from a number that fits ``input_bytes``, the size of the data.
     """
+    low, high = _PARTITIONS
+    partitions = min(max(low, input_bytes // _BYTES_PER_PARTITION), high)
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -21,6 +31,7 @@ def build_session(app_name: str = "tonescale", master: str | None = None, **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.session.timeZone": "UTC",
         **conf,
     }
@@ -45,12 +56,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_made: list[str] = []
+
+
+def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to a new scratch table and read it back.
 
     Later jobs over the result do not depend on the executors that computed it,
-    and read only the columns they need.
+    and read only the columns and partitions they need. ``clear_scratch`` removes the tables.
     """
     path = f"{scratch_root(df.sparkSession).rstrip('/')}/tonescale-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has made, once no result that reads them is needed any more."""
+    removed = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
