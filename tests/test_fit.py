@@ -135,7 +135,7 @@ def test_epochs_one_run_per_dimension(table):
 
 
 def test_epochs_beat_the_mean(table):
-    fitted = fit.fit_epochs(table, SIZE, epochs=8, batches_per_epoch=8, rate=0.01)
+    fitted = fit.fit_epochs(table, SIZE, epochs=4, batches_per_epoch=4, rate=0.02)
     val = table.filter("split = 'val'")
     means = table.filter("split = 'train'").agg(*[F.avg(d).alias(d) for d in DIMS]).first()
     flat = val.agg(*[F.avg(((F.col(d) - means[d]) / 5) ** 2 / 2) for d in DIMS]).first()

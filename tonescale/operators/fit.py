@@ -206,12 +206,13 @@ def _validation_loss(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, spr
 
 
 def _in_folds(rows: DataFrame, key: str, folds: int) -> DataFrame:
-    """Store the rows in ``folds`` hash folds, so that a step reads its own rows and no others.
+    """Store the rows by hash fold, so that a step reads its own rows and no others; fold -1 is for validation.
 
     The rebalancing shuffle gives files of even size however the folds come out.
     """
-    fold = F.pmod(F.conv(F.substring(order_digest(key, 0), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
-    return materialize(rows.withColumn("fold", fold).hint("rebalance", "fold"), "fit", ["fold"])
+    digest = F.substring(order_digest(key, 0), 1, 8)
+    fold = F.when(F.col("split") == "val", -1).otherwise(F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(folds)))
+    return materialize(rows.withColumn("fold", fold.cast("int")).hint("rebalance", "fold"), "fit", ["fold"])
 
 
 def _batches(folds: int, per_epoch: int, seed: int, epoch: int) -> list[list[int]]:
@@ -252,8 +253,9 @@ def fit_epochs(
         F.array(*[scale_target(d) for d in dims]).alias("y"),
     )
     folds = FOLDS_PER_BATCH * batches_per_epoch
-    train = _in_folds(slim.filter(F.col("split") == "train").drop("split"), key, folds)
-    val = with_position(slim.filter(F.col("split") == "val").drop("split"), [key])
+    stored = _in_folds(slim.filter(F.col("split").isin("train", "val")), key, folds).drop("split")
+    train = stored.filter(F.col("fold") >= 0)
+    val = with_position(stored.filter(F.col("fold") == -1).drop("fold"), [key])
     val = val.withColumn("batch_id", batch_of("pos", val_batch))
     stats = train.agg(
         Summarizer.metrics("mean", "std").summary(array_to_vector(FEATURES)).alias("x"),

@@ -36,6 +36,8 @@ def with_position(df: DataFrame, order_by: Sequence[Column | str], name: str = "
     # One row per partition goes through this window, never the data.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    # Stored as well: the positions are often used more than once.
+    offsets = materialize(offsets, "offsets")
     inside = F.col(row).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
         numbered.withColumn("__part", part)
