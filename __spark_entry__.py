@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracles import ORACLES
+from tonescale import sources
 from tonescale.functions import DIMENSIONS, to_number, unscale_prediction
 from tonescale.operators import align, clean, encode, features, fit, metrics, monitor, position, profile, report, split
 from tonescale.operators.score import LinearWeights, as_weights, score_features
 from tonescale.plans import jobs
+from tonescale.session import scratch_path
 
 SAMPLE = "/root/testdata/sf0.001"
 PREDICTED = [f"{d}_pred" for d in DIMENSIONS]
@@ -474,6 +476,51 @@ def row_counts(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
+# --- files ----------------------------------------------------------------------------------------------------------
+
+
+def csv_round_trip(spark, sf_dir):
+    """Every document, with its quotes and line breaks, written as CSV and read back."""
+    path = scratch_path(spark, "csv")
+    sources.write_csv(annotated(spark, sf_dir).drop("lang"), path)
+    df = sources.read_annotated(spark, path)
+    return rounded(df.select(F.col("id").cast("long").alias("id"), F.md5("text").alias("text_md5"), *DIMENSIONS), *DIMENSIONS)
+
+
+def folder_profile(spark, sf_dir):
+    """Per-target CSV files of all labelled documents, profiled as one folder."""
+    path = scratch_path(spark, "folder")
+    known = gold(spark, sf_dir)
+    sources.write_csv(known.select("text", F.col("V").alias("target")), path)
+    sources.write_csv(known.select("text", F.col("lang").alias("target"), "A"), path, mode="append")
+    files = profile.profile_folder(spark, path)
+    return files.groupBy("columns", "n_columns", "has_text", "two_columns", "target", "target_numeric").agg(
+        F.sum("n_rows").alias("n_rows"), F.count("error").alias("errors")
+    )
+
+
+def report_files(spark, sf_dir):
+    path = scratch_path(spark, "reports")
+    sources.write_reports(_reports(spark, sf_dir), path)
+    parsed = report.parse_sections(report.report_lines(sources.read_reports(spark, path)))
+    return report.table_sections(parsed)
+
+
+def loss_log_files(spark, sf_dir):
+    path = scratch_path(spark, "losses")
+    sources.write_loss_log(loss_log(spark, sf_dir), path)
+    log = sources.read_loss_log(spark, path)
+    return log.groupBy("epoch").agg(F.count("*").alias("n_runs"), F.round(F.sum("loss"), 4).alias("total"))
+
+
+def stored_model(spark, sf_dir):
+    """The joint fit, stored and loaded before it scores."""
+    path, rows = scratch_path(spark, "model"), _vectors(spark, sf_dir)
+    fit.fit_multi(rows, WIDTH, reg=0.0).save(spark, path)
+    scored = score_features(rows, LinearWeights.load(spark, path))
+    return rounded(scored.select("id", *PREDICTED), *PREDICTED, digits=4)
+
+
 QUERIES = (
     evaluate_by_dim, evaluate_by_run, evaluate_text_pairs, evaluate_auto_unscale, auto_unscale, pearson_plain,
     pearson_constant, drop_missing_any, drop_missing_all, select_target, scale_roundtrip, lenient_numbers, head_rows,
@@ -482,7 +529,7 @@ QUERIES = (
     early_stopping, best_epoch, vocab, encode_sequences, encode_sequences_joined, attention_mask, score_fixed_weights,
     gram_sums, fit_single_scalar, fit_multi_exact, fit_single_exact, fit_multi_metrics, fit_epochs_losses, score_table,
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,
-    row_counts,
+    row_counts, csv_round_trip, folder_profile, report_files, loss_log_files, stored_model,
 )
 
 

@@ -153,6 +153,12 @@ def _profile(name: str, columns: str, has_text: bool, target: str | None, numeri
       {has_text} AS has_text, {n == 2} AS two_columns, '{target}' AS target, {numeric} AS target_numeric FROM {name}"""
 
 
+_PARSED = (
+    _REPORTED
+    + f"""SELECT run, CAST(idx AS INT) AS section_no, {_NAMES} AS dimension, CAST(mae AS DOUBLE) AS mae,
+      CAST(r AS DOUBLE) AS pearson_r FROM rep"""
+)
+
 _MD5_ORDER = "md5(concat('42-3-', CAST(doc_id AS VARCHAR)))"
 
 ORACLES = {
@@ -303,13 +309,22 @@ FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
     + "SELECT dim, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM x GROUP BY dim",
     "fit_multi_exact": _EXACT,
     "fit_single_exact": _EXACT,
+    "stored_model": _EXACT,
+    "csv_round_trip": _with(ANNOTATED)
+    + "SELECT id, md5(text) AS text_md5, round(V, 6) AS V, round(A, 6) AS A, round(D, 6) AS D FROM ann",
+    "folder_profile": _with(ANNOTATED, GOLD)
+    + """SELECT 'text,target' AS columns, 2 AS n_columns, TRUE AS has_text, TRUE AS two_columns, 'target' AS target,
+      TRUE AS target_numeric, count(*) AS n_rows, CAST(0 AS BIGINT) AS errors FROM gold
+UNION ALL SELECT 'text,target,A', 3, TRUE, FALSE, 'target', FALSE, count(*), 0 FROM gold""",
+    "loss_log_files": _with(LOSSES)
+    + """SELECT epoch, count(*) AS n_runs, round(sum(CAST(printf('%.4f', loss) AS DOUBLE)), 4) AS total
+      FROM loss_log GROUP BY epoch""",
     "report_render": _REPORTED
     + """SELECT run, 'Evaluation - ' || run || chr(10) || repeat('=', length('Evaluation - ' || run)) || chr(10) || chr(10)
       || string_agg(dim || ':' || chr(10) || '  MAE = ' || mae || chr(10) || '  Pearson’s r = ' || r || chr(10) || chr(10),
                     '' ORDER BY idx) AS value FROM rep GROUP BY run""",
-    "report_parse": _REPORTED
-    + f"""SELECT run, CAST(idx AS INT) AS section_no, {_NAMES} AS dimension, CAST(mae AS DOUBLE) AS mae,
-      CAST(r AS DOUBLE) AS pearson_r FROM rep""",
+    "report_parse": _PARSED,
+    "report_files": _PARSED,
     "section_carry": _REPORTED
     + """SELECT run, CAST(3 + 4*(idx - 1) + k AS INT) AS line_no, dim, CAST(idx AS INT) AS section_no
       FROM rep, (VALUES (0), (1), (2)) x(k)""",

@@ -59,15 +59,21 @@ def scratch_root(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the scratch folder."""
+    path = f"{scratch_root(spark).rstrip('/')}/tonescale-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to a new scratch table and read it back.
 
     Later jobs over the result do not depend on the executors that computed it,
     and read only the columns and partitions they need. ``clear_scratch`` removes the tables.
     """
-    path = f"{scratch_root(df.sparkSession).rstrip('/')}/tonescale-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.partitionBy(*partition_by).parquet(path)
-    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
