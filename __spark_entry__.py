@@ -494,8 +494,11 @@ def folder_profile(spark, sf_dir):
     sources.write_csv(known.select("text", F.col("V").alias("target")), path)
     sources.write_csv(known.select("text", F.col("lang").alias("target"), "A"), path, mode="append")
     files = profile.profile_folder(spark, path)
-    return files.groupBy("columns", "n_columns", "has_text", "two_columns", "target", "target_numeric").agg(
-        F.sum("n_rows").alias("n_rows"), F.count("error").alias("errors")
+    # How many files there are, some perhaps with a header only, depends on the partitions.
+    return files.groupBy("columns", "n_columns", "has_text", "two_columns", "target").agg(
+        F.bool_or("target_numeric").alias("target_numeric"),
+        F.sum("n_rows").alias("n_rows"),
+        F.count("error").alias("errors"),
     )
 
 
@@ -508,7 +511,8 @@ def report_files(spark, sf_dir):
 
 def loss_log_files(spark, sf_dir):
     path = scratch_path(spark, "losses")
-    sources.write_loss_log(loss_log(spark, sf_dir), path)
+    # Sevenths never lie half way between two logged values.
+    sources.write_loss_log(loss_log(spark, sf_dir).withColumn("loss", F.col("loss") / F.lit(7.0)), path)
     log = sources.read_loss_log(spark, path)
     return log.groupBy("epoch").agg(F.count("*").alias("n_runs"), F.round(F.sum("loss"), 4).alias("total"))
 

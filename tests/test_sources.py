@@ -113,7 +113,7 @@ def test_profile_of_a_folder(spark, tmp_path):
     assert row("four.csv") == ("id,text,V,A", 3, True, False, "id", True, None)
     assert row("words.csv") == ("text,V", 2, True, True, "V", False, None)
     assert row("bool.csv")[5] is True and row("mixed.csv")[5] is False
-    assert row("header only.csv")[:2] == ("text,V", 0)
+    assert row("header only.csv")[:2] == ("text,V", 0) and row("header only.csv")[5] is False
     assert row("empty.csv")[6] == "no columns"
     assert row("ragged.csv")[6] == "more fields than header names"
     assert row("wide.csv")[6] == "more than 64 fields"

@@ -88,7 +88,10 @@ def profile_folder(spark: SparkSession, path: str, max_columns: int = 64) -> Dat
         counted = F.when(text_first, F.col(f"c1_{kind}")).otherwise(F.col(f"c0_{kind}"))
         return counted - test(F.get("header", at)).cast("long")
 
-    numeric = (below_header("text", _no_number) == 0) | (below_header("other", _no_boolean) == 0)
+    # A column without any row has no type.
+    numeric = (F.col("n") > 1) & (
+        (below_header("text", _no_number) == 0) | (below_header("other", _no_boolean) == 0)
+    )
     error = (
         F.when(F.col("n").isNull(), F.lit("no columns"))
         .when(F.col("too_wide"), F.lit(f"more than {max_columns} fields"))
