@@ -317,7 +317,7 @@ FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
       TRUE AS target_numeric, count(*) AS n_rows, CAST(0 AS BIGINT) AS errors FROM gold
 UNION ALL SELECT 'text,target,A', 3, TRUE, FALSE, 'target', FALSE, count(*), 0 FROM gold""",
     "loss_log_files": _with(LOSSES)
-    + """SELECT epoch, count(*) AS n_runs, round(sum(CAST(printf('%.4f', loss/7e0) AS DOUBLE)), 4) AS total
+    + """SELECT epoch, count(*) AS n_runs, round(sum(CAST(printf('%.4f', loss*0.37731e0) AS DOUBLE)), 4) AS total
       FROM loss_log GROUP BY epoch""",
     "report_render": _REPORTED
     + """SELECT run, 'Evaluation - ' || run || chr(10) || repeat('=', length('Evaluation - ' || run)) || chr(10) || chr(10)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonescale.functions import DIMENSIONS
-from tonescale.operators.position import with_position
+from tonescale.operators.position import numbered
 
 Order = Sequence[Column | str]
 
@@ -69,8 +69,7 @@ def align(
         raise ValueError(f"cannot align by {how!r}")
     if order_preds is None or order_gold is None:
         raise ValueError("aligning by position needs order_preds and order_gold")
-    left, right = with_position(preds, order_preds), with_position(gold, order_gold)
-    n_pred, n_gold = left.count(), right.count()
+    (left, n_pred), (right, n_gold) = numbered(preds, order_preds), numbered(gold, order_gold)
     if n_pred > n_gold or (how == "position" and n_pred != n_gold):
         raise ValueError(f"{n_pred} predictions and {n_gold} gold rows cannot be paired by {how}")
     if how == "prefix":

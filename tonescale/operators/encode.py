@@ -85,7 +85,7 @@ def _by_join(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     # The cut token lists are small next to the texts; stored, the texts are read once.
     df = materialize(df, "tokens")
     placed = df.select(key, F.posexplode("tokens").alias("at", "token"))
-    head = (
+    frequent = (
         df.sample(HEAD_SAMPLE, seed=0)
         .select(F.explode("tokens").alias("token"))
         .groupBy("token")
@@ -94,12 +94,15 @@ def _by_join(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
         .limit(HEAD_TOKENS)
         .select("token")
     )
+    # Stored, since both ways must agree on which tokens these are.
+    frequent = F.broadcast(materialize(frequent, "frequent"))
     ids = vocab.select("token", "token_id")
-    head = F.broadcast(head.join(ids, "token", "left"))
-    frequent = placed.join(head, "token")
-    others = placed.join(head.select("token"), "token", "left_anti").join(ids, "token", "left")
+    listed = ids.join(frequent, "token")
+    head = F.broadcast(frequent.join(F.broadcast(listed), "token", "left"))
+    direct = placed.join(head, "token")
+    others = placed.join(frequent, "token", "left_anti").join(ids, "token", "left")
     item = F.struct("at", F.coalesce("token_id", F.lit(UNK)).alias("id"))
-    found = frequent.unionByName(others).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    found = direct.unionByName(others).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
     # Texts without any token have no row here; NULL texts stay NULL.
     empty = F.when(F.col("tokens").isNotNull(), F.array().cast("array<int>"))
     none = df.filter(F.coalesce(F.size("tokens") <= 0, F.lit(True))).select(key, empty.alias("ids"))

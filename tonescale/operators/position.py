@@ -15,36 +15,44 @@ _ROW_BITS = 33
 BUCKET_DIGITS = 4
 
 
-def with_position(df: DataFrame, order_by: Sequence[Column | str], name: str = "pos") -> DataFrame:
-    """Number the rows 1..n in the given order.
-
-    The rows are range-partitioned and sorted once, numbered inside their
-    partition, and written to the scratch folder, so that the partition sizes and
-    the rows they belong to cannot drift apart if executors are lost. The offset of
-    each partition is then added by a join whose broadcast side has one row per
-    shuffle partition. Pass only the columns needed afterwards.
-    """
+def numbered(df: DataFrame, order_by: Sequence[Column | str], name: str = "pos") -> tuple[DataFrame, int]:
+    """``with_position`` together with the number of rows."""
     row = "__row"
-    numbered = materialize(
+    placed = materialize(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn(row, F.monotonically_increasing_id()),
         "position",
     )
     part = F.shiftrightunsigned(row, _ROW_BITS)
-    sizes = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
-    # One row per partition goes through this window, never the data.
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    # Stored as well: the positions are often used more than once.
-    offsets = materialize(offsets, "offsets")
+    # One count per shuffle partition.
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size")).collect()
+    offsets, total = [], 0
+    for size in sorted(sizes):
+        offsets.append((size["part"], total))
+        total += size["size"]
+    before = df.sparkSession.createDataFrame(offsets, "__part long, __offset long")
     inside = F.col(row).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
-        numbered.withColumn("__part", part)
-        .join(F.broadcast(offsets), "__part")
+    positions = (
+        placed.withColumn("__part", part)
+        .join(F.broadcast(before), "__part")
         .withColumn(name, inside + F.col("__offset") + F.lit(1))
         .drop("__part", "__offset", row)
     )
+    return positions, total
+
+
+def with_position(df: DataFrame, order_by: Sequence[Column | str], name: str = "pos") -> DataFrame:
+    """Number the rows 1..n in the given order.
+
+    The rows are range-partitioned and sorted once, numbered inside their
+    partition, and written to the scratch folder, so that the partition sizes and
+    the rows they belong to cannot drift apart if executors are lost. The offset of
+    each partition is then added by a join whose broadcast side has one row per
+    shuffle partition. Pass only the columns needed afterwards, and let the order end in
+    a unique column: rows that are equal in it cannot be spread.
+    """
+    return numbered(df, order_by, name)[0]
 
 
 def order_digest(key: str, seed: int, epoch: int | None = None) -> Column:
