@@ -98,13 +98,15 @@ def reference_epochs(table, epochs, parts, rate):
     return w, mean, spread, log
 
 
-def test_epochs_equal_numpy(table):
-    fitted = fit.fit_epochs(table, SIZE, epochs=3, batches_per_epoch=3, rate=0.01)
-    w, mean, spread, log = reference_epochs(table, 3, 3, 0.01)
+# In a full batch the intercept starts at its optimum: its gradient is rounding noise, which Adam scales up.
+@pytest.mark.parametrize(("parts", "tolerance"), [(1, 1e-5), (3, 1e-10)])
+def test_epochs_equal_numpy(table, parts, tolerance):
+    fitted = fit.fit_epochs(table, SIZE, epochs=3, batches_per_epoch=parts, rate=0.01)
+    w, mean, spread, log = reference_epochs(table, 3, parts, 0.01)
     got = [(r.train_loss, r.val_loss) for r in fitted.losses.orderBy("epoch").collect()]
-    assert np.allclose(got, log, atol=1e-10)
+    assert np.allclose(got, log, rtol=0, atol=tolerance)
     assert log[-1][1] == min(v for _, v in log)
-    assert np.allclose(fitted.model.weights, w[:, 1:] / spread, atol=1e-10)
+    assert np.allclose(fitted.model.weights, w[:, 1:] / spread, rtol=0, atol=tolerance)
 
 
 def test_epochs_stop_and_keep_the_best(table):

@@ -208,11 +208,12 @@ def _validation_loss(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, spr
 def _in_folds(rows: DataFrame, key: str, folds: int) -> DataFrame:
     """Store the rows by hash fold, so that a step reads its own rows and no others; fold -1 is for validation.
 
-    The rebalancing shuffle gives files of even size however the folds come out.
+    The rebalancing shuffle gives files of even size however the folds come out; a single fold needs none.
     """
     digest = F.substring(order_digest(key, 0), 1, 8)
     fold = F.when(F.col("split") == "val", -1).otherwise(F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(folds)))
-    return materialize(rows.withColumn("fold", fold.cast("int")).hint("rebalance", "fold"), "fit", ["fold"])
+    placed = rows.withColumn("fold", fold.cast("int"))
+    return materialize(placed.hint("rebalance", "fold") if folds > 1 else placed, "fit", ["fold"])
 
 
 def _batches(folds: int, per_epoch: int, seed: int, epoch: int) -> list[list[int]]:
@@ -252,7 +253,7 @@ def fit_epochs(
         F.col(FEATURES).cast("array<double>").alias(FEATURES),
         F.array(*[scale_target(d) for d in dims]).alias("y"),
     )
-    folds = FOLDS_PER_BATCH * batches_per_epoch
+    folds = FOLDS_PER_BATCH * batches_per_epoch if batches_per_epoch > 1 else 1
     stored = _in_folds(slim.filter(F.col("split").isin("train", "val")), key, folds).drop("split")
     train = stored.filter(F.col("fold") >= 0)
     val = with_position(stored.filter(F.col("fold") == -1).drop("fold"), [key])
