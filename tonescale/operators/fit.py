@@ -24,6 +24,9 @@ from tonescale.session import materialize
 MAX_FEATURES = 1024
 # Beyond this many input splits a task goes through several of them and sends one partial sum.
 MAX_PARTIALS = 16_384
+# Gradients below this are rounding of the sums. Adam would scale them up, and the fit would
+# depend on the order of the rows: a full batch starts with the intercept at its optimum.
+NOISE = 1e-12
 # Parts of the data that a mini-batch is made of.
 FOLDS_PER_BATCH = 8
 
@@ -280,6 +283,7 @@ def fit_epochs(
                 continue
             seen.append(loss / n)
             gradient = gradient / (n * k if joint else n)
+            gradient[np.abs(gradient) < NOISE] = 0.0
             weights = np.where(active[:, None], adam.update(weights, gradient), weights)
         train_loss = np.mean(seen, axis=0)
         val_loss = _validation_loss(val, weights, mean, spread)
