@@ -25,6 +25,16 @@ from tonescale.operators.score import LinearWeights, as_weights, score_features
 from tonescale.plans import jobs
 from tonescale.session import scratch_path
 
+try:
+    from tonescale.llm import queries as llm_queries
+    from tonescale.llm import sql as llm_sql
+except ImportError:  # the package and its pipeline can be left out
+    llm_queries = llm_sql = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+
 SAMPLE = "/root/testdata/sf0.001"
 PREDICTED = [f"{d}_pred" for d in DIMENSIONS]
 
@@ -543,8 +553,18 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    known = {q.__name__: q for q in QUERIES}
+    if llm_queries:
+        known |= {q.__name__: q for q in llm_queries.QUERIES}
+    if corpus_pipeline:
+        known["pipeline"] = corpus_pipeline.run
+    return known
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    known = dict(ORACLES)
+    if llm_sql:
+        known |= llm_sql.ORACLES
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        known["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return known
