@@ -3,8 +3,8 @@
 QUALITY = r"""
 WITH cut AS (
     SELECT doc_id, coalesce(text, '') AS text,
-           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-           list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
     FROM documents),
 wins AS (
     SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win
