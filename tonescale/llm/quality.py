@@ -155,3 +155,11 @@ def ablation(stored: DataFrame, policy: str | Sequence[str], rules: Sequence[Rul
         count(F.col("bits") == 0).alias("n_kept"),
         count((F.col("bits") == 0) | (F.col("bits") == F.col("bit"))).alias("n_kept_without"),
     )
+
+
+def passing(docs: DataFrame, policy: str | Sequence[str], text: str = "text") -> DataFrame:
+    """The rows that the policy keeps, with all their columns."""
+    # Whole rows travel as one column, so no name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("_row"))
+    stored = ledger(rows, f"_row.{text}", ["_row"])
+    return stored.filter(kept(policy)).select("_row.*")

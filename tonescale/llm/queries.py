@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescale.llm import quality, secrets, simhash
+from tonescale.llm import dac, packing, phrases, quality, secrets, simhash
+from tonescale.session import scratch_path
 
 POLICY = "web@2"
+TOKENIZER = "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,20 @@ def op1_secrets(spark, sf_dir):
     return secrets.secret_digest(documents(spark, sf_dir))
 
 
+def op3_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
+
+
+def op5_token_codes(spark, sf_dir):
+    folder = scratch_path(spark, "codes")
+    dac.write(documents(spark, sf_dir), folder, TOKENIZER)
+    return dac.read(spark, folder)
+
+
+def op6_decontamination(spark, sf_dir):
+    return phrases.contamination_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_quality(spark, sf_dir):
     stored = quality.ledger(documents(spark, sf_dir))
     return stored.select(
@@ -40,4 +56,6 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: tuple[Callable, ...] = (op1_secrets, op7_quality, op10_simhash)
+QUERIES: tuple[Callable, ...] = (
+    op1_secrets, op3_packing, op5_token_codes, op6_decontamination, op7_quality, op10_simhash,
+)
