@@ -94,17 +94,19 @@ def measure(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
         ).alias("_windows"),
     )
     repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
-    found = hashed.select(
-        *names,
+    found = (
         F.size("_words").cast("long").alias("n_words"),
         F.length("_joined").cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_windows").isNotNull() & repeats, _repeat_words("_words")).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.regexp_count("_text", F.lit("[0-9]")).cast("long").alias("n_digits"),
+        F.regexp_count("_joined", F.lit("[0-9]")).cast("long").alias("n_digits"),
     )
-    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *MEASURES)
+    # As the rows of a one-element array: a later filter then sees the measurements and is not turned into
+    # the expressions behind them, which would be evaluated once more for each mention.
+    once = hashed.select(*names, F.struct(*found).alias("_found")).select(*names, F.inline(F.array("_found")))
+    return once.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *MEASURES)
 
 
 def fail_bits(rules: Sequence[Rule] = RULES) -> Column:
