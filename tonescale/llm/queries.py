@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescale.llm import dac, packing, phrases, quality, secrets, simhash
+from tonescale.llm import dac, katz, packing, phrases, quality, secrets, simhash
 from tonescale.session import scratch_path
 
 POLICY = "web@2"
@@ -22,6 +22,11 @@ def op1_secrets(spark, sf_dir):
     return secrets.secret_digest(documents(spark, sf_dir))
 
 
+def op2_katz(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return katz.score(docs, katz.fit(docs))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
 
@@ -57,5 +62,5 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES: tuple[Callable, ...] = (
-    op1_secrets, op3_packing, op5_token_codes, op6_decontamination, op7_quality, op10_simhash,
+    op1_secrets, op2_katz, op3_packing, op5_token_codes, op6_decontamination, op7_quality, op10_simhash,
 )
