@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescale.llm import dac, katz, packing, phrases, quality, secrets, simhash
+from tonescale.llm import dac, katz, licenses, packing, phrases, quality, secrets, simhash
 from tonescale.session import scratch_path
 
 POLICY = "web@2"
@@ -56,11 +56,15 @@ def op7_quality(spark, sf_dir):
     )
 
 
+def op9_licenses(spark, sf_dir):
+    return licenses.license_digest(documents(spark, sf_dir))
+
+
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: tuple[Callable, ...] = (
-    op1_secrets, op2_katz, op3_packing, op5_token_codes, op6_decontamination, op7_quality, op10_simhash,
+    op1_secrets, op2_katz, op3_packing, op5_token_codes, op6_decontamination, op7_quality, op9_licenses, op10_simhash,
 )

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
+from tonescale.llm import licenses
+
 QUALITY = r"""
 WITH cut AS (
     SELECT doc_id, coalesce(text, '') AS text,
@@ -47,4 +49,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": DECONTAMINATION, "op7_quality": QUALITY}
+ORACLES: dict[str, str] = {"op6_decontamination": DECONTAMINATION, "op7_quality": QUALITY, "op9_licenses": licenses.oracle_sql()}
