@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescale.llm import dac, katz, licenses, packing, phrases, quality, secrets, simhash
+from tonescale.llm import crf, dac, katz, licenses, packing, phrases, quality, secrets, simhash
 from tonescale.session import scratch_path
 
 POLICY = "web@2"
@@ -31,6 +31,11 @@ def op3_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
 
 
+def op4_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return crf.predict(docs, crf.fit(docs))
+
+
 def op5_token_codes(spark, sf_dir):
     folder = scratch_path(spark, "codes")
     dac.write(documents(spark, sf_dir), folder, TOKENIZER)
@@ -66,5 +71,5 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES: tuple[Callable, ...] = (
-    op1_secrets, op2_katz, op3_packing, op5_token_codes, op6_decontamination, op7_quality, op9_licenses, op10_simhash,
+    op1_secrets, op2_katz, op3_packing, op4_language, op5_token_codes, op6_decontamination, op7_quality, op9_licenses, op10_simhash,
 )
