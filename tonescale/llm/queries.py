@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescale.llm import crf, dac, katz, licenses, packing, phrases, quality, secrets, simhash
+from tonescale.llm import cotrain, crf, dac, katz, licenses, packing, phrases, quality, secrets, simhash
 from tonescale.session import scratch_path
 
 POLICY = "web@2"
@@ -61,6 +61,10 @@ def op7_quality(spark, sf_dir):
     )
 
 
+def op8_quality_classifier(spark, sf_dir):
+    return cotrain.quality_verdict(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_licenses(spark, sf_dir):
     return licenses.license_digest(documents(spark, sf_dir))
 
@@ -71,5 +75,6 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES: tuple[Callable, ...] = (
-    op1_secrets, op2_katz, op3_packing, op4_language, op5_token_codes, op6_decontamination, op7_quality, op9_licenses, op10_simhash,
+    op1_secrets, op2_katz, op3_packing, op4_language, op5_token_codes, op6_decontamination, op7_quality, op8_quality_classifier,
+    op9_licenses, op10_simhash,
 )
