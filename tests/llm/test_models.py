@@ -64,9 +64,11 @@ class PlainKatz:
     def p(self, h, w):
         h, k = self.kind(h), self.kind(w)
         share = 1.0 if k != "<other>" else self.unigram(w) / self.lower(k)
-        if self.pairs[h, k]:
-            return share * self.less(self.d2, self.pairs[h, k]) / self.history[h]
         seen = [(b, c) for (a, b), c in self.pairs.items() if a == h]
+        if self.pairs[h, k]:
+            everything = len(seen) == len(self.words) + 1
+            whole = sum(self.less(self.d2, c) for _, c in seen) if everything else self.history[h]
+            return share * self.less(self.d2, self.pairs[h, k]) / whole
         left = 1 - sum(self.less(self.d2, c) for _, c in seen) / self.history[h] if seen else 1.0
         return share * left / (1 - sum(self.lower(b) for b, _ in seen)) * self.lower(k)
 

@@ -122,6 +122,7 @@ class Katz:
     unknown: float
     class_p: np.ndarray
     alpha: np.ndarray
+    scale: np.ndarray
     frequent: np.ndarray
     frequent_counts: np.ndarray
 
@@ -129,7 +130,7 @@ class Katz:
         """log10 P(class of the word | class of the one before), recursing to the lower order where the pair was not seen."""
         h, w = key >> _SHIFT, key & ((1 << _SHIFT) - 1)
         total = np.maximum(self.counts[h], 1)
-        seen = np.log10(np.where(c > 0, discounted(self.d2, np.maximum(c, 1)) / total, 1.0))
+        seen = np.log10(np.where(c > 0, discounted(self.d2, np.maximum(c, 1)) * self.scale[h] / total, 1.0))
         backed_off = np.log10(self.alpha[h]) + np.log10(self.class_p[w])
         return np.where(c > 0, seen, backed_off)
 
@@ -179,15 +180,17 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabula
     # For each history, what its words keep, and the lower-order mass of those words: at most one row for each history.
     shares = spark.createDataFrame([(i, float(p)) for i, p in enumerate(class_p)], "w long, p double")
     split = pairs.select(F.shiftright("key", _SHIFT).alias("h"), F.col("key").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("w"), "c")
-    kept = np.zeros((2, len(class_p)))
-    sums = split.join(F.broadcast(shares), "w").groupBy("h").agg(F.sum(_discounted_sql(d2)).alias("k"), F.sum("p").alias("p"))
+    kept = np.zeros((3, len(class_p)))
+    sums = split.join(F.broadcast(shares), "w").groupBy("h").agg(F.sum(_discounted_sql(d2)).alias("k"), F.sum("p").alias("p"), F.count("*").alias("n"))
     for r in sums.collect():
-        kept[:, r["h"]] = r["k"], r["p"]
-    left, free = 1 - kept[0] / np.maximum(counts, 1), 1 - kept[1]
-    alpha = np.where(counts > 0, left / np.maximum(free, 1e-12), 1.0)
+        kept[:, r["h"]] = r["k"], r["p"], r["n"]
+    share, free = kept[0] / np.maximum(counts, 1), 1 - kept[1]
+    alpha = np.where(counts > 0, (1 - share) / np.maximum(free, 1e-12), 1.0)
+    # After a history that was followed by everything there is nothing to back off to: what it keeps is all.
+    scale = np.where(kept[2] == len(class_p), 1 / np.maximum(share, 1e-12), 1.0)
     often = [(r["key"], r["c"]) for r in pairs.orderBy(F.desc("c"), "key").limit(frequent).collect()]
     often = np.array(sorted(often), np.int64).reshape(-1, 2)
-    return Katz(folder, n, types, top[:, 0].copy(), counts, d1, d2, unknown, class_p, alpha, often[:, 0].copy(), often[:, 1].copy())
+    return Katz(folder, n, types, top[:, 0].copy(), counts, d1, d2, unknown, class_p, alpha, scale, often[:, 0].copy(), often[:, 1].copy())
 
 
 def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,9 +216,9 @@ def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "
         for m, batch, first, row, tokens, w, key, pair in cut(batches):
             size, k = batch.num_rows, len(m.vocabulary)
             word = w < k
-            base = np.bincount(row[word], m.base_log10(m.counts[w[word]]), size)
+            base = np.bincount(row[word], m.base_log10(m.counts[w[word]]), size).astype(float)
             often = pair < len(m.frequent)
-            total = np.bincount(row[often], m.pair_log10(key[often], m.frequent_counts[pair[often]]), size)
+            total = np.bincount(row[often], m.pair_log10(key[often], m.frequent_counts[pair[often]]), size).astype(float)
             columns = [
                 pa.array(first + np.arange(size)), batch.column(0), pa.array(_held_out(batch.column(0))),
                 pa.array(np.bincount(row, minlength=size)), pa.array(np.bincount(row[word], minlength=size)), pa.array(base), pa.array(total),
@@ -239,13 +242,13 @@ def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "
         m = shared.value
         for batch in batches:
             key, row, n, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            word = key >= _WORD
+            word = key >= _END
             base, total = np.zeros(len(key)), np.zeros(len(key))
             base[word] = m.base_log10(c[word])
             total[word] = m.member_log10(c[word])
             total[~word] = m.pair_log10(key[~word], c[~word])
             rows, at = np.unique(row, return_inverse=True)
-            columns = [rows, np.bincount(at, n * (word & (c > 0)), len(rows)).astype(np.int64), np.bincount(at, n * base, len(rows)), np.bincount(at, n * total, len(rows))]
+            columns = [rows, np.bincount(at, n * (word & (c > 0)), len(rows)).astype(np.int64), np.bincount(at, n * base, len(rows)).astype(float), np.bincount(at, n * total, len(rows)).astype(float)]
             yield pa.record_batch([pa.array(x) for x in columns], ["row", "n_known", "base", "total"])
 
     own = rows.mapInArrow(local, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, total double")
