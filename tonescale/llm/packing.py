@@ -31,6 +31,8 @@ CAPACITY = 2048
 GROUP = 30_000
 #: Emptiest sequences that are tried in turn before the search ends.
 PATIENCE = 6
+#: Sequences that the search of one group tries to empty altogether.
+PASSES = 300
 
 
 def token_pieces(
@@ -106,7 +108,7 @@ def _exchange(giver: list[int], taker: list[int], room: int, sizes: list[int]) -
     return best
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patience: int = PATIENCE, passes: int = PASSES) -> list[list[int]]:
     """Empties bins by exchanges that raise the sum of squared fills; ends at the least number of bins or where none helps.
 
     A giver is never fuller than the taker, so every exchange raises the sum, which is bounded.
@@ -115,12 +117,14 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patienc
     fill = [sum(sizes[i] for i in b) for b in bins]
     bins, failed = [list(b) for b in bins], 0
     alive = sum(f > 0 for f in fill)
-    while alive > least and failed < patience:
+    for _ in range(passes):
+        if alive <= least or failed >= patience:
+            break
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
         if failed >= len(under):
             break
         giver = under[failed]
-        moved = True
+        moved, before = True, fill[giver]
         while moved and fill[giver]:
             moved = False
             for taker in reversed(under):
@@ -137,10 +141,12 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patienc
                     moved = True
                     if not fill[giver]:
                         break
-        if fill[giver]:
-            failed += 1
-        else:
+        if not fill[giver]:
             alive, failed = alive - 1, 0
+        elif failed and fill[giver] < before:
+            failed = 0  # the emptiest one may fit now
+        else:
+            failed += 1
     return [b for b in bins if b]
 
 
