@@ -19,7 +19,7 @@ import pyarrow as pa
 from tonescale.llm.text import SPACE_CUT, SPACE_CUT_LOWER, gather, strings, text_bytes
 
 #: Encoded words a worker keeps before those not seen since are let go; it has twice as many at most.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 
 _ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _MARKS = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])

@@ -37,6 +37,8 @@ SEED = 42
 #: Groups of near copies of more fingerprints than this are not compared within themselves twice.
 CROWD = 64
 _CHUNK = 1 << 16
+# Text of which a task holds all shingle hashes at once.
+_TEXT = 3 << 20
 
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -86,7 +88,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, _TEXT):
             found = fingerprints_of(texts_of(batch.column(1)), size)
             yield pa.record_batch([batch.column(0), pa.array(found)], ["id", "fp"])
 
