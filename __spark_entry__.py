@@ -48,7 +48,7 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     both = docs.join(labels.withColumn("labelled", F.lit(True)), "doc_id", "left")
     one, two, four = F.lit(1.0), F.lit(2.0), F.lit(4.0)
-    length = F.least("n_chars", F.lit(2000)).cast("double") / F.lit(2000.0)
+    length = F.col("n_chars").cast("double") / (F.col("n_chars").cast("double") + F.lit(2000.0))
     return both.select(
         F.col("doc_id").alias("id"),
         "text",
@@ -308,7 +308,7 @@ def shuffle_batches(spark, sf_dir):
 
 
 def early_stopping(spark, sf_dir):
-    return monitor.early_stopping(loss_log(spark, sf_dir)).drop("best_loss")
+    return rounded(monitor.early_stopping(loss_log(spark, sf_dir)), "best_loss")
 
 
 def best_epoch(spark, sf_dir):
@@ -333,11 +333,20 @@ def encode_sequences(spark, sf_dir):
 
 
 def encode_sequences_joined(spark, sf_dir):
-    """The way for vocabularies too large to send, without start and end marks."""
-    found = _encoded(spark, sf_dir, max_len=128, special=False, sent_tokens=0)
+    """Without start and end marks, longer."""
+    found = _encoded(spark, sf_dir, max_len=128, special=False)
     return _ids(found.select("doc_id", "input_ids"), "input_ids")
 
 
+def encode_unknown(spark, sf_dir):
+    """The vocabulary of the texts in other languages: unknown tokens. Languages as keys repeat, and every 13th key and text is NULL."""
+    docs = table(spark, sf_dir, "documents")
+    odd = F.col("doc_id") % 13
+    rows = docs.select(F.when(odd != 5, F.col("lang")).alias("lang"), F.when(odd != 7, F.col("text")).alias("text"))
+    found = encode.encode_sequences(rows, encode.build_vocab(docs.filter("lang <> 'en'")), max_len=32, key="lang")
+    return _ids(found.select("lang", "input_ids"), "input_ids").groupBy("lang", "input_ids").agg(F.count("*").alias("n"))
+
+
 def attention_mask(spark, sf_dir):
     return _ids(_encoded(spark, sf_dir, max_len=64).select("doc_id", "attention_mask"), "attention_mask")
 
@@ -369,10 +378,10 @@ def score_fixed_weights(spark, sf_dir):
 
 
 def gram_sums(spark, sf_dir):
-    """Products of the first four components and the label."""
-    four = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
-    rows = table(spark, sf_dir, "embeddings").select(four.alias("features"), F.col("label").cast("double").alias("y"))
-    return rounded(fit.cross_products(rows, 4, ["y"]), "value")
+    """Products of all components and the label."""
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select(x.alias("features"), F.col("label").cast("double").alias("y"))
+    return rounded(fit.cross_products(rows, WIDTH, ["y"]), "value")
 
 
 def fit_single_scalar(spark, sf_dir):
@@ -438,8 +447,9 @@ def report_parse(spark, sf_dir):
 
 
 def section_carry(spark, sf_dir):
+    """Every line, the title and blank ones too."""
     lines = report.carry_section(report.report_lines(_reports(spark, sf_dir)))
-    return lines.filter(F.col("dim").isNotNull() & (F.col("line") != "")).select("run", "line_no", "dim", "section_no")
+    return lines.select("run", "line_no", "dim", "section_no")
 
 
 def report_single(spark, sf_dir):
@@ -523,8 +533,7 @@ def loss_log_files(spark, sf_dir):
     path = scratch_path(spark, "losses")
     # With more decimals no loss lies half way between two logged values.
     sources.write_loss_log(loss_log(spark, sf_dir).withColumn("loss", F.col("loss") * F.lit(0.37731)), path)
-    log = sources.read_loss_log(spark, path)
-    return log.groupBy("epoch").agg(F.count("*").alias("n_runs"), F.round(F.sum("loss"), 4).alias("total"))
+    return sources.read_loss_log(spark, path).select("run", "epoch", F.round("loss", 4).alias("loss"))
 
 
 def stored_model(spark, sf_dir):
@@ -540,7 +549,7 @@ QUERIES = (
     pearson_constant, drop_missing_any, drop_missing_all, select_target, scale_roundtrip, lenient_numbers, head_rows,
     table_profile, split_round, split_ceil, split_sizes, split_complement, targets_long, align_id, align_text,
     align_position, align_prefix, align_coverage, smooth_l1_batches, epoch_loss, smooth_l1_lines, shuffle_batches,
-    early_stopping, best_epoch, vocab, encode_sequences, encode_sequences_joined, attention_mask, score_fixed_weights,
+    early_stopping, best_epoch, vocab, encode_sequences, encode_sequences_joined, encode_unknown, attention_mask, score_fixed_weights,
     gram_sums, fit_single_scalar, fit_multi_exact, fit_single_exact, fit_multi_metrics, fit_epochs_losses, score_table,
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,
     row_counts, csv_round_trip, folder_profile, report_files, loss_log_files, stored_model,

@@ -5,7 +5,7 @@ from __future__ import annotations
 ANNOTATED = """ann AS (
   SELECT d.doc_id AS id, d.text AS text, d.lang AS lang, d.n_chars AS n_chars,
     CASE WHEN l.doc_id IS NOT NULL THEN 1e0 + 2e0*l.quality + 2e0*(1 - l.toxic) END AS V,
-    CASE WHEN l.doc_id IS NOT NULL THEN 1e0 + 4e0*least(d.n_chars, 2000)/2000e0 END AS A,
+    CASE WHEN l.doc_id IS NOT NULL THEN 1e0 + 4e0*(d.n_chars/(CAST(d.n_chars AS DOUBLE) + 2000e0)) END AS A,
     CASE WHEN l.doc_id IS NOT NULL THEN 1e0 + 4e0*(d.doc_id % 97)/96e0 END AS D
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
@@ -270,10 +270,11 @@ r AS (SELECT doc_id AS g, n_chars, row_number() OVER (ORDER BY doc_id) AS pos FR
       FROM lineitem GROUP BY l_returnflag, l_linenumber""",
     "shuffle_batches": f"""WITH o AS (SELECT doc_id AS id, row_number() OVER (ORDER BY {_MD5_ORDER}, doc_id) AS pos
       FROM documents) SELECT id, pos, CAST(floor((pos - 1)/16e0) AS BIGINT) AS batch_id FROM o""",
-    "early_stopping": _with(LOSSES, STOPS.format(limit="", patience=3))
-    + """SELECT t.run AS run, coalesce(t.stop, t.n) AS epochs_run, t.stop IS NOT NULL AS stopped_early,
+    "early_stopping": _with(LOSSES, STOPS.format(limit="", patience=3), """k AS (
+  SELECT t.run AS run, coalesce(t.stop, t.n) AS epochs_run, t.stop IS NOT NULL AS stopped_early,
       max(CASE WHEN s.improved AND s.epoch <= coalesce(t.stop, t.n) THEN s.epoch END) AS best_epoch
-      FROM t JOIN s ON t.run = s.run GROUP BY t.run, t.stop, t.n""",
+  FROM t JOIN s ON t.run = s.run GROUP BY t.run, t.stop, t.n)""")
+    + """SELECT k.*, round(loss, 6) AS best_loss FROM k LEFT JOIN loss_log l ON k.run = l.run AND k.best_epoch = l.epoch""",
     "best_epoch": _with(
         LOSSES,
         STOPS.format(limit="WHERE epoch <= 20", patience=5),
@@ -288,6 +289,20 @@ r AS (SELECT doc_id AS g, n_chars, row_number() OVER (ORDER BY doc_id) AS pos FR
     + "SELECT doc_id, ids || repeat(' 0', CAST(64 - n AS INT)) AS input_ids FROM enc",
     "encode_sequences_joined": _encoded(128, False)
     + "SELECT doc_id, trim(ids || repeat(' 0', CAST(128 - n AS INT))) AS input_ids FROM enc",
+    "encode_unknown": """WITH rows AS (
+  SELECT doc_id, CASE WHEN doc_id % 13 <> 5 THEN lang END AS lang, CASE WHEN doc_id % 13 <> 7 THEN text END AS text, lang AS own, text AS whole FROM documents),
+words AS (
+  SELECT doc_id, own, idx, token FROM (SELECT doc_id, own, unnest(parts) AS token, generate_subscripts(parts, 1) AS idx
+    FROM (SELECT doc_id, own, string_split_regex(whole, '[ \\t\\n\\r\\f]+') AS parts FROM rows) s) t WHERE token <> ''),
+vocabulary AS (
+  SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id
+  FROM (SELECT token, count(*) AS n FROM words WHERE own <> 'en' GROUP BY token) c),
+ranked AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS pos FROM words),
+cut AS (SELECT r.doc_id, string_agg(CAST(coalesce(v.token_id, 1) AS VARCHAR), ' ' ORDER BY r.pos) AS ids, count(*) AS n
+  FROM ranked r LEFT JOIN vocabulary v ON r.token = v.token WHERE r.pos <= 30 GROUP BY r.doc_id),
+enc AS (SELECT lang, CASE WHEN text IS NOT NULL THEN '2 ' || coalesce(c.ids || ' ', '') || '3' || repeat(' 0', CAST(30 - coalesce(c.n, 0) AS INT)) END AS input_ids
+  FROM rows LEFT JOIN cut c ON rows.doc_id = c.doc_id)
+SELECT lang, input_ids, count(*) AS n FROM enc GROUP BY lang, input_ids""",
     "attention_mask": _encoded(64, True)
     + "SELECT doc_id, trim(repeat('1 ', CAST(n AS INT)) || repeat('0 ', CAST(64 - n AS INT))) AS attention_mask FROM enc",
     "score_fixed_weights": """WITH c AS (
@@ -298,8 +313,8 @@ r AS (SELECT doc_id AS g, n_chars, row_number() OVER (ORDER BY doc_id) AS pos FR
     "gram_sums": """WITH c AS (
   SELECT vec_id, i, z FROM (
     SELECT vec_id, 0 AS i, 1e0 AS z FROM embeddings
-    UNION ALL SELECT vec_id, generate_subscripts(embedding[1:4], 1), CAST(unnest(embedding[1:4]) AS DOUBLE) FROM embeddings
-    UNION ALL SELECT vec_id, 5, CAST(label AS DOUBLE) FROM embeddings) s)
+    UNION ALL SELECT vec_id, generate_subscripts(embedding, 1), CAST(unnest(embedding) AS DOUBLE) FROM embeddings
+    UNION ALL SELECT vec_id, 65, CAST(label AS DOUBLE) FROM embeddings) s)
 SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(sum(a.z*b.z), 6) AS value
 FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
     "fit_single_scalar": _with(ANNOTATED, GOLD, """x AS (
@@ -317,8 +332,7 @@ FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
       TRUE AS target_numeric, count(*) AS n_rows, CAST(0 AS BIGINT) AS errors FROM gold
 UNION ALL SELECT 'text,target,A', 3, TRUE, FALSE, 'target', FALSE, count(*), 0 FROM gold""",
     "loss_log_files": _with(LOSSES)
-    + """SELECT epoch, count(*) AS n_runs, round(sum(CAST(printf('%.4f', loss*0.37731e0) AS DOUBLE)), 4) AS total
-      FROM loss_log GROUP BY epoch""",
+    + """SELECT run, CAST(epoch AS INT) AS epoch, round(CAST(printf('%.4f', loss*0.37731e0) AS DOUBLE), 4) AS loss FROM loss_log""",
     "report_render": _REPORTED
     + """SELECT run, 'Evaluation - ' || run || chr(10) || repeat('=', length('Evaluation - ' || run)) || chr(10) || chr(10)
       || string_agg(dim || ':' || chr(10) || '  MAE = ' || mae || chr(10) || '  Pearson’s r = ' || r || chr(10) || chr(10),
@@ -327,7 +341,9 @@ UNION ALL SELECT 'text,target,A', 3, TRUE, FALSE, 'target', FALSE, count(*), 0 F
     "report_files": _PARSED,
     "section_carry": _REPORTED
     + """SELECT run, CAST(3 + 4*(idx - 1) + k AS INT) AS line_no, dim, CAST(idx AS INT) AS section_no
-      FROM rep, (VALUES (0), (1), (2)) x(k)""",
+      FROM rep, (VALUES (0), (1), (2), (3)) x(k)
+UNION ALL SELECT DISTINCT run, CAST(k AS INT), CAST(NULL AS VARCHAR), CAST(0 AS INT) FROM rep, (VALUES (0), (1), (2)) x(k)
+UNION ALL SELECT run, CAST(3 + 4*max(idx) AS INT), 'D', CAST(max(idx) AS INT) FROM rep GROUP BY run""",
     "report_single": _REPORTED
     + f"""SELECT run, {_NAMES} AS dimension, CAST(mae AS DOUBLE) AS mae, CAST(r AS DOUBLE) AS pearson_r
       FROM rep WHERE dim IN ('V', 'D')""",

@@ -40,31 +40,38 @@ def test_vocabulary_limits(spark):
 
 @pytest.mark.parametrize("special", [True, False])
 @pytest.mark.parametrize("max_len", [3, 6, 16])
-@pytest.mark.parametrize("sent", [encode.SENT_TOKENS, 0])
-def test_sequences(spark, special, max_len, sent):
+@pytest.mark.parametrize("block", [encode.BLOCK, 1])
+def test_sequences(spark, special, max_len, block, monkeypatch):
+    monkeypatch.setattr(encode, "BLOCK", block)
     vocab = {t: i for t, i in ranked().items() if t != "d"}
     table = spark.createDataFrame(list(vocab.items()), "token string, token_id int")
-    rows = encode.encode_sequences(corpus(spark), table, max_len, special=special, sent_tokens=sent).collect()
+    rows = encode.encode_sequences(corpus(spark), table, max_len, special=special).collect()
     got = {r.id: (r.input_ids, r.attention_mask) for r in rows}
     assert got == {i: expected(t, vocab, max_len, special) for i, t in enumerate(TEXTS)}
 
 
-def test_small_vocabulary_needs_no_shuffle(spark):
-    vocab = spark.createDataFrame([("a", 4)], "token string, token_id int")
-    plan = encode.encode_sequences(corpus(spark).coalesce(1), vocab)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and "Aggregate" not in plan
+def test_keys_may_repeat_or_be_missing(spark):
+    """Rows stay rows of their own, however large the vocabulary is."""
+    df = spark.createDataFrame([(1, "a b"), (1, "b b"), (None, "a"), (None, None), (2, "")], "id long, text string")
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, token_id int")
+    got = sorted(((r.id, r.input_ids) for r in encode.encode_sequences(df, vocab, 4).collect()), key=str)
+    want = [(1, [2, 4, 5, 3]), (1, [2, 5, 5, 3]), (None, [2, 4, 3, 0]), (None, None), (2, [2, 3, 0, 0])]
+    assert got == sorted(want, key=str)
+    assert encode.encode_sequences(df.limit(0), vocab, 4).count() == 0
+    assert [r.input_ids for r in encode.encode_sequences(df.limit(1), vocab.limit(0), 4).collect()] == [[2, 1, 1, 3]]
 
 
 @pytest.mark.parametrize("hot", ["known", "unknown"])
-def test_joined_way_with_a_hot_token(spark, hot):
+def test_a_hot_token(spark, hot):
     """One token makes up most of the text; with or without an entry in the vocabulary."""
     df = spark.range(400).select("id", F.concat(F.repeat(F.lit(f"{hot} "), 20), F.lit("w"), F.col("id")).alias("text"))
     vocab = spark.range(390).select(
         F.concat(F.lit("w"), F.col("id")).alias("token"), (F.col("id") + 10).cast("int").alias("token_id")
     ).unionAll(spark.createDataFrame([("known", 4)], "token string, token_id int"))
-    few, many = (encode.encode_sequences(df, vocab, 32, sent_tokens=n).orderBy("id").collect() for n in (10**6, 0))
-    assert few == many
-    assert few[0].input_ids[1] == (4 if hot == "known" else encode.UNK) and few[399].input_ids[21] == encode.UNK
+    rows = encode.encode_sequences(df, vocab, 32).orderBy("id").collect()
+    own = 4 if hot == "known" else encode.UNK
+    for i, r in enumerate(rows):
+        assert r.input_ids[1:22] == [own] * 20 + [i + 10 if i < 390 else encode.UNK]
 
 
 def test_no_room(spark):

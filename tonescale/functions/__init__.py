@@ -9,6 +9,7 @@ from tonescale.functions.scalars import (
     is_scaled,
     missing_to_null,
     number_after_equals,
+    rest_after_equals,
     scale_target,
     smooth_l1,
     to_number,
@@ -27,6 +28,7 @@ __all__ = [
     "is_scaled",
     "missing_to_null",
     "number_after_equals",
+    "rest_after_equals",
     "scale_target",
     "smooth_l1",
     "to_number",

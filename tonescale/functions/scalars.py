@@ -60,7 +60,9 @@ def to_number(c: Column | str) -> Column:
 
 
 def fixed4(c: Column | str) -> Column:
-    return F.format_string("%.4f", _col(c))
+    """Four decimals; both NaN and NULL are written as ``nan`` and read back as NaN."""
+    c = _col(c).cast("double")
+    return F.when(is_present(c), F.format_string("%.4f", c)).otherwise(F.lit("nan"))
 
 
 def dimension_name(c: Column | str) -> Column:
@@ -69,8 +71,11 @@ def dimension_name(c: Column | str) -> Column:
 
 
 def number_after_equals(line: Column, label: str | None = None) -> Column:
-    """The signed number (or ``nan``) behind ``label =``, or behind the last ``=`` without a label."""
-    number = r"([-+]?(?:[0-9.]+|nan))"
+    """The signed number (or ``nan``) behind ``label =``, or behind the last ``=`` without a label.
+
+    An exponent belongs to the number; what follows the number is left out.
+    """
+    number = r"([-+]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?|[nN][aA][nN]))"
     if label is None:
         found = F.regexp_extract(F.element_at(F.split(line, "="), -1), number, 1)
     else:
@@ -78,6 +83,11 @@ def number_after_equals(line: Column, label: str | None = None) -> Column:
     return found.try_cast("double")
 
 
+def rest_after_equals(line: Column) -> Column:
+    """All that stands behind the last ``=`` as one number; NULL if it is none."""
+    return to_number(F.element_at(F.split(line, "="), -1))
+
+
 def tokens(text: Column | str) -> Column:
     """Whitespace tokens of the whole text, in order; NULL for a NULL text."""
     return F.array_remove(F.split(_col(text), r"[ \t\n\r\f]+"), "")

@@ -89,10 +89,14 @@ def align_counted(
     Both sides are collapsed to distinct values before they meet, so that copies of
     one sentence cost a count and not a product.
     """
-    left = preds.groupBy(key, *pred_columns).agg(F.count("*").alias("__n_pred"))
-    right = gold.groupBy(key, *gold_columns).agg(F.count("*").alias("__n_gold"))
-    paired = _join(left, right, key)
-    return paired.withColumn("n_rows", F.col("__n_pred") * F.col("__n_gold")).drop("__n_pred", "__n_gold")
+    # What is counted and shuffled is the digest of a text; the text itself comes along once per group.
+    left = preds.groupBy(key_of(key).alias("__key"), *pred_columns).agg(F.count("*").alias("__n_pred"), F.any_value(key).alias(key))
+    right = gold.groupBy(key_of(key).alias("__key"), *gold_columns).agg(F.count("*").alias("__n_gold"))
+    paired = left.withColumnRenamed("__key", "__left").join(
+        right.withColumnRenamed("__key", "__right"), F.col("__left").eqNullSafe(F.col("__right"))
+    )
+    n_rows = (F.col("__n_pred") * F.col("__n_gold")).alias("n_rows")
+    return paired.select(key, *pred_columns, *gold_columns, n_rows)
 
 
 def coverage(preds: DataFrame, gold: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,8 @@ from tonescale.session import materialize
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_ID = 4
 
-# A vocabulary within both bounds is sent to the executors, a larger one is joined.
-SENT_TOKENS = 500_000
-SENT_BYTES = 32 << 20
-# Tokens treated as frequent in the join, and the share of rows looked at to find them.
-HEAD_TOKENS = 10_000
-HEAD_SAMPLE = 0.01
+# Rows that are looked up together.
+BLOCK = 1024
 
 
 def count_tokens(df: DataFrame, text: str = "text") -> DataFrame:
@@ -55,58 +52,37 @@ def _sequence(ids: Column, max_len: int, special: bool) -> list[Column]:
     return [F.when(known, padded).alias("input_ids"), F.when(known, mask).alias("attention_mask")]
 
 
-def _by_lookup(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """Look tokens up in a small vocabulary inside the scan tasks: nothing is shuffled."""
-    table = vocab.select("token", "token_id").toArrow().combine_chunks()
-    shared = df.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), table["token_id"].combine_chunks()))
+def _look_up(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """Replace the tokens of one block by their ids; ``known`` has those of its distinct tokens."""
+    lists = rows["tokens"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.chunked_array(lists.chunks or [pa.array([], lists.type)]).chunk(0)
+    flat = lists.flatten()
+    words = known["token"].combine_chunks().cast(flat.type)
+    found = pc.take(known["token_id"].combine_chunks(), pc.index_in(flat, value_set=words))
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pc.fill_null(found, UNK).cast(pa.int32()), mask=pc.is_null(lists))
+    return pa.table({"key": rows["key"], "ids": ids})
 
-    @F.arrow_udf("array<int>")
-    def look_up(rows: pa.Array) -> pa.Array:
-        known, ids = shared.value
-        flat = rows.flatten()
-        found = pc.take(ids, pc.index_in(flat, value_set=known.cast(flat.type)))
-        lengths = pc.fill_null(pc.list_value_length(rows), 0)
-        offsets = pa.array([0], pa.int32()) if len(rows) == 0 else pa.concat_arrays(
-            [pa.array([0], pa.int32()), pc.cumulative_sum(lengths).cast(pa.int32())]
-        )
-        return pa.ListArray.from_arrays(offsets, pc.fill_null(found, UNK).cast(pa.int32()), mask=pc.is_null(rows))
 
-    return df.select(key, look_up("tokens").alias("ids"))
+def _ids_of(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """Token ids of every row, whatever the size of the vocabulary and however often a key or token occurs.
 
-
-def _by_join(df: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """Join a vocabulary of any size. ``key`` must be unique.
-
-    Frequent tokens, known or not, would pile up in single join partitions. They are
-    guessed from a sample of rows and joined by broadcast (at most ``HEAD_TOKENS``
-    rows); all others meet the vocabulary in a shuffle. The guess only chooses the
-    way a token takes, each gets its id either way.
+    Rows are taken in blocks of ``BLOCK``. The distinct tokens of a block meet the vocabulary once,
+    in a join for which Spark chooses the way, so a token that is everywhere costs one row per block; then each
+    block is looked up with the ids it needs and nothing else.
     """
-    # The cut token lists are small next to the texts; stored, the texts are read once.
-    df = materialize(df, "tokens")
-    placed = df.select(key, F.posexplode("tokens").alias("at", "token"))
-    frequent = (
-        df.sample(HEAD_SAMPLE, seed=0)
-        .select(F.explode("tokens").alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(HEAD_TOKENS)
-        .select("token")
-    )
-    # Stored, since both ways must agree on which tokens these are.
-    frequent = F.broadcast(materialize(frequent, "frequent"))
+    # The cut token lists are small next to the texts; stored, a row's block cannot change.
+    numbered = df.select(F.col(key).alias("key"), "tokens", F.monotonically_increasing_id().alias("row"))
+    rows = materialize(numbered.select("key", "tokens", F.floor(F.col("row") / BLOCK).alias("block")), "tokens")
+    needed = rows.select("block", F.explode("tokens").alias("token")).distinct()
     ids = vocab.select("token", "token_id")
-    listed = ids.join(frequent, "token")
-    head = F.broadcast(frequent.join(F.broadcast(listed), "token", "left"))
-    direct = placed.join(head, "token")
-    others = placed.join(frequent, "token", "left_anti").join(ids, "token", "left")
-    item = F.struct("at", F.coalesce("token_id", F.lit(UNK)).alias("id"))
-    found = direct.unionByName(others).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    # Texts without any token have no row here; NULL texts stay NULL.
-    empty = F.when(F.col("tokens").isNotNull(), F.array().cast("array<int>"))
-    none = df.filter(F.coalesce(F.size("tokens") <= 0, F.lit(True))).select(key, empty.alias("ids"))
-    return found.select(key, F.transform("items", lambda i: i["id"]).alias("ids")).unionByName(none)
+    known = needed.join(ids, "token").select(F.col("block").alias("of"), "token", F.col("token_id").cast("int").alias("token_id"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return (
+        rows.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_look_up, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    )
 
 
 def encode_sequences(
@@ -116,19 +92,15 @@ def encode_sequences(
     key: str = "id",
     text: str = "text",
     special: bool = True,
-    sent_tokens: int = SENT_TOKENS,
-    sent_bytes: int = SENT_BYTES,
 ) -> DataFrame:
-    """``(key, input_ids, attention_mask)``, both arrays exactly ``max_len`` long.
+    """``(key, input_ids, attention_mask)``, both arrays exactly ``max_len`` long, one row per row of ``df``.
 
     The text is tokenized as a whole; the token sequence is then cut so that it fits
-    with the start and end marks (``special``). NULL texts give NULL arrays.
+    with the start and end marks (``special``). NULL texts give NULL arrays. Keys are carried
+    along and may repeat or be NULL.
     """
     room = max_len - 2 if special else max_len
     if room < 1:
         raise ValueError(f"max_len {max_len} leaves no room for tokens")
     cut = df.select(key, F.slice(tokens(text), 1, room).alias("tokens"))
-    size = vocab.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
-    small = size["n"] <= sent_tokens and size["bytes"] <= sent_bytes
-    found = (_by_lookup if small else _by_join)(cut, vocab, key)
-    return found.select(key, *_sequence(F.col("ids"), max_len, special))
+    return _ids_of(cut, vocab, key).select(key, *_sequence(F.col("ids"), max_len, special))

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
@@ -20,22 +21,12 @@ from tonescale.operators.position import batch_of, order_digest, with_position
 from tonescale.operators.score import LinearWeights, matrix_of
 from tonescale.session import materialize
 
-# The product matrix of one task is (features + targets + 1) squared doubles.
-MAX_FEATURES = 1024
-# Beyond this many input splits a task goes through several of them and sends one partial sum.
-MAX_PARTIALS = 16_384
-# Gradients below this are rounding of the sums. Adam would scale them up, and the fit would
-# depend on the order of the rows: a full batch starts with the intercept at its optimum.
-NOISE = 1e-12
+# A task holds a tile of the product matrix of at most this many rows and columns.
+TILE = 1024
 # Parts of the data that a mini-batch is made of.
 FOLDS_PER_BATCH = 8
 
 
-def _few_partials(df: DataFrame) -> DataFrame:
-    """Merge input splits, without a shuffle, where there are so many that partial sums would add up."""
-    return df.coalesce(MAX_PARTIALS)
-
-
 def _usable(df: DataFrame, targets: Sequence[str], column: str = FEATURES) -> DataFrame:
     keep = F.col(column).isNotNull()
     for t in targets:
@@ -43,56 +34,53 @@ def _usable(df: DataFrame, targets: Sequence[str], column: str = FEATURES) -> Da
     return df.filter(keep)
 
 
-def cross_products(df: DataFrame, size: int, targets: Sequence[str] = (), column: str = FEATURES) -> DataFrame:
+def cross_products(df: DataFrame, size: int, targets: Sequence[str] = (), column: str = FEATURES, tile: int = TILE) -> DataFrame:
     """Upper triangle ``(i, j, value)`` of ZᵀZ for the rows Z = (1, features, targets).
 
-    Index 0 is the constant, 1..size the features, then the targets. One pass: each
-    task multiplies its Arrow batches and sends one partial matrix, and the
-    partial matrices are added up per cell.
+    Index 0 is the constant, 1..size the features, then the targets. Each task multiplies
+    its Arrow batches and sends one partial matrix, and the partial matrices are added up per
+    cell. A matrix wider than ``tile`` is computed tile by tile, each in a pass of its own, so a
+    task's memory does not grow with the number of features.
     """
-    if size > MAX_FEATURES:
-        raise ValueError(f"{size} features make too large a matrix; at most {MAX_FEATURES}")
     targets = list(targets)
     width = 1 + size + len(targets)
-    upper_i, upper_j = np.triu_indices(width)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
-        seen = False
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            seen = True
-            z = np.ones((batch.num_rows, width))
-            z[:, 1 : 1 + size] = matrix_of(batch.column(0), size)
-            for k in range(len(targets)):
-                z[:, 1 + size + k] = batch.column(1 + k).to_numpy(zero_copy_only=False)
-            total += z.T @ z
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(upper_i, pa.int32()), pa.array(upper_j, pa.int32()), pa.array(total[upper_i, upper_j])],
-                ["i", "j", "value"],
-            )
-
     rows = _usable(df, targets, column).select(
         F.col(column).cast("array<double>").alias(FEATURES), *[F.col(t).cast("double").alias(t) for t in targets]
     )
-    partials = _few_partials(rows).mapInArrow(partial, "i int, j int, value double")
+    cuts = [*range(0, width, tile), width]
+    spans = list(zip(cuts, cuts[1:]))
+
+    def products(first: tuple[int, int], second: tuple[int, int]):
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((first[1] - first[0], second[1] - second[0]))
+            seen = False
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                seen = True
+                z = np.ones((batch.num_rows, width))
+                z[:, 1 : 1 + size] = matrix_of(batch.column(0), size)
+                for k in range(len(targets)):
+                    z[:, 1 + size + k] = batch.column(1 + k).to_numpy(zero_copy_only=False)
+                total += z[:, slice(*first)].T @ z[:, slice(*second)]
+            if seen:
+                i, j = (np.triu_indices(len(total)) if first == second else np.indices(total.shape).reshape(2, -1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first[0] + i, pa.int32()), pa.array(second[0] + j, pa.int32()), pa.array(total[i, j])], ["i", "j", "value"]
+                )
+
+        return partial
+
+    tiles = [rows.mapInArrow(products(a, b), "i int, j int, value double") for n, a in enumerate(spans) for b in spans[n:]]
+    partials = tiles[0]
+    for more in tiles[1:]:
+        partials = partials.unionByName(more)
     return partials.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
-def fit_multi(
-    df: DataFrame, size: int, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01, encoder=None
-) -> LinearWeights:
-    """All targets in one pass: least squares with an L2 penalty, from the cross products.
-
-    The driver only solves the (features x features) system. Targets are divided by
-    the scale. The penalty is divided by each target's standard deviation and leaves
-    the intercept free, as ``LinearRegression`` does.
-    """
-    scaled = df.select(FEATURES, *[scale_target(d).alias(d) for d in dims])
-    cells = cross_products(scaled, size, dims).toPandas()
-    width = 1 + size + len(dims)
+def _solve(cells: pd.DataFrame, size: int, targets: int, reg: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of all targets from the cells of their cross products."""
+    width = 1 + size + targets
     z = np.zeros((width, width))
     z[cells["i"], cells["j"]] = cells["value"]
     z = np.triu(z) + np.triu(z, 1).T
@@ -111,7 +99,21 @@ def fit_multi(
         penalised = centred[x, x] + (reg / spread) * np.eye(size)
         weights.append(np.linalg.lstsq(penalised, centred[x, k], rcond=None)[0])
     w = np.array(weights)
-    return LinearWeights(tuple(dims), w, mean[1 + size :] - w @ mean[x], encoder)
+    return w, mean[1 + size :] - w @ mean[x]
+
+
+def fit_multi(
+    df: DataFrame, size: int, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01, encoder=None
+) -> LinearWeights:
+    """All targets in one pass: least squares with an L2 penalty, from the cross products.
+
+    The driver only solves the (features x features) system. Targets are divided by
+    the scale. The penalty is divided by each target's standard deviation and leaves
+    the intercept free, as ``LinearRegression`` does.
+    """
+    scaled = df.select(FEATURES, *[scale_target(d).alias(d) for d in dims])
+    weights, intercepts = _solve(cross_products(scaled, size, dims).toPandas(), size, len(dims), reg)
+    return LinearWeights(tuple(dims), weights, intercepts, encoder)
 
 
 def fit_single(df: DataFrame, target: str, reg: float = 0.01, solver: str = "normal") -> LinearRegressionModel:
@@ -125,6 +127,45 @@ def fit_single(df: DataFrame, target: str, reg: float = 0.01, solver: str = "nor
     return fitter.fit(rows)
 
 
+def fit_long(df: DataFrame, size: int, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01, encoder=None) -> LinearWeights:
+    """One separate fit per dimension of a long table ``(dim, value, features)``, all in one pass.
+
+    Every dimension is fitted on its own rows, which need not be the same, as ``fit_single`` would.
+    """
+    rows = df.filter(F.col("dim").isin(*dims)).select(FEATURES, "dim", scale_target("value").alias("value"))
+    rows = _usable(rows, ["value"]).select(F.col(FEATURES).cast("array<double>").alias(FEATURES), "dim", "value")
+    width = 2 + size
+    names = list(dims)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), width, width))
+        for batch in batches:
+            if batch.num_rows:
+                z = np.ones((batch.num_rows, width))
+                z[:, 1 : 1 + size] = matrix_of(batch.column(0), size)
+                z[:, 1 + size] = batch.column(2).to_numpy(zero_copy_only=False)
+                of = np.array(batch.column(1).to_pylist())
+                for k, d in enumerate(names):
+                    own = z[of == d]
+                    total[k] += own.T @ own
+        i, j = np.triu_indices(width)
+        for k in range(len(names)):
+            if total[k, 0, 0]:
+                cells = [pa.array(np.full(len(i), k), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[k, i, j])]
+                yield pa.RecordBatch.from_arrays(cells, ["k", "i", "j", "value"])
+
+    cells = rows.mapInArrow(partial, "k int, i int, j int, value double").groupBy("k", "i", "j").agg(F.sum("value").alias("value")).toPandas()
+    weights, intercepts = [], []
+    for k, d in enumerate(names):
+        own = cells[cells["k"] == k]
+        if own.empty:
+            raise ValueError(f"no complete row of dimension {d} to fit on")
+        w, b = _solve(own, size, 1, reg)
+        weights.append(w[0])
+        intercepts.append(b[0])
+    return LinearWeights(tuple(dims), np.array(weights), np.array(intercepts), encoder)
+
+
 @dataclass(frozen=True)
 class EpochFit:
     """Weights of the best epoch and the loss log ``(run, epoch, train_loss, val_loss)``."""
@@ -178,7 +219,7 @@ def _gradient(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, spread: np
             cell = np.arange(total.size)
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total.ravel())], ["cell", "value"])
 
-    partials = _few_partials(rows.select(FEATURES, "y")).mapInArrow(partial, "cell int, value double")
+    partials = rows.select(FEATURES, "y").mapInArrow(partial, "cell int, value double")
     cells = partials.groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
     total = np.zeros(k * (2 + width))
     total[cells["cell"]] = cells["value"]
@@ -238,6 +279,7 @@ def fit_epochs(
     joint: bool = True,
     key: str = "id",
     encoder=None,
+    noise: float = 1e-9,
 ) -> EpochFit:
     """Smooth-L1 fit with a train and a validation loss per epoch, early stopping, best epoch kept.
 
@@ -247,7 +289,9 @@ def fit_epochs(
     so an epoch reads the training rows once: the driver sends the weights and gets
     back one sum per weight. ``joint`` stops all dimensions together on their mean
     loss; otherwise each one is a run of its own and stops and keeps its best epoch by
-    itself, still in the same passes.
+    itself, still in the same passes. With one batch an epoch the intercepts start at
+    their optimum: of their gradient, what is below ``noise`` times the largest one of the
+    dimension is rounding, which Adam would scale up, and counts as 0.
     """
     k = len(dims)
     slim = _usable(df, dims).select(
@@ -283,7 +327,9 @@ def fit_epochs(
                 continue
             seen.append(loss / n)
             gradient = gradient / (n * k if joint else n)
-            gradient[np.abs(gradient) < NOISE] = 0.0
+            if batches_per_epoch == 1:
+                at_rest = np.abs(gradient[:, 0]) < noise * np.abs(gradient).max(axis=1)
+                gradient[at_rest, 0] = 0.0
             weights = np.where(active[:, None], adam.update(weights, gradient), weights)
         train_loss = np.mean(seen, axis=0)
         val_loss = _validation_loss(val, weights, mean, spread)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonescale.functions import DIMENSIONS, SCALE, is_present, is_scaled, smooth_l1
 from tonescale.operators.align import key_of, resolve_columns
@@ -54,6 +55,14 @@ def guarded_pearson(y: Column, p: Column, order: Column | None = None, factor: C
     return F.when(flat, F.lit(0.0)).otherwise(F.coalesce(pearson(y, p), F.lit(0.0)))
 
 
+def _fixed_width(df: DataFrame, order: str) -> Column:
+    """An order that a hash aggregate can keep in place: of a text its number, or where it is none its hash."""
+    c = F.col(order)
+    if isinstance(df.schema[order].dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(c.try_cast("long"), F.xxhash64(c))
+    return c
+
+
 def evaluate(
     aligned: DataFrame,
     dims: Sequence[str] = DIMENSIONS,
@@ -72,7 +81,7 @@ def evaluate(
     """
     if on_constant not in ("zero", "null"):
         raise ValueError("on_constant is 'zero' or 'null'")
-    first_by = F.col(order) if order and order in aligned.columns else None
+    first_by = _fixed_width(aligned, order) if order and order in aligned.columns else None
     inputs, records, measures = [], [], []
     for dim, (gold, pred) in resolve_columns(aligned.columns, dims).items():
         y, p = F.col(gold).cast("double"), F.col(pred).cast("double")
@@ -88,7 +97,7 @@ def evaluate(
             scaled = is_scaled(F.max(F.nanvl(F.col(f"__all_{dim}"), F.lit(None).cast("double"))))
             error = F.when(scaled, mae(y, p * F.lit(SCALE))).otherwise(error)
             factor = F.when(scaled, F.lit(SCALE)).otherwise(F.lit(1.0))
-        r = pearson(y, p) if on_constant == "null" else guarded_pearson(y, p, first_by, factor)
+        r = pearson(y, p) if on_constant == "null" else guarded_pearson(y, p, None if first_by is None else F.col("__first"), factor)
         measures += [
             F.count(y).alias(f"n_{dim}"),
             (F.count("*") - F.count(y)).alias(f"n_missing_{dim}"),
@@ -101,7 +110,7 @@ def evaluate(
                 *[F.col(f"{name}_{dim}").alias(name) for name in ("n", "n_missing", "mae", "pearson_r")],
             )
         )
-    kept = [*by, order] if first_by is not None else list(by)
+    kept = [*by, first_by.alias("__first")] if first_by is not None else list(by)
     wide = aligned.select(*kept, *inputs).groupBy(*by).agg(*measures)
     return wide.select(*by, F.inline(F.array(*records)))
 

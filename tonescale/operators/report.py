@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonescale.functions import DIMENSIONS, dimension_name, fixed4, is_present, number_after_equals, to_number
+from tonescale.functions import DIMENSIONS, dimension_name, fixed4, is_present, number_after_equals, rest_after_equals, to_number
 
 # The labels of the two metric lines of a report.
 MAE_LABEL = "MAE"
@@ -82,12 +82,14 @@ def parse_sections(lines: DataFrame, by: str = "run") -> DataFrame:
 def parse_single(lines: DataFrame, by: str = "run", keep: str = "first") -> DataFrame:
     """Reports on one dimension each: ``(by, mae, pearson_r)``.
 
-    ``first``: the first line that names a metric counts, readable or not (else
-    NULL). ``last``: the last readable one counts.
+    ``first``: the first line that names a metric counts, and all behind its ``=`` has to be a number (else
+    NULL). ``last``: the last readable one counts, whatever follows the number.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
     mae, pearson = _readings()
+    if keep == "first":
+        mae = pearson = rest_after_equals(F.col("line"))
     read = lines.withColumn("__mae", mae).withColumn("__r", pearson)
     picked = []
     for name, value, label in (("mae", "__mae", MAE_LABEL), ("pearson_r", "__r", PEARSON_LABEL)):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +11,10 @@ from tonescale.functions import DIMENSIONS
 from tonescale.operators.align import Order, align, choose_key
 from tonescale.operators.clean import auto_unscale, clean_annotated, require_columns
 from tonescale.operators.features import FEATURES, HashedTerms
-from tonescale.operators.fit import EpochFit, fit_epochs, fit_multi, fit_single
+from tonescale.operators.fit import EpochFit, fit_epochs, fit_long, fit_multi
 from tonescale.operators.metrics import evaluate, evaluate_pairs
 from tonescale.operators.report import compare_runs, last_sections, parse_sections, parse_single, report_lines
-from tonescale.operators.score import LinearWeights, as_weights, refuse_empty, score
+from tonescale.operators.score import LinearWeights, refuse_empty, score
 from tonescale.operators.split import split_exact, to_long
 
 
@@ -36,18 +35,19 @@ def prepare_joint(dev: DataFrame, fraction: float = 0.8, seed: int = 42, key: st
     return split_exact(clean_annotated(dev), key, fraction, seed, "ceil")
 
 
-def train_single(df: DataFrame, encoder=None, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01) -> LinearWeights:
+def train_single(
+    df: DataFrame, encoder=None, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01, size: int | None = None
+) -> LinearWeights:
     """Closed form, one fit per dimension, on the ``train`` rows of a table with ``split``.
 
-    The features are kept between the fits, on disk where memory is short.
+    The table is long (``dim``, ``value``), as ``prepare_single`` makes it, or has a column per dimension. All fits come
+    from one pass. ``size`` is the length of the features, for an encoder that does not tell.
     """
     encoder = encoder or HashedTerms()
-    rows = encoder.transform(df.filter(F.col("split") == "train")).select(FEATURES, *dims)
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return as_weights([(d, fit_single(rows, d, reg)) for d in dims], encoder)
-    finally:
-        rows.unpersist()
+    encoded = encoder.transform(df.filter(F.col("split") == "train"))
+    if not {"dim", "value"} <= set(df.columns):
+        encoded = to_long(encoded, dims, keep=(FEATURES,))
+    return fit_long(encoded, size or encoder.size, dims, reg, encoder)
 
 
 def train_joint(
@@ -76,16 +76,21 @@ def evaluate_run(
     rescale: bool = False,
     order_preds: Order | None = None,
     order_gold: Order | None = None,
+    dims: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Metrics per dimension. On ``text``, where keys repeat, no pair of rows is formed."""
+    """Metrics per dimension. On ``text``, where keys repeat, no pair of rows is formed.
+
+    ``dims`` are all dimensions that the predictions have, unless given.
+    """
+    dims = list(dims or [d for d in DIMENSIONS if f"{d}_pred" in preds.columns] or DIMENSIONS)
     if how == "auto":
         how = choose_key(preds, gold) or "position"
     if how == "text":
         if rescale:
-            preds = auto_unscale(preds, [f"{d}_pred" for d in DIMENSIONS])
-        return evaluate_pairs(preds, gold, "text")
+            preds = auto_unscale(preds, [f"{d}_pred" for d in dims])
+        return evaluate_pairs(preds, gold, "text", dims)
     aligned = align(preds, gold, how, order_preds, order_gold)
-    return evaluate(aligned, order="id" if how == "id" else "pos", auto_unscale=rescale)
+    return evaluate(aligned, dims, order="id" if how == "id" else "pos", auto_unscale=rescale)
 
 
 def compare_reports(single: DataFrame, joint: DataFrame, files: dict[str, str]) -> DataFrame:

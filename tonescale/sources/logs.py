@@ -6,18 +6,23 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonescale.sources.reports import run_of
+
 _LINE = "epoch int, loss double"
 
 
 def read_loss_log(spark: SparkSession, path: str, required: bool = True) -> DataFrame | None:
-    """``(file, epoch, loss)`` of one log or a folder of them. An absent optional log gives ``None``."""
+    """``(run, epoch, loss)`` of one log or a folder of them. An absent optional log gives ``None``.
+
+    The run is the folder ``run=...`` a log lies in, as ``write_loss_log`` lays them down, else the name of its file.
+    """
     try:
-        log = spark.read.schema(_LINE).csv(path)
+        log = spark.read.schema(_LINE).option("recursiveFileLookup", True).csv(path)
     except AnalysisException as error:
         if required or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return log.select(F.col("_metadata.file_name").alias("file"), "epoch", "loss")
+    return log.select(run_of(F.col("_metadata.file_path")).alias("run"), "epoch", "loss")
 
 
 def write_loss_log(losses: DataFrame, path: str, column: str = "loss") -> None:
