@@ -37,7 +37,7 @@ CUT = 5
 #: Part of a count above ``CUT`` that is given up.
 REST = 0.01
 VOCABULARY = 1 << 16
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 _WORD, _END = 1 << 62, 1 << 61
 _SHIFT = 20
 #: Fixed values of the base score: what is added to each count.
@@ -159,6 +159,24 @@ def _count_of_counts(table: DataFrame) -> dict[int, int]:
     return {r["c"]: r["count"] for r in rows}
 
 
+def _arrays(table: DataFrame) -> np.ndarray:
+    """A small table of whole numbers, as two columns."""
+    found = table.toArrow()
+    return np.stack([found.column(i).to_numpy().astype(np.int64) for i in range(2)], 1)
+
+
+def _threshold(table: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` rows reach, on a scale of eight steps for each doubling: a few hundred numbers."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    total, low = 0, 1 << 62
+    for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("low")).orderBy(F.desc("step")).collect():
+        total += r["n"]
+        if total > most:
+            break
+        low = r["low"]
+    return low
+
+
 def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> Katz:
     """Learns from the texts that are not held out."""
     spark, folder, rows = docs.sparkSession, scratch_path(docs.sparkSession, "katz"), _texts(docs, id_column, text)
@@ -166,7 +184,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabula
     words = spark.read.schema("key long, c long").parquet(f"{folder}/order=1")
     n, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     d1 = discounts(_count_of_counts(words))
-    top = np.array([(r["key"], r["c"]) for r in words.orderBy(F.desc("c"), "key").limit(vocabulary).collect()], np.int64).reshape(-1, 2)
+    top = _arrays(words.orderBy(F.desc("c"), "key").limit(vocabulary).select("key", "c"))
     ids = _Ids(top[:, 0].copy())
     counts = np.append(top[:, 1], n - top[:, 1].sum())
     known = words.agg(F.coalesce(F.sum(_discounted_sql(d1)), F.lit(0.0))).first()[0]
@@ -188,8 +206,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabula
     alpha = np.where(counts > 0, (1 - share) / np.maximum(free, 1e-12), 1.0)
     # After a history that was followed by everything there is nothing to back off to: what it keeps is all.
     scale = np.where(kept[2] == len(class_p), 1 / np.maximum(share, 1e-12), 1.0)
-    often = [(r["key"], r["c"]) for r in pairs.orderBy(F.desc("c"), "key").limit(frequent).collect()]
-    often = np.array(sorted(often), np.int64).reshape(-1, 2)
+    often = _arrays(pairs.filter(F.col("c") >= _threshold(pairs, frequent)).select("key", "c"))
+    often = often[np.argsort(often[:, 0])]
     return Katz(folder, n, types, top[:, 0].copy(), counts, d1, d2, unknown, class_p, alpha, scale, often[:, 0].copy(), often[:, 1].copy())
 
 
