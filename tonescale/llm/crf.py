@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tonescale.llm.text import SPACE_CUT, cut_words, gather, pieces, texts_of
 
-SAMPLE = 6000
+SAMPLE = 2000
 CHAIN = 64
 #: Words of a training chain, and chains taken from one text.
 TRAIN_CHAIN = 24
