@@ -197,15 +197,17 @@ def fit(rows: DataFrame, labels: DataFrame, targets: list[str], labelled: int =
 
     picked = rows.join(F.broadcast(chosen.select("id")), "id", "left_semi").select("id", "text", "source", "lang", "length")
     made = picked.mapInArrow(run, f"id {kind}, f array<long>, v array<double>, m array<long>")
-    found = sorted(made.join(F.broadcast(chosen), "id").limit(4 * (labelled + pool)).collect(), key=lambda r: (r["h"], str(r["id"]), r["f"]))
-    text = Sparse(
-        np.cumsum([len(r["f"]) for r in found]).astype(np.int64),
-        np.array([i for r in found for i in r["f"]], np.int64),
-        np.array([i for r in found for i in r["v"]], float),
-    )
-    meta = Sparse(6 * np.arange(1, len(found) + 1), np.array([i for r in found for i in r["m"]], np.int64), np.ones(6 * len(found)))
-    fold = np.array([r["h"] % 5 for r in found])
-    return {t: cotrain(text, meta, np.array([-1 if r[t] is None else r[t] for r in found], np.int64), fold) for t in targets}
+    table = made.join(F.broadcast(chosen), "id").limit(4 * (labelled + pool)).drop("id").toArrow().combine_chunks().sort_by([("h", "ascending")])
+
+    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = pa.concat_arrays(table[name].chunks) if table.num_rows else pa.array([], table.schema.field(name).type)
+        return np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64), column.flatten().to_numpy()
+
+    (ends, features), values, metas = lists("f"), lists("v")[1], lists("m")
+    text, meta = Sparse(ends, features, values), Sparse(*metas, np.ones(len(metas[1])))
+    fold = table["h"].to_numpy() % 5
+    marked = {t: table[t].fill_null(-1).to_numpy().astype(np.int64) for t in targets}
+    return {t: cotrain(text, meta, marked[t], fold) for t in targets}
 
 
 def classify(
