@@ -406,6 +406,26 @@ def fit_single_exact(spark, sf_dir):
     return rounded(score_features(rows, model).select("id", *PREDICTED), *PREDICTED, digits=4)
 
 
+class TextLength:
+    """One feature: the length of the text in thousands of characters."""
+
+    size = 1
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        length = F.length("text").cast("double") / F.lit(1000.0)
+        return df.withColumn("features", F.when(F.col("text").isNotNull(), F.array(length)))
+
+
+def single_chain(spark, sf_dir):
+    """The separate-fit jobs from preparation to metrics, for two of the targets; every 13th text to score is missing."""
+    known = gold(spark, sf_dir)
+    parts = jobs.prepare_single(known)
+    model = jobs.train_single(parts, TextLength(), dims=["V", "A"], reg=0.0)
+    val = parts.filter("split = 'val' AND dim = 'V'").select("id", F.when(F.col("id") % 13 != 7, F.col("text")).alias("text"))
+    scored = jobs.predict(val, model).drop("text")
+    return rounded(jobs.evaluate_run(scored, known.drop("text")), "mae", "pearson_r")
+
+
 def fit_multi_metrics(spark, sf_dir):
     """Clean, split, encode, fit jointly, score the validation rows and evaluate them."""
     parts = jobs.prepare_joint(annotated(spark, sf_dir))
@@ -508,11 +528,13 @@ def csv_round_trip(spark, sf_dir):
 
 
 def folder_profile(spark, sf_dir):
-    """Per-target CSV files of all labelled documents, profiled as one folder."""
+    """Per-target CSV files of all labelled documents, and one of 81 columns, profiled as one folder."""
     path = scratch_path(spark, "folder")
     known = gold(spark, sf_dir)
     sources.write_csv(known.select("text", F.col("V").alias("target")), path)
     sources.write_csv(known.select("text", F.col("lang").alias("target"), "A"), path, mode="append")
+    wide = known.select("text", *[(F.col("V") + F.lit(i)).alias(f"f{i}") for i in range(80)])
+    sources.write_csv(wide, path, mode="append")
     files = profile.profile_folder(spark, path)
     # How many files there are, some perhaps with a header only, depends on the partitions.
     return files.groupBy("columns", "n_columns", "has_text", "two_columns", "target").agg(
@@ -522,6 +544,79 @@ def folder_profile(spark, sf_dir):
     )
 
 
+def csv_folder(spark, sf_dir):
+    """Files with their columns in different orders, some without a column, read as one folder."""
+    path = scratch_path(spark, "layouts")
+    known = gold(spark, sf_dir)
+    one, two = known.filter("id % 2 = 0"), known.filter("id % 2 = 1")
+    sources.write_csv(one.select("id", "text", "V", "A", "D"), path)
+    sources.write_csv(two.select("D", "text", "lang", "V", "A", "id"), path, mode="append")
+    found = sources.read_annotated(spark, path)
+    return rounded(found.select("id", F.md5("text").alias("text_md5"), "lang", *DIMENSIONS), *DIMENSIONS)
+
+
+def prepare_without_id(spark, sf_dir):
+    """A table without ids is imported and split: sizes of its parts and sums of its targets."""
+    path = scratch_path(spark, "unnamed")
+    sources.write_csv(gold(spark, sf_dir).select("text", *DIMENSIONS), f"{path}/csv")
+    dev = sources.import_annotated(spark, f"{path}/csv", f"{path}/parquet")
+    parts = jobs.prepare_joint(dev)
+    return parts.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("split") == "train").alias("n_train"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.count_distinct("id").alias("ids"),
+        *[F.round(F.sum(d), 6).alias(d) for d in DIMENSIONS],
+    )
+
+
+def texts_round_trip(spark, sf_dir):
+    """Unlabelled texts written as CSV and read back with their ids; missing texts stay missing."""
+    path = scratch_path(spark, "texts")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 13 != 7, F.col("text")).alias("text"), "lang"
+    )
+    sources.write_csv(docs, path)
+    return sources.read_texts(spark, path).select("id", F.md5("text").alias("text_md5"))
+
+
+def split_files(spark, sf_dir):
+    """The per-dimension split tables, read back folder by folder."""
+    path = scratch_path(spark, "splits")
+    sources.write_splits(jobs.prepare_single(gold(spark, sf_dir)), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("dim", "split").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def prediction_files(spark, sf_dir):
+    """Predictions of two evaluation sets of one run, one as parquet and one as CSV, read back."""
+    path, preds = scratch_path(spark, "predictions"), rounded(predictions(spark, sf_dir), *PREDICTED)
+    first = sources.write_predictions(preds.filter("lang = 'en'").drop("text"), path, "r1", "english")
+    second = sources.write_predictions(preds.filter("lang <> 'en'").select("id", "text", *PREDICTED), path, "r1", "other", fmt="csv")
+    numbers = ["id", *PREDICTED]
+    csv = sources.read_annotated(spark, second, PREDICTED)
+    both = spark.read.parquet(first).select(*numbers, F.lit("english").alias("eval_set")).unionByName(csv.select(*numbers, F.lit("other").alias("eval_set")))
+    return rounded(both, *PREDICTED)
+
+
+def appended_losses(spark, sf_dir):
+    """A loss table whose runs are replaced one by one."""
+    path, log = scratch_path(spark, "appended"), loss_log(spark, sf_dir)
+    sources.append_losses(log.withColumn("loss", F.lit(-1.0)), path)
+    sources.append_losses(log, path)
+    stored = spark.read.parquet(path)
+    return rounded(stored.select("run", "epoch", "loss"), "loss")
+
+
+def evaluate_text_id(spark, sf_dir):
+    """Ids as text, as a CSV file may have them."""
+    text_id = F.concat(F.lit("d"), F.col("id"))
+    preds = predictions(spark, sf_dir).drop("text", "lang").withColumn("id", text_id)
+    aligned = align.align(preds, annotated(spark, sf_dir).drop("text", "lang").withColumn("id", text_id), "id")
+    return rounded(metrics.evaluate(aligned), "mae", "pearson_r")
+
+
 def report_files(spark, sf_dir):
     path = scratch_path(spark, "reports")
     sources.write_reports(_reports(spark, sf_dir), path)
@@ -550,9 +645,10 @@ QUERIES = (
     table_profile, split_round, split_ceil, split_sizes, split_complement, targets_long, align_id, align_text,
     align_position, align_prefix, align_coverage, smooth_l1_batches, epoch_loss, smooth_l1_lines, shuffle_batches,
     early_stopping, best_epoch, vocab, encode_sequences, encode_sequences_joined, encode_unknown, attention_mask, score_fixed_weights,
-    gram_sums, fit_single_scalar, fit_multi_exact, fit_single_exact, fit_multi_metrics, fit_epochs_losses, score_table,
+    gram_sums, fit_single_scalar, fit_multi_exact, fit_single_exact, single_chain, fit_multi_metrics, fit_epochs_losses, score_table,
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,
-    row_counts, csv_round_trip, folder_profile, report_files, loss_log_files, stored_model,
+    row_counts, csv_round_trip, csv_folder, prepare_without_id, texts_round_trip, split_files, prediction_files,
+    appended_losses, evaluate_text_id, folder_profile, report_files, loss_log_files, stored_model,
 )
 
 

@@ -322,6 +322,13 @@ FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
   UNION ALL SELECT 'A', A/5e0, length(text)/1000e0 FROM gold
   UNION ALL SELECT 'D', D/5e0, length(text)/1000e0 FROM gold)""")
     + "SELECT dim, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM x GROUP BY dim",
+    "single_chain": _with(ANNOTATED, GOLD, _split("gold", _ROUND), """z AS (
+  SELECT g.id, split, length(text)/1000e0 AS x, V, A FROM gold g JOIN sp ON g.id = sp.id),
+w AS (SELECT regr_slope(V/5e0, x) AS sv, regr_intercept(V/5e0, x) AS iv, regr_slope(A/5e0, x) AS sa, regr_intercept(A/5e0, x) AS ia
+  FROM z WHERE split = 'train'),
+u AS (SELECT 'V' AS dim, V AS y, CASE WHEN id % 13 <> 7 THEN 5e0*(sv*x + iv) END AS p FROM z, w WHERE split = 'val'
+  UNION ALL SELECT 'A', A, CASE WHEN id % 13 <> 7 THEN 5e0*(sa*x + ia) END FROM z, w WHERE split = 'val')""")
+    + _metrics("dim"),
     "fit_multi_exact": _EXACT,
     "fit_single_exact": _EXACT,
     "stored_model": _EXACT,
@@ -330,7 +337,26 @@ FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
     "folder_profile": _with(ANNOTATED, GOLD)
     + """SELECT 'text,target' AS columns, 2 AS n_columns, TRUE AS has_text, TRUE AS two_columns, 'target' AS target,
       TRUE AS target_numeric, count(*) AS n_rows, CAST(0 AS BIGINT) AS errors FROM gold
-UNION ALL SELECT 'text,target,A', 3, TRUE, FALSE, 'target', FALSE, count(*), 0 FROM gold""",
+UNION ALL SELECT 'text,target,A', 3, TRUE, FALSE, 'target', FALSE, count(*), 0 FROM gold
+UNION ALL SELECT 'text,' || string_agg('f' || i, ',' ORDER BY i), 81, TRUE, FALSE, 'f0', TRUE, (SELECT count(*) FROM gold), 0
+  FROM range(80) r(i)""",
+    "csv_folder": _with(ANNOTATED, GOLD)
+    + """SELECT id, md5(text) AS text_md5, CASE WHEN id % 2 = 1 THEN lang END AS lang, round(V, 6) AS V, round(A, 6) AS A,
+      round(D, 6) AS D FROM gold""",
+    "prepare_without_id": _with(ANNOTATED, GOLD)
+    + """SELECT count(*) AS n, CAST(count(*) - ceil(0.2e0*count(*)) AS BIGINT) AS n_train, CAST(1 AS BIGINT) AS first_id,
+      count(*) AS last_id, count(*) AS ids, round(sum(V), 6) AS V, round(sum(A), 6) AS A, round(sum(D), 6) AS D FROM gold""",
+    "texts_round_trip": "SELECT doc_id AS id, CASE WHEN doc_id % 13 <> 7 THEN md5(text) END AS text_md5 FROM documents",
+    "split_files": _with(ANNOTATED, GOLD, _split("gold", _ROUND), """rows3 AS (
+  SELECT 'V' AS dim, split, V AS v FROM gold JOIN sp ON gold.id = sp.id
+  UNION ALL SELECT 'A', split, A FROM gold JOIN sp ON gold.id = sp.id
+  UNION ALL SELECT 'D', split, D FROM gold JOIN sp ON gold.id = sp.id)""")
+    + "SELECT dim, split, count(*) AS n, round(sum(v), 4) AS total FROM rows3 GROUP BY dim, split",
+    "prediction_files": _with(ANNOTATED, PREDICTIONS)
+    + """SELECT id, round(V_pred, 6) AS V_pred, round(A_pred, 6) AS A_pred, round(D_pred, 6) AS D_pred,
+      CASE WHEN lang = 'en' THEN 'english' ELSE 'other' END AS eval_set FROM pred""",
+    "appended_losses": _with(LOSSES) + "SELECT run, epoch, round(loss, 6) AS loss FROM loss_log",
+    "evaluate_text_id": _with(*BASE) + _metrics("dim"),
     "loss_log_files": _with(LOSSES)
     + """SELECT run, CAST(epoch AS INT) AS epoch, round(CAST(printf('%.4f', loss*0.37731e0) AS DOUBLE), 4) AS loss FROM loss_log""",
     "report_render": _REPORTED

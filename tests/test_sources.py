@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tonescale import sources
 from tonescale.functions import MISSING_TOKENS
 from tonescale.operators import profile, split
+from tonescale.plans import jobs
 
 TRICKY = [
     "plain", "comma, inside", 'a "quoted" word', "line\nbreak", "  spaces kept  ", "", *MISSING_TOKENS, "NA inside", "è ù",
@@ -38,6 +39,25 @@ def test_text_column_is_required(spark, tmp_path):
         sources.read_annotated(spark, str(tmp_path / "x.csv"))
 
 
+def test_files_of_a_folder_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text,V,A,D\n1,x,10,20,30\n")
+    (tmp_path / "b.csv").write_text('text,D,A,V,note,id\n"y, z",30,20,10,n,2\n')
+    (tmp_path / "c.csv").write_text("id,text\n3,w\n")
+    rows = sources.read_annotated(spark, str(tmp_path)).orderBy("id").collect()
+    assert [(r.id, r.text, r.V, r.A, r.D, r.note) for r in rows] == [
+        (1, "x", 10.0, 20.0, 30.0, None), (2, "y, z", 10.0, 20.0, 30.0, "n"), (3, "w", None, None, None, None),
+    ]
+
+
+def test_tables_without_ids_get_them(spark, tmp_path):
+    (tmp_path / "dev.csv").write_text("text,V,A,D\n" + "".join(f"t{i},1,2,3\n" for i in range(20)))
+    df = sources.import_annotated(spark, str(tmp_path / "dev.csv"), str(tmp_path / "dev.parquet"))
+    assert [(r.id, r.text) for r in df.orderBy("id").collect()] == [(i + 1, f"t{i}") for i in range(20)]
+    assert jobs.prepare_joint(df).filter("split = 'train'").count() == 16
+    (tmp_path / "named.csv").write_text("id,text\na1,x\n2,y\n")
+    assert {r.id for r in sources.read_texts(spark, str(tmp_path / "named.csv")).collect()} == {"a1", "2"}
+
+
 def test_import(spark, tmp_path):
     (tmp_path / "dev.csv").write_text('id,text,V,A,D\n1,"a,b",1,2,3\n2,c,,2,3\n')
     df = sources.import_annotated(spark, str(tmp_path / "dev.csv"), str(tmp_path / "dev.parquet"))
@@ -69,6 +89,8 @@ def test_loss_logs(spark, tmp_path):
     assert part.read_text() == "1,0.0221\n2,0.0103\n"
     log = sources.read_loss_log(spark, str(tmp_path / "log" / "run=a"))
     assert [(r.epoch, r.loss) for r in log.orderBy("epoch").collect()] == [(1, 0.0221), (2, 0.0103)]
+    both = sources.read_loss_log(spark, str(tmp_path / "log"))
+    assert {(r.run, r.epoch, r.loss) for r in both.collect()} == {("a", 1, 0.0221), ("a", 2, 0.0103), ("b", 1, 0.5)}
     assert sources.read_loss_log(spark, str(tmp_path / "none"), required=False) is None
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         sources.read_loss_log(spark, str(tmp_path / "none"))
@@ -92,8 +114,9 @@ FILES = {
     "mixed.csv": "text,V\na,True\nb,1\n",
     "header only.csv": "text,V\n",
     "empty.csv": "",
-    "ragged.csv": "text,V\na,1\nb,2,3,4\n",
-    "wide.csv": "text,V\n" + ",".join("x" * 70) + "\n",
+    "short.csv": "text,V\na,1\nb,2,3,4\n",
+    "ragged.csv": "text,V\n" + ",".join("x" * 70) + "\n",
+    "wide.csv": "text," + ",".join(f"f{i}" for i in range(80)) + "\n" + ",".join(["x", *"1" * 80]) + "\n",
 }
 
 
@@ -115,8 +138,9 @@ def test_profile_of_a_folder(spark, tmp_path):
     assert row("bool.csv")[5] is True and row("mixed.csv")[5] is False
     assert row("header only.csv")[:2] == ("text,V", 0) and row("header only.csv")[5] is False
     assert row("empty.csv")[6] == "no columns"
+    assert row("short.csv")[6] == "more fields than header names"
     assert row("ragged.csv")[6] == "more fields than header names"
-    assert row("wide.csv")[6] == "more than 64 fields"
+    assert row("wide.csv")[6] is None and row("wide.csv")[1] == 1
 
 
 def test_profile_of_a_table(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonescale.functions import missing_to_null, to_number
+from tonescale.sources.tables import csv_rows
 
 _NUMERIC = (T.NumericType, T.BooleanType)
 
@@ -37,67 +38,33 @@ def _no_boolean(c: Column) -> Column:
     return ~F.coalesce(c.isin("True", "False", "TRUE", "FALSE", "true", "false"), F.lit(False))
 
 
-def profile_folder(spark: SparkSession, path: str, max_columns: int = 64) -> DataFrame:
-    """One row per CSV file of a folder, from one scan of all files.
+def profile_folder(spark: SparkSession, path: str) -> DataFrame:
+    """One row per CSV file of a folder, whatever its width.
 
     Files may have different headers, so all are read by position with the header as
     a row; the first row of a file is its header. A file that cannot be profiled gets
-    an ``error`` and does not stop the others: empty, more fields in a row than
-    header names, or more than ``max_columns`` fields.
+    an ``error`` and does not stop the others: empty, or more fields in a row than
+    header names.
     """
-    names = [f"c{i}" for i in range(max_columns)]
-    beyond = "__beyond"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, beyond]])
-    fields = F.array(*[F.col(n) for n in names])
-    # The rightmost field in use.
-    width = F.greatest(F.lit(0), *[F.when(F.col(n).isNotNull(), F.lit(i + 1)) for i, n in enumerate(names)])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", False)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("pathGlobFilter", "*.csv")
-        .csv(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().alias("row"),
-            fields.alias("fields"),
-            width.alias("width"),
-            F.col(beyond).isNotNull().alias("too_wide"),
-            *[_no_number(F.col(c)).alias(f"{c}_text") for c in names[:2]],
-            *[_no_boolean(F.col(c)).alias(f"{c}_other") for c in names[:2]],
-        )
-    )
-    # Files are read whole and in order, so the smallest row id of a file is its header.
-    # The header is counted along and taken off below: a per-file window would collect the file.
-    header = F.min_by("fields", "row")
-    counts = rows.groupBy("file").agg(
-        header.alias("header"),
-        F.count("*").alias("n"),
-        F.max("width").alias("width"),
-        F.min_by("width", "row").alias("n_columns"),
-        F.bool_or("too_wide").alias("too_wide"),
-        *[F.count_if(F.col(f"{c}_{kind}")).alias(f"{c}_{kind}") for c in names[:2] for kind in ("text", "other")],
-    )
-    named = F.slice("header", 1, F.col("n_columns"))
-    text_first = F.get("header", F.lit(0)) == F.lit("text")
+    rows, headers = csv_rows(spark, path)
+    text_first = F.get("names", F.lit(0)) == F.lit("text")
     at = F.when(text_first, F.lit(1)).otherwise(F.lit(0))
-    target = F.get(named, at)
-
-    def below_header(kind: str, test) -> Column:
-        counted = F.when(text_first, F.col(f"c1_{kind}")).otherwise(F.col(f"c0_{kind}"))
-        return counted - test(F.get("header", at)).cast("long")
-
-    # A column without any row has no type.
-    numeric = (F.col("n") > 1) & (
-        (below_header("text", _no_number) == 0) | (below_header("other", _no_boolean) == 0)
-    )
-    error = (
-        F.when(F.col("n").isNull(), F.lit("no columns"))
-        .when(F.col("too_wide"), F.lit(f"more than {max_columns} fields"))
-        .when(F.col("width") > F.col("n_columns"), F.lit("more fields than header names"))
+    value = F.get("fields", at)
+    # Files are few next to rows: each row learns its header, and only numbers are aggregated.
+    body = rows.join(headers.select("__file", F.col("__row").alias("__header"), "names"), "__file")
+    below = F.col("__row") != F.col("__header")
+    counts = (
+        body.select("__file", "width", below.alias("below"), (below & _no_number(value)).alias("text"), (below & _no_boolean(value)).alias("other"))
+        .groupBy("__file")
+        .agg(F.count("*").alias("n"), F.max("width").alias("width"), F.count_if("text").alias("text"), F.count_if("other").alias("other"))
     )
-    # The file listing, which the driver holds anyway, also has the files without a row.
+    counts = counts.join(headers.select("__file", F.col("names").alias("named"), F.size("names").alias("n_columns")), "__file")
+    named = F.col("named")
+    target = F.get(named, F.when(F.get(named, F.lit(0)) == F.lit("text"), F.lit(1)).otherwise(F.lit(0)))
+    # A column without any row has no type.
+    numeric = (F.col("n") > 1) & ((F.col("text") == 0) | (F.col("other") == 0))
+    error = F.when(F.col("n").isNull(), F.lit("no columns")).when(F.col("width") > F.col("n_columns"), F.lit("more fields than header names"))
+    # The file listing, which the driver holds anyway, also has the files without a byte.
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).inputFiles()
     listed = spark.createDataFrame([(f,) for f in found], "listed string").withColumn("listed", F.url_decode("listed"))
 
@@ -105,7 +72,7 @@ def profile_folder(spark: SparkSession, path: str, max_columns: int = 64) -> Dat
         # Local paths are listed with one or with three slashes.
         return F.regexp_replace(c, "^file:/+", "/")
 
-    decoded = counts.withColumn("file", F.url_decode("file"))
+    decoded = counts.withColumn("file", F.url_decode("__file"))
     joined = listed.join(decoded, plain("listed") == plain("file"), "left")
     ok = error.isNull()
     return joined.select(

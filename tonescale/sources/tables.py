@@ -9,30 +9,82 @@ from pyspark.sql import functions as F
 
 from tonescale.functions import DIMENSIONS, missing_to_null
 from tonescale.operators.clean import require_columns
+from tonescale.operators.position import with_position
+
+
+_FILE, _ROW = "__file", "__row"
+
+
+def csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, headers)`` of a CSV file or a folder of them, read by position.
+
+    ``rows`` has ``__file``, ``__row`` (ascending within a file), ``fields`` and ``width``, the number of fields up to the last
+    one in use; the first row of a file is its header, and ``headers`` has it again as ``names``. Quoted commas, quotes and line breaks are kept. There are as many
+    fields as the widest header has commas, and one more: what exceeds that shows in ``width``.
+    """
+
+    def reader():
+        return spark.read.option("pathGlobFilter", "*.csv") if not path.endswith(".csv") else spark.read
+
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    file = F.col("_metadata.file_path").alias(_FILE)
+    # The first split of a file has its first line.
+    starts = reader().text(path).filter(F.col("_metadata.file_block_start") == 0)
+    lines = starts.select(file, F.monotonically_increasing_id().alias(_ROW), commas.alias("commas"))
+    first = lines.groupBy(_FILE).agg(F.min(_ROW).alias(_ROW))
+    widest = lines.join(first, [_FILE, _ROW], "left_semi").agg(F.max("commas")).first()[0]
+    columns = [f"c{i}" for i in range((widest or 0) + 2)]
+    raw = reader().schema(", ".join(f"{c} string" for c in columns)).option("header", False).option("multiLine", True)
+    found = raw.option("escape", '"').option("encoding", "UTF-8").csv(path)
+    used = F.array_max(F.array(F.lit(0), *[F.when(F.col(c).isNotNull(), F.lit(i + 1)) for i, c in enumerate(columns)]))
+    rows = found.select(
+        F.col("_metadata.file_path").alias(_FILE), F.monotonically_increasing_id().alias(_ROW), F.array(*columns).alias("fields"), used.alias("width")
+    )
+    first = rows.groupBy(_FILE).agg(F.min(_ROW).alias(_ROW))
+    headers = rows.join(first, [_FILE, _ROW], "left_semi").select(_FILE, _ROW, F.slice("fields", 1, F.col("width")).alias("names"))
+    return rows, headers
 
 
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, quoted commas, quotes and line breaks kept, missing tokens as NULL."""
-    raw = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
-    ).csv(path)
-    return raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    """All columns as strings, by the names in each file's own header, and the place of each row; missing tokens as NULL."""
+    rows, headers = csv_rows(spark, path)
+    # As many rows as there are different headers.
+    layouts = headers.select("names").distinct().collect()
+    names = list(dict.fromkeys(n for r in layouts for n in r["names"] if n))
+    if not layouts:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ("text", _FILE))).withColumn(_ROW, F.lit(0).cast("long"))
+    of = headers.select(F.col(_FILE), F.col(_ROW).alias("__header"), "names")
+    placed = rows.join(of, _FILE).filter(F.col(_ROW) != F.col("__header"))
+    # A name that a header lacks has position 0, and so no field.
+    fields = [missing_to_null(F.when(F.array_position("names", n) > 0, F.get("fields", F.array_position("names", n).cast("int") - 1))).alias(n) for n in names]
+    return placed.select(*fields, _FILE, _ROW)
+
+
+def _with_id(df: DataFrame) -> DataFrame:
+    """Numeric ids as numbers; without ids, rows are numbered in the order of files and rows."""
+    if "id" not in df.columns:
+        return with_position(df, [_FILE, _ROW], "id").drop(_FILE, _ROW)
+    named = F.col("id").isNotNull() & F.col("id").try_cast("long").isNull()
+    numeric = not df.filter(named).limit(1).count()
+    return (df.withColumn("id", F.col("id").cast("long")) if numeric else df).drop(_FILE, _ROW)
 
 
 def read_annotated(spark: SparkSession, path: str, targets: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """``text``, the targets that are there as doubles, and any other column as text.
+    """``text``, ``id``, the targets that are there as doubles, and any other column as text.
 
-    Only the header is looked at beforehand; types are not inferred. A target that
-    is no number fails the job. A file with line breaks inside quotes is read by one
+    Each file's own header says which column is which, so files of a folder may differ in it; a column that a file
+    lacks is NULL there. Ids that are all numbers are numbers; a table without ids gets them, 1..n in the order of files and rows.
+    Types are not inferred otherwise. A target that is no number fails the job. A file with line breaks inside quotes is read by one
     task: for large inputs use ``import_annotated`` once, and many files.
     """
-    df = require_columns(_read_csv(spark, path), "text")
+    df = _with_id(require_columns(_read_csv(spark, path), "text"))
     return df.withColumns({t: F.col(t).cast("double") for t in targets if t in df.columns})
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``id`` and ``text``; ids as in ``read_annotated``."""
     df = require_columns(_read_csv(spark, path), "text")
-    return df.select(*[c for c in ("id", "text") if c in df.columns])
+    return _with_id(df.select(*[c for c in ("id", "text") if c in df.columns], _FILE, _ROW)).select("id", "text")
 
 
 def import_annotated(spark: SparkSession, path: str, out: str, targets: Sequence[str] = DIMENSIONS) -> DataFrame:
@@ -42,7 +94,7 @@ def import_annotated(spark: SparkSession, path: str, out: str, targets: Sequence
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV that ``read_annotated`` reads back unchanged."""
+    """CSV that ``read_annotated`` reads back, but for texts that are a missing token, such as ``NA`` or the empty one: these become NULL."""
     (
         df.write.mode(mode)
         .option("header", True)
@@ -55,8 +107,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_splits(long: DataFrame, path: str, by: Sequence[str] = ("dim", "split"), mode: str = "overwrite") -> None:
-    """One folder per dimension and split, written straight from the tasks that hold the rows."""
-    long.write.mode(mode).partitionBy(*by).parquet(path)
+    """One folder per dimension and split. Rows are dealt out by folder first, in even parts, so that each has few files."""
+    long.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str, run: str, eval_set: str, fmt: str = "parquet") -> str:
