@@ -227,3 +227,14 @@ def test_supplied_encoder(spark):
     df = spark.createDataFrame([(1, "banana"), (2, None), (3, "x")], "id long, text string")
     rows = {r.id: r.features for r in features.BatchEncoder(make, batch_size=2).transform(df).collect()}
     assert rows == {1: [6.0, 3.0], 2: None, 3: [1.0, 0.0]}
+
+
+def test_epochs_leave_no_scratch_tables(table, spark, tmp_path):
+    from tonescale import session
+
+    made = session._made.setdefault(spark.sparkContext.applicationId, [])
+    before = list(made)
+    fit.fit_epochs(table, SIZE, epochs=1, batches_per_epoch=2)
+    with pytest.raises(ValueError, match="training row"):
+        fit.fit_epochs(table.withColumn("split", F.lit("val")), SIZE, epochs=1)
+    assert made == before

@@ -152,3 +152,11 @@ def test_symmetric_and_bounded(spark):
     a, b = evaluate(spark, y, p).pearson_r, evaluate(spark, p, y).pearson_r
     assert a == pytest.approx(b) and -1.0 <= a <= 1.0
     assert not math.isnan(a) and pd.notna(a)
+
+
+def test_text_ids_do_not_sort_the_rows(spark):
+    df = spark.createDataFrame([("10", 1.0, 1.5), ("9", 2.0, 2.5), ("x", 3.0, 2.0)], "id string, V double, V_pred double")
+    found = metrics.evaluate(df, ["V"], order="id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert found.first().n == 3

@@ -114,6 +114,6 @@ def test_scratch_tables_are_removed_on_request(spark):
 
     kept = position.with_position(spark.range(5), ["id"])
     assert kept.count() == 5
-    path = session._made[-1]
+    path = session._made[spark.sparkContext.applicationId][-1]
     assert os.path.isdir(path)
     assert session.clear_scratch(spark) >= 1 and not os.path.exists(path)

@@ -19,7 +19,7 @@ from tonescale.functions import DIMENSIONS, is_present, scale_target
 from tonescale.operators.features import FEATURES
 from tonescale.operators.position import batch_of, order_digest, with_position
 from tonescale.operators.score import LinearWeights, matrix_of
-from tonescale.session import materialize
+from tonescale.session import materialize, scratch
 
 # A task holds a tile of the product matrix of at most this many rows and columns.
 TILE = 1024
@@ -293,6 +293,11 @@ def fit_epochs(
     their optimum: of their gradient, what is below ``noise`` times the largest one of the
     dimension is rounding, which Adam would scale up, and counts as 0.
     """
+    with scratch(df.sparkSession):
+        return _fit_epochs(df, size, dims, epochs, batches_per_epoch, rate, patience, val_batch, seed, joint, key, encoder, noise)
+
+
+def _fit_epochs(df, size, dims, epochs, batches_per_epoch, rate, patience, val_batch, seed, joint, key, encoder, noise) -> EpochFit:
     k = len(dims)
     slim = _usable(df, dims).select(
         key,
@@ -303,14 +308,14 @@ def fit_epochs(
     folds = FOLDS_PER_BATCH * batches_per_epoch if batches_per_epoch > 1 else 1
     stored = _in_folds(slim.filter(F.col("split").isin("train", "val")), key, folds).drop("split")
     train = stored.filter(F.col("fold") >= 0)
+    if train.isEmpty():
+        raise ValueError("no complete training row")
     val = with_position(stored.filter(F.col("fold") == -1).drop("fold"), [key])
     val = val.withColumn("batch_id", batch_of("pos", val_batch))
     stats = train.agg(
         Summarizer.metrics("mean", "std").summary(array_to_vector(FEATURES)).alias("x"),
         F.array(*[F.avg(F.get("y", F.lit(d))) for d in range(k)]).alias("y"),
     ).first()
-    if stats["y"][0] is None:
-        raise ValueError("no complete training row")
     mean, spread = stats["x"]["mean"].toArray(), stats["x"]["std"].toArray()
     spread = np.where(spread > 0.0, spread, 1.0)
     weights = np.zeros((k, 1 + size))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,39 +53,35 @@ def find_cut(df: DataFrame, key: str = "id", fraction: float = 0.8, seed: int =
     only that 1/65,536 of the rows is then ordered.
     """
     digests = df.select(order_digest(key, seed).alias("digest"))
-    # Kept between the two passes so that the source is scanned once; lost blocks are simply recomputed.
-    digests.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        by_prefix = digests.groupBy(F.substring("digest", 1, BUCKET_DIGITS).alias("prefix")).agg(
-            F.count("*").alias("size")
-        )
-        running = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        cumulated = (
-            by_prefix.withColumn("upto", F.sum("size").over(running))
-            .withColumn("n", F.sum("size").over(everything))
-            .withColumn("unkeyed", F.max(F.col("prefix").isNull()).over(everything))
-            .withColumn("n_train", train_size(F.col("n"), fraction, rule))
-        )
-        at = cumulated.filter("upto >= n_train").orderBy("prefix").first()
-        if at is None:
-            return SplitCut(key, seed, 0, 0, "")
-        if at["unkeyed"]:
-            raise ValueError(f"column {key!r} has NULL values and cannot key a split")
-        if at["n_train"] == 0:
-            return SplitCut(key, seed, at["n"], 0, "")
-        wanted = at["n_train"] - (at["upto"] - at["size"])
-        last = (
-            digests.filter(F.col("digest").startswith(at["prefix"]))
-            .groupBy("digest")
-            .agg(F.count("*").alias("size"))
-            .withColumn("upto", F.sum("size").over(Window.orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)))
-            .filter(F.col("upto") >= F.lit(wanted))
-            .orderBy("digest")
-            .first()
-        )
-    finally:
-        digests.unpersist()
+    # Both passes scan the key column alone; nothing of the size of the table is kept between them.
+    by_prefix = digests.groupBy(F.substring("digest", 1, BUCKET_DIGITS).alias("prefix")).agg(
+        F.count("*").alias("size")
+    )
+    running = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cumulated = (
+        by_prefix.withColumn("upto", F.sum("size").over(running))
+        .withColumn("n", F.sum("size").over(everything))
+        .withColumn("unkeyed", F.max(F.col("prefix").isNull()).over(everything))
+        .withColumn("n_train", train_size(F.col("n"), fraction, rule))
+    )
+    at = cumulated.filter("upto >= n_train").orderBy("prefix").first()
+    if at is None:
+        return SplitCut(key, seed, 0, 0, "")
+    if at["unkeyed"]:
+        raise ValueError(f"column {key!r} has NULL values and cannot key a split")
+    if at["n_train"] == 0:
+        return SplitCut(key, seed, at["n"], 0, "")
+    wanted = at["n_train"] - (at["upto"] - at["size"])
+    last = (
+        digests.filter(F.col("digest").startswith(at["prefix"]))
+        .groupBy("digest")
+        .agg(F.count("*").alias("size"))
+        .withColumn("upto", F.sum("size").over(Window.orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)))
+        .filter(F.col("upto") >= F.lit(wanted))
+        .orderBy("digest")
+        .first()
+    )
     if last["upto"] != wanted:
         raise ValueError(f"column {key!r} is not unique: {last['size']} rows share the key at the cut")
     return SplitCut(key, seed, at["n"], at["n_train"], last["digest"])

@@ -4,26 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Shuffle partitions to start from: enough for this many input bytes each, within these bounds.
+# Shuffle partitions to start from: one for this many input bytes, but not fewer than the least.
 _BYTES_PER_PARTITION = 256 << 20
-_PARTITIONS = (200, 50_000)
+_LEAST_PARTITIONS = 200
 
 
 def build_session(
-    app_name: str = "tonescale", master: str | None = None, input_bytes: int = 0, **conf: str
+    app_name: str = "tonescale", master: str | None = None, input_bytes: int = 0, max_partitions: int = 50_000, **conf: str
 ) -> SparkSession:
     """Session with the settings the jobs are written for; keyword settings win.
 
     Adaptive execution joins small shuffle partitions but does not cut large ones, so
-    a shuffle starts from a number that fits ``input_bytes``, the size of the data.
+    a shuffle starts from a number that fits ``input_bytes``, the size of the data,
+    up to ``max_partitions``.
     """
-    low, high = _PARTITIONS
-    partitions = min(max(low, input_bytes // _BYTES_PER_PARTITION), high)
+    partitions = min(max(_LEAST_PARTITIONS, input_bytes // _BYTES_PER_PARTITION), max_partitions)
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -56,16 +57,36 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-_made: list[str] = []
+# The scratch tables of each application of this process.
+_made: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the scratch folder."""
     path = f"{scratch_root(spark).rstrip('/')}/tonescale-{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables made inside it at its end, also after an error: for jobs whose result does not read them."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    try:
+        yield
+    finally:
+        _remove(spark, made, before)
+
+
+def _remove(spark: SparkSession, made: list[str], keep: int = 0) -> int:
+    removed = 0
+    while len(made) > keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
+
+
 def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to a new scratch table and read it back.
 
@@ -78,9 +99,5 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
 
 
 def clear_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables this process has made, once no result that reads them is needed any more."""
-    removed = 0
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return removed
+    """Delete the scratch tables this application has made, once no result that reads them is needed any more."""
+    return _remove(spark, _made.setdefault(spark.sparkContext.applicationId, []))
