@@ -17,7 +17,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from dataclasses import dataclass
 
@@ -42,12 +41,18 @@ def held_out(i) -> bool:
     return zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
 
 
-def features(word: str) -> list[int]:
-    """Hashed features; bucket 0 is the shape of words without letters."""
+def form(word: str) -> str:
+    """What the features of a word depend on: its lower-case core, marked if the word has capitals only."""
     core = word.strip(_MARKS).lower()
+    return "^" + core if word.isupper() else core
+
+
+def features(word_form: str) -> list[int]:
+    """Hashed features of a form; bucket 0 is the shape of words without letters."""
+    core = word_form.removeprefix("^")
     if not any(c.isalpha() for c in core):
         return [0]
-    names = ["w" + core, "s" + ("A" if word.isupper() else "a")]
+    names = ["w" + core, "s" + ("A" if word_form[0] == "^" else "a")]
     names += ["p" + core[:n] for n in (1, 2, 3, 4) if len(core) >= n]
     names += ["e" + core[-n:] for n in (1, 2, 3, 4) if len(core) >= n]
     padded = f"^{core}$"
@@ -56,27 +61,27 @@ def features(word: str) -> list[int]:
     return [1 + zlib.crc32(n.encode()) % (BUCKETS - 1) for n in dict.fromkeys(names)]
 
 
-def _flat(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of the words, one after the other, and how many each has. Lexicon features follow the hashed ones."""
+def _flat(forms: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of the forms, one after the other, and how many each has. Lexicon features follow the hashed ones."""
     found = []
-    for w in words:
+    for w in forms:
         f = features(w)
-        label = lexicon.get(w.strip(_MARKS).lower())
+        label = lexicon.get(w.removeprefix("^"))
         found.append(f if label is None else [*f, BUCKETS + label])
     n = np.array([len(f) for f in found], np.int64)
     return np.fromiter((i for f in found for i in f), np.int64, n.sum()), n
 
 
-def emissions(words: list[str], weights: np.ndarray, lexicon: dict[str, int]) -> np.ndarray:
-    """One score per word and label: the mean of its features' weights, scaled by the root of their number."""
-    if not words:
+def emissions(forms: list[str], weights: np.ndarray, lexicon: dict[str, int]) -> np.ndarray:
+    """One score per form and label: the mean of its features' weights, scaled by the root of their number."""
+    if not forms:
         return np.zeros((0, weights.shape[1]))
-    flat, n = _flat(words, lexicon)
+    flat, n = _flat(forms, lexicon)
     return np.add.reduceat(weights[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
 
 
-def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray):
-    """Of chains (chain, position, label): marginals, pair marginals summed over all chains, and log partition sums.
+def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, with_pairs: bool = True):
+    """Of chains (chain, position, label): marginals, pair marginals summed over all chains (if asked for), and log partition sums.
 
     Chains are padded at the end; positions beyond a chain's length have marginals 0.
     """
@@ -100,7 +105,7 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: np.nd
     marginals = np.where(live[:, :, None], alpha * beta, 0.0)
     marginals /= np.maximum(marginals.sum(2, keepdims=True), 1e-300)
     pairs = np.zeros((labels, labels))
-    if size > 1:
+    if with_pairs and size > 1:
         ahead = np.where(live[:, 1:, None], local[:, 1:] * beta[:, 1:] / scale[:, 1:, None], 0.0)
         pairs = np.einsum("cti,ctj->ij", alpha[:, :-1], ahead) * step
     log_z = np.where(live, np.log(scale) + top[:, :, 0], 0.0).sum(1)
@@ -146,7 +151,7 @@ def fit_chains(chains, labels: list[str], steps: int = STEPS, rate: float = 0.3,
     code, gold = np.zeros((len(chains), size), np.int64), np.zeros((len(chains), size), np.int64)
     lengths = np.array([len(w) for w, _ in chains])
     for i, (words, ks) in enumerate(chains):
-        code[i, : len(words)] = [number.setdefault(w, len(number)) for w in words]
+        code[i, : len(words)] = [number.setdefault(form(w), len(number)) for w in words]
         gold[i, : len(ks)] = ks
     flat, n = _flat(list(number), lexicon)
     live = np.arange(size)[None, :] < lengths[:, None]
@@ -190,25 +195,29 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: st
 
 
 class Labeller:
-    """Applies a field to batches; scores of frequent words are kept."""
+    """Applies a field to batches; the scores of the forms seen last are kept."""
 
-    KEPT = 200_000
+    KEPT = 300_000
 
     def __init__(self, field: Field) -> None:
         self.field = field
-        self._kept: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._row: dict[str, int] = {}
+        self._parts: list[np.ndarray] = []
 
     def _scores(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self._kept]
-        if len(self._kept) + len(new) > self.KEPT:
-            self._kept.clear()
-            new = words
-        made = emissions(new, self.field.weights, self.field.lexicon)
-        if len(new) == len(words):
-            self._kept.update(itertools.islice(zip(words, made), self.KEPT))
-            return made
-        self._kept.update(zip(new, made))
-        return np.stack([self._kept[w] for w in words])
+        forms = [form(w) for w in words]
+        new = list(dict.fromkeys(f for f in forms if f not in self._row))
+        if len(self._row) + len(new) > self.KEPT:
+            self._clear()
+            new = list(dict.fromkeys(forms))
+        if new:
+            first = len(self._row)
+            self._row.update((f, first + i) for i, f in enumerate(new))
+            self._parts = [np.concatenate([*self._parts, emissions(new, self.field.weights, self.field.lexicon)])]
+        return self._parts[0][[self._row[f] for f in forms]]
 
     def marginals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(marginals, ends)``: one row per word, and after how many words each text ends."""
@@ -229,7 +238,7 @@ class Labeller:
             part = order[at : at + 4096]
             size = lengths[part]
             place = starts[part][:, None] + np.minimum(np.arange(size.max())[None, :], size[:, None] - 1)
-            found = forward_backward(scores[codes[place]], self.field.transitions, size)[0]
+            found = forward_backward(scores[codes[place]], self.field.transitions, size, with_pairs=False)[0]
             out[gather(starts[part], size)] = found[np.arange(size.max())[None, :] < size[:, None]]
         return out, ends
 
