@@ -399,6 +399,14 @@ def fit_multi_exact(spark, sf_dir):
     return rounded(scored.select("id", *PREDICTED), *PREDICTED, digits=4)
 
 
+def stored_vectors(spark, sf_dir):
+    """The vectors joined by key as features, fitted and scored."""
+    encoder = features.StoredVectors(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"))
+    rows = encoder.transform(_vectors(spark, sf_dir).drop("features"))
+    scored = score_features(rows, fit.fit_multi(rows, WIDTH, reg=0.0))
+    return rounded(scored.select("id", *PREDICTED), *PREDICTED, digits=4)
+
+
 def fit_single_exact(spark, sf_dir):
     """The same targets recovered by one Spark ML fit per dimension."""
     rows = _vectors(spark, sf_dir)
@@ -434,6 +442,22 @@ def fit_multi_metrics(spark, sf_dir):
     return rounded(metrics.evaluate(scored), "mae", "pearson_r")
 
 
+def epochs_joint(spark, sf_dir):
+    """One feature, one target, full batches: the log of the losses."""
+    parts = jobs.prepare_joint(annotated(spark, sf_dir))
+    fitted = jobs.train_epochs(parts, size=1, encoder=TextLength(), dims=["V"], epochs=3, batches_per_epoch=1, rate=0.01)
+    return rounded(fitted.losses, "train_loss", "val_loss", digits=8)
+
+
+def epochs_separate(spark, sf_dir):
+    """Two targets that stop on their own, fitted in the same passes."""
+    parts = jobs.prepare_joint(annotated(spark, sf_dir))
+    fitted = jobs.train_epochs(
+        parts, size=1, encoder=TextLength(), dims=["V", "A"], epochs=3, batches_per_epoch=1, rate=0.01, joint=False
+    )
+    return rounded(fitted.losses, "train_loss", "val_loss", digits=8)
+
+
 def fit_epochs_losses(spark, sf_dir):
     parts = jobs.prepare_joint(annotated(spark, sf_dir))
     fitted = jobs.train_epochs(parts, size=64, epochs=4, batches_per_epoch=2, rate=3e-3)
@@ -617,6 +641,16 @@ def evaluate_text_id(spark, sf_dir):
     return rounded(metrics.evaluate(aligned), "mae", "pearson_r")
 
 
+def report_missing(spark, sf_dir):
+    """Reports with a correlation that is undefined (dimension D), written and read back."""
+    path = scratch_path(spark, "reports")
+    found = metrics.evaluate(_aligned(spark, sf_dir), by=["lang"], on_constant="null")
+    sources.write_reports(report.render_report(found.withColumnRenamed("lang", "run")), path)
+    parsed = report.parse_sections(report.report_lines(sources.read_reports(spark, path)))
+    missing = F.isnan("pearson_r")
+    return parsed.select("run", "dim", "mae", missing.alias("missing"), F.when(~missing, F.col("pearson_r")).alias("pearson_r"))
+
+
 def report_files(spark, sf_dir):
     path = scratch_path(spark, "reports")
     sources.write_reports(_reports(spark, sf_dir), path)
@@ -645,10 +679,11 @@ QUERIES = (
     table_profile, split_round, split_ceil, split_sizes, split_complement, targets_long, align_id, align_text,
     align_position, align_prefix, align_coverage, smooth_l1_batches, epoch_loss, smooth_l1_lines, shuffle_batches,
     early_stopping, best_epoch, vocab, encode_sequences, encode_sequences_joined, encode_unknown, attention_mask, score_fixed_weights,
-    gram_sums, fit_single_scalar, fit_multi_exact, fit_single_exact, single_chain, fit_multi_metrics, fit_epochs_losses, score_table,
+    gram_sums, fit_single_scalar, fit_multi_exact, stored_vectors, fit_single_exact, single_chain, fit_multi_metrics, epochs_joint, epochs_separate,
+    fit_epochs_losses, score_table,
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,
     row_counts, csv_round_trip, csv_folder, prepare_without_id, texts_round_trip, split_files, prediction_files,
-    appended_losses, evaluate_text_id, folder_profile, report_files, loss_log_files, stored_model,
+    appended_losses, evaluate_text_id, folder_profile, report_missing, report_files, loss_log_files, stored_model,
 )
 
 

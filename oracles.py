@@ -112,6 +112,39 @@ _EXACT = (
 
 _NAMES = "CASE dim WHEN 'V' THEN 'Valence' WHEN 'A' THEN 'Arousal' ELSE 'Dominance' END"
 
+def _epochs(dim: str, run: str, epochs: int, rate: str) -> str:
+    """Full-batch epochs of Adam on one standardised feature, each epoch a table: ``(run, epoch, train_loss, val_loss)``."""
+    clip = "greatest(-1e0, least(1e0, b + w*z - y))"
+    loss = _smooth("b + w*z - y")
+    steps = [
+        f"""x AS (SELECT g.id AS id, split, length(text)/1000e0 AS x, {dim}/5e0 AS y FROM gold g JOIN sp ON g.id = sp.id)""",
+        "st AS (SELECT avg(x) AS m, stddev_samp(x) AS s FROM x WHERE split = 'train')",
+        "tr AS (SELECT (x - m)/s AS z, y FROM x, st WHERE split = 'train')",
+        """va AS (SELECT (x - m)/s AS z, y, floor((row_number() OVER (ORDER BY id) - 1)/16e0) AS batch
+  FROM x, st WHERE split = 'val')""",
+        "p0 AS (SELECT avg(y) AS b, 0e0 AS w, 0e0 AS mb, 0e0 AS mw, 0e0 AS vb, 0e0 AS vw FROM tr)",
+    ]
+    for k in range(1, epochs + 1):
+        new = {c: f"(0.9e0*m{c} + 0.1e0*g{c})" for c in "bw"} | {f"v{c}": f"(0.999e0*v{c} + 0.001e0*g{c}*g{c})" for c in "bw"}
+
+        def moved(c: str, k: int = k, new: dict = new) -> str:
+            first, second = f"{new[c]}/(1 - power(0.9e0, {k}))", f"{new['v' + c]}/(1 - power(0.999e0, {k}))"
+            return f"{c} - {rate}*({first})/(sqrt({second}) + 1e-8) AS {c}"
+
+        steps += [
+            f"a{k} AS (SELECT avg({clip}) AS gb, avg({clip}*z) AS gw, avg({loss}) AS train_loss FROM tr, p{k - 1})",
+            f"g{k} AS (SELECT CASE WHEN abs(gb) < 1e-9*greatest(abs(gb), abs(gw)) THEN 0e0 ELSE gb END AS gb, gw FROM a{k})",
+            f"""p{k} AS (SELECT {moved("b")}, {moved("w")}, {new["b"]} AS mb, {new["w"]} AS mw, {new["vb"]} AS vb, {new["vw"]} AS vw
+  FROM p{k - 1}, g{k})""",
+            f"l{k} AS (SELECT avg(one) AS val_loss FROM (SELECT batch, avg({loss}) AS one FROM va, p{k} GROUP BY batch) o)",
+        ]
+    rows = [
+        f"SELECT '{run}' AS run, CAST({k} AS INT) AS epoch, round(train_loss, 8) AS train_loss, round(val_loss, 8) AS val_loss FROM a{k}, l{k}"
+        for k in range(1, epochs + 1)
+    ]
+    return _with(ANNOTATED, GOLD, _split("gold", _CEIL), *steps) + "\nUNION ALL ".join(rows)
+
+
 _REPORTED = _with(*BASE, f"m AS ({_metrics('lang, dim', digits=12)})", f"""rep AS (
   SELECT lang AS run, dim, CASE dim WHEN 'V' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS idx,
     printf('%.4f', mae) AS mae, printf('%.4f', pearson_r) AS r FROM m)""")
@@ -329,7 +362,10 @@ w AS (SELECT regr_slope(V/5e0, x) AS sv, regr_intercept(V/5e0, x) AS iv, regr_sl
 u AS (SELECT 'V' AS dim, V AS y, CASE WHEN id % 13 <> 7 THEN 5e0*(sv*x + iv) END AS p FROM z, w WHERE split = 'val'
   UNION ALL SELECT 'A', A, CASE WHEN id % 13 <> 7 THEN 5e0*(sa*x + ia) END FROM z, w WHERE split = 'val')""")
     + _metrics("dim"),
+    "epochs_joint": _epochs("V", "joint", 3, "0.01e0"),
+    "epochs_separate": f"SELECT * FROM ({_epochs('V', 'V', 3, '0.01e0')}) v UNION ALL SELECT * FROM ({_epochs('A', 'A', 3, '0.01e0')}) a",
     "fit_multi_exact": _EXACT,
+    "stored_vectors": _EXACT,
     "fit_single_exact": _EXACT,
     "stored_model": _EXACT,
     "csv_round_trip": _with(ANNOTATED)
@@ -365,6 +401,9 @@ UNION ALL SELECT 'text,' || string_agg('f' || i, ',' ORDER BY i), 81, TRUE, FALS
                     '' ORDER BY idx) AS value FROM rep GROUP BY run""",
     "report_parse": _PARSED,
     "report_files": _PARSED,
+    "report_missing": _REPORTED
+    + """SELECT run, dim, CAST(mae AS DOUBLE) AS mae, dim = 'D' AS missing, CASE WHEN dim <> 'D' THEN CAST(r AS DOUBLE) END AS pearson_r
+      FROM rep""",
     "section_carry": _REPORTED
     + """SELECT run, CAST(3 + 4*(idx - 1) + k AS INT) AS line_no, dim, CAST(idx AS INT) AS section_no
       FROM rep, (VALUES (0), (1), (2), (3)) x(k)
