@@ -53,7 +53,7 @@ class StoredVectors:
 
 @dataclass(frozen=True)
 class BatchEncoder:
-    """A supplied model: ``make`` builds a function from numpy batches to vectors, once per worker."""
+    """A supplied model: ``make`` builds a function from numpy batches of texts to vectors, once per worker."""
 
     make: Callable
     inputs: tuple[str, ...] = ("text",)
@@ -64,9 +64,9 @@ class BatchEncoder:
         present = F.lit(True)
         for c in self.inputs:
             present = present & F.col(c).isNotNull()
-        known = df.filter(present)
-        missing = df.filter(~present).withColumn(FEATURES, F.lit(None).cast("array<double>"))
-        return known.withColumn(FEATURES, encode(*self.inputs)).unionByName(missing)
+        # The model takes no NULL: a row without a text is encoded as an empty one, and the vector dropped.
+        filled = [F.coalesce(F.col(c), F.lit("")) for c in self.inputs]
+        return df.withColumn(FEATURES, F.when(present, encode(*filled)))
 
 
 def features(df: DataFrame, encoder) -> DataFrame:
