@@ -67,24 +67,34 @@ COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def canonical(text: Column) -> Column:
-    """Lower-case words, one space between and around them."""
+def canonical_lines(text: Column) -> Column:
+    """The canonical lines of a text: lower-case words with one space between them."""
     out = F.regexp_replace(F.translate(text, _UPPER, _LOWER), COPYRIGHT_LINE, "")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")), F.lit(" "))
+    out = F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}\n]+", " ")
+    out = F.concat(F.lit(" "), F.replace(out, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return out
+    return F.transform(F.split(out, "\n"), lambda x: F.trim(x))
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical text, null for one without words."""
-    clean = canonical(text)
-    return F.when(F.length(F.trim(clean)) > 0, F.sha2(clean, 256))
+def whole(lines: Column) -> Column:
+    """The canonical text of canonical lines, wherever they are broken."""
+    out = F.concat(F.lit(" "), F.array_join(F.filter(lines, lambda x: x != ""), " "), F.lit(" "))
+    for a, b in SPELLINGS:
+        if " " in a:
+            out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.trim(out)
+
+
+def digest(clean: Column) -> Column:
+    """SHA-256 of a canonical text, null for one without words."""
+    return F.when(clean != "", F.sha2(clean, 256))
 
 
 def digests(known: DataFrame, license_column: str = "license_id", text: str = "text") -> DataFrame:
     """``(digest, license_id)``, one row per digest: the smallest id of licences with one canonical text."""
-    rows = known.select(F.col(license_column).alias("license_id"), digest(F.col(text)).alias("digest"))
+    lines = known.select(F.col(license_column).alias("license_id"), canonical_lines(F.col(text)).alias("lines"))
+    rows = lines.select("license_id", digest(whole(F.col("lines"))).alias("digest"))
     return rows.filter("digest IS NOT NULL AND license_id IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -95,17 +105,19 @@ def known_licenses(spark) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id_column, digest, license_id, notices)``: of the whole text, and the licences of its lines, sorted."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = rows.select("row", "id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("nth", "part"))
-    hashed = parts.select("row", "id", "nth", digest(F.col("part")).alias("digest"))
+    lines = rows.select("row", "id", canonical_lines(F.col("text")).alias("lines"))
+    # The whole text first, then its lines; blank ones are nothing to look up.
+    parts = lines.select("row", "id", F.concat(F.array(whole(F.col("lines"))), F.filter("lines", lambda x: x != "")).alias("parts"))
+    hashed = parts.select("row", "id", F.posexplode("parts").alias("nth", "part")).select("row", "id", "nth", digest(F.col("part")).alias("digest"))
     # Spark sends the digests to the tasks if they are small, and shuffles by digest if they are not.
     found = hashed.join(digests(known), "digest", "left")
-    whole = F.col("nth") == 0
+    first = F.col("nth") == 0
     return (
         found.groupBy("row", "id")
         .agg(
-            F.max(F.when(whole, F.col("digest"))).alias("digest"),
-            F.max(F.when(whole, F.col("license_id"))).alias("license_id"),
-            F.array_sort(F.collect_set(F.when(~whole, F.col("license_id")))).alias("notices"),
+            F.max(F.when(first, F.col("digest"))).alias("digest"),
+            F.max(F.when(first, F.col("license_id"))).alias("license_id"),
+            F.array_sort(F.collect_set(F.when(~first, F.col("license_id")))).alias("notices"),
         )
         .select(F.col("id").alias(id_column), "digest", "license_id", "notices")
     )
@@ -119,19 +131,29 @@ def license_digest(docs: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """The same in DuckDB."""
 
-    def clean(x: str) -> str:
+    def lines(x: str) -> str:
         out = f"regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), '{COPYRIGHT_LINE}', '', 'g')"
-        out = rf"' ' || trim(regexp_replace({out}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) || ' '"
+        out = rf"regexp_replace({out}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}\n]+', ' ', 'g')"
+        out = f"' ' || replace({out}, chr(10), ' ' || chr(10) || ' ') || ' '"
         for a, b in SPELLINGS:
             out = f"replace({out}, ' {a} ', ' {b} ')"
-        return out
+        return f"list_transform(string_split({out}, chr(10)), lambda y: trim(y))"
+
+    def joined(x: str) -> str:
+        out = f"' ' || array_to_string(list_filter({x}, lambda y: y <> ''), ' ') || ' '"
+        for a, b in SPELLINGS:
+            if " " in a:
+                out = f"replace({out}, ' {a} ', ' {b} ')"
+        return f"trim({out})"
 
     values = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in KNOWN.items())
     return f"""
-WITH k AS (SELECT min(id) AS license_id, sha256(c) AS digest FROM (SELECT id, {clean('t')} AS c FROM (VALUES {values}) v(id, t)) GROUP BY c),
-p AS (SELECT doc_id, unnest([coalesce(text, '')] || string_split(coalesce(text, ''), chr(10))) AS part,
-             unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))))) AS nth FROM documents),
-h AS (SELECT doc_id, nth, CASE WHEN length(trim(c)) > 0 THEN sha256(c) END AS digest FROM (SELECT doc_id, nth, {clean('part')} AS c FROM p))
+WITH k AS (SELECT min(id) AS license_id, sha256(c) AS digest
+  FROM (SELECT id, {joined('l')} AS c FROM (SELECT id, {lines('t')} AS l FROM (VALUES {values}) v(id, t)) x) y WHERE c <> '' GROUP BY c),
+p AS (SELECT doc_id, [{joined('l')}] || list_filter(l, lambda y: y <> '') AS parts
+  FROM (SELECT doc_id, {lines("coalesce(text, '')")} AS l FROM documents) x),
+h AS (SELECT doc_id, nth, CASE WHEN part <> '' THEN sha256(part) END AS digest
+  FROM (SELECT doc_id, unnest(parts) AS part, unnest(generate_series(0, len(parts) - 1)) AS nth FROM p) z)
 SELECT doc_id, max(CASE WHEN nth = 0 THEN digest END) AS digest, max(CASE WHEN nth = 0 THEN license_id END) AS license_id,
        coalesce(string_agg(DISTINCT CASE WHEN nth > 0 THEN license_id END, ',' ORDER BY CASE WHEN nth > 0 THEN license_id END), '') AS notices
 FROM h LEFT JOIN k USING (digest) GROUP BY doc_id
