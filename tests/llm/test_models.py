@@ -106,6 +106,27 @@ def test_katz_against_dictionaries(spark, size, frequent):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("local, frequent", [(12, 8), (0, 0), (10_000, 100_000)])
+def test_katz_keeps_the_bigrams_of_all_words(spark, local, frequent):
+    texts = corpus(random.Random(2), 120)
+    docs, plain = table(spark, [(i, t, "en", "s") for i, t in texts]), PlainKatz(texts, 1 << 30)
+    want = {}
+    for i, t in texts:
+        tokens = tokens_of(t)
+        want.setdefault(i, []).append(sum(math.log10(plain.p(h, w)) for h, w in zip([None, *tokens], tokens)))
+    got = katz.score(docs, katz.fit(docs, frequent=frequent, local=local)).collect()
+    assert len(got) == len(texts)
+    assert all(any(math.isclose(r["score"], x, rel_tol=1e-9) for x in want[r["doc_id"]]) for r in got)
+
+
+def test_katz_tells_rare_words_apart_in_a_large_vocabulary(spark):
+    many = " ".join(f"v{i} v{i}" for i in range(70_000))
+    docs = table(spark, [(i, many, "en", "s") for i in (1, 2)] + [(3, "rare pair", "en", "s"), (4, "pair rare", "en", "s")])
+    trained, asked = docs.filter("doc_id < 4"), docs.filter("doc_id > 2")
+    score = {r["doc_id"]: r["score"] for r in katz.score(asked, katz.fit(trained)).collect()}
+    assert score[3] > score[4] + 1
+
+
 def test_katz_of_empty_tables(spark):
     docs = table(spark, [(1, "a b", "en", "s")])
     assert katz.score(docs.limit(0), katz.fit(docs)).count() == 0

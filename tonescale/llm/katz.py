@@ -4,13 +4,16 @@ Counts are discounted by Good-Turing: a count r of at most ``CUT`` becomes d_r r
 ones give up a small fixed part, so every history leaves some mass. The mass that a history leaves is
 given to the words not seen after it, in proportion to their lower-order probability; the backoff weight normalises that exactly.
 
-Words and the end of a text are tokens; the end is also what precedes a first word. Histories are the ``VOCABULARY``
-most frequent tokens, and one class for all others. A word of that class is predicted as the class, then as itself by its share of the
-class's unigram mass, of which one unknown type has the mass that unigram discounts leave. So probabilities add up to 1 over all
-known words and the unknown one, after each history.
+Words and the end of a text are tokens; the end is also what precedes a first word. Every token is a history and a word of its own,
+however rare; one unknown type has the mass that unigram discounts leave. So probabilities add up to 1 over all known words and the unknown
+one, after each history. Only on request (``vocabulary``) tokens beyond the most frequent ones are merged: they are one class, predicted as the
+class, then as themselves by their share of its unigram mass.
 
-Counts live in tables partitioned by order. Everything that is held by a task or the driver is bounded by the vocabulary, or by
-``FREQUENT`` bigrams, which are looked up where the text is; only the other n-grams are shuffled, so none of their keys is hot.
+With u(w) = log P(w) and b(h) the logarithm of the backoff weight, a pair adds b(h) + u(w), and d(h, w) besides if it was seen. In a text the
+histories are its tokens again, so a score is the sum of b + u over tokens and of d over pairs: each is one look-up.
+
+Counts are kept under both words' hashes, b + u and d under the word or 63 bits of a hash of the pair, in tables partitioned by order. Everything that is held by a task or the driver is bounded: the ``LOCAL`` most frequent
+tokens and ``FREQUENT`` bigrams are looked up where the text is; all others are shuffled and joined, so none of their keys is hot.
 
 Defined results: a null or empty text is its end alone. Repeated rows, and rows with a null id, are texts of their own; a null id counts as an
 empty one when it decides whether a text is held out. Other columns of the input are ignored. An empty table gives no rows; with no
@@ -31,15 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonescale.llm.text import SPACE_CUT_LOWER, cut_words, pieces, texts_of
-from tonescale.session import scratch_path
+from tonescale.session import scratch, scratch_path
 
 CUT = 5
 #: Part of a count above ``CUT`` that is given up.
 REST = 0.01
-VOCABULARY = 1 << 16
+LOCAL = 1 << 16
 FREQUENT = 1 << 18
-_WORD, _END = 1 << 62, 1 << 61
-_SHIFT = 20
+_WORD, _END, _OTHER = 1 << 62, 1 << 61, 1 << 60
 #: Fixed values of the base score: what is added to each count.
 ADDED = 0.1
 
@@ -48,22 +50,48 @@ def _held_out(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i in ids.to_pylist()], bool)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(tokens, ends)``: 62-bit word hashes with the end token after each text, and where texts end."""
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(values, codes, ends)``: 62-bit word hashes and last the end token, which of them each token is, and where texts end."""
     words, ends = cut_words(texts, SPACE_CUT_LOWER)
-    if len(words):
-        coded = words.dictionary_encode()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(w) & (_WORD - 1) | _WORD for w in coded.dictionary.to_pylist()], np.int64)
-        tokens = hashes[coded.indices.to_numpy()]
-    else:
-        tokens = np.zeros(0, np.int64)
-    return np.insert(tokens, ends, _END), ends + np.arange(1, len(ends) + 1)
+    coded, digest = words.dictionary_encode(), xxhash.xxh64_intdigest
+    hashes = [digest(w) & (_WORD - 1) | _WORD for w in coded.dictionary.to_pylist()]
+    codes = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(hashes))
+    return np.array([*hashes, _END], np.int64), codes, ends + np.arange(1, len(ends) + 1)
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(tokens, ends)``, with the end token after each text."""
+    values, codes, ends = _coded(texts)
+    return values[codes], ends
+
+
+def _pairs(codes: np.ndarray, size: int) -> np.ndarray:
+    """Code of the token before, times ``size``, plus the code: texts end with the end token, so it also precedes every first word."""
+    return np.concatenate([[size - 1], codes[:-1]]) * size + codes if len(codes) else codes
+
 
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
 
-def _before(tokens: np.ndarray) -> np.ndarray:
-    """The token before each: texts end with the end token, so it also precedes every first word."""
-    return np.concatenate([[_END], tokens[:-1]]) if len(tokens) else tokens
+
+def _xxhash(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of a long, where ``seed`` is 42 or the hash of the column before."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    x = seed + p5 + np.uint64(8) ^ _rotated(value * p2, 31) * p1
+    x = _rotated(x, 27) * p1 + p4
+    x = (x ^ x >> np.uint64(33)) * p2
+    x = (x ^ x >> np.uint64(29)) * p3
+    return x ^ x >> np.uint64(32)
+
+
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Negative numbers, as ``_pair_key`` makes them in Spark; keys of words are positive."""
+    found = _xxhash(w.astype(np.uint64), _xxhash(h.astype(np.uint64), np.full(len(h), 42, np.uint64)))
+    return (found | np.uint64(1 << 63)).view(np.int64)
+
+
+def _pair_key(h: str, w: str):
+    return F.xxhash64(h, w).bitwiseOR(F.lit(-1 << 63))
 
 
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -110,48 +138,52 @@ def _discounted_sql(d: list[float]):
 
 @dataclass
 class Katz:
-    """A fitted model. The tables are in ``folder``; the arrays are as long as the vocabulary, plus one for the class of all others."""
+    """A fitted model. The tables are in ``folder``; the arrays hold the most frequent tokens and bigrams."""
 
     folder: str
     n: int
     types: int
-    vocabulary: np.ndarray
+    top: np.ndarray
     counts: np.ndarray
-    d1: list[float]
-    d2: list[float]
+    #: Of these tokens, and of one that is in no table: what it adds as a word and as a history.
+    values: np.ndarray
     unknown: float
-    class_p: np.ndarray
-    alpha: np.ndarray
-    scale: np.ndarray
+    merged: bool
     frequent: np.ndarray
-    frequent_counts: np.ndarray
-
-    def pair_log10(self, key: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 P(class of the word | class of the one before), recursing to the lower order where the pair was not seen."""
-        h, w = key >> _SHIFT, key & ((1 << _SHIFT) - 1)
-        total = np.maximum(self.counts[h], 1)
-        seen = np.log10(np.where(c > 0, discounted(self.d2, np.maximum(c, 1)) * self.scale[h] / total, 1.0))
-        backed_off = np.log10(self.alpha[h]) + np.log10(self.class_p[w])
-        return np.where(c > 0, seen, backed_off)
-
-    def member_log10(self, c: np.ndarray) -> np.ndarray:
-        """log10 of a word's share of the class of all other words, from its count."""
-        own = np.where(c > 0, discounted(self.d1, np.maximum(c, 1)) / max(self.n, 1), self.unknown)
-        return np.log10(own) - math.log10(self.class_p[-1])
+    frequent_values: np.ndarray
 
     def base_log10(self, c: np.ndarray) -> np.ndarray:
         return np.log10((np.asarray(c, np.float64) + ADDED) / (self.n + ADDED * (self.types + 1)))
 
 
-def _count_rows(spark, docs: DataFrame, make) -> DataFrame:
+def _kinds(values: np.ndarray, numbers: np.ndarray, size: int, merged: bool) -> np.ndarray:
+    """The tokens that bigrams are made of."""
+    return np.where(numbers < size, values, _OTHER) if merged else values
+
+
+def _count_words(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in pieces(batches, 1):
+            values, codes, ends = _coded(texts_of(batch.column(1)))
+            train = np.repeat(~_held_out(batch.column(0)), np.diff(ends, prepend=0))
+            n = np.bincount(codes[train], minlength=len(values))
+            yield pa.record_batch([pa.array(values[n > 0]), pa.array(n[n > 0])], ["key", "n"])
+
+    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+
+
+def _count_pairs(rows: DataFrame, top: np.ndarray, merged: bool) -> DataFrame:
     def run(batches):
+        ids = _Ids(top)
         for batch in pieces(batches, 1):
-            tokens, ends = _tokens(texts_of(batch.column(1)))
+            values, codes, ends = _coded(texts_of(batch.column(1)))
             train = np.repeat(~_held_out(batch.column(0)), np.diff(ends, prepend=0))
-            keys, n = np.unique(make(tokens)[train], return_counts=True)
-            yield pa.record_batch([pa.array(keys), pa.array(n)], ["key", "n"])
+            keys, n = np.unique(_pairs(codes, len(values))[train], return_counts=True)
+            kinds = _kinds(values, ids.of(values), len(top), merged)
+            h, w = kinds[keys // len(values)], kinds[keys % len(values)]
+            yield pa.record_batch([pa.array(h), pa.array(w), pa.array(n)], ["h", "w", "n"])
 
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+    return rows.mapInArrow(run, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("c"))
 
 
 def _count_of_counts(table: DataFrame) -> dict[int, int]:
@@ -159,10 +191,10 @@ def _count_of_counts(table: DataFrame) -> dict[int, int]:
     return {r["c"]: r["count"] for r in rows}
 
 
-def _arrays(table: DataFrame) -> np.ndarray:
-    """A small table of whole numbers, as two columns."""
+def _arrays(table: DataFrame) -> list[np.ndarray]:
+    """The columns of a small table."""
     found = table.toArrow()
-    return np.stack([found.column(i).to_numpy().astype(np.int64) for i in range(2)], 1)
+    return [found.column(i).to_numpy() for i in range(found.num_columns)]
 
 
 def _threshold(table: DataFrame, most: int) -> int:
@@ -177,38 +209,74 @@ def _threshold(table: DataFrame, most: int) -> int:
     return low
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> Katz:
-    """Learns from the texts that are not held out."""
+def _known(pairs: DataFrame, column: str, hot: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """``pairs`` with what ``hot``, or else ``rest``, has for ``column``. Both have a column ``x`` besides; hot keys are not shuffled."""
+    found = pairs.join(F.broadcast(hot), column, "left")
+    if rest is None:
+        return found
+    return found.filter("x is not null").unionByName(found.filter("x is null").drop("x").join(rest, column))
+
+
+def fit(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: int | None = None, frequent: int = FREQUENT, local: int = LOCAL
+) -> Katz:
+    """Learns from the texts that are not held out. With ``vocabulary``, all tokens but so many are one class in bigrams."""
     spark, folder, rows = docs.sparkSession, scratch_path(docs.sparkSession, "katz"), _texts(docs, id_column, text)
-    _count_rows(spark, rows, lambda tokens: tokens).write.parquet(f"{folder}/order=1")
-    words = spark.read.schema("key long, c long").parquet(f"{folder}/order=1")
-    n, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    d1 = discounts(_count_of_counts(words))
-    top = _arrays(words.orderBy(F.desc("c"), "key").limit(vocabulary).select("key", "c"))
-    ids = _Ids(top[:, 0].copy())
-    counts = np.append(top[:, 1], n - top[:, 1].sum())
-    known = words.agg(F.coalesce(F.sum(_discounted_sql(d1)), F.lit(0.0))).first()[0]
-    unknown = 1 - known / n if n else 1.0
-    own = discounted(d1, top[:, 1]) / max(n, 1)
-    class_p = np.append(own, max(1 - own.sum(), unknown))
-
-    _count_rows(spark, rows, lambda tokens: ids.of(_before(tokens)) << _SHIFT | ids.of(tokens)).write.parquet(f"{folder}/order=2")
-    pairs = spark.read.schema("key long, c long").parquet(f"{folder}/order=2")
-    d2 = discounts(_count_of_counts(pairs))
-    # For each history, what its words keep, and the lower-order mass of those words: at most one row for each history.
-    shares = spark.createDataFrame([(i, float(p)) for i, p in enumerate(class_p)], "w long, p double")
-    split = pairs.select(F.shiftright("key", _SHIFT).alias("h"), F.col("key").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("w"), "c")
-    kept = np.zeros((3, len(class_p)))
-    sums = split.join(F.broadcast(shares), "w").groupBy("h").agg(F.sum(_discounted_sql(d2)).alias("k"), F.sum("p").alias("p"), F.count("*").alias("n"))
-    for r in sums.collect():
-        kept[:, r["h"]] = r["k"], r["p"], r["n"]
-    share, free = kept[0] / np.maximum(counts, 1), 1 - kept[1]
-    alpha = np.where(counts > 0, (1 - share) / np.maximum(free, 1e-12), 1.0)
-    # After a history that was followed by everything there is nothing to back off to: what it keeps is all.
-    scale = np.where(kept[2] == len(class_p), 1 / np.maximum(share, 1e-12), 1.0)
-    often = _arrays(pairs.filter(F.col("c") >= _threshold(pairs, frequent)).select("key", "c"))
-    often = often[np.argsort(often[:, 0])]
-    return Katz(folder, n, types, top[:, 0].copy(), counts, d1, d2, unknown, class_p, alpha, scale, often[:, 0].copy(), often[:, 1].copy())
+    merged = vocabulary is not None
+    with scratch(spark):
+        raw = scratch_path(spark, "katz-counts")
+        _count_words(rows).write.parquet(f"{raw}/words")
+        words = spark.read.schema("key long, c long").parquet(f"{raw}/words")
+        n, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        d1 = discounts(_count_of_counts(words))
+        top, counts = _arrays(words.orderBy(F.desc("c"), "key").limit(vocabulary if merged else local).select("key", "c"))
+        known = words.agg(F.coalesce(F.sum(_discounted_sql(d1)), F.lit(0.0))).first()[0]
+        unknown = 1 - known / n if n else 1.0
+        p = discounted(d1, counts) / max(n, 1)
+        keys, key_counts, key_p = top, counts, p
+        if merged:
+            others = max(1 - p.sum(), unknown)
+            keys, key_counts, key_p = np.append(top, _OTHER), np.append(counts, n - counts.sum()), np.append(p, others)
+
+        # Each pair with the lower-order probability of its word.
+        hot = spark.createDataFrame(pa.table({"w": keys, "x": key_p}), "w long, x double")
+        rest = None if merged else words.select(F.col("key").alias("w"), (_discounted_sql(d1) / n).alias("x"))
+        _known(_count_pairs(rows, top, merged), "w", hot, rest).withColumnRenamed("x", "p").write.parquet(f"{raw}/pairs")
+        pairs = spark.read.schema("h long, w long, c long, p double").parquet(f"{raw}/pairs")
+        d2 = discounts(_count_of_counts(pairs))
+        # For each history, what its words keep, and the lower-order mass of those words.
+        sums = pairs.groupBy("h").agg(F.sum(_discounted_sql(d2)).alias("k"), F.sum("p").alias("p"), F.count("*").alias("seen"))
+        totals = F.broadcast(spark.createDataFrame(pa.table({"h": keys, "c": key_counts}), "h long, c long")) if merged else words.withColumnRenamed("key", "h")
+        share = F.col("k") / F.col("c")
+        # After a history that was followed by everything there is nothing to back off to: what it keeps is all.
+        all_of_them = F.col("seen") == (len(keys) if merged else types + 1)
+        backoff = F.when(all_of_them, F.lit(0.0)).otherwise(F.log10((1 - share) / F.greatest(1 - F.col("p"), F.lit(1e-12))))
+        whole = F.log10(F.when(all_of_them, F.col("k")).otherwise(F.col("c").cast("double")))
+        sums.join(totals, "h").select("h", backoff.alias("b"), whole.alias("whole")).write.parquet(f"{raw}/histories")
+        histories = spark.read.schema("h long, b double, whole double").parquet(f"{raw}/histories")
+
+        at, b, _ = _arrays(histories.join(F.broadcast(hot.select(F.col("w").alias("h"))), "h", "left_semi"))
+        weights, order = np.zeros(len(keys) + 1), _Ids(keys)
+        weights[order.of(at)] = b
+        merged_b = weights[len(top)] if merged else 0.0
+        minus = histories.select("h", (F.col("b") + F.col("whole")).alias("x"))
+        hot_minus = minus.join(F.broadcast(hot.select(F.col("w").alias("h"))), "h", "left_semi")
+        own = F.log10(_discounted_sql(d1) / n) if n else F.lit(0.0)
+        if merged:
+            listed = F.broadcast(spark.createDataFrame(pa.table({"key": top, "b": weights[: len(top)]}), "key long, b double"))
+            with_b = words.join(listed, "key", "left").withColumn("b", F.coalesce("b", F.lit(float(merged_b))))
+        else:
+            with_b = words.join(histories.select(F.col("h").alias("key"), "b"), "key")
+        with_b.select("key", "c", (F.col("b") + own).alias("v")).write.parquet(f"{folder}/order=1")
+        added = F.log10(_discounted_sql(d2)) - F.col("x") - F.log10("p")
+        with_h = _known(pairs, "h", hot_minus, None if merged else minus)
+        with_h.select(_pair_key("h", "w").alias("key"), "c", added.alias("v")).write.parquet(f"{folder}/order=2")
+
+    scored = spark.read.schema("key long, c long, v double").parquet(f"{folder}/order=2")
+    often, v = _arrays(scored.filter(F.col("c") >= _threshold(scored, frequent)).select("key", "v"))
+    by_key = np.argsort(often)
+    values = np.append(np.log10(p) + weights[: len(top)], math.log10(unknown) + merged_b)
+    return Katz(folder, n, types, top, counts, values, unknown, merged, often[by_key], v[by_key])
 
 
 def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,63 +286,63 @@ def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "
     shared = spark.sparkContext.broadcast(model)
 
     def cut(batches):
-        """Of each run of texts: row numbers, tokens, classes, and the pairs that are not among the frequent ones."""
+        """Of each run of texts: row numbers, tokens as codes, numbers of their values, and distinct pairs and where they are among the frequent ones."""
         m, first = shared.value, TaskContext.get().partitionId() << 36
-        ids, pairs = _Ids(m.vocabulary), _Ids(m.frequent)
+        ids, frequent = _Ids(m.top), _Ids(m.frequent)
         for batch in pieces(batches, 1):
-            tokens, ends = _tokens(texts_of(batch.column(1)))
-            row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            w = ids.of(tokens)
-            key = ids.of(_before(tokens)) << _SHIFT | w
-            yield m, batch, first, row, tokens, w, key, pairs.of(key)
+            values, codes, ends = _coded(texts_of(batch.column(1)))
+            row, numbers = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), ids.of(values)
+            distinct, pair = np.unique(_pairs(codes, len(values)), return_inverse=True)
+            kinds = _kinds(values, numbers, len(m.top), m.merged)
+            key = pair_keys(kinds[distinct // len(values)], kinds[distinct % len(values)])
+            yield m, batch, first, row, values, codes, numbers, key, pair, frequent.of(key)
             first += len(ends)
 
     def local(batches):
         """What is known at the text: frequent words and pairs."""
-        for m, batch, first, row, tokens, w, key, pair in cut(batches):
-            size, k = batch.num_rows, len(m.vocabulary)
-            word = w < k
-            base = np.bincount(row[word], m.base_log10(m.counts[w[word]]), size).astype(float)
-            often = pair < len(m.frequent)
-            total = np.bincount(row[often], m.pair_log10(key[often], m.frequent_counts[pair[often]]), size).astype(float)
+        for m, batch, first, row, values, codes, numbers, key, pair, at in cut(batches):
+            size, here = batch.num_rows, numbers < len(m.top)
+            base, total = np.zeros(len(values)), np.zeros(len(values))
+            base[here], total[here] = m.base_log10(m.counts[numbers[here]]), m.values[numbers[here]]
+            often = np.append(m.frequent_values, 0.0)[at]
             columns = [
                 pa.array(first + np.arange(size)), batch.column(0), pa.array(_held_out(batch.column(0))),
-                pa.array(np.bincount(row, minlength=size)), pa.array(np.bincount(row[word], minlength=size)), pa.array(base), pa.array(total),
+                pa.array(np.bincount(row, minlength=size)), pa.array(np.bincount(row, here[codes], size).astype(np.int64)),
+                pa.array(np.bincount(row, base[codes], size).astype(float)), pa.array(np.bincount(row, total[codes] + often[pair], size).astype(float)),
             ]
             yield pa.record_batch(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base", "total"])
 
     def asked(batches):
         """The other words and pairs of each text, with how often they occur in it."""
-        for m, _, first, row, tokens, w, key, pair in cut(batches):
-            others, rare = pair == len(m.frequent), w == len(m.vocabulary)
-            keys = np.concatenate([key[others], tokens[rare]])
-            owner = np.concatenate([row[others], row[rare]])
-            order = np.lexsort([keys, owner])
-            keys, owner = keys[order], owner[order]
-            at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.zeros(0, np.int64)
-            n = np.diff(at, append=len(keys)).astype(np.int32)
-            yield pa.record_batch([pa.array(keys[at]), pa.array(first + owner[at]), pa.array(n)], ["key", "row", "n"])
+        for m, _, first, row, values, codes, numbers, key, pair, at in cut(batches):
+            others, rare = (at == len(m.frequent))[pair], (numbers == len(m.top))[codes]
+            found, n = np.unique(row[others] * len(key) + pair[others], return_counts=True)
+            words, times = np.unique(row[rare] * len(values) + codes[rare], return_counts=True)
+            columns = [
+                np.concatenate([key[found % len(key)], values[words % len(values)]]), first + np.concatenate([found // len(key), words // len(values)]),
+                np.concatenate([n, times]).astype(np.int32),
+            ]
+            yield pa.record_batch([pa.array(x) for x in columns], ["key", "row", "n"])
 
     def answered(batches):
         """Sums for each text over what a batch of looked-up words and pairs adds."""
         m = shared.value
         for batch in batches:
-            key, row, n, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            word = key >= _END
-            base, total = np.zeros(len(key)), np.zeros(len(key))
-            base[word] = m.base_log10(c[word])
-            total[word] = m.member_log10(c[word])
-            total[~word] = m.pair_log10(key[~word], c[~word])
+            key, row, n, c, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            word = key > 0
+            base = np.where(word, m.base_log10(c), 0.0)
+            total = np.where(word & (c == 0), m.values[-1], v)
             rows, at = np.unique(row, return_inverse=True)
             columns = [rows, np.bincount(at, n * (word & (c > 0)), len(rows)).astype(np.int64), np.bincount(at, n * base, len(rows)).astype(float), np.bincount(at, n * total, len(rows)).astype(float)]
             yield pa.record_batch([pa.array(x) for x in columns], ["row", "n_known", "base", "total"])
 
     own = rows.mapInArrow(local, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, total double")
-    counted = spark.read.schema("key long, c long").parquet(f"{model.folder}/order=1", f"{model.folder}/order=2")
-    looked_up = rows.mapInArrow(asked, "key long, row long, n int").join(counted, "key", "left")
-    found = looked_up.select("key", "row", "n", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(answered, "row long, n_known long, base double, total double")
-    sums = found.groupBy("row").agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("total").alias("t"))
+    table = spark.read.schema("key long, c long, v double").parquet(f"{model.folder}/order=1", f"{model.folder}/order=2")
+    looked_up = rows.mapInArrow(asked, "key long, row long, n int").join(table, "key", "left")
     zero = F.lit(0.0)
+    values = looked_up.select("key", "row", "n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("v", zero).alias("v"))
+    found = values.mapInArrow(answered, "row long, n_known long, base double, total double")
+    sums = found.groupBy("row").agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("total").alias("t"))
     return own.join(sums, "row", "left").select(
         F.col("id").alias(id_column),
         "held_out",
