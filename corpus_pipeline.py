@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tonescale.llm import packing, phrases, quality, secrets, simhash
-from tonescale.session import materialize
+from tonescale.session import ROW, materialize, numbered
 
 POLICY = "web@2"
 TOKENIZER = "word_bpe_49k.json"
@@ -18,15 +17,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
+    """One row of each group of near copies stays, that of the smallest id."""
     return simhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat test items go. Rows that share an id, or have none, go together."""
-    found = phrases.contamination_digest(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """Documents that repeat test items go, each by its own text, whatever its id."""
+    rows = numbered(docs, "numbered")
+    found = phrases.contamination(rows.select(ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=ROW)
+    bad = found.filter(phrases.is_contaminated()).select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

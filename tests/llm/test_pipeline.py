@@ -33,6 +33,22 @@ def test_stages_take_effect(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_rows_with_null_and_repeated_ids_are_judged_each_alone(spark, tmp_path):
+    texts = [" ".join(f"{c}{i}x" for i in range(60)) for c in "abcde"]
+    item = " ".join(f"bench{i}" for i in range(15))
+    rows = [(None, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2]), (2, texts[2]), (2, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((r["text"], r["doc_id"]) for r in kept.collect()) == [(texts[0], 1), (texts[1], None), (texts[2], 2), (texts[3], 2)]
+    spark.createDataFrame([("i1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, texts[0]), (None, f"{texts[1]} {item}"), (3, texts[2]), (3, f"{texts[3]} {item}"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in clean.collect()} == {(None, texts[0]), (3, texts[2]), (None, None)}
+
+
 def test_every_operator_is_registered():
     known = __spark_entry__.queries()
     assert "pipeline" in known

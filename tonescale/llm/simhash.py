@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tonescale.llm.links import components
 from tonescale.llm.text import SPACE_CUT_LOWER, cut_words, gather, pieces, strings, text_bytes, texts_of
-from tonescale.session import materialize
+from tonescale.session import ROW, materialize, numbered
 
 SHINGLE = 4
 DISTANCE = 4
@@ -183,10 +183,13 @@ def hexed(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of the rows whose id is their component's; rows with a null id stay only if no other id is in theirs.
+    """All columns of one row of each component: that of the smallest id, or one with a null id where no row has another.
 
-    Rows that share an id are one document and stay together.
+    Each row is judged by a key of its own, so neither repeated nor null ids keep copies.
     """
-    groups = near_duplicates(docs, id_column, text)
-    keep = groups.filter(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_kept")).distinct()
-    return docs.join(keep, F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi")
+    rows = numbered(docs, "dedup")
+    # Null ids come last.
+    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(ROW))
+    groups = near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text")
+    keep = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col(f"key.{ROW}").alias(ROW))
+    return rows.join(keep, ROW, "left_semi").select(*docs.columns)

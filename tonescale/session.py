@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 # Shuffle partitions to start from: one for this many input bytes, but not fewer than the least.
@@ -98,6 +99,15 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The key that ``numbered`` gives each row.
+ROW = "_row"
+
+
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """``df`` in a scratch table, where each row has a key of its own whatever its other columns hold."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables this application has made, once no result that reads them is needed any more."""
     return _remove(spark, _made.setdefault(spark.sparkContext.applicationId, []))
