@@ -120,9 +120,10 @@ def plain_contamination(text, items):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [20_000, 3])
-def test_contamination_against_scanning(spark, block, monkeypatch):
+@pytest.mark.parametrize("block, at_once", [(20_000, 1 << 21), (3, 1 << 21), (20_000, 1), (20_000, 2), (20_000, 3), (3, 6)])
+def test_contamination_against_scanning(spark, block, at_once, monkeypatch):
     monkeypatch.setattr(phrases, "ITEM_BLOCK", block)
+    monkeypatch.setattr(phrases, "_AT_ONCE", at_once)
     rng = random.Random(6)
     vocabulary = ["the", "of", "Én", "x1"] + [f"v{i}" for i in range(6)]
     items = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 5, 13, 20])))) for i in range(8)]
@@ -161,6 +162,17 @@ def test_proximity_against_scanning(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("at_once", [1, 2, 3, 4, 6, 7])
+def test_no_window_is_lost_where_candidates_fill_whole_runs(at_once, monkeypatch):
+    monkeypatch.setattr(phrases, "_AT_ONCE", at_once)
+    row = phrases.index_rows(0, pa.array([1]), pa.array(["a b a b a b c d c d c d"]))
+    terms = pa.array(["a", "b", "c", "d"])
+    opened = phrases._Run(*(row.column(i)[0].as_py() for i in (3, 4, 5, 2)), terms)
+    windows = np.array([[0, 1], [2, 3]])
+    found = [(int(w), int(s)) for ws, ss in opened.phrases(windows, np.array([[0, 1], [0, 1]])) for w, s in zip(ws, ss)]
+    assert sorted(found) == [(0, 0), (0, 2), (0, 4), (1, 6), (1, 8), (1, 10)]
+
+
 TOKENIZER = "word_bpe_49k.json"
 ODD = [None, "", " \n ", "a<|endoftext|>b <|startoftext|>", "it's don't  x\x1cy", "ÀÉ ǅ ΑΣ İ ﬁ", "Hello, World... 3.14 ''s 'Sam"]
 

@@ -49,6 +49,19 @@ def test_rows_with_null_and_repeated_ids_are_judged_each_alone(spark, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in clean.collect()} == {(None, texts[0]), (3, texts[2]), (None, None)}
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    item = " ".join(f"bench{i}" for i in range(15))
+    spark.createDataFrame([("i1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [" ".join(f"{c}{i}x" for i in range(60)) for c in "abc"]
+    names = ["_row", "row", "__ROW", "key", "id", "spans", "fp", "n_words", "run", "nth", "items"]
+    rows = [(i, t, *[f"{n} {i}" for n in names]) for i, t in enumerate([*texts, texts[0], f"{texts[1]} {item} more"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", *names]
+    assert sorted(tuple(r) for r in docs.collect()) == rows[:3]
+
+
 def test_every_operator_is_registered():
     known = __spark_entry__.queries()
     assert "pipeline" in known

@@ -26,7 +26,7 @@ from tonescale.session import materialize
 WINDOW = 13
 #: Test items that are sent to the tasks at once, and the bytes of their texts.
 ITEM_BLOCK = 20_000
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 2 << 20
 #: Candidate places that are held at once.
 _AT_ONCE = 1 << 21
 
@@ -110,9 +110,11 @@ class _Run:
         rarest = order[live, 0]
         seed = windows[live, rarest]
         n = self.counts[seed]
-        bounds = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + _AT_ONCE, _AT_ONCE)) if len(n) else np.zeros(0, int)
-        for a, b in zip(bounds[:-1], np.maximum(bounds[1:], bounds[:-1] + 1)):
-            part = slice(a, min(b, len(live)))
+        upto = np.cumsum(n)
+        cuts = np.searchsorted(upto, np.arange(_AT_ONCE, n.sum(), _AT_ONCE))
+        bounds = np.unique(np.concatenate([[0], cuts, [len(live)]]))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            part = slice(a, b)
             window = np.repeat(live[part], n[part])
             start = (self.lists[gather(self.first[seed[part]], n[part])] & 0xFFFFFFFF) - np.repeat(rarest[part], n[part])
             for k in range(1, windows.shape[1]):
@@ -244,8 +246,15 @@ def contamination(
     A window is ``width`` consecutive words of an item, or all words of a shorter one.
     """
     index = build_index(docs, id_column, text)
-    parts = [_hits(index, block, width) for block in _item_blocks(items, item_column, text)] or [_hits(index, [], width)]
-    found = parts[0]
+    parts = []
+    for block in _item_blocks(items, item_column, text):
+        if parts:
+            # The windows of one block at a time are on the driver and in the tasks.
+            parts[-1] = materialize(parts[-1], "hits")
+        parts.append(_hits(index, block, width))
+    if len(parts) > 1:
+        parts[-1] = materialize(parts[-1], "hits")
+    found = parts[0] if parts else _hits(index, [], width)
     for part in parts[1:]:
         found = found.unionByName(part)
     if len(parts) > 1:

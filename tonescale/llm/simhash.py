@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tonescale.llm.links import components
 from tonescale.llm.text import SPACE_CUT_LOWER, cut_words, gather, pieces, strings, text_bytes, texts_of
-from tonescale.session import ROW, materialize, numbered
+from tonescale.llm.rows import numbered
+from tonescale.session import materialize
 
 SHINGLE = 4
 DISTANCE = 4
@@ -187,9 +188,9 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 
     Each row is judged by a key of its own, so neither repeated nor null ids keep copies.
     """
-    rows = numbered(docs, "dedup")
+    rows, row = numbered(docs, "dedup")
     # Null ids come last.
-    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(ROW))
+    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(row).alias("row"))
     groups = near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text")
-    keep = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col(f"key.{ROW}").alias(ROW))
-    return rows.join(keep, ROW, "left_semi").select(*docs.columns)
+    keep = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.row").alias(row))
+    return rows.join(keep, row, "left_semi").select(*docs.columns)
