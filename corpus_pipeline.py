@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tonescale.llm import packing, phrases, quality, secrets, simhash
-from tonescale.session import ROW, materialize, numbered
+from tonescale.llm.rows import numbered
+from tonescale.session import materialize
 
 POLICY = "web@2"
 TOKENIZER = "word_bpe_49k.json"
@@ -23,10 +24,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat test items go, each by its own text, whatever its id."""
-    rows = numbered(docs, "numbered")
-    found = phrases.contamination(rows.select(ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=ROW)
-    bad = found.filter(phrases.is_contaminated()).select(ROW)
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    rows, row = numbered(docs, "numbered")
+    found = phrases.contamination(rows.select(row, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=row)
+    bad = found.filter(phrases.is_contaminated()).select(row)
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

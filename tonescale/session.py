@@ -8,7 +8,6 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 # Shuffle partitions to start from: one for this many input bytes, but not fewer than the least.
@@ -46,18 +45,21 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables, shared by all executors.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder of its own, which is then kept for the session.
+    fall back to a temporary folder of its own, one for each application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tonescale-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _local_roots:
+        _local_roots[application] = tempfile.mkdtemp(prefix="tonescale-")
+    return _local_roots[application]
 
 
+# The folders of local applications without a shared one.
+_local_roots: dict[str, str] = {}
 # The scratch tables of each application of this process.
 _made: dict[str, list[str]] = {}
 
@@ -99,15 +101,6 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: The key that ``numbered`` gives each row.
-ROW = "_row"
-
-
-def numbered(df: DataFrame, label: str) -> DataFrame:
-    """``df`` in a scratch table, where each row has a key of its own whatever its other columns hold."""
-    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), label)
-
-
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables this application has made, once no result that reads them is needed any more."""
     return _remove(spark, _made.setdefault(spark.sparkContext.applicationId, []))
