@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescale.llm import cotrain, crf, dac, katz, licenses, packing, phrases, quality, secrets, simhash
+from tonescale.llm import cotrain, crf, dac, katz, licenses, packing, phrases, quality, secrets, simhash, vectors
 from tonescale.session import scratch_path
 
 POLICY = "web@2"
@@ -74,7 +74,11 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vectors.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: tuple[Callable, ...] = (
     op1_secrets, op2_katz, op3_packing, op4_language, op5_token_codes, op6_decontamination, op7_quality, op8_quality_classifier,
-    op9_licenses, op10_simhash,
+    op9_licenses, op10_simhash, op11_vector_codes,
 )

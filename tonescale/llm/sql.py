@@ -49,4 +49,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": DECONTAMINATION, "op7_quality": QUALITY, "op9_licenses": licenses.oracle_sql()}
+_NEAREST = """SELECT vec_id, part, x, unnest(min({{'d': (x[1] - y[1]) ** 2 + (x[2] - y[2]) ** 2 + (x[3] - y[3]) ** 2 + (x[4] - y[4]) ** 2, 'e': entry}}))
+       FROM p JOIN {0} USING (part) GROUP BY vec_id, part, x"""
+
+_MEANS = """SELECT {1}.part, {1}.entry, CASE WHEN n IS NULL THEN y ELSE [floor(s1 / n)::BIGINT, floor(s2 / n)::BIGINT, floor(s3 / n)::BIGINT, floor(s4 / n)::BIGINT] END AS y
+       FROM {1} LEFT JOIN (SELECT part, e AS entry, count(*) AS n, sum(x[1]) AS s1, sum(x[2]) AS s2, sum(x[3]) AS s3, sum(x[4]) AS s4
+                           FROM {0} GROUP BY part, e) USING (part, entry)"""
+
+#: For vectors of 64 components with ids of their own.
+VECTOR_CODES = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, k AS part, v[4 * k + 1:4 * k + 4] AS x FROM v, range(16) t(k)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 64),
+b0 AS (SELECT part, entry, x AS y FROM p JOIN first USING (vec_id)),
+a0 AS MATERIALIZED ({_NEAREST.format("b0")}),
+b1 AS ({_MEANS.format("a0", "b0")}),
+a1 AS MATERIALIZED ({_NEAREST.format("b1")}),
+b2 AS ({_MEANS.format("a1", "b1")}),
+a2 AS MATERIALIZED ({_NEAREST.format("b2")}),
+books AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2),
+codes AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM codes JOIN v USING (vec_id), books
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": DECONTAMINATION, "op7_quality": QUALITY, "op9_licenses": licenses.oracle_sql(), "op11_vector_codes": VECTOR_CODES}
