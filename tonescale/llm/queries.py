@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescale.llm import cotrain, crf, dac, katz, licenses, packing, phrases, quality, secrets, simhash, vectors
+from tonescale.llm import cotrain, crf, dac, katz, licenses, packing, phrases, quality, secrets, simhash, vectors, winnow
 from tonescale.session import scratch_path
 
 POLICY = "web@2"
@@ -78,7 +78,11 @@ def op11_vector_codes(spark, sf_dir):
     return vectors.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_winnowing(spark, sf_dir):
+    return winnow.compare_edited(documents(spark, sf_dir))
+
+
 QUERIES: tuple[Callable, ...] = (
     op1_secrets, op2_katz, op3_packing, op4_language, op5_token_codes, op6_decontamination, op7_quality, op8_quality_classifier,
-    op9_licenses, op10_simhash, op11_vector_codes,
+    op9_licenses, op10_simhash, op11_vector_codes, op12_winnowing,
 )
