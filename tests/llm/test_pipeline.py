@@ -65,5 +65,5 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
 def test_every_operator_is_registered():
     known = __spark_entry__.queries()
     assert "pipeline" in known
-    assert [sum(q.startswith(f"op{n}_") for q in known) for n in range(1, 11)] == [1] * 10
-    assert set(__spark_entry__.oracle_sql()) <= set(known) and len(queries.QUERIES) == 10
+    assert [sum(q.startswith(f"op{n}_") for q in known) for n in range(1, 14)] == [1] * 13
+    assert set(__spark_entry__.oracle_sql()) <= set(known) and len(queries.QUERIES) == 13

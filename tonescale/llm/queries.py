@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonescale.llm import cotrain, crf, dac, katz, licenses, packing, phrases, quality, secrets, simhash, vectors, winnow
+from tonescale.llm import cotrain, crf, dac, katz, licenses, packing, phrases, quality, secrets, simhash, spelling, vectors, winnow
 from tonescale.session import scratch_path
 
 POLICY = "web@2"
@@ -82,7 +82,11 @@ def op12_winnowing(spark, sf_dir):
     return winnow.compare_edited(documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: tuple[Callable, ...] = (
     op1_secrets, op2_katz, op3_packing, op4_language, op5_token_codes, op6_decontamination, op7_quality, op8_quality_classifier,
-    op9_licenses, op10_simhash, op11_vector_codes, op12_winnowing,
+    op9_licenses, op10_simhash, op11_vector_codes, op12_winnowing, op13_spelling_variants,
 )
