@@ -145,6 +145,46 @@ def _epochs(dim: str, run: str, epochs: int, rate: str) -> str:
     return _with(ANNOTATED, GOLD, _split("gold", _CEIL), *steps) + "\nUNION ALL ".join(rows)
 
 
+def _minibatches(dim: str, epochs: int, workers: int, rate: str, batch: int = 16) -> str:
+    """Steps of Adam on one standardised feature for every ``batch`` rows of a shard, and averages over shards after each epoch."""
+    loss = _smooth("b + w*z - y")
+    error = "greatest(-1e0, least(1e0, b + w*p.z - p.y))"
+    new = {c: f"(0.9e0*m{c} + 0.1e0*g{c})" for c in "bw"} | {f"v{c}": f"(0.999e0*v{c} + 0.001e0*g{c}*g{c})" for c in "bw"}
+
+    def moved(c: str) -> str:
+        return f"{c} - {rate}*({new[c]}/(1 - power(0.9e0, t + 1)))/(sqrt({new['v' + c]}/(1 - power(0.999e0, t + 1))) + 1e-8) AS {c}"
+
+    steps = [
+        f"""x AS (SELECT g.id AS id, split, length(text)/1000e0 AS x, {dim}/5e0 AS y FROM gold g JOIN sp ON g.id = sp.id)""",
+        "st AS (SELECT avg(x) AS m, stddev_samp(x) AS s FROM x WHERE split = 'train')",
+        f"""tr AS (SELECT id, ('0x' || substr(md5(concat('42-', id)), 1, 8))::BIGINT % {workers} AS shard, (x - m)/s AS z, y
+  FROM x, st WHERE split = 'train')""",
+        """va AS (SELECT (x - m)/s AS z, y, floor((row_number() OVER (ORDER BY id) - 1)/16e0) AS batch
+  FROM x, st WHERE split = 'val')""",
+        "n AS (SELECT shard, count(*) AS n FROM tr GROUP BY shard)",
+        "p0 AS (SELECT avg(y) AS b, 0e0 AS w, 0e0 AS mb, 0e0 AS mw, 0e0 AS vb, 0e0 AS vw, 0 AS t FROM tr)",
+    ]
+    for k in range(1, epochs + 1):
+        steps += [
+            f"""o{k} AS (SELECT shard, floor((row_number() OVER (PARTITION BY shard ORDER BY md5(concat('42-{k}-', id)), id) - 1)/{batch}e0) + 1 AS i, z, y FROM tr)""",
+            f"b{k} AS MATERIALIZED (SELECT shard, i, list({{'z': z, 'y': y}}) AS rows FROM o{k} GROUP BY shard, i)",
+            f"""r{k} AS (SELECT shard, 0e0 AS i, p{k - 1}.*, 0e0 AS loss FROM n, p{k - 1}
+  UNION ALL SELECT shard, i + 1, {moved("b")}, {moved("w")}, {new["b"]}, {new["w"]}, {new["vb"]}, {new["vw"]}, t + 1, one
+  FROM (SELECT r{k}.*, list_avg(list_transform(rows, lambda p: {error})) AS gb, list_avg(list_transform(rows, lambda p: p.z*({error}))) AS gw,
+          list_avg(list_transform(rows, lambda p: {_smooth("b + w*p.z - p.y")})) AS one
+        FROM r{k} JOIN b{k} ON r{k}.shard = b{k}.shard AND r{k}.i + 1 = b{k}.i) s)""",
+            f"e{k} AS (SELECT n, r{k}.* FROM r{k} JOIN n USING (shard) JOIN (SELECT shard, max(i) AS i FROM b{k} GROUP BY shard) USING (shard, i))",
+            f"p{k} AS (SELECT {', '.join(f'sum(n*{c})/sum(n) AS {c}' for c in ('b', 'w', 'mb', 'mw', 'vb', 'vw'))}, max(t) AS t FROM e{k})",
+            f"t{k} AS (SELECT avg(loss) AS train_loss FROM r{k} WHERE i > 0)",
+            f"l{k} AS (SELECT avg(one) AS val_loss FROM (SELECT batch, avg({loss}) AS one FROM va, p{k} GROUP BY batch) o)",
+        ]
+    rows = [
+        f"SELECT 'joint' AS run, CAST({k} AS INT) AS epoch, round(train_loss, 8) AS train_loss, round(val_loss, 8) AS val_loss FROM t{k}, l{k}"
+        for k in range(1, epochs + 1)
+    ]
+    return _with(ANNOTATED, GOLD, _split("gold", _CEIL), *steps).replace("WITH", "WITH RECURSIVE", 1) + "\nUNION ALL ".join(rows)
+
+
 _REPORTED = _with(*BASE, f"m AS ({_metrics('lang, dim', digits=12)})", f"""rep AS (
   SELECT lang AS run, dim, CASE dim WHEN 'V' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS idx,
     printf('%.4f', mae) AS mae, printf('%.4f', pearson_r) AS r FROM m)""")
@@ -364,6 +404,7 @@ u AS (SELECT 'V' AS dim, V AS y, CASE WHEN id % 13 <> 7 THEN 5e0*(sv*x + iv) END
     + _metrics("dim"),
     "epochs_joint": _epochs("V", "joint", 3, "0.01e0"),
     "epochs_separate": f"SELECT * FROM ({_epochs('V', 'V', 3, '0.01e0')}) v UNION ALL SELECT * FROM ({_epochs('A', 'A', 3, '0.01e0')}) a",
+    "epochs_minibatch": _minibatches("V", 3, 3, "0.003e0"),
     "fit_multi_exact": _EXACT,
     "stored_vectors": _EXACT,
     "fit_single_exact": _EXACT,

@@ -13,6 +13,7 @@ from tonescale.operators.clean import auto_unscale, clean_annotated, require_col
 from tonescale.operators.features import FEATURES, HashedTerms
 from tonescale.operators.fit import EpochFit, fit_epochs, fit_long, fit_multi
 from tonescale.operators.metrics import evaluate, evaluate_pairs
+from tonescale.operators.minibatch import fit_minibatches
 from tonescale.operators.report import compare_runs, last_sections, parse_sections, parse_single, report_lines
 from tonescale.operators.score import LinearWeights, refuse_empty, score
 from tonescale.operators.split import split_exact, to_long
@@ -64,6 +65,12 @@ def train_epochs(df: DataFrame, size: int = 256, encoder=None, **settings) -> Ep
     return fit_epochs(encoder.transform(df), size, encoder=encoder, **settings)
 
 
+def train_minibatches(df: DataFrame, size: int = 256, encoder=None, **settings) -> EpochFit:
+    """Mini-batches of few rows each, stepped through by several workers side by side, on a table with ``split``."""
+    encoder = encoder or HashedTerms(size)
+    return fit_minibatches(encoder.transform(df), size, encoder=encoder, **settings)
+
+
 def predict(df: DataFrame, model: LinearWeights, encoder=None) -> DataFrame:
     """Score a non-empty table of texts; every row keeps its columns, a missing text gets NULL predictions."""
     return score(refuse_empty(require_columns(df, "text")), model, encoder)

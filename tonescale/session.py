@@ -62,6 +62,8 @@ def scratch_root(spark: SparkSession) -> str:
 _local_roots: dict[str, str] = {}
 # The scratch tables of each application of this process.
 _made: dict[str, list[str]] = {}
+# The names of those that are bucketed.
+_tables: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -85,7 +87,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def _remove(spark: SparkSession, made: list[str], keep: int = 0) -> int:
     removed = 0
     while len(made) > keep:
-        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+        name = made.pop()
+        if name in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(name)}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return removed
 
@@ -101,6 +106,18 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, buckets: int, *columns: str) -> DataFrame:
+    """``df`` in a scratch table of hash buckets, one file each, sorted by the columns.
+
+    Joins and groupings by these columns read a bucket in one task and need no shuffle.
+    """
+    path = scratch_path(df.sparkSession, label)
+    _tables[path] = f"tonescale_{label}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *columns)
+    rows.write.bucketBy(buckets, *columns).sortBy(*columns).format("parquet").option("path", path).saveAsTable(_tables[path])
+    return df.sparkSession.table(_tables[path])
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables this application has made, once no result that reads them is needed any more."""
     return _remove(spark, _made.setdefault(spark.sparkContext.applicationId, []))
