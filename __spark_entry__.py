@@ -19,8 +19,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracles import ORACLES
 from tonescale import sources
-from tonescale.functions import DIMENSIONS, to_number, unscale_prediction
-from tonescale.operators import align, clean, encode, features, fit, metrics, monitor, position, profile, report, split
+from tonescale.functions import DIMENSIONS, to_number, tokens, unscale_prediction
+from tonescale.operators import align, clean, encode, features, fit, metrics, monitor, position, profile, report, split, wide
 from tonescale.operators.score import LinearWeights, as_weights, score_features
 from tonescale.plans import jobs
 from tonescale.session import scratch_path
@@ -442,6 +442,45 @@ def fit_multi_metrics(spark, sf_dir):
     return rounded(metrics.evaluate(scored), "mae", "pearson_r")
 
 
+def _only(texts: DataFrame, *words: str) -> DataFrame:
+    """The texts without all other words."""
+    kept = F.filter(tokens("text"), lambda w: w.isin(*words))
+    return texts.withColumn("text", F.array_join(kept, " "))
+
+
+def scaled_terms(spark, sf_dir):
+    """Hashed counts of three words, centred and divided by their standard deviations."""
+    docs = _only(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "the", "of", "de")
+    found = features.fit_weighting(docs, features.HashedTerms(256), scale=True, center=True).transform(docs)
+    x = F.col("features")
+    zero = F.lit(0.0)
+    sums = [F.aggregate(x, zero, lambda a, v: a + v).alias("total"), F.aggregate(x, zero, lambda a, v: a + v * v).alias("square"), F.array_max(x).alias("top")]
+    return rounded(found.select("id", *sums), "total", "square", "top")
+
+
+def fit_idf_terms(spark, sf_dir):
+    """Hashed counts of three words weighted by document frequencies, fitted on the training rows; every document is scored."""
+    parts = jobs.prepare_joint(_only(annotated(spark, sf_dir), "the", "of", "de"))
+    encoder = features.fit_weighting(parts.filter("split = 'train'"), features.SparseTerms(4096))
+    model = jobs.train_joint(parts, encoder=encoder, reg=0.02, solver="gradients")
+    docs = _only(annotated(spark, sf_dir).select("id", "text"), "the", "of", "de")
+    return rounded(jobs.predict(docs, model).drop("text"), *PREDICTED)
+
+
+def fit_wide_parts(spark, sf_dir):
+    """A weight for every part, fitted by conjugate gradients to three columns of its lines."""
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    size = part.agg(F.max("p_partkey")).first()[0] + 1
+
+    def one(key: str):
+        return F.struct(F.array(F.col(key).cast("int")).alias("indices"), F.array(F.lit(1.0)).alias("values")).alias("features")
+
+    targets = [F.col("l_quantity").cast("double") / 10, F.col("l_discount").cast("double") * 10, F.col("l_tax").cast("double") * 10]
+    rows = lines.select(one("l_partkey"), *[t.alias(d) for t, d in zip(targets, DIMENSIONS)])
+    model = wide.fit_wide(rows, size, reg=0.001)
+    return rounded(score_features(part.select("p_partkey", one("p_partkey")), model).drop("features"), *PREDICTED)
+
+
 def epochs_joint(spark, sf_dir):
     """One feature, one target, full batches: the log of the losses."""
     parts = jobs.prepare_joint(annotated(spark, sf_dir))
@@ -687,6 +726,7 @@ QUERIES = (
     align_position, align_prefix, align_coverage, smooth_l1_batches, epoch_loss, smooth_l1_lines, shuffle_batches,
     early_stopping, best_epoch, vocab, encode_sequences, encode_sequences_joined, encode_unknown, attention_mask, score_fixed_weights,
     gram_sums, fit_single_scalar, fit_multi_exact, stored_vectors, fit_single_exact, single_chain, fit_multi_metrics, epochs_joint, epochs_separate, epochs_minibatch,
+    scaled_terms, fit_idf_terms, fit_wide_parts,
     fit_epochs_losses, score_table,
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,
     row_counts, csv_round_trip, csv_folder, prepare_without_id, texts_round_trip, split_files, prediction_files,

@@ -234,6 +234,65 @@ _PARSED = (
 
 _MD5_ORDER = "md5(concat('42-3-', CAST(doc_id AS VARCHAR)))"
 
+_COUNTED = """cnt AS (
+  SELECT d.doc_id AS id, ln(1 + count(*) FILTER (WHERE token = 'the')) AS t1, ln(1 + count(*) FILTER (WHERE token = 'of')) AS t2,
+    ln(1 + count(*) FILTER (WHERE token = 'de')) AS t3 FROM documents d LEFT JOIN words w ON d.doc_id = w.doc_id GROUP BY d.doc_id)"""
+
+
+def _ridge_of_three(dim: str, reg: str) -> tuple[str, str]:
+    """Tables with the weights of ``dim``/5 on x1, x2 and x3 of table ``tr``, by determinants; their names."""
+
+    def det(m: list[list[str]]) -> str:
+        (a, b, c), (d, e, f), (g, h, i) = m
+        return f"({a}*({e}*{i} - {f}*{h}) - {b}*({d}*{i} - {f}*{g}) + {c}*({d}*{h} - {e}*{g}))"
+
+    a = [[f"c{min(i, j)}{max(i, j)}" for j in (1, 2, 3)] for i in (1, 2, 3)]
+    solved = []
+    for k in range(3):
+        replaced = [[f"r{i + 1}" if j == k else a[i][j] for j in range(3)] for i in range(3)]
+        solved.append(f"{det(replaced)}/{det(a)} AS w{k + 1}")
+    cells = [
+        f"covar_pop(x{i}, x{j})" + (f" + {reg}/stddev_pop({dim}/5e0)" if i == j else "") + f" AS c{i}{j}" for i in (1, 2, 3) for j in range(i, 4)
+    ]
+    goal = [f"covar_pop(x{i}, {dim}/5e0) AS r{i}, avg(x{i}) AS m{i}" for i in (1, 2, 3)]
+    tables = [
+        f"q{dim} AS (SELECT {', '.join(cells + goal)}, avg({dim}/5e0) AS my FROM tr)",
+        f"w{dim} AS (SELECT *, my - w1*m1 - w2*m2 - w3*m3 AS b FROM (SELECT *, {', '.join(solved)} FROM q{dim}) s)",
+    ]
+    return ",\n".join(tables), f"w{dim}"
+
+
+_IDF_FIT = _with(
+    ANNOTATED,
+    GOLD,
+    TOKENS,
+    _split("gold", _CEIL),
+    _COUNTED,
+    """tc AS (SELECT cnt.*, V, A, D FROM cnt JOIN gold g ON cnt.id = g.id JOIN sp ON g.id = sp.id WHERE split = 'train')""",
+    "idf AS (SELECT " + ", ".join(f"ln((count(*) + 1)/(count(*) FILTER (WHERE t{i} > 0) + 1)) AS i{i}" for i in (1, 2, 3)) + " FROM tc)",
+    "tr AS (SELECT t1*i1 AS x1, t2*i2 AS x2, t3*i3 AS x3, V, A, D FROM tc, idf)",
+    *[_ridge_of_three(d, "0.02e0")[0] for d in "VAD"],
+) + (
+    "SELECT cnt.id AS id, "
+    + ", ".join(f"round(5e0*(w{d}.b + w{d}.w1*t1*i1 + w{d}.w2*t2*i2 + w{d}.w3*t3*i3), 6) AS {d}_pred" for d in "VAD")
+    + " FROM cnt, idf, wV, wA, wD"
+)
+
+_SCALED_TERMS = _with(
+    TOKENS,
+    _COUNTED,
+    "st AS (SELECT " + ", ".join(f"avg(t{i}) AS m{i}, stddev_samp(t{i}) AS s{i}" for i in (1, 2, 3)) + " FROM cnt)",
+    "z AS (SELECT id, " + ", ".join(f"(t{i} - m{i})/s{i} AS z{i}" for i in (1, 2, 3)) + " FROM cnt, st)",
+) + "SELECT id, round(z1 + z2 + z3, 6) AS total, round(z1*z1 + z2*z2 + z3*z3, 6) AS square, round(greatest(z1, z2, z3, 0e0), 6) AS top FROM z"
+
+_ONE_HOT = """WITH l AS (SELECT l_partkey AS g, l_quantity/50e0 AS v, l_discount*10e0/5e0 AS a, l_tax*10e0/5e0 AS d FROM lineitem),
+n AS (SELECT count(*) AS n, 0.001e0/stddev_pop(v) AS lv, 0.001e0/stddev_pop(a) AS la, 0.001e0/stddev_pop(d) AS ld FROM l),
+s AS (SELECT g, count(*)/max(n) AS c, sum(v)/max(n) AS v, sum(a)/max(n) AS a, sum(d)/max(n) AS d FROM l, n GROUP BY g),
+b AS (SELECT sum(v/(c + lv))/sum(c/(c + lv)) AS bv, sum(a/(c + la))/sum(c/(c + la)) AS ba, sum(d/(c + ld))/sum(c/(c + ld)) AS bd FROM s, n)
+SELECT p_partkey, round(5e0*(bv + coalesce((v - bv*c)/(c + lv), 0e0)), 6) AS V_pred,
+  round(5e0*(ba + coalesce((a - ba*c)/(c + la), 0e0)), 6) AS A_pred, round(5e0*(bd + coalesce((d - bd*c)/(c + ld), 0e0)), 6) AS D_pred
+FROM part LEFT JOIN s ON p_partkey = g, n, b"""
+
 ORACLES = {
     "evaluate_by_dim": _with(*BASE) + _metrics("dim"),
     "evaluate_by_run": _with(*BASE) + _metrics("lang, dim"),
@@ -405,6 +464,9 @@ u AS (SELECT 'V' AS dim, V AS y, CASE WHEN id % 13 <> 7 THEN 5e0*(sv*x + iv) END
     "epochs_joint": _epochs("V", "joint", 3, "0.01e0"),
     "epochs_separate": f"SELECT * FROM ({_epochs('V', 'V', 3, '0.01e0')}) v UNION ALL SELECT * FROM ({_epochs('A', 'A', 3, '0.01e0')}) a",
     "epochs_minibatch": _minibatches("V", 3, 3, "0.003e0"),
+    "fit_idf_terms": _IDF_FIT,
+    "scaled_terms": _SCALED_TERMS,
+    "fit_wide_parts": _ONE_HOT,
     "fit_multi_exact": _EXACT,
     "stored_vectors": _EXACT,
     "fit_single_exact": _EXACT,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonescale.functions import SCALE
-from tonescale.operators.features import FEATURES, HashedTerms
+from tonescale.operators.blocks import block_of
+from tonescale.operators.features import FEATURES, described, from_description
 
 _TABLE = "dim string, position int, intercept double, weights array<double>, encoder string"
 
@@ -24,16 +25,18 @@ class LinearWeights:
     dims: tuple[str, ...]
     weights: np.ndarray
     intercepts: np.ndarray
-    encoder: HashedTerms | None = None
+    encoder: object | None = None
 
     @property
     def size(self) -> int:
         return self.weights.shape[1]
 
     def to_table(self, spark: SparkSession) -> DataFrame:
-        spec = json.dumps(asdict(self.encoder)) if isinstance(self.encoder, HashedTerms) else None
+        described_as = described(self.encoder)
+        spec = json.dumps(described_as) if described_as else None
         rows = [
-            (dim, at, float(self.intercepts[at]), [float(w) for w in self.weights[at]], spec)
+            # The encoder is told once: its statistics may be as long as the weights.
+            (dim, at, float(self.intercepts[at]), [float(w) for w in self.weights[at]], None if at else spec)
             for at, dim in enumerate(self.dims)
         ]
         return spark.createDataFrame(rows, _TABLE)
@@ -42,11 +45,11 @@ class LinearWeights:
         self.to_table(spark).coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
-    def from_table(cls, table: DataFrame, encoder: HashedTerms | None = None) -> LinearWeights:
+    def from_table(cls, table: DataFrame, encoder: object | None = None) -> LinearWeights:
         """Weights from a table with one row per dimension; an encoder that was not stored has to be given."""
         rows = table.orderBy("position").collect()
         if encoder is None and rows and rows[0]["encoder"]:
-            encoder = HashedTerms(**json.loads(rows[0]["encoder"]))
+            encoder = from_description(json.loads(rows[0]["encoder"]))
         return cls(
             tuple(r["dim"] for r in rows),
             np.array([r["weights"] for r in rows], dtype=float),
@@ -55,7 +58,7 @@ class LinearWeights:
         )
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, encoder: HashedTerms | None = None) -> LinearWeights:
+    def load(cls, spark: SparkSession, path: str, encoder: object | None = None) -> LinearWeights:
         return cls.from_table(spark.read.schema(_TABLE).parquet(path), encoder)
 
 
@@ -84,7 +87,7 @@ def score_features(df: DataFrame, model: LinearWeights, suffix: str = "_pred", c
     def predict(vectors: pa.Array) -> pa.Array:
         known = np.asarray(vectors.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
         out = np.zeros((len(vectors), len(names)))
-        out[known] = (matrix_of(vectors, size) @ weights.T + intercepts) * SCALE
+        out[known] = (block_of(vectors.filter(vectors.is_valid()), size).times(weights) + intercepts) * SCALE
         return pa.StructArray.from_arrays([pa.array(out[:, k], mask=~known) for k in range(len(names))], names)
 
     return df.withColumn("__scores", predict(column)).select("*", "__scores.*").drop("__scores")
@@ -99,7 +102,7 @@ def score(df: DataFrame, model: LinearWeights, encoder=None, keep_features: bool
     return scored if keep_features else scored.drop(FEATURES)
 
 
-def as_weights(models: Sequence[tuple[str, object]], encoder: HashedTerms | None = None) -> LinearWeights:
+def as_weights(models: Sequence[tuple[str, object]], encoder: object | None = None) -> LinearWeights:
     """One weights table from separately fitted ``LinearRegressionModel``s."""
     return LinearWeights(
         tuple(dim for dim, _ in models),

@@ -17,6 +17,7 @@ from tonescale.operators.minibatch import fit_minibatches
 from tonescale.operators.report import compare_runs, last_sections, parse_sections, parse_single, report_lines
 from tonescale.operators.score import LinearWeights, refuse_empty, score
 from tonescale.operators.split import split_exact, to_long
+from tonescale.operators.wide import fit_wide, fit_wide_long
 
 
 def prepare_single(
@@ -37,26 +38,33 @@ def prepare_joint(dev: DataFrame, fraction: float = 0.8, seed: int = 42, key: st
 
 
 def train_single(
-    df: DataFrame, encoder=None, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01, size: int | None = None
+    df: DataFrame, encoder=None, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01, size: int | None = None, solver: str = "products"
 ) -> LinearWeights:
-    """Closed form, one fit per dimension, on the ``train`` rows of a table with ``split``.
+    """Least squares, one fit per dimension, on the ``train`` rows of a table with ``split``.
 
     The table is long (``dim``, ``value``), as ``prepare_single`` makes it, or has a column per dimension. All fits come
-    from one pass. ``size`` is the length of the features, for an encoder that does not tell.
+    from one pass of cross products, or, with ``solver="gradients"`` and for any number of features, from a pass for
+    each step. ``size`` is the length of the features, for an encoder that does not tell.
     """
     encoder = encoder or HashedTerms()
     encoded = encoder.transform(df.filter(F.col("split") == "train"))
     if not {"dim", "value"} <= set(df.columns):
         encoded = to_long(encoded, dims, keep=(FEATURES,))
-    return fit_long(encoded, size or encoder.size, dims, reg, encoder)
+    fit = {"products": fit_long, "gradients": fit_wide_long}[solver]
+    return fit(encoded, size or encoder.size, dims, reg, encoder=encoder)
 
 
 def train_joint(
-    df: DataFrame, size: int = 256, encoder=None, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01
+    df: DataFrame, size: int | None = None, encoder=None, dims: Sequence[str] = DIMENSIONS, reg: float = 0.01, solver: str = "products"
 ) -> LinearWeights:
-    """Closed form, all dimensions in one pass, on the ``train`` rows of a table with ``split``."""
-    encoder = encoder or HashedTerms(size)
-    return fit_multi(encoder.transform(df.filter(F.col("split") == "train")), size, dims, reg, encoder)
+    """Least squares, all dimensions together, on the ``train`` rows of a table with ``split``.
+
+    ``solver`` is ``products`` (one pass, a matrix of features by features) or ``gradients`` (a pass for each step, no
+    such matrix). ``size`` is the length of the features, for an encoder that does not tell; 256 without an encoder.
+    """
+    encoder = encoder or HashedTerms(size or 256)
+    fit = {"products": fit_multi, "gradients": fit_wide}[solver]
+    return fit(encoder.transform(df.filter(F.col("split") == "train")), size or encoder.size, dims, reg, encoder=encoder)
 
 
 def train_epochs(df: DataFrame, size: int = 256, encoder=None, **settings) -> EpochFit:
