@@ -12,6 +12,7 @@ import sys
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from tonescale import sources
 from tonescale.functions import DIMENSIONS, to_number, tokens, unscale_prediction
 from tonescale.operators import align, clean, encode, features, fit, metrics, monitor, position, profile, report, split, wide
 from tonescale.operators.score import LinearWeights, as_weights, score_features
-from tonescale.plans import jobs
+from tonescale.plans import jobs, stages
 from tonescale.session import scratch_path
 
 try:
@@ -719,6 +720,30 @@ def stored_model(spark, sf_dir):
     return rounded(scored.select("id", *PREDICTED), *PREDICTED, digits=4)
 
 
+def stored_pipeline(spark, sf_dir):
+    """Stored vectors and the joint fit as stages of one Spark ML pipeline, stored with the vectors and loaded before it scores."""
+    path, rows = scratch_path(spark, "pipeline"), _vectors(spark, sf_dir).drop("features")
+    encoder = features.StoredVectors(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"))
+    fitted = Pipeline(stages=[stages.EncoderStage(encoder), stages.DimensionRegressor(WIDTH, reg=0.0)]).fit(rows)
+    fitted.write().overwrite().save(path)
+    scored = PipelineModel.load(path).transform(rows)
+    return rounded(scored.select("id", *PREDICTED), *PREDICTED, digits=4)
+
+
+def stored_encoder(spark, sf_dir):
+    """A supplied batch encoder, stored within its pipeline: every document is scored by what was loaded, missing texts too."""
+
+    def make():
+        return lambda texts: np.array([[len(t) / 1000.0] for t in texts])
+
+    path = scratch_path(spark, "pipeline")
+    fitted = Pipeline(stages=[stages.EncoderStage(features.BatchEncoder(make, batch_size=256)), stages.DimensionRegressor(1, ["V", "A"], reg=0.0)])
+    fitted.fit(gold(spark, sf_dir)).write().overwrite().save(path)
+    docs = annotated(spark, sf_dir).select("id", F.when(F.col("id") % 13 != 7, F.col("text")).alias("text"))
+    scored = PipelineModel.load(path).transform(docs)
+    return rounded(scored.select("id", "V_pred", "A_pred"), "V_pred", "A_pred")
+
+
 QUERIES = (
     evaluate_by_dim, evaluate_by_run, evaluate_text_pairs, evaluate_auto_unscale, auto_unscale, pearson_plain,
     pearson_constant, drop_missing_any, drop_missing_all, select_target, scale_roundtrip, lenient_numbers, head_rows,
@@ -731,6 +756,7 @@ QUERIES = (
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,
     row_counts, csv_round_trip, csv_folder, prepare_without_id, texts_round_trip, split_files, prediction_files,
     appended_losses, evaluate_text_id, folder_profile, report_missing, report_files, loss_log_files, stored_model,
+    stored_pipeline, stored_encoder,
 )
 
 

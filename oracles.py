@@ -471,6 +471,12 @@ u AS (SELECT 'V' AS dim, V AS y, CASE WHEN id % 13 <> 7 THEN 5e0*(sv*x + iv) END
     "stored_vectors": _EXACT,
     "fit_single_exact": _EXACT,
     "stored_model": _EXACT,
+    "stored_pipeline": _EXACT,
+    "stored_encoder": _with(ANNOTATED, GOLD, """w AS (
+  SELECT regr_slope(V, length(text)/1000e0) AS sv, regr_intercept(V, length(text)/1000e0) AS iv,
+    regr_slope(A, length(text)/1000e0) AS sa, regr_intercept(A, length(text)/1000e0) AS ia FROM gold)""")
+    + """SELECT id, CASE WHEN id % 13 <> 7 THEN round(iv + sv*length(text)/1000e0, 6) END AS V_pred,
+      CASE WHEN id % 13 <> 7 THEN round(ia + sa*length(text)/1000e0, 6) END AS A_pred FROM ann, w""",
     "csv_round_trip": _with(ANNOTATED)
     + "SELECT id, md5(text) AS text_md5, round(V, 6) AS V, round(A, 6) AS A, round(D, 6) AS D FROM ann",
     "folder_profile": _with(ANNOTATED, GOLD)
