@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -744,6 +745,61 @@ def stored_encoder(spark, sf_dir):
     return rounded(scored.select("id", "V_pred", "A_pred"), "V_pred", "A_pred")
 
 
+def align_spread(spark, sf_dir):
+    """Every document meets the figures of its language: a few keys that have all rows, and the missing one (every 13th)."""
+    docs = annotated(spark, sf_dir).withColumn("lang", F.when(F.col("id") % 13 != 7, F.col("lang")))
+    preds = docs.select(F.col("lang").alias("id"), F.col("id").alias("doc_id"), (F.length("text") / F.lit(1000.0)).alias("A_pred"))
+    known = docs.groupBy(F.col("lang").alias("id")).agg(F.count("*").alias("n"), F.avg(F.length("text") / F.lit(1000.0)).alias("A"))
+    return rounded(align.align_spread(preds, known, "id", most=500), "A_pred", "A")
+
+
+def evaluate_bucketed(spark, sf_dir):
+    """Predictions and gold stored in buckets by id and joined where they lie."""
+    path, name = scratch_path(spark, "buckets"), f"buckets_{uuid.uuid4().hex}"
+    preds = sources.store_bucketed(predictions(spark, sf_dir).drop("text", "lang"), f"{name}_p", f"{path}/p", buckets=8)
+    known = sources.store_bucketed(annotated(spark, sf_dir).drop("text"), f"{name}_g", f"{path}/g", buckets=8)
+    return rounded(metrics.evaluate(align.align(preds, known, "id", missing="drop")), "mae", "pearson_r")
+
+
+def split_files_counted(spark, sf_dir):
+    """The sizes of the split tables, counted while they are written."""
+    sizes = sources.write_splits_counted(jobs.prepare_single(gold(spark, sf_dir)), scratch_path(spark, "splits"))
+    return spark.createDataFrame(sizes, "dim string, split string, n long")
+
+
+def aligned_files_counted(spark, sf_dir):
+    """Aligned rows as they were stored, with the counts of the job that stored them."""
+    path = scratch_path(spark, "aligned")
+    preds = predictions(spark, sf_dir).filter("id % 7 <> 0").select("id", *PREDICTED)
+    found = sources.write_aligned(preds, gold(spark, sf_dir).select("id", *DIMENSIONS), path)
+    counts = [F.lit(n).cast("long").alias(c) for c, n in found.items()]
+    sums = [F.round(F.sum(c), 4).alias(c) for c in (*PREDICTED, *DIMENSIONS)]
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), *sums).select("*", *counts)
+
+
+def appended_epochs(spark, sf_dir):
+    """A log that grows: all epochs of some runs, then single epochs of one of them again; the others stay."""
+    path, log = scratch_path(spark, "epochs"), loss_log(spark, sf_dir)
+    by = ("run", "epoch")
+    sources.append_losses(log.filter("epoch <= 20"), path, by)
+    sources.append_losses(log.filter("epoch > 20 AND run <> 'view'"), path, by)
+    sources.append_losses(log.filter("epoch IN (3, 20, 21) AND run = 'click'").withColumn("loss", -F.col("loss")), path, by)
+    return rounded(spark.read.parquet(path).select("run", F.col("epoch").cast("int").alias("epoch"), "loss"), "loss")
+
+
+def refused_tables(spark, sf_dir):
+    """Which parts of the documents are refused as there is nothing to score, and how many rows the others have."""
+    model = LinearWeights(("V",), np.zeros((1, 1)), np.array([0.4]))
+    parts = {"all": F.lit(True), "labelled": F.col("V").isNotNull(), "unknown language": F.col("lang") == "xx"}
+    found = []
+    for name, part in parts.items():
+        try:
+            found.append((name, False, jobs.predict(annotated(spark, sf_dir).filter(part), model, TextLength()).count()))
+        except ValueError:
+            found.append((name, True, 0))
+    return spark.createDataFrame(found, "part string, refused boolean, n long")
+
+
 QUERIES = (
     evaluate_by_dim, evaluate_by_run, evaluate_text_pairs, evaluate_auto_unscale, auto_unscale, pearson_plain,
     pearson_constant, drop_missing_any, drop_missing_all, select_target, scale_roundtrip, lenient_numbers, head_rows,
@@ -756,7 +812,7 @@ QUERIES = (
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,
     row_counts, csv_round_trip, csv_folder, prepare_without_id, texts_round_trip, split_files, prediction_files,
     appended_losses, evaluate_text_id, folder_profile, report_missing, report_files, loss_log_files, stored_model,
-    stored_pipeline, stored_encoder,
+    stored_pipeline, stored_encoder, align_spread, evaluate_bucketed, split_files_counted, aligned_files_counted, appended_epochs, refused_tables,
 )
 
 

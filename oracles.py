@@ -470,6 +470,23 @@ u AS (SELECT 'V' AS dim, V AS y, CASE WHEN id % 13 <> 7 THEN 5e0*(sv*x + iv) END
     "fit_multi_exact": _EXACT,
     "stored_vectors": _EXACT,
     "fit_single_exact": _EXACT,
+    "align_spread": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 7 THEN lang END AS id, length(text)/1000e0 AS x FROM documents),
+g AS (SELECT id, count(*) AS n, avg(x) AS a FROM d GROUP BY id)
+SELECT d.id AS id, doc_id, round(x, 6) AS A_pred, n, round(a, 6) AS A FROM d JOIN g ON d.id IS NOT DISTINCT FROM g.id""",
+    "evaluate_bucketed": _with(*BASE) + _metrics("dim"),
+    "split_files_counted": _with(ANNOTATED, GOLD, _split("gold", _ROUND))
+    + "SELECT dim, split, count(*) AS n FROM sp, (VALUES ('V'), ('A'), ('D')) x(dim) GROUP BY dim, split",
+    "aligned_files_counted": _with(ANNOTATED, GOLD, PREDICTIONS)
+    + "SELECT count(*) AS n, "
+    + ", ".join(f"round(sum(p.{d}_pred), 4) AS {d}_pred, round(sum(g.{d}), 4) AS {d}" for d in "VAD")
+    + """, count(*) AS n_aligned, (SELECT count(*) FROM pred WHERE id % 7 <> 0) - count(*) AS lost_pred,
+  (SELECT count(*) FROM gold) - count(*) AS lost_gold FROM pred p JOIN gold g ON p.id = g.id WHERE p.id % 7 <> 0""",
+    "appended_epochs": _with(LOSSES)
+    + """SELECT run, epoch, round(CASE WHEN run = 'click' AND epoch IN (3, 20, 21) THEN -loss ELSE loss END, 6) AS loss
+      FROM loss_log WHERE epoch <= 20 OR run <> 'view'""",
+    "refused_tables": _with(ANNOTATED)
+    + """SELECT 'all' AS part, FALSE AS refused, count(*) AS n FROM ann UNION ALL SELECT 'labelled', FALSE, count(V) FROM ann
+UNION ALL SELECT 'unknown language', TRUE, 0""",
     "stored_model": _EXACT,
     "stored_pipeline": _EXACT,
     "stored_encoder": _with(ANNOTATED, GOLD, """w AS (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonescale.functions import DIMENSIONS
 from tonescale.operators.position import numbered
+from tonescale.session import materialize
 
 Order = Sequence[Column | str]
 
@@ -39,12 +40,51 @@ def key_of(key: str) -> Column:
     return F.col(key)
 
 
-def _join(preds: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+def _sides(preds: DataFrame, gold: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     left, right = _suffixed(preds, gold, key)
-    left = left.withColumn("__left", key_of(key))
-    right = right.withColumn("__right", key_of(key)).drop(key)
-    # Missing keys pair with each other.
-    return left.join(right, F.col("__left").eqNullSafe(F.col("__right")), "inner").drop("__left", "__right")
+    return left.withColumn("__left", key_of(key)), right.withColumn("__right", key_of(key)).drop(key)
+
+
+def _join(preds: DataFrame, gold: DataFrame, key: str, missing: str = "pair") -> DataFrame:
+    left, right = _sides(preds, gold, key)
+    same = F.col("__left") == F.col("__right") if missing == "drop" else F.col("__left").eqNullSafe(F.col("__right"))
+    return left.join(right, same, "inner").drop("__left", "__right")
+
+
+def align_spread(preds: DataFrame, gold: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """The rows of ``align`` by ``id`` or ``text`` where a few keys, or the missing ones, have very many rows.
+
+    Keys are counted first. Those with more than ``most`` rows on one side, and the missing ones, of which there can be no more than
+    the rows of both sides over ``most`` plus one, are broadcast: their rows leave the plain join before it shuffles. They
+    are stored and numbered, each side is dealt by number into blocks of at most ``most`` rows, and every pair of blocks is a cell
+    of its own, so no task gets more than a cell at a time, however the rows of the key lie. A side in one block is copied once for each block of the other.
+    """
+    left, right = _sides(preds, gold, key)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = left.select(F.col("__left").alias("__key"), one.alias("p"), none.alias("g")).unionByName(
+        right.select(F.col("__right").alias("__key"), none.alias("p"), one.alias("g"))
+    )
+    counts = both.groupBy("__key").agg(F.sum("p").alias("p"), F.sum("g").alias("g")).filter("p > 0 AND g > 0")
+    large = (F.col("p") > most) | (F.col("g") > most) | F.col("__key").isNull()
+    blocks = [F.ceil(F.col(c) / most).cast("long").alias(n) for c, n in (("p", "__rows"), ("g", "__columns"))]
+    crowded = materialize(counts.filter(large).select("__key", *blocks, F.monotonically_increasing_id().alias("__slot")), "crowded")
+    known = F.broadcast(crowded.select("__key"))
+
+    def others(side: DataFrame, name: str) -> DataFrame:
+        return side.filter(F.col(name).isNotNull()).join(known, F.col(name) == F.col("__key"), "left_anti")
+
+    def dealt(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        rows = side.join(F.broadcast(crowded), F.col(name).eqNullSafe(F.col("__key"))).drop("__key", name)
+        stored = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "crowded")
+        placed = stored.withColumn(f"{own}_at", F.pmod("__row", own))
+        return placed.withColumn(f"{other}_at", F.explode(F.sequence(none, F.col(other) - 1))).drop("__row", "__rows", "__columns")
+
+    plain = others(left, "__left").join(others(right, "__right"), F.col("__left") == F.col("__right")).drop("__left", "__right")
+    if crowded.isEmpty():
+        return plain
+    cells = ["__slot", "__rows_at", "__columns_at"]
+    spread = dealt(left, "__left", "__rows", "__columns").join(dealt(right, "__right", "__columns", "__rows"), cells).drop(*cells)
+    return plain.unionByName(spread)
 
 
 def align(
@@ -53,18 +93,21 @@ def align(
     how: str = "auto",
     order_preds: Order | None = None,
     order_gold: Order | None = None,
+    missing: str = "pair",
 ) -> DataFrame:
     """One row per pair of a prediction and a gold annotation.
 
     ``how`` is ``id``, ``text``, ``position`` (equal length required), ``prefix``
     (gold is cut to the number of predictions) or ``auto``. Repeated keys multiply;
-    for metrics over a repeated key use ``evaluate_pairs``, which needs no pairs.
+    for metrics over a repeated key use ``evaluate_pairs``, which needs no pairs, and for keys
+    with very many rows ``align_spread``. Rows with a missing key pair with each other, or, with ``missing="drop"``, are left
+    out; tables stored in buckets by the key (``sources.store_bucketed``) are then joined where they lie.
     The positional ways need an order for each side, as a table has none of its own.
     """
     if how == "auto":
         how = choose_key(preds, gold) or "position"
     if how in ("id", "text"):
-        return _join(preds, gold, how)
+        return _join(preds, gold, how, missing)
     if how not in ("position", "prefix"):
         raise ValueError(f"cannot align by {how!r}")
     if order_preds is None or order_gold is None:

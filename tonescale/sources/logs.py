@@ -31,6 +31,10 @@ def write_loss_log(losses: DataFrame, path: str, column: str = "loss") -> None:
     slim.repartition("run").sortWithinPartitions("run", "epoch").write.mode("overwrite").partitionBy("run").csv(path)
 
 
-def append_losses(losses: DataFrame, path: str) -> None:
-    """Replace the records of the runs in ``losses`` and leave other runs alone."""
-    losses.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+def append_losses(losses: DataFrame, path: str, by: tuple[str, ...] = ("run",)) -> None:
+    """Replace the records of the runs in ``losses`` and leave other runs alone.
+
+    With ``by=("run", "epoch")``, for a log that grows by an epoch at a time, only the records of those epochs are replaced:
+    an epoch that is written again after a failure is there once. A log keeps the layout it began with.
+    """
+    losses.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
