@@ -800,6 +800,15 @@ def refused_tables(spark, sf_dir):
     return spark.createDataFrame(found, "part string, refused boolean, n long")
 
 
+def position_ties(spark, sf_dir):
+    """Documents numbered by language alone: each language has a run of positions, whatever its rows."""
+    placed = position.with_position(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"])
+    found = placed.groupBy("lang").agg(
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("places"), F.count_distinct("doc_id").alias("docs")
+    )
+    return found
+
+
 QUERIES = (
     evaluate_by_dim, evaluate_by_run, evaluate_text_pairs, evaluate_auto_unscale, auto_unscale, pearson_plain,
     pearson_constant, drop_missing_any, drop_missing_all, select_target, scale_roundtrip, lenient_numbers, head_rows,
@@ -812,7 +821,7 @@ QUERIES = (
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,
     row_counts, csv_round_trip, csv_folder, prepare_without_id, texts_round_trip, split_files, prediction_files,
     appended_losses, evaluate_text_id, folder_profile, report_missing, report_files, loss_log_files, stored_model,
-    stored_pipeline, stored_encoder, align_spread, evaluate_bucketed, split_files_counted, aligned_files_counted, appended_epochs, refused_tables,
+    stored_pipeline, stored_encoder, align_spread, evaluate_bucketed, split_files_counted, aligned_files_counted, appended_epochs, refused_tables, position_ties,
 )
 
 

@@ -487,6 +487,8 @@ SELECT d.id AS id, doc_id, round(x, 6) AS A_pred, n, round(a, 6) AS A FROM d JOI
     "refused_tables": _with(ANNOTATED)
     + """SELECT 'all' AS part, FALSE AS refused, count(*) AS n FROM ann UNION ALL SELECT 'labelled', FALSE, count(V) FROM ann
 UNION ALL SELECT 'unknown language', TRUE, 0""",
+    "position_ties": """SELECT lang, min(pos) AS first, max(pos) AS last, count(DISTINCT pos) AS places, count(DISTINCT doc_id) AS docs
+      FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY lang) AS pos FROM documents) s GROUP BY lang""",
     "stored_model": _EXACT,
     "stored_pipeline": _EXACT,
     "stored_encoder": _with(ANNOTATED, GOLD, """w AS (

@@ -147,3 +147,31 @@ def test_profile_of_a_table(spark):
     df = spark.createDataFrame([("a", "x", 1)], "text string, s string, n int")
     row = profile.profile_table(df, "t").first()
     assert (row["columns"], row.n_rows, row.target, row.target_numeric) == ("text,s,n", 1, "s", False)
+
+
+def test_a_folder_is_read_twice_however_its_files_are_dealt(spark, tmp_path):
+    import csv
+
+    for i in range(9):
+        with open(tmp_path / f"f{i}.csv", "w", newline="") as out:
+            # Quoted names may hold commas, quotes and line breaks; rows may too.
+            writer = csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL if i % 2 else csv.QUOTE_MINIMAL)
+            names = ["id", "text", "V", 'odd, "name"\nof two lines']
+            order = names if i % 3 else names[::-1]
+            writer.writerow(order)
+            for j in range(40):
+                row = {"id": 100 * i + j, "text": f'line one\nline "{j}", two', "V": j / 2, names[3]: f"x{j}"}
+                writer.writerow([row[n] for n in order])
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "header.csv").write_text("text,id,,\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for first, second in (("128m", "128m"), ("1k", "128m"), ("128m", "1k")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            df = sources.read_annotated(spark, str(tmp_path))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+            found.append(sorted(tuple(r) for r in df.select("id", "text", "V", F.col('`odd, "name"\nof two lines`')).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] == found[2] == [(100 * i + j, f'line one\nline "{j}", two', j / 2, f"x{j}") for i in range(9) for j in range(40)]

@@ -117,3 +117,37 @@ def test_scratch_tables_are_removed_on_request(spark):
     path = session._made[spark.sparkContext.applicationId][-1]
     assert os.path.isdir(path)
     assert session.clear_scratch(spark) >= 1 and not os.path.exists(path)
+
+
+@pytest.mark.parametrize("rule", split.RULES)
+@pytest.mark.parametrize("digits, few", [(1, 1), (1, 40), (2, 3), (4, 10_000), (5, 0)])
+def test_levels_of_any_width_find_the_same_cut(spark, rule, digits, few):
+    df = spark.range(700)
+    assert split.find_cut(df, rule=rule, digits=digits, few=few) == split.find_cut(df, rule=rule)
+    with pytest.raises(ValueError, match="not unique"):
+        split.find_cut(df.unionAll(df).filter("id < 350").select((F.col("id") * 0).alias("id")), rule=rule, digits=digits, few=few)
+    with pytest.raises(ValueError, match="NULL"):
+        split.find_cut(df.select(F.when(F.col("id") > 3, F.col("id")).alias("id")), rule=rule, digits=digits, few=few)
+
+
+def test_keys_of_a_join_are_made_once(spark, tmp_path):
+    spark.range(300).write.parquet(str(tmp_path / "a"))
+    a = spark.read.parquet(str(tmp_path / "a"))
+    joined = a.join(a.withColumn("x", F.col("id") % 2), "id")
+    assert split._is_plain(a.filter("id > 4").select("id")) and not split._is_plain(joined.select("id"))
+    assert split.find_cut(joined) == split.find_cut(a)
+
+
+def test_equal_order_keys_are_spread_over_tasks(spark):
+    df = spark.range(20_000).select("id", F.lit("same").alias("k"), F.create_map(F.lit("a"), "id").alias("m"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed = position.with_position(df, ["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert placed.agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first()[:] == (1, 20_000, 20_000)
+    files = [r["count"] for r in placed.groupBy(F.input_file_name()).count().collect()]
+    assert len(files) == 8 and max(files) < 2 * sorted(files)[4]
+    again = {r.id: r.pos for r in position.with_position(df.repartition(3), ["k"]).collect()}
+    assert again == {r.id: r.pos for r in placed.collect()}

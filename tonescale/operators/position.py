@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonescale.session import materialize
 
@@ -15,13 +16,18 @@ _ROW_BITS = 33
 BUCKET_DIGITS = 4
 
 
+def _has_map(kind: T.DataType) -> bool:
+    """Spark hashes no maps."""
+    return "map<" in kind.simpleString()
+
+
 def numbered(df: DataFrame, order_by: Sequence[Column | str], name: str = "pos") -> tuple[DataFrame, int]:
     """``with_position`` together with the number of rows."""
     row = "__row"
+    # Rows that are equal in the order are spread, and ordered, by a hash of all their columns.
+    order = [*order_by, F.xxhash64(*[f.name for f in df.schema if not _has_map(f.dataType)])]
     placed = materialize(
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn(row, F.monotonically_increasing_id()),
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()),
         "position",
     )
     part = F.shiftrightunsigned(row, _ROW_BITS)
@@ -49,8 +55,9 @@ def with_position(df: DataFrame, order_by: Sequence[Column | str], name: str = "
     partition, and written to the scratch folder, so that the partition sizes and
     the rows they belong to cannot drift apart if executors are lost. The offset of
     each partition is then added by a join whose broadcast side has one row per
-    shuffle partition. Pass only the columns needed afterwards, and let the order end in
-    a unique column: rows that are equal in it cannot be spread.
+    shuffle partition. Pass only the columns needed afterwards. Rows that are equal in the order follow each other by a hash
+    of all their columns, so the positions are repeatable and a frequent order key is spread over tasks; only copies that
+    are equal in every column stay together.
     """
     return numbered(df, order_by, name)[0]
 

@@ -41,8 +41,7 @@ def _no_boolean(c: Column) -> Column:
 def profile_folder(spark: SparkSession, path: str) -> DataFrame:
     """One row per CSV file of a folder, whatever its width.
 
-    Files may have different headers, so all are read by position with the header as
-    a row; the first row of a file is its header. A file that cannot be profiled gets
+    Files may have different headers, so all are read by position. A file that cannot be profiled gets
     an ``error`` and does not stop the others: empty, or more fields in a row than
     header names.
     """
@@ -50,19 +49,19 @@ def profile_folder(spark: SparkSession, path: str) -> DataFrame:
     text_first = F.get("names", F.lit(0)) == F.lit("text")
     at = F.when(text_first, F.lit(1)).otherwise(F.lit(0))
     value = F.get("fields", at)
-    # Files are few next to rows: each row learns its header, and only numbers are aggregated.
-    body = rows.join(headers.select("__file", F.col("__row").alias("__header"), "names"), "__file")
-    below = F.col("__row") != F.col("__header")
+    # One row for each file, which the driver has listed anyway.
+    body = rows.join(F.broadcast(headers), "__file")
     counts = (
-        body.select("__file", "width", below.alias("below"), (below & _no_number(value)).alias("text"), (below & _no_boolean(value)).alias("other"))
+        body.select("__file", "width", _no_number(value).alias("text"), _no_boolean(value).alias("other"))
         .groupBy("__file")
         .agg(F.count("*").alias("n"), F.max("width").alias("width"), F.count_if("text").alias("text"), F.count_if("other").alias("other"))
     )
-    counts = counts.join(headers.select("__file", F.col("names").alias("named"), F.size("names").alias("n_columns")), "__file")
+    counts = headers.select("__file", F.col("names").alias("named"), F.size("names").alias("n_columns")).join(counts, "__file", "left")
+    counts = counts.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     named = F.col("named")
     target = F.get(named, F.when(F.get(named, F.lit(0)) == F.lit("text"), F.lit(1)).otherwise(F.lit(0)))
     # A column without any row has no type.
-    numeric = (F.col("n") > 1) & ((F.col("text") == 0) | (F.col("other") == 0))
+    numeric = (F.col("n") > 0) & ((F.col("text") == 0) | (F.col("other") == 0))
     error = F.when(F.col("n").isNull(), F.lit("no columns")).when(F.col("width") > F.col("n_columns"), F.lit("more fields than header names"))
     # The file listing, which the driver holds anyway, also has the files without a byte.
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).inputFiles()
@@ -79,7 +78,7 @@ def profile_folder(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("listed", "[^/]*$", 0).alias("name"),
         F.when(ok, F.array_join(named, ",")).alias("columns"),
         F.when(ok, F.col("n_columns")).alias("n_columns"),
-        F.when(ok, F.col("n") - F.lit(1)).alias("n_rows"),
+        F.when(ok, F.col("n")).alias("n_rows"),
         F.when(ok, F.array_contains(named, F.lit("text"))).alias("has_text"),
         F.when(ok, F.col("n_columns") == 2).alias("two_columns"),
         F.when(ok, target).alias("target"),

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonescale.functions import DIMENSIONS
 from tonescale.operators.position import BUCKET_DIGITS, order_digest
+from tonescale.session import materialize, scratch
 
 RULES = ("round", "ceil")
 
 
-def train_size(n: Column, fraction: float, rule: str) -> Column:
+# So many digests are ordered on the driver.
+_FEW = 10_000
+_DIGEST = 32
+
+
+def train_size(n: int, fraction: float, rule: str) -> int:
     """Rows that go to training.
 
     ``round``: the training share is rounded half to even. ``ceil``: the
     validation share is rounded up and training gets the rest.
     """
     if rule == "round":
-        return F.bround(n * F.lit(fraction)).cast("long")
+        return round(n * fraction)
     if rule == "ceil":
-        return n - F.ceil(n * F.lit(round(1.0 - fraction, 12))).cast("long")
+        return n - math.ceil(n * round(1.0 - fraction, 12))
     raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
 
 
@@ -45,46 +52,58 @@ class SplitCut:
         return df.withColumn(name, self.label())
 
 
-def find_cut(df: DataFrame, key: str = "id", fraction: float = 0.8, seed: int = 42, rule: str = "round") -> SplitCut:
+def _is_plain(df: DataFrame) -> bool:
+    """Whether the rows come from one table, row by row, so that reading its key column again costs no more than storing it."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    heavy = ("Join", "Aggregate", "Window", "Generate", "Sort", "Repartition", "Python", "Arrow", "Union", "Distinct")
+    return plan.collectLeaves().size() == 1 and not any(word in plan.toString() for word in heavy)
+
+
+def find_cut(
+    df: DataFrame, key: str = "id", fraction: float = 0.8, seed: int = 42, rule: str = "round", digits: int = BUCKET_DIGITS, few: int = _FEW
+) -> SplitCut:
     """Find the cut that puts exactly the required number of rows into training.
 
-    No row is sorted or shuffled for it. The digests are counted by their leading
-    digits (at most 65,536 groups), which tells the one group the cut falls into;
-    only that 1/65,536 of the rows is then ordered.
+    No row is sorted or shuffled for it. Digests are counted by their leading ``digits`` hex digits, which tells the group
+    the cut falls into; that group is counted by the next digits, and so on until it has at most ``few`` rows, whose digests the driver
+    orders. Each level is one aggregate of at most 16^``digits`` counts. Keys that come from a join or another costly plan are
+    stored once; a plain table's key column is read for each level.
     """
-    digests = df.select(order_digest(key, seed).alias("digest"))
-    # Both passes scan the key column alone; nothing of the size of the table is kept between them.
-    by_prefix = digests.groupBy(F.substring("digest", 1, BUCKET_DIGITS).alias("prefix")).agg(
-        F.count("*").alias("size")
-    )
-    running = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cumulated = (
-        by_prefix.withColumn("upto", F.sum("size").over(running))
-        .withColumn("n", F.sum("size").over(everything))
-        .withColumn("unkeyed", F.max(F.col("prefix").isNull()).over(everything))
-        .withColumn("n_train", train_size(F.col("n"), fraction, rule))
-    )
-    at = cumulated.filter("upto >= n_train").orderBy("prefix").first()
-    if at is None:
+    train_size(0, fraction, rule)
+    with scratch(df.sparkSession):
+        keys = df.select(key)
+        if not _is_plain(keys):
+            keys = materialize(keys, "keys")
+        return _cut(keys.select(order_digest(key, seed).alias("digest")), key, fraction, seed, rule, digits, few)
+
+
+def _cut(digests: DataFrame, key: str, fraction: float, seed: int, rule: str, digits: int, few: int) -> SplitCut:
+    def counted(prefix: str, length: int) -> list[tuple[str | None, int]]:
+        inside = digests.filter(F.col("digest").startswith(prefix)) if prefix else digests
+        found = inside.groupBy(F.substring("digest", 1, length).alias("prefix")).agg(F.count("*").alias("size")).collect()
+        return sorted(((r["prefix"], r["size"]) for r in found), key=lambda r: (r[0] is not None, r[0]))
+
+    groups = counted("", digits)
+    if not groups:
         return SplitCut(key, seed, 0, 0, "")
-    if at["unkeyed"]:
+    if groups[0][0] is None:
         raise ValueError(f"column {key!r} has NULL values and cannot key a split")
-    if at["n_train"] == 0:
-        return SplitCut(key, seed, at["n"], 0, "")
-    wanted = at["n_train"] - (at["upto"] - at["size"])
-    last = (
-        digests.filter(F.col("digest").startswith(at["prefix"]))
-        .groupBy("digest")
-        .agg(F.count("*").alias("size"))
-        .withColumn("upto", F.sum("size").over(Window.orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)))
-        .filter(F.col("upto") >= F.lit(wanted))
-        .orderBy("digest")
-        .first()
-    )
-    if last["upto"] != wanted:
-        raise ValueError(f"column {key!r} is not unique: {last['size']} rows share the key at the cut")
-    return SplitCut(key, seed, at["n"], at["n_train"], last["digest"])
+    n = sum(size for _, size in groups)
+    n_train = train_size(n, fraction, rule)
+    if n_train == 0:
+        return SplitCut(key, seed, n, 0, "")
+    wanted = n_train
+    while True:
+        # The group that holds row ``wanted`` of those that are left.
+        for prefix, size in groups:
+            if wanted <= size:
+                break
+            wanted -= size
+        if len(prefix) == _DIGEST:
+            if wanted != size:
+                raise ValueError(f"column {key!r} is not unique: {size} rows share the key at the cut")
+            return SplitCut(key, seed, n, n_train, prefix)
+        groups = counted(prefix, _DIGEST if size <= few else min(_DIGEST, len(prefix) + digits))
 
 
 def split_exact(
