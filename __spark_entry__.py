@@ -25,7 +25,7 @@ from tonescale.functions import DIMENSIONS, to_number, tokens, unscale_predictio
 from tonescale.operators import align, clean, encode, features, fit, metrics, monitor, position, profile, report, split, wide
 from tonescale.operators.score import LinearWeights, as_weights, score_features
 from tonescale.plans import jobs, stages
-from tonescale.session import scratch_path
+from tonescale.session import broadcast_if_small, scratch_path
 
 try:
     from tonescale.llm import queries as llm_queries
@@ -48,7 +48,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets: V from the labels, A from the text length, D unrelated to the text."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    both = docs.join(labels.withColumn("labelled", F.lit(True)), "doc_id", "left")
+    # Small labels come to the texts.
+    both = docs.join(broadcast_if_small(labels).withColumn("labelled", F.lit(True)), "doc_id", "left")
     one, two, four = F.lit(1.0), F.lit(2.0), F.lit(4.0)
     length = F.col("n_chars").cast("double") / (F.col("n_chars").cast("double") + F.lit(2000.0))
     return both.select(
@@ -469,18 +470,15 @@ def fit_idf_terms(spark, sf_dir):
     return rounded(jobs.predict(docs, model).drop("text"), *PREDICTED)
 
 
-def fit_wide_parts(spark, sf_dir):
-    """A weight for every part, fitted by conjugate gradients to three columns of its lines."""
-    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    size = part.agg(F.max("p_partkey")).first()[0] + 1
-
-    def one(key: str):
-        return F.struct(F.array(F.col(key).cast("int")).alias("indices"), F.array(F.lit(1.0)).alias("values")).alias("features")
-
-    targets = [F.col("l_quantity").cast("double") / 10, F.col("l_discount").cast("double") * 10, F.col("l_tax").cast("double") * 10]
-    rows = lines.select(one("l_partkey"), *[t.alias(d) for t, d in zip(targets, DIMENSIONS)])
-    model = wide.fit_wide(rows, size, reg=0.001)
-    return rounded(score_features(part.select("p_partkey", one("p_partkey")), model).drop("features"), *PREDICTED)
+def fit_wide_groups(spark, sf_dir):
+    """A weight for every ten documents, fitted by conjugate gradients to three figures of them; every document is scored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"))
+    group = F.floor(F.col("doc_id") / 10).cast("int")
+    size = docs.agg(F.max(group)).first()[0] + 1
+    one = F.struct(F.array(group).alias("indices"), F.array(F.lit(1.0)).alias("values")).alias("features")
+    targets = [F.lit(5.0) * F.col("n") / (F.col("n") + 2000), F.col("n") % 7, F.col("doc_id") % 97 / 20]
+    model = wide.fit_wide(docs.select(one, *[t.cast("double").alias(d) for t, d in zip(targets, DIMENSIONS)]), size, reg=0.0001)
+    return rounded(score_features(docs.select("doc_id", one), model).drop("features"), *PREDICTED)
 
 
 def epochs_joint(spark, sf_dir):
@@ -753,18 +751,21 @@ def align_spread(spark, sf_dir):
     return rounded(align.align_spread(preds, known, "id", most=500), "A_pred", "A")
 
 
-def evaluate_bucketed(spark, sf_dir):
+def align_bucketed(spark, sf_dir):
     """Predictions and gold stored in buckets by id and joined where they lie."""
     path, name = scratch_path(spark, "buckets"), f"buckets_{uuid.uuid4().hex}"
     preds = sources.store_bucketed(predictions(spark, sf_dir).drop("text", "lang"), f"{name}_p", f"{path}/p", buckets=8)
-    known = sources.store_bucketed(annotated(spark, sf_dir).drop("text"), f"{name}_g", f"{path}/g", buckets=8)
-    return rounded(metrics.evaluate(align.align(preds, known, "id", missing="drop")), "mae", "pearson_r")
+    known = sources.store_bucketed(annotated(spark, sf_dir).drop("text", "lang"), f"{name}_g", f"{path}/g", buckets=8)
+    return rounded(align.align(preds, known, "id", missing="drop"), *PREDICTED, *DIMENSIONS)
 
 
 def split_files_counted(spark, sf_dir):
-    """The sizes of the split tables, counted while they are written."""
-    sizes = sources.write_splits_counted(jobs.prepare_single(gold(spark, sf_dir)), scratch_path(spark, "splits"))
-    return spark.createDataFrame(sizes, "dim string, split string, n long")
+    """The split tables as they were stored, each row with the size of its table, counted while it was written."""
+    path = scratch_path(spark, "splits")
+    known = gold(spark, sf_dir).select("id", F.md5("text").alias("text"), *DIMENSIONS)
+    sizes = sources.write_splits_counted(jobs.prepare_single(known), path)
+    counted = spark.createDataFrame(sizes, "dim string, split string, n long")
+    return rounded(spark.read.parquet(path).join(F.broadcast(counted), ["dim", "split"]).select("id", "dim", "split", "value", "n"), "value")
 
 
 def aligned_files_counted(spark, sf_dir):
@@ -773,8 +774,7 @@ def aligned_files_counted(spark, sf_dir):
     preds = predictions(spark, sf_dir).filter("id % 7 <> 0").select("id", *PREDICTED)
     found = sources.write_aligned(preds, gold(spark, sf_dir).select("id", *DIMENSIONS), path)
     counts = [F.lit(n).cast("long").alias(c) for c, n in found.items()]
-    sums = [F.round(F.sum(c), 4).alias(c) for c in (*PREDICTED, *DIMENSIONS)]
-    return spark.read.parquet(path).agg(F.count("*").alias("n"), *sums).select("*", *counts)
+    return rounded(spark.read.parquet(path).select("id", *PREDICTED, *DIMENSIONS, *counts), *PREDICTED, *DIMENSIONS)
 
 
 def appended_epochs(spark, sf_dir):
@@ -788,25 +788,23 @@ def appended_epochs(spark, sf_dir):
 
 
 def refused_tables(spark, sf_dir):
-    """Which parts of the documents are refused as there is nothing to score, and how many rows the others have."""
+    """Parts of the documents to score: a part without a row is refused, the others keep all their rows."""
     model = LinearWeights(("V",), np.zeros((1, 1)), np.array([0.4]))
     parts = {"all": F.lit(True), "labelled": F.col("V").isNotNull(), "unknown language": F.col("lang") == "xx"}
-    found = []
+    rows = annotated(spark, sf_dir).select("id", "lang", "text", "V")
+    scored = spark.createDataFrame([], "part string, id long, V_pred double, refused boolean")
     for name, part in parts.items():
         try:
-            found.append((name, False, jobs.predict(annotated(spark, sf_dir).filter(part), model, TextLength()).count()))
+            found = jobs.predict(rows.filter(part).drop("V"), model, TextLength()).select(F.lit(name).alias("part"), "id", "V_pred", F.lit(False).alias("refused"))
         except ValueError:
-            found.append((name, True, 0))
-    return spark.createDataFrame(found, "part string, refused boolean, n long")
+            found = spark.createDataFrame([(name, -1, None, True)], scored.schema)
+        scored = scored.unionByName(found)
+    return rounded(scored, "V_pred")
 
 
 def position_ties(spark, sf_dir):
     """Documents numbered by language alone: each language has a run of positions, whatever its rows."""
-    placed = position.with_position(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"])
-    found = placed.groupBy("lang").agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("places"), F.count_distinct("doc_id").alias("docs")
-    )
-    return found
+    return position.with_position(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"]).select("pos", "lang")
 
 
 QUERIES = (
@@ -816,12 +814,12 @@ QUERIES = (
     align_position, align_prefix, align_coverage, smooth_l1_batches, epoch_loss, smooth_l1_lines, shuffle_batches,
     early_stopping, best_epoch, vocab, encode_sequences, encode_sequences_joined, encode_unknown, attention_mask, score_fixed_weights,
     gram_sums, fit_single_scalar, fit_multi_exact, stored_vectors, fit_single_exact, single_chain, fit_multi_metrics, epochs_joint, epochs_separate, epochs_minibatch,
-    scaled_terms, fit_idf_terms, fit_wide_parts,
+    scaled_terms, fit_idf_terms, fit_wide_groups,
     fit_epochs_losses, score_table,
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,
     row_counts, csv_round_trip, csv_folder, prepare_without_id, texts_round_trip, split_files, prediction_files,
     appended_losses, evaluate_text_id, folder_profile, report_missing, report_files, loss_log_files, stored_model,
-    stored_pipeline, stored_encoder, align_spread, evaluate_bucketed, split_files_counted, aligned_files_counted, appended_epochs, refused_tables, position_ties,
+    stored_pipeline, stored_encoder, align_spread, align_bucketed, split_files_counted, aligned_files_counted, appended_epochs, refused_tables, position_ties,
 )
 
 

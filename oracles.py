@@ -285,13 +285,13 @@ _SCALED_TERMS = _with(
     "z AS (SELECT id, " + ", ".join(f"(t{i} - m{i})/s{i} AS z{i}" for i in (1, 2, 3)) + " FROM cnt, st)",
 ) + "SELECT id, round(z1 + z2 + z3, 6) AS total, round(z1*z1 + z2*z2 + z3*z3, 6) AS square, round(greatest(z1, z2, z3, 0e0), 6) AS top FROM z"
 
-_ONE_HOT = """WITH l AS (SELECT l_partkey AS g, l_quantity/50e0 AS v, l_discount*10e0/5e0 AS a, l_tax*10e0/5e0 AS d FROM lineitem),
-n AS (SELECT count(*) AS n, 0.001e0/stddev_pop(v) AS lv, 0.001e0/stddev_pop(a) AS la, 0.001e0/stddev_pop(d) AS ld FROM l),
+_ONE_HOT = """WITH l AS (SELECT doc_id, doc_id // 10 AS g, n_chars/(n_chars + 2000e0) AS v, (n_chars % 7)/5e0 AS a, (doc_id % 97)/100e0 AS d FROM documents),
+n AS (SELECT count(*) AS n, 0.0001e0/stddev_pop(v) AS lv, 0.0001e0/stddev_pop(a) AS la, 0.0001e0/stddev_pop(d) AS ld FROM l),
 s AS (SELECT g, count(*)/max(n) AS c, sum(v)/max(n) AS v, sum(a)/max(n) AS a, sum(d)/max(n) AS d FROM l, n GROUP BY g),
 b AS (SELECT sum(v/(c + lv))/sum(c/(c + lv)) AS bv, sum(a/(c + la))/sum(c/(c + la)) AS ba, sum(d/(c + ld))/sum(c/(c + ld)) AS bd FROM s, n)
-SELECT p_partkey, round(5e0*(bv + coalesce((v - bv*c)/(c + lv), 0e0)), 6) AS V_pred,
-  round(5e0*(ba + coalesce((a - ba*c)/(c + la), 0e0)), 6) AS A_pred, round(5e0*(bd + coalesce((d - bd*c)/(c + ld), 0e0)), 6) AS D_pred
-FROM part LEFT JOIN s ON p_partkey = g, n, b"""
+SELECT doc_id, round(5e0*(bv + (s.v - bv*c)/(c + lv)), 6) AS V_pred,
+  round(5e0*(ba + (s.a - ba*c)/(c + la)), 6) AS A_pred, round(5e0*(bd + (s.d - bd*c)/(c + ld)), 6) AS D_pred
+FROM l JOIN s USING (g), n, b"""
 
 ORACLES = {
     "evaluate_by_dim": _with(*BASE) + _metrics("dim"),
@@ -466,29 +466,33 @@ u AS (SELECT 'V' AS dim, V AS y, CASE WHEN id % 13 <> 7 THEN 5e0*(sv*x + iv) END
     "epochs_minibatch": _minibatches("V", 3, 3, "0.003e0"),
     "fit_idf_terms": _IDF_FIT,
     "scaled_terms": _SCALED_TERMS,
-    "fit_wide_parts": _ONE_HOT,
+    "fit_wide_groups": _ONE_HOT,
     "fit_multi_exact": _EXACT,
     "stored_vectors": _EXACT,
     "fit_single_exact": _EXACT,
     "align_spread": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 7 THEN lang END AS id, length(text)/1000e0 AS x FROM documents),
 g AS (SELECT id, count(*) AS n, avg(x) AS a FROM d GROUP BY id)
 SELECT d.id AS id, doc_id, round(x, 6) AS A_pred, n, round(a, 6) AS A FROM d JOIN g ON d.id IS NOT DISTINCT FROM g.id""",
-    "evaluate_bucketed": _with(*BASE) + _metrics("dim"),
-    "split_files_counted": _with(ANNOTATED, GOLD, _split("gold", _ROUND))
-    + "SELECT dim, split, count(*) AS n FROM sp, (VALUES ('V'), ('A'), ('D')) x(dim) GROUP BY dim, split",
-    "aligned_files_counted": _with(ANNOTATED, GOLD, PREDICTIONS)
-    + "SELECT count(*) AS n, "
-    + ", ".join(f"round(sum(p.{d}_pred), 4) AS {d}_pred, round(sum(g.{d}), 4) AS {d}" for d in "VAD")
-    + """, count(*) AS n_aligned, (SELECT count(*) FROM pred WHERE id % 7 <> 0) - count(*) AS lost_pred,
-  (SELECT count(*) FROM gold) - count(*) AS lost_gold FROM pred p JOIN gold g ON p.id = g.id WHERE p.id % 7 <> 0""",
+    "align_bucketed": _with(ANNOTATED, PREDICTIONS)
+    + "SELECT p.id AS id, "
+    + ", ".join(f"round(p.{d}_pred, 6) AS {d}_pred, round(a.{d}, 6) AS {d}" for d in "VAD")
+    + " FROM pred p JOIN ann a ON p.id = a.id",
+    "split_files_counted": _with(ANNOTATED, GOLD, _split("gold", _ROUND), """l AS (
+  SELECT 'V' AS dim, id, V AS value FROM gold UNION ALL SELECT 'A', id, A FROM gold UNION ALL SELECT 'D', id, D FROM gold)""")
+    + "SELECT l.id AS id, dim, split, round(value, 6) AS value, count(*) OVER (PARTITION BY dim, split) AS n FROM l JOIN sp ON l.id = sp.id",
+    "aligned_files_counted": _with(ANNOTATED, GOLD, PREDICTIONS, """j AS (
+  SELECT p.id AS id, V_pred, A_pred, D_pred, g.V AS V, g.A AS A, g.D AS D FROM pred p JOIN gold g ON p.id = g.id WHERE p.id % 7 <> 0)""")
+    + "SELECT id, "
+    + ", ".join(f"round({d}_pred, 6) AS {d}_pred, round({d}, 6) AS {d}" for d in "VAD")
+    + """, count(*) OVER () AS n_aligned, (SELECT count(*) FROM pred WHERE id % 7 <> 0) - count(*) OVER () AS lost_pred,
+  (SELECT count(*) FROM gold) - count(*) OVER () AS lost_gold FROM j""",
     "appended_epochs": _with(LOSSES)
     + """SELECT run, epoch, round(CASE WHEN run = 'click' AND epoch IN (3, 20, 21) THEN -loss ELSE loss END, 6) AS loss
       FROM loss_log WHERE epoch <= 20 OR run <> 'view'""",
     "refused_tables": _with(ANNOTATED)
-    + """SELECT 'all' AS part, FALSE AS refused, count(*) AS n FROM ann UNION ALL SELECT 'labelled', FALSE, count(V) FROM ann
-UNION ALL SELECT 'unknown language', TRUE, 0""",
-    "position_ties": """SELECT lang, min(pos) AS first, max(pos) AS last, count(DISTINCT pos) AS places, count(DISTINCT doc_id) AS docs
-      FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY lang) AS pos FROM documents) s GROUP BY lang""",
+    + """SELECT 'all' AS part, id, 2e0 AS V_pred, FALSE AS refused FROM ann UNION ALL SELECT 'labelled', id, 2e0, FALSE FROM ann WHERE V IS NOT NULL
+UNION ALL SELECT 'unknown language', -1, NULL, TRUE""",
+    "position_ties": "SELECT row_number() OVER (ORDER BY lang) AS pos, lang FROM documents",
     "stored_model": _EXACT,
     "stored_pipeline": _EXACT,
     "stored_encoder": _with(ANNOTATED, GOLD, """w AS (

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 # Shuffle partitions to start from: one for this many input bytes, but not fewer than the least.
@@ -118,6 +119,15 @@ def bucketed(df: DataFrame, label: str, buckets: int, *columns: str) -> DataFram
     return df.sparkSession.table(_tables[path])
 
 
+def broadcast_if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if Spark's estimate of its size, from its files, is at most ``most_bytes``; else as it is.
+
+    So that the other side of a join, with long rows, need not be shuffled. No job is run for it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables this application has made, once no result that reads them is needed any more."""
     return _remove(spark, _made.setdefault(spark.sparkContext.applicationId, []))
