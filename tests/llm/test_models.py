@@ -203,3 +203,73 @@ def test_co_training_on_held_out_labels(spark):
     assert cotrain.quality_verdict(docs.limit(0), labels).count() == 0
     none = cotrain.quality_verdict(docs, labels.limit(0)).collect()
     assert {r["quality_score"] for r in none} == {0.5}
+
+
+def labelled_rows(n, rare, seed=6):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        toxic = i % (n // rare) == 7
+        words = ["spam", "hate"] * 3 if toxic else []
+        rows.append((i, " ".join([*words, *(f"w{rng.randrange(300)}" for _ in range(rng.randint(3, 25)))]), rng.choice(["en", "de"]), "bad" if toxic and i % 2 else rng.choice(["s1", "s2"]), int(toxic)))
+    return rows
+
+
+def test_a_rare_kind_is_learned_from_whole(spark):
+    rows = labelled_rows(6000, 6)
+    docs = table(spark, [r[:4] for r in rows])
+    labels = spark.createDataFrame([(i, 0, t) for i, *_, t in rows if i < 5000], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in cotrain.quality_verdict(docs, labels).collect()}
+    toxic = [got[i]["toxic_score"] for i, *_, t in rows if t]
+    clean = sorted((got[i]["toxic_score"] for i, *_, t in rows if not t), reverse=True)
+    assert min(toxic) > 0.5 > clean[0] and {r["quality_score"] for r in got.values()} == {0.0}
+
+
+def test_rounds_against_all_rows_in_memory(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(160):
+        good = rng.random() < 0.5
+        words = [("fine" if good else "spam") if rng.random() < 0.15 else f"w{rng.randrange(12)}" for _ in range(rng.randint(2, 20))]
+        rows.append((i, " ".join(words), "en", "s3" if good and rng.random() < 0.7 else "s4", int(good)))
+    docs = table(spark, [r[:4] for r in rows] + [rows[100][:4], (None, "fine", "en", "s3")])
+    keyed = cotrain._rows(docs, "doc_id", "text", "source", "lang", "n_chars")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows[:50]], "id long, quality int")
+    model = cotrain.fit(keyed, labels, ["quality"], per_class=20, rounds=3, given=7, sure=0.6)["quality"]
+
+    # The same in memory: every unlabelled row is scored, sorted and handed over.
+    hashed = keyed.selectExpr("*", "xxhash64(id, text, source, lang, length) h", "xxhash64(id, 'co-training') o").filter("id is not null").distinct().toPandas()
+    both = cotrain._views(pa.RecordBatch.from_pandas(hashed[["id", "text", "source", "lang", "length"]], preserve_index=False))
+    truth = {r[0]: r[4] for r in rows[:50]}
+    order = sorted((o, i) for o, i in zip(hashed.o, hashed.id) if i in truth)
+    picked = [i for k in (0, 1) for i in [i for _, i in order if truth[i] == k][:20]]
+    chosen = [i for _, i in order if i in picked]
+    at = {i: n for n, i in enumerate(hashed.id)}
+
+    def only(x, wanted):
+        first = np.concatenate([[0], x.ends[:-1]])
+        return [(x.features[first[j] : x.ends[j]], x.values[first[j] : x.ends[j]]) for j in wanted]
+
+    y = np.array([truth[i] for i in chosen])
+    fold = np.ones(len(y), int)
+    for k in (0, 1):
+        fold[np.flatnonzero(y == k)[1::5]] = 0
+    none = cotrain.Sparse(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    totals = np.bincount([truth[i] for i in truth], minlength=2)
+    learner = cotrain.Learner(y, fold, totals, *(cotrain._joined(none, only(x, [at[i] for i in chosen])) for x in both))
+    learner.fit_views()
+    free = [n for n, i in enumerate(hashed.id) if i not in truth]
+    for _ in range(3):
+        raw = [1 / (1 + np.exp(-(both[v].dot(w) + w[-1] + learner.prior()))) for v, w in enumerate(learner.found)]
+        for own in (0, 1):
+            taken = set(learner.given[1 - own])
+            for kind in (1, 0):
+                sure = [n for n in free if hashed.h[n] not in taken and (raw[own][n] >= 0.6 if kind else raw[own][n] <= 0.4)]
+                best = sorted(sure, key=lambda n: (-raw[own][n] if kind else raw[own][n], hashed.h[n]))[:7]
+                for n in sorted(best, key=lambda n: hashed.h[n]):
+                    (f, v), (m, _) = only(both[0], [n])[0], only(both[1], [n])[0]
+                    learner.given[1 - own][hashed.h[n]] = (float(kind), (f, v, m))
+        learner.fit_views()
+    assert all(len(g) > 7 for g in learner.given)
+    plain = learner.finish()
+    assert np.allclose(model.score(*both)[0], plain.score(*both)[0], atol=1e-6)

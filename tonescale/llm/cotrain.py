@@ -5,18 +5,22 @@ on the labelled rows; then, over some rounds, each labels the unlabelled rows it
 from these beside the true labels. At the end each view is calibrated on labelled rows that neither was
 fitted on, and a logistic combination of both calibrated views scores every document.
 
-Fitting sees at most ``LABELLED`` labelled and ``POOL`` unlabelled rows, chosen by a hash of the id; features of these rows, not
-their texts, go to the driver. Scoring covers all texts, whole.
+Of the labelled rows at most ``PER_CLASS`` distinct ids of each kind and target, chosen by a hash of the id, are fitted on; a
+rare kind is taken whole, kinds weigh the same in the views, and calibration weighs them by their counts in all
+labels. Every unlabelled row is looked at in every round: all are scored, and the surest of each kind are found by a distributed
+top-k over ids and probabilities. Features of the chosen rows alone, not their texts, go to the driver. Scoring covers all texts, whole.
 
 Defined results: a null or empty text has no words, null metadata are a value of their own. Rows without a label, with a null
-label or a null id are unlabelled; a repeated row counts as often as it occurs, and gets its own result. Other columns are ignored. If no labels, or labels of one
-kind only, are given, all scores are their share (0.5 without any). An empty table gives no rows.
+label or a null id are unlabelled, those with a null id are not learned from. A repeated row is learned from once (of different rows of one labelled id, the one of the smallest hash),
+and each gets its own result. Other columns are ignored. If no labels, or labels of one kind only, are given, all scores are
+their share (0.5 without any). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonescale.llm.text import SPACE_CUT_LOWER, cut_words, pieces, texts_of
+from tonescale.session import materialize
 
-LABELLED = 4000
-POOL = 4000
+PER_CLASS = 1000
 ROUNDS = 3
 #: Rows of each kind that a view labels for the other in a round, and the probability it needs.
 GIVEN = 200
@@ -77,8 +81,8 @@ class Sparse:
     values: np.ndarray
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(self.values * w[self.features])])
-        return np.diff(sums[self.ends], prepend=0.0)
+        # A row's sum does not depend on the rows beside it: equal rows are equally sure wherever they lie.
+        return np.bincount(self.rows(), self.values * w[self.features], len(self.ends))
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
@@ -103,14 +107,14 @@ def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, size: int, steps: int
     return w
 
 
-def _dense_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, steps: int = 30) -> np.ndarray:
+def _dense_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-2, steps: int = 30) -> np.ndarray:
     """A few coefficients and a constant, by Newton's method."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = _sigmoid(a @ w)
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + decay * np.eye(len(w))
-        w -= np.linalg.solve(hessian, a.T @ (p - y) + decay * w)
+        hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + decay * np.eye(len(w))
+        w -= np.linalg.solve(hessian, a.T @ (weight * (p - y)) + decay * w)
     return w
 
 
@@ -135,30 +139,59 @@ class CoTrained:
         return _sigmoid(both @ self.combination[:2] + self.combination[2]), _sigmoid(both)
 
 
-def cotrain(text: Sparse, meta: Sparse, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN, sure: float = SURE) -> CoTrained:
-    """``y`` is -1 where there is no label; labelled rows of ``fold`` 0 are for calibration only."""
-    known, calibrate = (y >= 0) & (fold != 0), (y >= 0) & (fold == 0)
-    share = float(y[y >= 0].mean()) if (y >= 0).any() else 0.5
-    if not known.any() or y[known].min() == y[known].max() or not calibrate.any():
-        return CoTrained(np.zeros(BUCKETS + 1), np.zeros(META + 1), [], np.zeros(3), share)
-    views, sizes = (text, meta), (BUCKETS, META)
-    labels, weights = [y.astype(float), y.astype(float)], [known.astype(float), known.astype(float)]
-    found = [logistic(x, t, w, n) for x, t, w, n in zip(views, labels, weights, sizes)]
-    for _ in range(rounds):
-        for own, other in ((0, 1), (1, 0)):
-            p = _sigmoid(views[own].dot(found[own]) + found[own][-1])
-            p = np.where((y < 0) & (weights[other] == 0), p, 0.5)
-            for kind, order in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                chosen = order[:given]
-                chosen = chosen[(p[chosen] >= sure) if kind else (p[chosen] <= 1 - sure)]
-                # What was guessed counts less than what is known.
-                labels[other][chosen], weights[other][chosen] = kind, 0.5
-        found = [logistic(x, t, w, n) for x, t, w, n in zip(views, labels, weights, sizes)]
-    target = y[calibrate].astype(float)
-    calibration = [_dense_logistic((x.dot(w) + w[-1])[calibrate][:, None], target) for x, w in zip(views, found)]
-    model = CoTrained(*found, calibration, np.zeros(3), None)
-    model.combination = _dense_logistic(model.views(text, meta)[calibrate], target)
-    return model
+@dataclass
+class Learner:
+    """What one target has learned from so far: labelled rows, and the rows that each view was given by the other."""
+
+    y: np.ndarray
+    fold: np.ndarray
+    totals: np.ndarray
+    text: Sparse
+    meta: Sparse
+
+    def __post_init__(self) -> None:
+        self.given: list[dict[int, tuple[float, tuple]]] = [{}, {}]
+        self.found: list[np.ndarray] = []
+
+    @property
+    def usable(self) -> bool:
+        return all(((self.y == kind) & (self.fold != 0)).any() for kind in (0, 1))
+
+    def prior(self) -> float:
+        """Log-odds of the kinds in all labels: the views are fitted on equal shares."""
+        return float(np.log(self.totals[1] / self.totals[0]))
+
+    def fit_views(self) -> None:
+        known = self.fold != 0
+        share = np.array([0.5 / max((known & (self.y == kind)).sum(), 1) for kind in (0, 1)])
+        weight = np.where(known & (self.y >= 0), share[np.maximum(self.y, 0)], 0.0) * (known & (self.y >= 0)).sum()
+        self.found = []
+        for own, (x, size) in enumerate(((self.text, BUCKETS), (self.meta, META))):
+            rows = [(f, v) if own == 0 else (m, np.ones(len(m))) for _, (f, v, m) in self.given[own].values()]
+            labels = np.concatenate([np.maximum(self.y, 0), [kind for kind, _ in self.given[own].values()]]).astype(float)
+            # What was guessed counts less than what is known.
+            weights = np.concatenate([weight, np.full(len(rows), 0.5)])
+            self.found.append(logistic(_joined(x, rows), labels, weights, size))
+
+    def finish(self) -> CoTrained:
+        at = (self.y >= 0) & (self.fold == 0)
+        if not all((at & (self.y == kind)).any() for kind in (0, 1)):
+            at = self.y >= 0  # too few of a kind to keep some apart
+        target = self.y[at].astype(float)
+        weight = np.where(target == 1, self.totals[1] / target.sum(), self.totals[0] / (1 - target).sum())
+        weight *= len(target) / weight.sum()
+        raw = [(x.dot(w) + w[-1])[at] for x, w in zip((self.text, self.meta), self.found)]
+        model = CoTrained(*self.found, [_dense_logistic(r[:, None], target, weight) for r in raw], np.zeros(3), None)
+        model.combination = _dense_logistic(model.views(self.text, self.meta)[at], target, weight)
+        return model
+
+
+def _joined(x: Sparse, rows: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+    if not rows:
+        return x
+    ends = (x.ends[-1] if len(x.ends) else 0) + np.cumsum([len(f) for f, _ in rows])
+    parts = [np.concatenate([first, *more]) for first, more in zip((x.features, x.values), zip(*rows))]
+    return Sparse(np.concatenate([x.ends, ends]), *parts)
 
 
 def _rows(docs: DataFrame, id_column: str, text: str, source: str, lang: str, length: str) -> DataFrame:
@@ -173,41 +206,95 @@ def _views(batch: pa.RecordBatch) -> tuple[Sparse, Sparse]:
     return Sparse(*text_features(texts_of(batch.column(1)))), Sparse(6 * np.arange(1, len(meta) + 1), meta.ravel(), np.ones(meta.size))
 
 
-def fit(rows: DataFrame, labels: DataFrame, targets: list[str], labelled: int = LABELLED, pool: int = POOL) -> dict[str, CoTrained]:
-    """One pair of classifiers for each 0/1 column of ``labels`` (key ``id``)."""
-    marks = labels.filter(F.col("id").isNotNull()).groupBy("id").agg(*[F.max(F.col(t).cast("int")).alias(t) for t in targets])
-    marks = marks.filter(" or ".join(f"{t} is not null" for t in targets))
-    h = F.xxhash64("id", F.lit("co-training"))
-    # Ids and hashes are ordered; features are made of the chosen rows only.
-    some = marks.select("id", *targets, h.alias("h")).orderBy("h", "id").limit(labelled)
-    others = rows.select("id").join(marks.select("id"), "id", "left_anti").filter("id is not null").select("id", h.alias("h")).orderBy("h", "id").limit(pool)
-    nothing = [F.lit(None).cast("int").alias(t) for t in targets]
-    chosen = some.unionByName(others.distinct().select("id", *nothing, "h"))
-    kind = rows.schema["id"].dataType.simpleString()
+def _fetched(rows: DataFrame, keys: list[int]) -> dict[int, tuple]:
+    """Features of the rows of these keys, by key."""
+    chosen = rows.sparkSession.createDataFrame([(k,) for k in keys], "h long")
 
     def run(batches):
         for batch in pieces(batches, 1):
             text, meta = _views(batch)
-            lists = pa.ListArray.from_arrays
             ends = pa.array(np.concatenate([[0], text.ends]), pa.int32())
-            yield pa.record_batch(
-                [batch.column(0), lists(ends, pa.array(text.features)), lists(ends, pa.array(text.values)), pa.array(meta.features.reshape(-1, 6).tolist(), pa.list_(pa.int64()))],
-                ["id", "f", "v", "m"],
-            )
-
-    picked = rows.join(F.broadcast(chosen.select("id")), "id", "left_semi").select("id", "text", "source", "lang", "length")
-    made = picked.mapInArrow(run, f"id {kind}, f array<long>, v array<double>, m array<long>")
-    table = made.join(F.broadcast(chosen), "id").limit(4 * (labelled + pool)).drop("id").toArrow().combine_chunks().sort_by([("h", "ascending")])
-
-    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
-        column = pa.concat_arrays(table[name].chunks) if table.num_rows else pa.array([], table.schema.field(name).type)
-        return np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64), column.flatten().to_numpy()
-
-    (ends, features), values, metas = lists("f"), lists("v")[1], lists("m")
-    text, meta = Sparse(ends, features, values), Sparse(*metas, np.ones(len(metas[1])))
-    fold = table["h"].to_numpy() % 5
-    marked = {t: table[t].fill_null(-1).to_numpy().astype(np.int64) for t in targets}
-    return {t: cotrain(text, meta, marked[t], fold) for t in targets}
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (text.features, text.values)]
+            yield pa.record_batch([batch.column(5), *lists, pa.array(meta.features.reshape(-1, 6).tolist(), pa.list_(pa.int64()))], ["h", "f", "v", "m"])
+
+    picked = rows.join(F.broadcast(chosen), "h", "left_semi").select("id", "text", "source", "lang", "length", "h")
+    made = picked.mapInArrow(run, "h long, f array<long>, v array<double>, m array<long>").dropDuplicates(["h"]).toArrow()
+    columns = [made.column(c) for c in ("h", "f", "v", "m")]
+    return {h.as_py(): tuple(x.values.to_numpy() for x in lists) for h, *lists in zip(*columns)}
+
+
+def _of(keys: list[int], fetched: dict[int, tuple]) -> tuple[Sparse, Sparse]:
+    none = Sparse(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return _joined(none, [fetched[k][:2] for k in keys]), _joined(none, [(fetched[k][2], np.ones(6)) for k in keys])
+
+
+def _probabilities(rows: DataFrame, learners: dict[str, Learner]) -> DataFrame:
+    """``(id, h, p0, p1, ...)``: of every row with an id, what each view of each target thinks."""
+    views = rows.sparkSession.sparkContext.broadcast([(w, m.prior()) for m in learners.values() for w in m.found])
+    kind, names = rows.schema["id"].dataType.simpleString(), [f"p{i}" for i in range(2 * len(learners))]
+
+    def run(batches):
+        for batch in pieces(batches, 1):
+            both = _views(batch)
+            found = [_sigmoid(both[i % 2].dot(w) + w[-1] + prior) for i, (w, prior) in enumerate(views.value)]
+            yield pa.record_batch([batch.column(0), batch.column(5), *map(pa.array, found)], ["id", "h", *names])
+
+    known = rows.filter("id is not null").select("id", "text", "source", "lang", "length", "h")
+    return known.mapInArrow(run, f"id {kind}, h long, " + ", ".join(f"{n} double" for n in names))
+
+
+def fit(
+    rows: DataFrame, labels: DataFrame, targets: list[str], per_class: int = PER_CLASS, rounds: int = ROUNDS, given: int = GIVEN, sure: float = SURE
+) -> dict[str, CoTrained]:
+    """One pair of classifiers for each 0/1 column of ``labels`` (key ``id``)."""
+    marks = labels.filter(F.col("id").isNotNull()).groupBy("id").agg(*[F.max(F.col(t).cast("int")).alias(t) for t in targets])
+    kinds = [(t, kind) for t in targets for kind in (0, 1)]
+    totals = np.array(marks.agg(*[F.count_if(F.col(t) == kind) for t, kind in kinds]).first()).reshape(-1, 2)
+    rows = rows.withColumn("h", F.xxhash64("id", "text", "source", "lang", "length"))
+    order = F.xxhash64("id", F.lit("co-training"))
+    some = [marks.filter(F.col(t) == kind).select("id", *targets, order.alias("order")).orderBy("order", "id").limit(per_class) for t, kind in kinds]
+    # At most ``per_class`` for each kind and target.
+    sampled = materialize(reduce(DataFrame.unionByName, some).distinct(), "labelled")
+    one = rows.select("id", "h").join(F.broadcast(sampled), "id").groupBy("id", "order", *targets).agg(F.min("h").alias("h"))
+    labelled = sorted(one.collect(), key=lambda r: (r["order"], r["h"]))
+    keys = [r["h"] for r in labelled]
+    fetched = _fetched(rows, keys) if keys else {}
+    learners, models = {}, {}
+    for t, total in zip(targets, totals):
+        y = np.array([-1 if r[t] is None else r[t] for r in labelled], np.int64)
+        fold = np.ones(len(y), np.int64)
+        for kind in (0, 1):
+            # Every fifth row of a kind, if it has two, is for calibration alone.
+            own = np.flatnonzero(y == kind)
+            fold[own[1::5]] = 0
+        learner = Learner(y, fold, np.maximum(total, 1), *_of(keys, fetched))
+        if total.min() and learner.usable:
+            learner.fit_views()
+            learners[t] = learner
+        else:
+            share = float(total[1] / total.sum()) if total.sum() else 0.5
+            models[t] = CoTrained(np.zeros(BUCKETS + 1), np.zeros(META + 1), [], np.zeros(3), share)
+    for _ in range(rounds if learners else 0):
+        thin = materialize(_probabilities(rows, learners).join(marks.select("id"), "id", "left_anti").drop("id"), "sure")
+        asked = []
+        for i, (t, own) in enumerate((t, own) for t in learners for own in (0, 1)):
+            # Rows that the other view was given before are no longer asked for; they are few.
+            before = list(learners[t].given[1 - own])
+            for kind in (0, 1):
+                p = F.col(f"p{i}")
+                enough = (p >= sure) if kind else (p <= 1 - sure)
+                fresh = thin.filter(enough & ~F.col("h").isin(before) if before else enough).select("h", p.alias("p")).distinct()
+                first = fresh.orderBy(F.desc("p") if kind else F.asc("p"), "h").limit(given)
+                asked.append(first.select("h", F.lit(i).alias("view"), F.lit(kind).alias("kind")))
+        found = reduce(DataFrame.unionByName, asked).collect()
+        more = [h for h in dict.fromkeys(r["h"] for r in found) if h not in fetched]
+        fetched |= _fetched(rows, more) if more else {}
+        names = list(learners)
+        for r in sorted(found, key=lambda r: (r["view"], -r["kind"], r["h"])):
+            learners[names[r["view"] // 2]].given[1 - r["view"] % 2][r["h"]] = (float(r["kind"]), fetched[r["h"]])
+        for learner in learners.values():
+            learner.fit_views()
+    return {t: learners[t].finish() if t in learners else models[t] for t in targets}
 
 
 def classify(
