@@ -273,3 +273,20 @@ def test_rounds_against_all_rows_in_memory(spark):
     assert all(len(g) > 7 for g in learner.given)
     plain = learner.finish()
     assert np.allclose(model.score(*both)[0], plain.score(*both)[0], atol=1e-6)
+
+
+def test_rare_languages_and_copies_in_the_sample(spark):
+    rng = random.Random(9)
+    rows = [(i, spoken(rng, "aa", 30), "aa", "s") for i in range(3000)] + [(5000, spoken(rng, "aa", 9), "aa", "s")] * 300
+    rows += [(9000 + i, spoken(rng, "bb", 30), "bb", "s") for i in range(8)] + [(None, spoken(rng, "cc", 40), "cc", None)] * 3
+    docs = table(spark, rows)
+    field = crf.fit(docs, per_language=40)
+    # A null id counts as an empty one, whose remainder is not that of a held-out row.
+    assert field.labels == ["aa", "bb", "cc"]
+    asked = [(1, spoken(rng, "bb", 25), None, None), (2, spoken(rng, "cc", 25), None, None), (3, spoken(rng, "aa", 25), None, None), (4, "kato" * 200, None, None)]
+    assert {r["doc_id"]: r["lang_pred"] for r in crf.predict(table(spark, asked), field).collect()} == {1: "bb", 2: "cc", 3: "aa", 4: "aa"}
+
+
+def test_long_words_have_all_their_trigrams():
+    word = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=80))
+    assert len(crf.features(word)) > 60

@@ -7,8 +7,9 @@ texts of two languages, so transitions are learned from code-switched text. A wo
 a text's language has the largest sum of marginals over all its words. Chains have at most ``CHAIN`` words: a longer text is
 several chains, each with all its words.
 
-Only the text is an input of a prediction. The field is fitted on at most ``SAMPLE`` texts, of those that are not held out and have a language,
-chosen by a hash of text and id; from each, chains spread evenly over the whole text are taken. Everything after that covers all texts.
+Only the text is an input of a prediction. The field is fitted on at most ``PER_LANGUAGE`` different texts of each language, of those
+that are not held out, chosen by a hash of the text, so a rare language has all its texts in it and a text with many copies is in it once; from each,
+chains spread evenly over the whole text are taken. Everything after that covers all texts.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; so are all texts if nothing could be learned. Repeated rows and
 rows with a null id each get their own row; a null id counts as an empty one when it decides what is held out. Other columns are ignored. An empty
@@ -22,12 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonescale.llm.text import SPACE_CUT, cut_words, gather, pieces, texts_of
+from tonescale.session import materialize
 
-SAMPLE = 2000
+PER_LANGUAGE = 500
 CHAIN = 64
 #: Words of a training chain, and chains taken from one text.
 TRAIN_CHAIN = 24
@@ -56,7 +58,7 @@ def features(word_form: str) -> list[int]:
     names += ["p" + core[:n] for n in (1, 2, 3, 4) if len(core) >= n]
     names += ["e" + core[-n:] for n in (1, 2, 3, 4) if len(core) >= n]
     padded = f"^{core}$"
-    names += ["g" + padded[i : i + 3] for i in range(min(len(padded) - 2, 24))]
+    names += ["g" + padded[i : i + 3] for i in range(len(padded) - 2)]
     names += ["c" + c for c in {c for c in core if c > "\x7f"}]
     return [1 + zlib.crc32(n.encode()) % (BUCKETS - 1) for n in dict.fromkeys(names)]
 
@@ -177,18 +179,32 @@ def fit_chains(chains, labels: list[str], steps: int = STEPS, rate: float = 0.3,
     return Field(labels, w, t, lexicon)
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Field | None:
+def _chosen(rows: DataFrame, per_language: int) -> DataFrame:
+    """``(h, lang)`` of the texts of the smallest hashes in each language: at most ``per_language`` of each.
+
+    Languages are counted first. Of each, the texts below a share of all hashes that some three times as many fall under go
+    on, so however frequent a language is, only so few of its rows are ever put in order.
+    """
+    texts = rows.select("h", "lang").distinct()
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))
+    counts = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    few = texts.join(F.broadcast(counts), "lang").filter((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return few.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("h", "lang")
+
+
+def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Field | None:
     """Learns from texts and languages of rows that are not held out; None if there are none."""
     train = F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(4)) != 2
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    rows = rows.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Ids and a hash only are ordered; the texts of the chosen rows follow by a join with at most ``sample`` ids.
-    chosen = rows.select("id", F.xxhash64("id", F.lit("sample")).alias("h")).orderBy("h", "id").limit(sample)
+    rows = docs.filter(train).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    # Hashes only are ordered; the chosen texts, a bounded number for each language, follow by a join.
+    chosen = materialize(_chosen(rows, per_language), "sample")
     spread = F.greatest(F.lit(1), F.size("words") - TRAIN_CHAIN)
     cut = F.expr(f"transform(sequence(0, {CHAINS_PER_TEXT - 1}), i -> slice(words, cast(1 + floor(i * s / {max(1, CHAINS_PER_TEXT - 1)}) as int), {TRAIN_CHAIN}))")
-    words = rows.join(F.broadcast(chosen.select("id").distinct()), "id").select("id", "lang", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
-    found = words.withColumn("s", spread).select("id", "lang", cut.alias("chains")).limit(2 * sample).collect()
-    found = sorted(found, key=lambda r: (str(r["id"]), r["lang"], r["chains"]))
+    words = rows.join(F.broadcast(chosen), ["h", "lang"]).select("h", "lang", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
+    found = words.withColumn("s", spread).select("h", "lang", cut.alias("chains")).dropDuplicates(["h", "lang"]).collect()
+    found = sorted(found, key=lambda r: (r["h"], r["lang"]))
     labels = sorted({r["lang"] for r in found})
     plain = [(c, labels.index(r["lang"])) for r in found for c in r["chains"] if c]
     return fit_chains(training_chains(plain), labels) if plain else None
