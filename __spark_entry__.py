@@ -504,6 +504,13 @@ def epochs_minibatch(spark, sf_dir):
     return rounded(fitted.losses, "train_loss", "val_loss", digits=8)
 
 
+def minibatch_scores(spark, sf_dir):
+    """Every document scored by the best epoch of the mini-batch fit."""
+    rows = annotated(spark, sf_dir)
+    fitted = jobs.train_minibatches(jobs.prepare_joint(rows), size=1, encoder=TextLength(), dims=["V"], epochs=3, rate=0.003, workers=3)
+    return rounded(jobs.predict(rows.select("id", "text"), fitted.model).drop("text"), "V_pred")
+
+
 def fit_epochs_losses(spark, sf_dir):
     parts = jobs.prepare_joint(annotated(spark, sf_dir))
     fitted = jobs.train_epochs(parts, size=64, epochs=4, batches_per_epoch=2, rate=3e-3)
@@ -813,7 +820,7 @@ QUERIES = (
     table_profile, split_round, split_ceil, split_sizes, split_complement, targets_long, align_id, align_text,
     align_position, align_prefix, align_coverage, smooth_l1_batches, epoch_loss, smooth_l1_lines, shuffle_batches,
     early_stopping, best_epoch, vocab, encode_sequences, encode_sequences_joined, encode_unknown, attention_mask, score_fixed_weights,
-    gram_sums, fit_single_scalar, fit_multi_exact, stored_vectors, fit_single_exact, single_chain, fit_multi_metrics, epochs_joint, epochs_separate, epochs_minibatch,
+    gram_sums, fit_single_scalar, fit_multi_exact, stored_vectors, fit_single_exact, single_chain, fit_multi_metrics, epochs_joint, epochs_separate, epochs_minibatch, minibatch_scores,
     scaled_terms, fit_idf_terms, fit_wide_groups,
     fit_epochs_losses, score_table,
     report_render, report_parse, section_carry, report_single, compare_runs, chart_long, any_present, learning_curve,

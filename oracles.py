@@ -145,7 +145,7 @@ def _epochs(dim: str, run: str, epochs: int, rate: str) -> str:
     return _with(ANNOTATED, GOLD, _split("gold", _CEIL), *steps) + "\nUNION ALL ".join(rows)
 
 
-def _minibatches(dim: str, epochs: int, workers: int, rate: str, batch: int = 16) -> str:
+def _minibatches(dim: str, epochs: int, workers: int, rate: str, batch: int = 16, scores: bool = False) -> str:
     """Steps of Adam on one standardised feature for every ``batch`` rows of a shard, and averages over shards after each epoch."""
     loss = _smooth("b + w*z - y")
     error = "greatest(-1e0, least(1e0, b + w*p.z - p.y))"
@@ -178,10 +178,17 @@ def _minibatches(dim: str, epochs: int, workers: int, rate: str, batch: int = 16
             f"t{k} AS (SELECT avg(loss) AS train_loss FROM r{k} WHERE i > 0)",
             f"l{k} AS (SELECT avg(one) AS val_loss FROM (SELECT batch, avg({loss}) AS one FROM va, p{k} GROUP BY batch) o)",
         ]
-    rows = [
-        f"SELECT 'joint' AS run, CAST({k} AS INT) AS epoch, round(train_loss, 8) AS train_loss, round(val_loss, 8) AS val_loss FROM t{k}, l{k}"
-        for k in range(1, epochs + 1)
-    ]
+    if scores:
+        every = " UNION ALL ".join(f"SELECT {k} AS k, val_loss, b, w FROM l{k}, p{k}" for k in range(1, epochs + 1))
+        rows = [
+            f"""SELECT id, round(5e0*(b + w*(length(text)/1000e0 - m)/s), 6) AS {dim}_pred
+  FROM ann, st, (SELECT b, w FROM ({every}) e ORDER BY val_loss, k LIMIT 1) best"""
+        ]
+    else:
+        rows = [
+            f"SELECT 'joint' AS run, CAST({k} AS INT) AS epoch, round(train_loss, 8) AS train_loss, round(val_loss, 8) AS val_loss FROM t{k}, l{k}"
+            for k in range(1, epochs + 1)
+        ]
     return _with(ANNOTATED, GOLD, _split("gold", _CEIL), *steps).replace("WITH", "WITH RECURSIVE", 1) + "\nUNION ALL ".join(rows)
 
 
@@ -464,6 +471,7 @@ u AS (SELECT 'V' AS dim, V AS y, CASE WHEN id % 13 <> 7 THEN 5e0*(sv*x + iv) END
     "epochs_joint": _epochs("V", "joint", 3, "0.01e0"),
     "epochs_separate": f"SELECT * FROM ({_epochs('V', 'V', 3, '0.01e0')}) v UNION ALL SELECT * FROM ({_epochs('A', 'A', 3, '0.01e0')}) a",
     "epochs_minibatch": _minibatches("V", 3, 3, "0.003e0"),
+    "minibatch_scores": _minibatches("V", 3, 3, "0.003e0", scores=True),
     "fit_idf_terms": _IDF_FIT,
     "scaled_terms": _SCALED_TERMS,
     "fit_wide_groups": _ONE_HOT,

@@ -119,7 +119,7 @@ def bucketed(df: DataFrame, label: str, buckets: int, *columns: str) -> DataFram
     return df.sparkSession.table(_tables[path])
 
 
-def broadcast_if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     """``df`` marked for broadcast if Spark's estimate of its size, from its files, is at most ``most_bytes``; else as it is.
 
     So that the other side of a join, with long rows, need not be shuffled. No job is run for it.
