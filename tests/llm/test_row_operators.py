@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,12 +112,50 @@ def test_base_spans_against_plain_patterns(spark):
         ("the secret: nothing remarkable", []),
         ("password = getPassword(user1)", []),
         ("password = '${DB_PASSWORD}'", []),
+        ('api_token: str = "Zx9-kk_1AbcD"', ["Zx9-kk_1AbcD"]),
+        ("secret: Optional[str] = 'Zx9-kk_1AbcD'\nother: int = 5", ["Zx9-kk_1AbcD"]),
+        ("pwd: dict[str, str] | None = 'Zx9-kk_1AbcD'", ["Zx9-kk_1AbcD"]),
+        ("const password: string = 'Zx9-kk_1AbcD';", ["Zx9-kk_1AbcD"]),
+        ("let password?: string = `Zx9-kk_1AbcD`;", ["Zx9-kk_1AbcD"]),
+        ('var password string = "Zx9-kk_1AbcD"', ["Zx9-kk_1AbcD"]),
+        ('var password []byte = "Zx9-kk_1AbcD"', ["Zx9-kk_1AbcD"]),
+        ('const std::string password = "Zx9-kk_1AbcD";', ["Zx9-kk_1AbcD"]),
+        ('let password: &str = "Zx9-kk_1AbcD";', ["Zx9-kk_1AbcD"]),
+        ('password = ("Zx9-kk_1AbcD")', ["Zx9-kk_1AbcD"]),
+        ('password = (\n  "Zx9-kk"\n  "_1AbcD"\n)', ["Zx9-kk", "_1AbcD"]),
+        ('password = ( "Zx9-kk" +\n "_1AbcD")', ["Zx9-kk", "_1AbcD"]),
+        ('part = "Zx9-kk_1AbcD"\npassword = (part)', ["Zx9-kk_1AbcD"]),
+        ('password =\n    "Zx9-kk_1AbcD"', ["Zx9-kk_1AbcD"]),
+        ('password = \\\n    "Zx9-kk_1AbcD"', ["Zx9-kk_1AbcD"]),
+        ('passwords:\n  "name": "Zx9-kk_1AbcD"', []),
+        ("password:\n  user_9: Zx9-kk_1AbcD", []),
+        ('password = """Zx9-kk_1AbcD"""', ["Zx9-kk_1AbcD"]),
+        ("password = \'\'\'Zx9-\nkk_1AbcD\'\'\'", ["Zx9-\nkk_1AbcD"]),
+        ("password = b'Zx9-kk_1AbcD'\ntoken = r\"Zx9+kk_1AbcE\"", ["Zx9-kk_1AbcD", "Zx9+kk_1AbcE"]),
+        ('config["password"] = "Zx9-kk_1AbcD"', ["Zx9-kk_1AbcD"]),
+        ('body = "{\\"password\\": \\"Zx9-kk!1AbcD\\"}"', ["Zx9-kk!1AbcD"]),
+        ("he said: \"it's in password = 'Zx9-kk_1AbcD', isn't it\"", ["Zx9-kk_1AbcD"]),
+        ('password != "Zx9-kk_1AbcD"', []),
+        ('password == "Zx9-kk_1AbcD"', []),
+        ("url = db:password:Zx9!kk_1AbcD:5432", ["Zx9!kk_1AbcD"]),
+        ("a = password = Zx9!kk_1AbcD", ["Zx9!kk_1AbcD"]),
+        ("password: (see section 4.2b on page 17)", []),
+        ("user" * 60 + "_password = 'Zx9-kk_1AbcD'", ["Zx9-kk_1AbcD"]),
+        ("password = '" + "a" * 5000 + "Zx9-kk_1AbcD" * 3000 + "'", ["a" * 5000 + "Zx9-kk_1AbcD" * 3000]),
     ],
 )
 def test_assignments_are_followed(text, found):
     assert [text[s.value_start : s.value_end] for s in secrets.find(text) if s.kind == "literal"] == found
 
 
+@pytest.mark.parametrize("part", ["a=", "password:", "password", "a:b+", "x:y[", "a:b<", '\\\\"', '"', "'", "`", '"""', "a=(", "token ", "(", "a.", "p=q ", '"a":', "b'", "var key "])
+def test_the_lexer_is_linear_in_long_texts(part):
+    started = time.monotonic()
+    list(secrets.pairs(part * (200_000 // len(part))))
+    secrets.lexed(part * (200_000 // len(part)))
+    assert time.monotonic() - started < 20
+
+
 def test_redaction_keeps_rows_columns_and_clean_texts(spark):
     docs = spark.createDataFrame(
         [(1, "token = 'abcdef123456789'", 25, "x"), (2, "clean text", 10, "y"), (3, None, None, None), (3, None, None, None)], "doc_id long, text string, n_chars long, spans string"

@@ -1,11 +1,13 @@
 """Secrets in texts: fixed patterns, and an assignment-aware lexer.
 
-The lexer reads lines of source and configuration syntax (``name = "literal"``,
-``name: literal``, ``"name": "literal"``, ``name := x``, ``name => x``, ``export NAME=x``) into
-name-value pairs. A value is a literal, another name, or several of them joined by ``+``
-or ``.``. Names that stand for literals are constants: they are propagated, through
+The lexer reads the whole text as one stream of names, operators and literals (quoted, triple-quoted, in back
+quotes, or quoted with a backslash inside another literal) and makes name-value pairs of it: ``name = "literal"``, ``name: literal``,
+``"name": "literal"``, ``x["name"] = "literal"``, ``name := x``, ``name => x``, ``export NAME=x``, with a type behind the name
+(``name: str = "literal"``, ``var name string = "literal"``) or without. What a literal holds is a stream of its own. A value is a literal,
+another name, or several of them joined by ``+`` or ``.``; in parentheses they may follow each other and stand on several lines, and
+a literal may stand on the line after its operator. Names that stand for literals are constants: they are propagated, through
 other constants, to where they are used. A literal that reaches a target with a sensitive name
-is scored by that name and by its own shape, and reported where the literal stands.
+is scored by that name and by its own whole shape, and reported where the literal stands.
 
 Texts are independent of each other: one pass, no shuffle. Defined results: a null or empty text
 has no spans. Repeated rows and rows with a null id each get their own row. Other columns of the
@@ -14,7 +16,6 @@ input are ignored. Offsets count code points, ends are exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -59,13 +60,39 @@ PLACEHOLDER = re.compile(
     r"|password|secret|token|string|<.*>|\[.*\]|\$\{.*\}|\$\(.*\)|%.*%|\{\{.*\}\})$"
 )
 
-_PAIR = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_$][\w$.\-]{0,127})(?P=quote)\s*(?::=|=>|=(?!=)|:(?![:/]))\s*(?P<value>["'`]|[^\s"'`,;(){}\[\]])"""
+# A literal in its quotes; an apostrophe within a word opens none.
+_QUOTED = r"""
+    \"\"\"(?P<ddd>(?:[^"\\]|\\.|"(?!""))*+)\"\"\" | \'\'\'(?P<sss>(?:[^'\\]|\\.|'(?!''))*+)\'\'\'
+  | "(?P<d>(?:[^"\\\n]|\\.)*+)" | (?:(?<!\w)[rRbBuUfFL@]{1,2}|(?<![^\W_]))'(?P<s>(?:[^'\\\n]|\\.)*+)' | `(?P<b>[^`\n]*+)`
+  | \\"(?P<e>[^"\\\n]*+)\\"
+"""
+_TARGET = r"[A-Za-z_$][\w$]*+(?:[.\-]++[\w$]++)*+"
+_ASSIGNED = r":=|=>|\?\?=|\|\|=|[+?]=|=(?![=>])|:(?![:/=])"
+_TOKEN = re.compile(
+    rf"""
+    \b(?:var|const)\s++(?P<declared>{_TARGET})\s++[*&\[\]]*+(?P<typed>{_TARGET})\s*+=(?!=)
+  | (?P<name>{_TARGET})(?:[?!](?=\s*+:))?+\s*+(?P<operator>{_ASSIGNED})
+  | (?:{_QUOTED})(?:[^\S\n]*+\]?+[^\S\n]*+(?P<behind>{_ASSIGNED}))?+
+  | {_TARGET} | :: | \\.
+    """,
+    re.VERBOSE | re.DOTALL,
 )
-_PART = re.compile(
-    r"""\s*(?:"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`|(?P<bare>[^\s"'`,;(){}\[\]+]+))"""
+# A type between a colon and the equals sign.
+_TYPE = r"[&*?]*+(?:mut\s++)?+[A-Za-z_][\w.]*+(?:::[\w.]++)*+(?:\[[\w\s,.|&*\[\]]*\]|<[\w\s,.|&*<>]*>)*+\??+"
+_TYPED = re.compile(rf"\s*+{_TYPE}(?:\s*+\|\s*+{_TYPE})*+\s*+=(?![=>])")
+_OPEN = re.compile(r"[^\S\n]*+(?:\\?\n\s*+)?+(?P<open>(?:\(\s*+)*+)")
+# An unquoted value: ``=`` is part of it at its end only; the narrow form, within another value, ends at a colon too.
+_BARE = r"""(?P<bare>[^\s"'`,;(){{}}\[\]+\\={0}]++(?:=++(?![\w"']))?+)"""
+_PART, _NARROW = (
+    re.compile(rf"""\s*+(?:(?:[rRbBuUfFL@]{{1,2}}(?=["']))?(?:{_QUOTED})|{_BARE.format(end)})""", re.VERBOSE | re.DOTALL) for end in ("", ":")
 )
-_JOIN = re.compile(r"\s*(?:\+|\.\s)")
+_JOIN = re.compile(r"[^\S\n]*+(?:\+|\.\s)")
+_JOIN_OPEN = re.compile(r"\s*+(?:\+|\.\s)?+")
+_BEHIND = re.compile(r"[^\S\n]*+[:=]")
+_KEY = re.compile(rf"{_TARGET}\Z")
+# What sensitive targets look like, whatever else their names have: texts without one need no lexing.
+_STEM = re.compile("(?i)pass|pwd|secret|token|key|credential|authorization|bearer|pin")
+_WORD = re.compile(r"""[\w$.\-]++(?P<target>(?:\\?["'`][^\S\n]*+\]?+|[?!])?+(?:\s*+[:=+?|]|\s++[*&\[\]]*+[\w$.\-]++\s*+=))?+""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*\Z")
 
@@ -96,7 +123,7 @@ def literal_score(value: str) -> float:
     """How much a literal looks like a secret: its length, the variety of its characters, no placeholder."""
     if len(value) < MIN_LITERAL or PLACEHOLDER.match(value):
         return 0.0
-    counts = Counter(value[:4096])
+    counts = Counter(value)
     n = sum(counts.values())
     bits = -sum(c / n * math.log2(c / n) for c in counts.values())
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
@@ -104,19 +131,29 @@ def literal_score(value: str) -> float:
     return max(0.0, min(1.0, bits / 3.5) * min(1.0, len(value) / 8) * (0.6 + 0.1 * classes) - 0.2 * spaces)
 
 
-def _parts(line: str, at: int) -> list[tuple[str, str, int, int]]:
-    """What a value consists of: ``(literal or name or bare, text, start, end)``."""
-    found = []
-    while m := _PART.match(line, at):
+def _parts(text: str, at: int, part: re.Pattern) -> list[tuple[str, str, int, int]]:
+    """What the value at a place consists of: ``(literal or name or reference or bare or word, text, start, end)``."""
+    opened = _OPEN.match(text, at)
+    inside, below = bool(opened["open"]), "\n" in opened[0]
+    found, at = [], opened.end()
+    while m := part.match(text, at):
         kind = m.lastgroup
-        text = m.group(kind)
-        if kind == "bare":
-            # Unquoted, a literal has a digit in it; else it is a name, a call or a plain word.
-            plain = not any(c.isdigit() for c in text) or line[m.end() : m.end() + 1] == "("
-            found.append(("name" if _NAME.match(text) else "word" if plain else "bare", text, m.start(kind), m.end(kind)))
+        value, start, end = m[kind], m.start(kind), m.end(kind)
+        if kind != "bare":
+            if below and not inside and _BEHIND.match(text, m.end()):
+                break  # the next line is an assignment of its own
+            kind = "literal"
+        elif inside or below:
+            # In parentheses only quoted literals and constants count, and on the next line only literals.
+            if below and not inside or not _NAME.match(value):
+                break
+            kind = "reference"
         else:
-            found.append(("literal", text, m.start(kind), m.end(kind)))
-        joined = _JOIN.match(line, m.end())
+            # Unquoted, a literal has a digit in it; else it is a name, a call or a plain word.
+            plain = not any(c.isdigit() for c in value) or text[m.end() : m.end() + 1] == "("
+            kind = "name" if _NAME.match(value) else "word" if plain else "bare"
+        found.append((kind, value, start, end))
+        joined = (_JOIN_OPEN if inside else _JOIN).match(text, m.end())
         if not joined:
             break
         at = joined.end()
@@ -125,18 +162,40 @@ def _parts(line: str, at: int) -> list[tuple[str, str, int, int]]:
 
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
     """Name and value parts of every assignment, with offsets in the text."""
-    at = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            for m in _PAIR.finditer(line):
-                parts = _parts(line, m.start("value"))
-                if parts:
-                    yield m.group("name"), [(k, v, at + s, at + e) for k, v, s, e in parts]
-        at += len(line) + 1
+    # Streams to read: the text, then what the literals in it hold.
+    todo = [(0, text)]
+    while todo:
+        first, stream = todo.pop()
+        within = 0  # where the last value ends
+        for m in _TOKEN.finditer(stream):
+            names, at = [], m.end()
+            if m["declared"]:
+                names = [m["declared"], m["typed"]]
+            elif m["name"]:
+                names = [m["name"]]
+            elif m.lastgroup:
+                kind = next(k for k in ("ddd", "sss", "d", "s", "b", "e") if m[k] is not None)
+                held = m[kind]
+                if m["behind"] and _KEY.match(held):
+                    names = [held]
+                elif "=" in held or ":" in held:
+                    todo.append((first + m.start(kind), held))
+            if not names:
+                continue
+            if (m["operator"] or m["behind"]) == ":" and (typed := _TYPED.match(stream, at)):
+                at = typed.end()
+            parts = _parts(stream, at, _NARROW if at < within else _PART)
+            if parts:
+                within = max(within, parts[-1][3])
+                parts = [(k, v, first + s, first + e) for k, v, s, e in parts]
+                for name in names:
+                    yield name, parts
 
 
 def lexed(text: str) -> list[Span]:
     """Literals that reach a target with a sensitive name."""
+    if not _STEM.search(text) or not any(m["target"] and _STEM.search(m[0]) for m in _WORD.finditer(text)):
+        return []
     assigned = list(pairs(text))
     scored = [(name, parts, name_score(name.rpartition(".")[2])) for name, parts in assigned]
     if not any(s for _, _, s in scored):
@@ -166,7 +225,7 @@ def lexed(text: str) -> list[Span]:
                         if old is None or old.score < score:
                             found[s, e] = Span("literal", s, e, s, e, round(score, 4), name)
             for k, v, _, _ in now:
-                if k == "name" and v in constants and v not in seen:
+                if k in ("name", "reference") and v in constants and v not in seen:
                     seen.add(v)
                     todo += constants[v]
     return list(found.values())
@@ -257,7 +316,3 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
     if length in docs.columns:
         done = done.withColumn(length, F.when(F.col(length).isNotNull(), F.char_length(text).cast(schema[length].dataType)))
     return done
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
