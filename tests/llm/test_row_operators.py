@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import textwrap
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,7 +170,7 @@ def test_redaction_keeps_rows_columns_and_clean_texts(spark):
     assert secrets.secret_digest(docs.limit(0)).count() == 0
 
 
-def test_licences_by_canonical_digest(spark):
+def test_licences_by_canonical_digest(spark, monkeypatch):
     mit = licenses.KNOWN["mit"]
     texts = [
         None, "", "!!", mit, mit.replace("Software", "SOFTWARE,").replace("<year> <copyright holders>", "2001 Someone") + "\n\n", mit.replace("distribute", "share"),
@@ -180,6 +182,23 @@ def test_licences_by_canonical_digest(spark):
     assert [by_id[i]["license_id"] for i in range(7)] == [None, None, None, "mit", "mit", None, None]
     assert by_id[6]["notices"] == ["notice:gpl-3.0", "notice:reserved"]
     assert by_id[0]["digest"] is None and by_id[3]["digest"] == by_id[4]["digest"]
+    licence = {i: t for i, t in licenses.known_texts() if i in ("apache-2.0", "gpl-3.0")}
+    whole = [
+        "".join(f" * {x}\n" for x in licenses.KNOWN["bsd-3-clause"].replace("<year>, <owner>", "1999 Somebody").splitlines()),
+        (Path(licenses.__file__).parent / "known" / "apache-2.0.txt").read_text(), licence["gpl-3.0"].upper(), licence["apache-2.0"][200:], "// SPDX-License-Identifier: GPL-2.0-only\nint x;",
+    ]
+    names = [k for k in licenses.KNOWN if ":" not in k]
+    wrapped = [
+        "\n\n".join(x if x.lower().startswith("copyright") else textwrap.fill(x, width) for x in licenses.KNOWN[k].split("\n\n"))
+        for width in (50, 71, 72, 73, 74, 75, 76, 77, 78, 79, 80, 1000) for k in names
+    ]
+    got = licenses.scan(table(spark, wrapped), licenses.known_licenses(spark)).collect()
+    assert all(r["license_id"] == names[r["doc_id"] % len(names)] for r in got if r["doc_id"] is not None)
+    for most in (licenses.MOST_KNOWN, 1):
+        monkeypatch.setattr(licenses, "MOST_KNOWN", most)
+        got = {r["doc_id"]: r for r in licenses.scan(table(spark, whole), licenses.known_licenses(spark)).collect()}
+        assert [got[i]["license_id"] for i in range(5)] == ["bsd-3-clause", "apache-2.0", "gpl-3.0", None, None]
+        assert got[4]["notices"] == ["notice:gpl-2.0"]
     known = spark.createDataFrame([("b", "Same text"), ("a", "same  TEXT!"), ("e", None), (None, "x")], "license_id string, text string")
     assert [tuple(r)[1] for r in licenses.digests(known).collect()] == ["a"]
     assert licenses.scan(table(spark, ["a"]).limit(0), known).count() == 0
