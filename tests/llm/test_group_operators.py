@@ -1,6 +1,7 @@
 """Near-duplicates, phrases, packing, token codes: results over many rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -234,6 +235,33 @@ def test_local_search_empties_bins():
         assert all(sum(sizes[i] for i in b) <= 100 for b in last)
 
 
+def helps(giver, taker, sizes, capacity):
+    """Whether any exchange of these two bins raises the sum of squared fills, by trying all."""
+    room = capacity - sum(sizes[i] for i in taker)
+    for give, take in ((1, 0), (2, 0), (1, 1), (2, 1), (1, 2)):
+        for out in itertools.combinations(giver, give):
+            for back in itertools.combinations(taker, take):
+                if 0 < sum(sizes[i] for i in out) - sum(sizes[i] for i in back) <= room:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("low, high, capacity", [(15, 55, 100), (20, 45, 100), (25, 50, 101), (1, 70, 100), (300, 1100, 2048)])
+def test_local_search_ends_where_no_exchange_is_left(low, high, capacity):
+    rng, emptied = random.Random(low), 0
+    for _ in range(8):
+        sizes = [rng.randint(low, high) for _ in range(rng.choice([7, 80, 240]))]
+        first = packing.best_fit(sizes, capacity)
+        last = packing.local_search(first, sizes, capacity)
+        fill = [sum(sizes[i] for i in b) for b in last]
+        assert sorted(i for b in last for i in b) == list(range(len(sizes))) and max(fill) <= capacity
+        emptied += len(first) - len(last)
+        if len(last) > -(-sum(sizes) // capacity):
+            for giver, taker in itertools.permutations(range(len(last)), 2):
+                assert fill[giver] > fill[taker] or fill[giver] == capacity or not helps(last[giver], last[taker], sizes, capacity)
+    assert emptied or low == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
 def test_codes_give_every_id(n):
     rng = np.random.default_rng(n)

@@ -3,9 +3,10 @@
 Texts become token ids once; longer documents are cut into pieces of the capacity, and only the
 sizes of the pieces travel on. Pieces of full capacity are sequences of their own. The
 others are dealt evenly into groups of bounded size, whatever their source; each group is packed by
-best fit in decreasing order and improved: the emptiest sequence gives pieces to, or exchanges one
-for one, one for two or two for one with, fuller ones, whenever that raises the sum of squared fills,
-until it is empty. The emptiest sequence of every group is opened again and packed with
+best fit in decreasing order and improved: an underfull sequence, the emptiest first, gives pieces to, or exchanges one
+for one, one for two or two for one with, those at least as full, whenever that raises the sum of squared fills,
+until it is empty. The search of a group ends at the least number of sequences its sizes allow, or where no
+underfull sequence has such an exchange left. The emptiest sequence of every group is opened again and packed with
 those of the other groups, until one group is left, so each group costs no sequence of its own.
 
 Defined results: a null or empty text is its end id alone. Repeated rows, and rows with a null id, are
@@ -29,10 +30,6 @@ from tonescale.session import materialize
 CAPACITY = 2048
 #: Pieces that are packed together, about.
 GROUP = 30_000
-#: Emptiest sequences that are tried in turn before the search ends.
-PATIENCE = 6
-#: Sequences that the search of one group tries to empty altogether.
-PASSES = 300
 
 
 def token_pieces(
@@ -83,76 +80,107 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(giver: list[int], taker: list[int], room: int, sizes: list[int]) -> tuple[list[int], list[int]] | None:
-    """Items to give and to take back that fill ``room`` best: a move, or one for one, one for two, two for one."""
-    best, gain = None, 0
-    for i in giver:
-        if gain < sizes[i] <= room:
-            best, gain = ([i], []), sizes[i]
-    for i in giver:
-        for k, j in enumerate(taker):
-            more = sizes[i] - sizes[j]
-            if gain < more <= room:
-                best, gain = ([i], [j]), more
-            for j2 in taker[k + 1 :]:
-                if gain < more - sizes[j2] <= room:
-                    best, gain = ([i], [j, j2]), more - sizes[j2]
-    for k, i in enumerate(giver):
-        for i2 in giver[k + 1 :]:
-            two = sizes[i] + sizes[i2]
-            if gain < two <= room:
-                best, gain = ([i, i2], []), two
-            for j in taker:
-                if gain < two - sizes[j] <= room:
-                    best, gain = ([i, i2], [j]), two - sizes[j]
-    return best
-
-
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patience: int = PATIENCE, passes: int = PASSES) -> list[list[int]]:
-    """Empties bins by exchanges that raise the sum of squared fills; ends at the least number of bins or where none helps.
-
-    A giver is never fuller than the taker, so every exchange raises the sum, which is bounded.
+class _Bins:
+    """The items of each bin, their sizes, and the sums of two items of one bin, as arrays that follow the exchanges."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.items, self.capacity = [list(b) for b in bins], capacity
+        self.sizes = np.array(sizes, np.int64)
+        self.bin_of = np.empty(len(sizes), np.int64)
+        for b, items in enumerate(bins):
+            self.bin_of[items] = b
+        self.fill = np.array([self.sizes[items].sum() for items in bins], np.int64)
+        self._list_pairs()
+
+    def _pairs_of(self, b: int) -> np.ndarray:
+        """Rows ``(bin, item, item)``."""
+        items = np.array(self.items[b], np.int64)
+        i, j = np.triu_indices(len(items), 1)
+        return np.stack([np.full(len(i), b), items[i], items[j]], 1)
+
+    def _list_pairs(self) -> None:
+        rows = [self._pairs_of(b) for b in range(len(self.items)) if self.fill[b] < self.capacity]
+        self.pairs = np.concatenate([np.empty((0, 3), np.int64), *rows])
+        self.pair_sizes = self.sizes[self.pairs[:, 1]] + self.sizes[self.pairs[:, 2]]
+
+    def exchange(self, giver: int, takers: np.ndarray) -> int | None:
+        """The exchange with one of the bins marked in ``takers`` that raises the sum of squared fills most; the other bin, or None."""
+        room = np.where(takers, self.capacity - self.fill, 0)
+        room[giver] = 0
+        if not room.any():
+            return None
+        own = self.items[giver]
+        alone = {int(self.sizes[i]): (i,) for i in own}
+        both = {int(self.sizes[i] + self.sizes[j]): (i, j) for k, i in enumerate(own) for j in own[k + 1 :]}
+        gap = self.fill - self.fill[giver]
+        best, found = 0, None
+
+        def seek(given: dict[int, tuple], bins: np.ndarray, taken: np.ndarray, back) -> None:
+            nonlocal best, found
+            left, above = room[bins], gap[bins]
+            for size, items in given.items():
+                more = size - taken
+                gain = np.where((more > 0) & (more <= left), more * (above + more), 0)
+                if len(gain) and gain[at := int(gain.argmax())] > best:
+                    best, found = int(gain[at]), (int(bins[at]), items, back(at))
+
+        open_bins = np.flatnonzero(room)
+        seek(alone | both, open_bins, np.zeros(len(open_bins), np.int64), lambda at: ())
+        one = np.flatnonzero(room[self.bin_of])
+        seek(alone | both, self.bin_of[one], self.sizes[one], lambda at: (int(one[at]),))
+        two = np.flatnonzero(room[self.pairs[:, 0]])
+        seek(alone, self.pairs[two, 0], self.pair_sizes[two], lambda at: tuple(self.pairs[two[at], 1:].tolist()))
+        if not found:
+            return None
+        taker, give, take = found
+        for b, out, come in ((giver, give, take), (taker, take, give)):
+            self.items[b] = [i for i in self.items[b] if i not in out] + list(come)
+            self.bin_of[list(come)] = b
+            self.fill[b] = self.sizes[self.items[b]].sum()
+        # Full bins take part no more, so only what is left of the two is listed again.
+        keep = (self.pairs[:, 0] != giver) & (self.pairs[:, 0] != taker)
+        new = [self._pairs_of(b) for b in (giver, taker) if 0 < self.fill[b] < self.capacity]
+        self.pairs = np.concatenate([self.pairs[keep], *new])
+        added = sum(map(len, new))
+        fresh = self.pairs[len(self.pairs) - added :]
+        self.pair_sizes = np.concatenate([self.pair_sizes[keep], self.sizes[fresh[:, 1]] + self.sizes[fresh[:, 2]]])
+        return taker
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Empties bins by exchanges that raise the sum of squared fills; ends at the least number of bins or where none is left.
+
+    A giver is never fuller than the taker, so every exchange raises the sum, which is bounded. All underfull bins are tried
+    in turn, the emptiest first, again and again; one that found none only with those that have changed since.
     """
     least = -(-sum(sizes) // capacity)
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    bins, failed = [list(b) for b in bins], 0
-    alive = sum(f > 0 for f in fill)
-    for _ in range(passes):
-        if alive <= least or failed >= patience:
-            break
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        if failed >= len(under):
+    if sum(map(bool, bins)) <= least:
+        return [b for b in bins if b]
+    state = _Bins(bins, sizes, capacity)
+    fill, step = state.fill, 0
+    changed, tried = np.zeros(len(bins), np.int64), np.full(len(bins), -1)
+    alive = int((fill > 0).sum())
+    while alive > least:
+        under = np.flatnonzero((fill > 0) & (fill < capacity) & (tried < step))
+        if not len(under):
             break
-        giver = under[failed]
-        moved, before = True, fill[giver]
-        while moved and fill[giver]:
-            moved = False
-            for taker in reversed(under):
-                if taker == giver or fill[taker] == capacity or fill[taker] < fill[giver]:
-                    continue
-                found = _exchange(bins[giver], bins[taker], capacity - fill[taker], sizes)
-                if found:
-                    give, take = found
-                    more = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
-                    bins[giver] = [i for i in bins[giver] if i not in give] + take
-                    bins[taker] = [i for i in bins[taker] if i not in take] + give
-                    fill[giver] -= more
-                    fill[taker] += more
-                    moved = True
-                    if not fill[giver]:
-                        break
-        if not fill[giver]:
-            alive, failed = alive - 1, 0
-        elif failed and fill[giver] < before:
-            failed = 0  # the emptiest one may fit now
-        else:
-            failed += 1
-    return [b for b in bins if b]
+        for giver in under[np.argsort(fill[under], kind="stable")].tolist():
+            while 0 < fill[giver] < capacity and alive > least:
+                since = -1 if changed[giver] > tried[giver] else tried[giver]
+                taker = state.exchange(giver, (fill >= fill[giver]) & (changed > since))
+                if taker is None:
+                    tried[giver] = step
+                    break
+                step += 1
+                changed[[giver, taker]] = step
+                alive -= not fill[giver]
+    return [b for b in state.items if b]
 
 
 def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
     return local_search(best_fit(sizes, capacity), sizes, capacity)
 
+
 def _packer(capacity: int, turn: int, last: bool):
     """Packs one group. Unless it is the last of all, its emptiest sequence is marked as open."""
 
