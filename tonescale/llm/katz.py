@@ -12,8 +12,12 @@ class, then as themselves by their share of its unigram mass.
 With u(w) = log P(w) and b(h) the logarithm of the backoff weight, a pair adds b(h) + u(w), and d(h, w) besides if it was seen. In a text the
 histories are its tokens again, so a score is the sum of b + u over tokens and of d over pairs: each is one look-up.
 
-Counts are kept under both words' hashes, b + u and d under the word or 63 bits of a hash of the pair, in tables partitioned by order. Everything that is held by a task or the driver is bounded: the ``LOCAL`` most frequent
-tokens and ``FREQUENT`` bigrams are looked up where the text is; all others are shuffled and joined, so none of their keys is hot.
+Tokens have numbers by frequency: the ``LOCAL`` most frequent ones are known where the text is, all others go by a 62-bit hash. Pairs are counted,
+stored and asked for in buckets, whose number grows with the tokens: a pair of two frequent tokens lies in the bucket of its own hash, a pair with a
+rare word in that of the word, any other with a rare history in that of the history. So the bucket of a rare word has its count and probability, and only what
+histories keep is summed across buckets. Each run of text sends one packed row (sorted keys as differences, by byte planes) to a
+bucket, not a row for each pair, and a bucket is read as a stream behind its table. Tables are partitioned by order. What the driver
+or every task holds is bounded: ``LOCAL`` tokens and the ``FREQUENT`` bigrams, which are not asked for, so none of the others is hot.
 
 Defined results: a null or empty text is its end alone. Repeated rows, and rows with a null id, are texts of their own; a null id counts as an
 empty one when it decides whether a text is held out. Other columns of the input are ignored. An empty table gives no rows; with no
@@ -28,10 +32,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tonescale.llm.text import SPACE_CUT_LOWER, cut_words, pieces, texts_of
 from tonescale.session import scratch, scratch_path
@@ -39,9 +45,15 @@ from tonescale.session import scratch, scratch_path
 CUT = 5
 #: Part of a count above ``CUT`` that is given up.
 REST = 0.01
-LOCAL = 1 << 16
+LOCAL = 1 << 18
 FREQUENT = 1 << 18
-_WORD, _END, _OTHER = 1 << 62, 1 << 61, 1 << 60
+#: Training tokens for each bucket of pairs.
+PER_BUCKET = 1 << 21
+_WORD, _END = 1 << 62, 1 << 61
+# What a row holds: pairs of frequent tokens, with a rare word, with a rare history; rare tokens; rare histories of rare words; a text's own sums.
+# From ``_ASKED`` on: what is asked about pairs of the first three kinds.
+_BOTH, _BY_WORD, _BY_HISTORY, _TOKENS, _LINKS, _OWN, _ASKED = range(7)
+_ROW = "bucket int, kind int, a binary, o binary, n binary, x binary"
 #: Fixed values of the base score: what is added to each count.
 ADDED = 0.1
 
@@ -70,28 +82,54 @@ def _pairs(codes: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([[size - 1], codes[:-1]]) * size + codes if len(codes) else codes
 
 
-def _rotated(x: np.ndarray, by: int) -> np.ndarray:
-    return x << np.uint64(by) | x >> np.uint64(64 - by)
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit numbers by byte planes, as differences if they rise."""
+    x = np.ascontiguousarray(x).view(np.int64)
+    planes = np.ascontiguousarray((np.diff(x, prepend=0) if rising else x).view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _xxhash(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Spark's ``xxhash64`` of a long, where ``seed`` is 42 or the hash of the column before."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    x = seed + p5 + np.uint64(8) ^ _rotated(value * p2, 31) * p1
-    x = _rotated(x, 27) * p1 + p4
-    x = (x ^ x >> np.uint64(33)) * p2
-    x = (x ^ x >> np.uint64(29)) * p3
-    return x ^ x >> np.uint64(32)
+def unpack(blob: bytes, rising: bool = False, kind: type = np.int64) -> np.ndarray:
+    size = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(pa.decompress(blob[4:], 8 * size, "zstd"), np.uint8).reshape(8, size)
+    x = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(x) if rising else x
 
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Negative numbers, as ``_pair_key`` makes them in Spark; keys of words are positive."""
-    found = _xxhash(w.astype(np.uint64), _xxhash(h.astype(np.uint64), np.full(len(h), 42, np.uint64)))
-    return (found | np.uint64(1 << 63)).view(np.int64)
+def _mixed(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets of these keys."""
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _pair_key(h: str, w: str):
-    return F.xxhash64(h, w).bitwiseOR(F.lit(-1 << 63))
+def _summed(a: np.ndarray, o: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``(a, o)`` in order, with the sums of ``n``."""
+    order = np.lexsort((o, a))
+    a, o, n = a[order], o[order], n[order]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (o[1:] != o[:-1]))[: len(a)])
+    return a[new], o[new], np.add.reduceat(n, new) if len(new) else n
+
+
+class _Pairs:
+    """Counts of sorted ``(a, o)``, to be looked up."""
+
+    def __init__(self, a: np.ndarray, o: np.ndarray, c: np.ndarray) -> None:
+        self.a, at = np.unique(a, return_inverse=True)
+        self.o, of = np.unique(o, return_inverse=True)
+        self.key, self.c = at * max(len(self.o), 1) + of, np.append(c, 0)
+
+    def count(self, a: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """0 for pairs that are not there."""
+        at, of = _find(self.a, a), _find(self.o, o)
+        there = (at < len(self.a)) & (of < len(self.o))
+        return self.c[np.where(there, _find(self.key, at * max(len(self.o), 1) + of), len(self.key))]
+
+
+def _find(table: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places in a sorted table; its length for what is not there."""
+    if not len(table):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(table, asked), len(table) - 1)
+    return np.where(table[at] == asked, at, len(table))
 
 
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -136,6 +174,26 @@ def _discounted_sql(d: list[float]):
     return out
 
 
+@dataclass
+class _Layout:
+    """Which tokens have numbers, and in which bucket a pair lies."""
+
+    top: np.ndarray
+    merged: bool
+    buckets: int
+
+    def placed(self, h: np.ndarray, w: np.ndarray, hn: np.ndarray, wn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(kind, bucket, a, o)`` of pairs of tokens with these numbers: the key's first part and its second, 0 for two frequent tokens."""
+        size = len(self.top)
+        if self.merged:
+            kind = np.full(len(h), _BOTH)
+        else:
+            kind = np.where(wn == size, _BY_WORD, np.where(hn == size, _BY_HISTORY, _BOTH))
+        a = np.where(kind == _BOTH, hn * (size + 1) + wn, np.where(kind == _BY_WORD, w, h))
+        o = np.where(kind == _BOTH, 0, np.where(kind == _BY_WORD, np.where(hn < size, hn, h), wn))
+        return kind, _mixed(a, self.buckets), a, o
+
+
 @dataclass
 class Katz:
     """A fitted model. The tables are in ``folder``; the arrays hold the most frequent tokens and bigrams."""
@@ -143,22 +201,33 @@ class Katz:
     folder: str
     n: int
     types: int
-    top: np.ndarray
+    layout: _Layout
+    d1: list[float]
+    d2: list[float]
     counts: np.ndarray
-    #: Of these tokens, and of one that is in no table: what it adds as a word and as a history.
-    values: np.ndarray
+    #: Of the frequent tokens, and of all others if they are merged: log P as a word, backoff weight, and that with the logarithm of the count.
+    u: np.ndarray
+    b: np.ndarray
+    x: np.ndarray
     unknown: float
-    merged: bool
     frequent: np.ndarray
-    frequent_values: np.ndarray
+    frequent_counts: np.ndarray
 
     def base_log10(self, c: np.ndarray) -> np.ndarray:
         return np.log10((np.asarray(c, np.float64) + ADDED) / (self.n + ADDED * (self.types + 1)))
 
+    def word(self, c: np.ndarray) -> np.ndarray:
+        """log P of words of these counts, all known."""
+        return np.log10(discounted(self.d1, c) / max(self.n, 1))
 
-def _kinds(values: np.ndarray, numbers: np.ndarray, size: int, merged: bool) -> np.ndarray:
-    """The tokens that bigrams are made of."""
-    return np.where(numbers < size, values, _OTHER) if merged else values
+    def kept(self, c: np.ndarray) -> np.ndarray:
+        """What a pair keeps, as a logarithm; 0 for pairs that are not known."""
+        return np.log10(np.where(c > 0, discounted(self.d2, np.maximum(c, 1)), 1.0))
+
+    def both(self, key: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """What pairs of frequent tokens with these counts add."""
+        side = len(self.layout.top) + 1
+        return np.where(c > 0, self.kept(c) - self.x[key // side] - self.u[key % side], 0.0)
 
 
 def _count_words(rows: DataFrame) -> DataFrame:
@@ -172,18 +241,49 @@ def _count_words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
 
 
-def _count_pairs(rows: DataFrame, top: np.ndarray, merged: bool) -> DataFrame:
+def _cut_buckets(kind: np.ndarray, bucket: np.ndarray, a: np.ndarray, o: np.ndarray, more: list[np.ndarray]):
+    """``(kind, bucket, a, o, more)`` of each bucket and kind that has entries, in the order of ``a`` and ``o``."""
+    place = bucket * 3 + kind
+    order = np.lexsort((o, a, place))
+    place, a, o, more = place[order], a[order], o[order], [x[order] for x in more]
+    cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)]).tolist()
+    for i, j in zip(cuts, cuts[1:] + [len(place)]):
+        yield int(place[i]) % 3, int(place[i]) // 3, a[i:j], o[i:j], [x[i:j] for x in more]
+
+
+def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * (len(names) - 2)
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+
+_NAMES = ["bucket", "kind", "a", "o", "n", "x"]
+
+
+def _count_pairs(rows: DataFrame, layout: _Layout) -> DataFrame:
     def run(batches):
-        ids = _Ids(top)
+        ids = _Ids(layout.top)
         for batch in pieces(batches, 1):
             values, codes, ends = _coded(texts_of(batch.column(1)))
             train = np.repeat(~_held_out(batch.column(0)), np.diff(ends, prepend=0))
             keys, n = np.unique(_pairs(codes, len(values))[train], return_counts=True)
-            kinds = _kinds(values, ids.of(values), len(top), merged)
-            h, w = kinds[keys // len(values)], kinds[keys % len(values)]
-            yield pa.record_batch([pa.array(h), pa.array(w), pa.array(n)], ["h", "w", "n"])
+            h, w, numbers = keys // len(values), keys % len(values), ids.of(values)
+            kind, bucket, a, o = layout.placed(values[h], values[w], numbers[h], numbers[w])
+            parts = ((k, at, *_summed(a, o, n)) for k, at, a, o, (n,) in _cut_buckets(kind, bucket, a, o, [n]))
+            yield _packed([(at, k, pack(a, True), pack(o), pack(n), None) for k, at, a, o, n in parts], _NAMES)
 
-    return rows.mapInArrow(run, "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("c"))
+    def merge(key, table):
+        a, o, n = _summed(*(np.concatenate([unpack(x, c == "a") for x in table.column(c).to_pylist()]) for c in "aon"))
+        return pa.Table.from_batches([_packed([(key[0].as_py(), key[1].as_py(), pack(a, True), pack(o), pack(n), None)], _NAMES)])
+
+    return rows.mapInArrow(run, _ROW).groupBy("bucket", "kind").applyInArrow(merge, _ROW)
+
+
+def _each(batches):
+    """``(bucket, kind, a, o, n, x)`` of the rows of a table, one at a time."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            bucket, kind, a, o, n, x = (batch.column(i)[r].as_py() for i in range(6))
+            yield bucket, kind, unpack(a, True), unpack(o), unpack(n), x
 
 
 def _count_of_counts(table: DataFrame) -> dict[int, int]:
@@ -191,17 +291,98 @@ def _count_of_counts(table: DataFrame) -> dict[int, int]:
     return {r["c"]: r["count"] for r in rows}
 
 
+def _pair_counts(table: DataFrame) -> DataFrame:
+    """``(frequent, c, n)``: how many pairs, of frequent tokens or not, occur so often."""
+
+    def run(batches):
+        for _, kind, _, _, n, _ in _each(batches):
+            c, k = np.unique(n, return_counts=True)
+            yield pa.record_batch([pa.array(np.full(len(c), kind == _BOTH)), pa.array(c), pa.array(k)], ["frequent", "c", "n"])
+
+    return table.mapInArrow(run, "frequent boolean, c long, n long").groupBy("frequent", "c").agg(F.sum("n").alias("n"))
+
+
+def _pairs_from(table: DataFrame, least: int) -> DataFrame:
+    """Pairs of frequent tokens that occur so often."""
+
+    def run(batches):
+        for _, _, a, _, n, _ in _each(batches):
+            yield pa.record_batch([pa.array(a[n >= least]), pa.array(n[n >= least])], ["key", "c"])
+
+    return table.filter(F.col("kind") == _BOTH).mapInArrow(run, "key long, c long")
+
+
+def _histories(table: DataFrame, layout: _Layout, p: np.ndarray, n: int, d1: list[float], d2: list[float], everything: int) -> DataFrame:
+    """``(h, c, b, whole)``: how often a history occurs, its backoff weight and what its pairs are divided by, as logarithms."""
+
+    def run(batches):
+        side = len(layout.top) + 1
+        for _, kind, a, o, c, _ in _each(batches):
+            if kind == _BOTH:
+                h, lower = a // side, p[a % side]
+            elif kind == _BY_WORD:
+                _, at = np.unique(a, return_inverse=True)
+                h, lower = o, (discounted(d1, np.bincount(at, c)) / n)[at]
+            else:
+                h, lower = a, p[o]
+            h, at = np.unique(h, return_inverse=True)
+            sums = [np.bincount(at, x, len(h)) for x in (c, discounted(d2, c), lower)]
+            yield pa.record_batch([pa.array(x) for x in (h, sums[0].astype(np.int64), sums[1], sums[2], np.bincount(at, minlength=len(h)))], ["h", "c", "k", "p", "seen"])
+
+    sums = table.mapInArrow(run, "h long, c long, k double, p double, seen long").groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", "k", "p", "seen")])
+    # After a history that was followed by everything there is nothing to back off to: what it keeps is all.
+    all_of_them = F.col("seen") == everything
+    backoff = F.when(all_of_them, F.lit(0.0)).otherwise(F.log10((1 - F.col("k") / F.col("c")) / F.greatest(1 - F.col("p"), F.lit(1e-12))))
+    whole = F.log10(F.when(all_of_them, F.col("k")).otherwise(F.col("c").cast("double")))
+    return sums.select("h", "c", backoff.alias("b"), whole.alias("whole"))
+
+
+def _in_buckets(rows: DataFrame, kind: int) -> DataFrame:
+    """One packed row for the ``(bucket, a, c, b, whole)`` of a bucket."""
+
+    def run(key, table):
+        table = table.sort_by("a")
+        a, c, b, whole = (table.column(x).to_numpy() for x in ("a", "c", "b", "whole"))
+        return pa.Table.from_batches([_packed([(key[0].as_py(), kind, pack(a, True), pack(c), pack(b), pack(b + whole))], _NAMES)])
+
+    return rows.groupBy("bucket").applyInArrow(run, _ROW)
+
+
+def _rare_tokens(known: DataFrame, layout: _Layout) -> DataFrame:
+    """``(bucket, a, c, b, whole)`` of the ``(a, c, b, whole)`` of tokens without a number."""
+
+    def run(batches):
+        ids = _Ids(layout.top)
+        for batch in batches:
+            a = batch.column(0).to_numpy()
+            rare = (a >= _END) & (ids.of(a) == len(layout.top))
+            yield pa.record_batch([pa.array(_mixed(a, layout.buckets)), *batch.columns], ["bucket", "a", "c", "b", "whole"]).filter(pa.array(rare))
+
+    return known.mapInArrow(run, "bucket long, a long, c long, b double, whole double").withColumn("bucket", F.col("bucket").cast("int"))
+
+
+def _rare_links(table: DataFrame) -> DataFrame:
+    """``(bucket, h)``: rare histories of the rare words of a bucket."""
+
+    def run(batches):
+        for bucket, _, _, o, _, _ in _each(batches):
+            h = np.unique(o[o >= _END])
+            yield pa.record_batch([pa.array(np.full(len(h), bucket, np.int32)), pa.array(h)], ["bucket", "h"])
+
+    return table.filter(F.col("kind") == _BY_WORD).mapInArrow(run, "bucket int, h long")
+
+
 def _arrays(table: DataFrame) -> list[np.ndarray]:
     """The columns of a small table."""
     found = table.toArrow()
     return [found.column(i).to_numpy() for i in range(found.num_columns)]
 
 
-def _threshold(table: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` rows reach, on a scale of eight steps for each doubling: a few hundred numbers."""
+def _threshold(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` pairs of frequent tokens reach, on a scale of eight steps for each doubling: a few hundred numbers."""
     step = F.floor(F.log2(F.col("c").cast("double")) * 8)
     total, low = 0, 1 << 62
-    for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("low")).orderBy(F.desc("step")).collect():
+    for r in counts.filter("frequent").groupBy(step.alias("step")).agg(F.sum("n").alias("n"), F.min("c").alias("low")).orderBy(F.desc("step")).collect():
         total += r["n"]
         if total > most:
             break
@@ -209,14 +390,6 @@ def _threshold(table: DataFrame, most: int) -> int:
     return low
 
 
-def _known(pairs: DataFrame, column: str, hot: DataFrame, rest: DataFrame | None) -> DataFrame:
-    """``pairs`` with what ``hot``, or else ``rest``, has for ``column``. Both have a column ``x`` besides; hot keys are not shuffled."""
-    found = pairs.join(F.broadcast(hot), column, "left")
-    if rest is None:
-        return found
-    return found.filter("x is not null").unionByName(found.filter("x is null").drop("x").join(rest, column))
-
-
 def fit(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: int | None = None, frequent: int = FREQUENT, local: int = LOCAL
 ) -> Katz:
@@ -233,122 +406,163 @@ def fit(
         known = words.agg(F.coalesce(F.sum(_discounted_sql(d1)), F.lit(0.0))).first()[0]
         unknown = 1 - known / n if n else 1.0
         p = discounted(d1, counts) / max(n, 1)
-        keys, key_counts, key_p = top, counts, p
-        if merged:
-            others = max(1 - p.sum(), unknown)
-            keys, key_counts, key_p = np.append(top, _OTHER), np.append(counts, n - counts.sum()), np.append(p, others)
-
-        # Each pair with the lower-order probability of its word.
-        hot = spark.createDataFrame(pa.table({"w": keys, "x": key_p}), "w long, x double")
-        rest = None if merged else words.select(F.col("key").alias("w"), (_discounted_sql(d1) / n).alias("x"))
-        _known(_count_pairs(rows, top, merged), "w", hot, rest).withColumnRenamed("x", "p").write.parquet(f"{raw}/pairs")
-        pairs = spark.read.schema("h long, w long, c long, p double").parquet(f"{raw}/pairs")
-        d2 = discounts(_count_of_counts(pairs))
-        # For each history, what its words keep, and the lower-order mass of those words.
-        sums = pairs.groupBy("h").agg(F.sum(_discounted_sql(d2)).alias("k"), F.sum("p").alias("p"), F.count("*").alias("seen"))
-        totals = F.broadcast(spark.createDataFrame(pa.table({"h": keys, "c": key_counts}), "h long, c long")) if merged else words.withColumnRenamed("key", "h")
-        share = F.col("k") / F.col("c")
-        # After a history that was followed by everything there is nothing to back off to: what it keeps is all.
-        all_of_them = F.col("seen") == (len(keys) if merged else types + 1)
-        backoff = F.when(all_of_them, F.lit(0.0)).otherwise(F.log10((1 - share) / F.greatest(1 - F.col("p"), F.lit(1e-12))))
-        whole = F.log10(F.when(all_of_them, F.col("k")).otherwise(F.col("c").cast("double")))
-        sums.join(totals, "h").select("h", backoff.alias("b"), whole.alias("whole")).write.parquet(f"{raw}/histories")
-        histories = spark.read.schema("h long, b double, whole double").parquet(f"{raw}/histories")
-
-        at, b, _ = _arrays(histories.join(F.broadcast(hot.select(F.col("w").alias("h"))), "h", "left_semi"))
-        weights, order = np.zeros(len(keys) + 1), _Ids(keys)
-        weights[order.of(at)] = b
-        merged_b = weights[len(top)] if merged else 0.0
-        minus = histories.select("h", (F.col("b") + F.col("whole")).alias("x"))
-        hot_minus = minus.join(F.broadcast(hot.select(F.col("w").alias("h"))), "h", "left_semi")
-        own = F.log10(_discounted_sql(d1) / n) if n else F.lit(0.0)
+        # That of all other words where they are one class; else it is not asked for.
+        p = np.append(p, max(1 - p.sum(), unknown) if merged else 1.0)
+        layout = _Layout(top, merged, max(1, -(-n // PER_BUCKET)))
+
+        _count_pairs(rows, layout).write.parquet(f"{folder}/order=2")
+        pairs = spark.read.schema(_ROW).parquet(f"{folder}/order=2")
+        _pair_counts(pairs).write.parquet(f"{raw}/counts")
+        pair_counts = spark.read.schema("frequent boolean, c long, n long").parquet(f"{raw}/counts")
+        d2 = discounts({r["c"]: r["n"] for r in pair_counts.filter(F.col("c") <= CUT + 1).groupBy("c").agg(F.sum("n").alias("n")).collect()})
+        everything = (len(top) + 1 if merged else types + 1)
+        _histories(pairs, layout, p, n, d1, d2, everything).write.parquet(f"{raw}/histories")
+        histories = spark.read.schema("h long, c long, b double, whole double").parquet(f"{raw}/histories")
+        at, found_b, found_whole = _arrays(histories.filter(F.col("h") <= len(top)).select("h", "b", "whole"))
+        b, x = np.zeros(len(top) + 1), np.zeros(len(top) + 1)
+        b[at], x[at] = found_b, found_b + found_whole
+
         if merged:
-            listed = F.broadcast(spark.createDataFrame(pa.table({"key": top, "b": weights[: len(top)]}), "key long, b double"))
-            with_b = words.join(listed, "key", "left").withColumn("b", F.coalesce("b", F.lit(float(merged_b))))
+            known_tokens = words.select(F.col("key").alias("a"), "c", F.lit(float(b[-1])).alias("b"), F.lit(0.0).alias("whole"))
         else:
-            with_b = words.join(histories.select(F.col("h").alias("key"), "b"), "key")
-        with_b.select("key", "c", (F.col("b") + own).alias("v")).write.parquet(f"{folder}/order=1")
-        added = F.log10(_discounted_sql(d2)) - F.col("x") - F.log10("p")
-        with_h = _known(pairs, "h", hot_minus, None if merged else minus)
-        with_h.select(_pair_key("h", "w").alias("key"), "c", added.alias("v")).write.parquet(f"{folder}/order=2")
-
-    scored = spark.read.schema("key long, c long, v double").parquet(f"{folder}/order=2")
-    often, v = _arrays(scored.filter(F.col("c") >= _threshold(scored, frequent)).select("key", "v"))
+            known_tokens = histories.select(F.col("h").alias("a"), "c", "b", "whole")
+        links = _rare_links(pairs).join(histories, "h").select("bucket", F.col("h").alias("a"), "c", "b", "whole")
+        tokens = _in_buckets(_rare_tokens(known_tokens, layout), _TOKENS).unionByName(_in_buckets(links, _LINKS))
+        tokens.write.parquet(f"{folder}/order=1")
+        often, often_counts = _arrays(_pairs_from(pairs, _threshold(pair_counts, frequent)))
+
     by_key = np.argsort(often)
-    values = np.append(np.log10(p) + weights[: len(top)], math.log10(unknown) + merged_b)
-    return Katz(folder, n, types, top, counts, values, unknown, merged, often[by_key], v[by_key])
+    return Katz(folder, n, types, layout, d1, d2, counts, np.log10(p), b, x, unknown, often[by_key], often_counts[by_key])
+
+
+class _Bucket:
+    """The tables of one bucket, and what they add to texts."""
+
+    def __init__(self, model: Katz) -> None:
+        none = np.zeros(0, np.int64)
+        self.m, self.pairs = model, [_Pairs(none, none, none) for _ in range(3)]
+        self.tokens = self.links = (none, none, np.zeros(0), np.zeros(0))
+
+    def learn(self, kind: int, a: bytes, o: bytes, n: bytes, x: bytes | None) -> None:
+        if kind < _TOKENS:
+            self.pairs[kind] = _Pairs(unpack(a, True), unpack(o), unpack(n))
+            return
+        found = unpack(a, True), unpack(o), unpack(n, kind=np.float64), unpack(x, kind=np.float64)
+        if kind == _TOKENS:
+            self.tokens = found
+        else:
+            self.links = found
+
+    def _histories(self, table: tuple, h: np.ndarray) -> np.ndarray:
+        """Weight and count of histories, frequent or in the table; 0 for one that is not known, as none of its pairs is."""
+        size, at = len(self.m.layout.top), _find(table[0], h)
+        return np.where(h < size, self.m.x[np.clip(h, 0, size)], np.append(table[3], 0.0)[at])
+
+    def added(self, kind: int, a: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(known, base, total)`` of what is asked for."""
+        m, c, zero = self.m, self.pairs[kind].count(a, o), np.zeros(len(a))
+        if kind == _BOTH:
+            return zero, zero, m.both(a, c)
+        if kind == _BY_HISTORY:
+            return zero, zero, np.where(c > 0, m.kept(c) - self._histories(self.tokens, a) - m.u[o], 0.0)
+        at = _find(self.tokens[0], a)
+        count, known = np.append(self.tokens[1], 0)[at], at < len(self.tokens[0])
+        u = m.word(np.maximum(count, 1))
+        own = np.where(known, np.append(self.tokens[2], 0.0)[at] + u, math.log10(m.unknown) + (m.b[-1] if m.layout.merged else 0.0))
+        return known.astype(float), m.base_log10(count), own + np.where(c > 0, m.kept(c) - self._histories(self.links, o) - u, 0.0)
 
 
 def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id_column, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every text."""
     spark, rows = docs.sparkSession, _texts(docs, id_column, text)
-    kind = rows.schema["id"].dataType.simpleString()
+    kind_of_id = rows.schema["id"].dataType.simpleString()
+    id_type = to_arrow_type(rows.schema["id"].dataType)
     shared = spark.sparkContext.broadcast(model)
+    own_types = [pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    own_names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "total"]
+    own_schema = f"row long, id {kind_of_id}, held_out boolean, n_tokens long, n_known long, base double, total double"
 
-    def cut(batches):
-        """Of each run of texts: row numbers, tokens as codes, numbers of their values, and distinct pairs and where they are among the frequent ones."""
+    def ask(batches):
+        """What is known at the text, as a row of each text; and what others are asked, as a row for each bucket and run of texts."""
         m, first = shared.value, TaskContext.get().partitionId() << 36
-        ids, frequent = _Ids(m.top), _Ids(m.frequent)
+        layout, ids, frequent = m.layout, _Ids(m.layout.top), _Ids(m.frequent)
+        size = len(layout.top)
         for batch in pieces(batches, 1):
             values, codes, ends = _coded(texts_of(batch.column(1)))
             row, numbers = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), ids.of(values)
-            distinct, pair = np.unique(_pairs(codes, len(values)), return_inverse=True)
-            kinds = _kinds(values, numbers, len(m.top), m.merged)
-            key = pair_keys(kinds[distinct // len(values)], kinds[distinct % len(values)])
-            yield m, batch, first, row, values, codes, numbers, key, pair, frequent.of(key)
-            first += len(ends)
-
-    def local(batches):
-        """What is known at the text: frequent words and pairs."""
-        for m, batch, first, row, values, codes, numbers, key, pair, at in cut(batches):
-            size, here = batch.num_rows, numbers < len(m.top)
+            here = numbers < size
             base, total = np.zeros(len(values)), np.zeros(len(values))
-            base[here], total[here] = m.base_log10(m.counts[numbers[here]]), m.values[numbers[here]]
-            often = np.append(m.frequent_values, 0.0)[at]
-            columns = [
-                pa.array(first + np.arange(size)), batch.column(0), pa.array(_held_out(batch.column(0))),
-                pa.array(np.bincount(row, minlength=size)), pa.array(np.bincount(row, here[codes], size).astype(np.int64)),
-                pa.array(np.bincount(row, base[codes], size).astype(float)), pa.array(np.bincount(row, total[codes] + often[pair], size).astype(float)),
-            ]
-            yield pa.record_batch(columns, ["row", "id", "held_out", "n_tokens", "n_known", "base", "total"])
-
-    def asked(batches):
-        """The other words and pairs of each text, with how often they occur in it."""
-        for m, _, first, row, values, codes, numbers, key, pair, at in cut(batches):
-            others, rare = (at == len(m.frequent))[pair], (numbers == len(m.top))[codes]
-            found, n = np.unique(row[others] * len(key) + pair[others], return_counts=True)
-            words, times = np.unique(row[rare] * len(values) + codes[rare], return_counts=True)
-            columns = [
-                np.concatenate([key[found % len(key)], values[words % len(values)]]), first + np.concatenate([found // len(key), words // len(values)]),
-                np.concatenate([n, times]).astype(np.int32),
+            base[here], total[here] = m.base_log10(m.counts[numbers[here]]), (m.u + m.b)[numbers[here]]
+            distinct, pair = np.unique(_pairs(codes, len(values)), return_inverse=True)
+            h, w = distinct // len(values), distinct % len(values)
+            kind, bucket, a, o = layout.placed(values[h], values[w], numbers[h], numbers[w])
+            at = np.where(kind == _BOTH, frequent.of(a), len(m.frequent))
+            often = np.zeros(len(distinct))
+            is_often = at < len(m.frequent)
+            often[is_often] = m.both(a[is_often], m.frequent_counts[at[is_often]])
+            n_rows = batch.num_rows
+            own = [
+                pa.array(first + np.arange(n_rows)), batch.column(0), pa.array(_held_out(batch.column(0))),
+                pa.array(np.bincount(row, minlength=n_rows)), pa.array(np.bincount(row, here[codes], n_rows).astype(np.int64)),
+                pa.array(np.bincount(row, base[codes], n_rows).astype(float)), pa.array(np.bincount(row, total[codes] + often[pair], n_rows).astype(float)),
             ]
-            yield pa.record_batch([pa.array(x) for x in columns], ["key", "row", "n"])
-
-    def answered(batches):
-        """Sums for each text over what a batch of looked-up words and pairs adds."""
-        m = shared.value
+            places = pa.array(((first + np.arange(n_rows)) % layout.buckets).astype(np.int32))
+            yield pa.record_batch([places, pa.array(np.full(n_rows, _OWN, np.int32)), *[pa.nulls(n_rows, pa.binary())] * 4, *own], [*_NAMES, *own_names])
+
+            others = np.flatnonzero(~is_often[pair])
+            asked, times = np.unique(pair[others] * n_rows + row[others], return_counts=True)
+            which, where = asked // n_rows, asked % n_rows
+            kind, bucket, a, o = kind[which], bucket[which], a[which], o[which]
+            if layout.merged:
+                # The words themselves, beside the pairs of their class.
+                rare = np.flatnonzero(~here[codes])
+                asked, more = np.unique(codes[rare] * n_rows + row[rare], return_counts=True)
+                word = values[asked // n_rows]
+                kind, bucket = np.append(kind, np.full(len(word), _BY_WORD)), np.append(bucket, _mixed(word, layout.buckets))
+                a, o = np.append(a, word), np.append(o, np.full(len(word), -1))
+                where, times = np.append(where, asked % n_rows), np.append(times, more)
+            parts = [
+                (b, _ASKED + k, pack(a, True), pack(o), pack(n), pack(r)) for k, b, a, o, (n, r) in _cut_buckets(kind, bucket, a, o, [times, where])
+            ]
+            if parts:
+                nulls = [pa.array([first] * len(parts), pa.int64()), *[pa.nulls(len(parts), t) for t in own_types[1:]]]
+                yield pa.record_batch([*_packed(parts, _NAMES).columns, *nulls], [*_NAMES, *own_names])
+            first += n_rows
+
+    def answer(batches):
+        """The rows of the texts, and sums for each text over what a bucket adds. A bucket's tables come before what it is asked."""
+        m, tables, current = shared.value, None, None
         for batch in batches:
-            key, row, n, c, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            word = key > 0
-            base = np.where(word, m.base_log10(c), 0.0)
-            total = np.where(word & (c == 0), m.values[-1], v)
-            rows, at = np.unique(row, return_inverse=True)
-            columns = [rows, np.bincount(at, n * (word & (c > 0)), len(rows)).astype(np.int64), np.bincount(at, n * base, len(rows)).astype(float), np.bincount(at, n * total, len(rows)).astype(float)]
-            yield pa.record_batch([pa.array(x) for x in columns], ["row", "n_known", "base", "total"])
-
-    own = rows.mapInArrow(local, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, total double")
-    table = spark.read.schema("key long, c long, v double").parquet(f"{model.folder}/order=1", f"{model.folder}/order=2")
-    looked_up = rows.mapInArrow(asked, "key long, row long, n int").join(table, "key", "left")
-    zero = F.lit(0.0)
-    values = looked_up.select("key", "row", "n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("v", zero).alias("v"))
-    found = values.mapInArrow(answered, "row long, n_known long, base double, total double")
-    sums = found.groupBy("row").agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("total").alias("t"))
-    return own.join(sums, "row", "left").select(
+            own = batch.filter(pc.equal(batch.column(1), _OWN))
+            yield own.select(own_names)
+            for i in np.flatnonzero(batch.column(1).to_numpy() != _OWN):
+                bucket, kind, a, o, n, x = (batch.column(j)[i].as_py() for j in range(6))
+                if bucket != current:
+                    tables, current = _Bucket(m), bucket
+                if kind < _ASKED:
+                    tables.learn(kind, a, o, n, x)
+                    continue
+                times, rows_at = unpack(n), unpack(x)
+                known, base, total = tables.added(kind - _ASKED, unpack(a, True), unpack(o))
+                found, at = np.unique(rows_at, return_inverse=True)
+                sums = [np.bincount(at, times * y, len(found)).astype(float) for y in (known, base, total)]
+                columns = [
+                    pa.array(batch.column(6)[i].as_py() + found), pa.nulls(len(found), id_type), pa.nulls(len(found), pa.bool_()), pa.nulls(len(found), pa.int64()),
+                    pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]),
+                ]
+                yield pa.record_batch(columns, own_names)
+
+    table = spark.read.schema(_ROW).parquet(f"{model.folder}/order=1", f"{model.folder}/order=2")
+    asked = rows.mapInArrow(ask, f"{_ROW}, {own_schema}")
+    in_order = asked.unionByName(table, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    found = in_order.mapInArrow(answer, own_schema).groupBy("row")
+    sums = found.agg(*[F.max(c).alias(c) for c in own_names[1:4]], *[F.sum(c).alias(c) for c in own_names[4:]])
+    return sums.select(
         F.col("id").alias(id_column),
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
+        "n_known",
         F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("total") + F.coalesce("t", zero)).alias("score"),
+        F.col("base").alias("base_score"),
+        F.col("total").alias("score"),
     )
