@@ -16,7 +16,9 @@ Tokens have numbers by frequency: the ``LOCAL`` most frequent ones are known whe
 stored and asked for in buckets, whose number grows with the tokens: a pair of two frequent tokens lies in the bucket of its own hash, a pair with a
 rare word in that of the word, any other with a rare history in that of the history. So the bucket of a rare word has its count and probability, and only what
 histories keep is summed across buckets. Each run of text sends one packed row (sorted keys as differences, by byte planes) to a
-bucket, not a row for each pair, and a bucket is read as a stream behind its table. Tables are partitioned by order. What the driver
+bucket, not a row for each pair, and a bucket is read as a stream behind its table. What it answers for a run of text is one packed row too, with a sum for
+each text; the sums of a run meet in one small group, so there are never more of them than pairs asked for. Runs and their rows are numbered in the pass that
+sends them, so no second reading of the input has to agree with it. Tables are partitioned by order. What the driver
 or every task holds is bounded: ``LOCAL`` tokens and the ``FREQUENT`` bigrams, which are not asked for, so none of the others is hot.
 
 Defined results: a null or empty text is its end alone. Repeated rows, and rows with a null id, are texts of their own; a null id counts as an
@@ -478,9 +480,11 @@ def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "
     kind_of_id = rows.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(rows.schema["id"].dataType)
     shared = spark.sparkContext.broadcast(model)
-    own_types = [pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    own_names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "total"]
-    own_schema = f"row long, id {kind_of_id}, held_out boolean, n_tokens long, n_known long, base double, total double"
+    own_types = [pa.int64(), pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    own_names = ["run", "row", "id", "held_out", "n_tokens", "n_known", "base", "total"]
+    found_schema = f"id {kind_of_id}, held_out boolean, n_tokens long, n_known long, base double, total double"
+    own_schema = f"run long, row long, {found_schema}"
+    sum_names = ["rows", "knowns", "bases", "totals"]
 
     def ask(batches):
         """What is known at the text, as a row of each text; and what others are asked, as a row for each bucket and run of texts."""
@@ -502,7 +506,7 @@ def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "
             often[is_often] = m.both(a[is_often], m.frequent_counts[at[is_often]])
             n_rows = batch.num_rows
             own = [
-                pa.array(first + np.arange(n_rows)), batch.column(0), pa.array(_held_out(batch.column(0))),
+                pa.array(np.full(n_rows, first)), pa.array(np.arange(n_rows)), batch.column(0), pa.array(_held_out(batch.column(0))),
                 pa.array(np.bincount(row, minlength=n_rows)), pa.array(np.bincount(row, here[codes], n_rows).astype(np.int64)),
                 pa.array(np.bincount(row, base[codes], n_rows).astype(float)), pa.array(np.bincount(row, total[codes] + often[pair], n_rows).astype(float)),
             ]
@@ -530,11 +534,11 @@ def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "
             first += n_rows
 
     def answer(batches):
-        """The rows of the texts, and sums for each text over what a bucket adds. A bucket's tables come before what it is asked."""
+        """The rows of the texts, and for each run of texts what a bucket adds, packed. A bucket's tables come before what it is asked."""
         m, tables, current = shared.value, None, None
         for batch in batches:
-            own = batch.filter(pc.equal(batch.column(1), _OWN))
-            yield own.select(own_names)
+            own = batch.filter(pc.equal(batch.column(1), _OWN)).select(own_names)
+            yield pa.record_batch([*own.columns, *[pa.nulls(own.num_rows, pa.binary())] * 4], [*own_names, *sum_names])
             for i in np.flatnonzero(batch.column(1).to_numpy() != _OWN):
                 bucket, kind, a, o, n, x = (batch.column(j)[i].as_py() for j in range(6))
                 if bucket != current:
@@ -543,21 +547,29 @@ def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "
                     tables.learn(kind, a, o, n, x)
                     continue
                 times, rows_at = unpack(n), unpack(x)
-                known, base, total = tables.added(kind - _ASKED, unpack(a, True), unpack(o))
+                added = tables.added(kind - _ASKED, unpack(a, True), unpack(o))
                 found, at = np.unique(rows_at, return_inverse=True)
-                sums = [np.bincount(at, times * y, len(found)).astype(float) for y in (known, base, total)]
-                columns = [
-                    pa.array(batch.column(6)[i].as_py() + found), pa.nulls(len(found), id_type), pa.nulls(len(found), pa.bool_()), pa.nulls(len(found), pa.int64()),
-                    pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]),
-                ]
-                yield pa.record_batch(columns, own_names)
+                sums = [pack(found, True), *[pack(np.bincount(at, times * y, len(found)).astype(float)) for y in added]]
+                nulls = [pa.nulls(1, t) for t in own_types[1:]]
+                yield pa.record_batch([batch.column(6).slice(i, 1), *nulls, *[pa.array([y], pa.binary()) for y in sums]], [*own_names, *sum_names])
+
+    def finish(table):
+        """The texts of one run with all that buckets add to them."""
+        own = table.filter(pc.is_null(table.column("rows"))).sort_by("row")
+        sums = [own.column(c).to_numpy().astype(float) for c in ("n_known", "base", "total")]
+        for answers in table.filter(pc.is_valid(table.column("rows"))).select(sum_names).to_batches(max_chunksize=64):
+            for at, *added in zip(*(answers.column(i).to_pylist() for i in range(4))):
+                for total, blob in zip(sums, added):
+                    total[unpack(at, True)] += unpack(blob, kind=np.float64)
+        columns = [*(own.column(c) for c in ("id", "held_out", "n_tokens")), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.table(columns, names=["id", *own_names[3:]])
 
     table = spark.read.schema(_ROW).parquet(f"{model.folder}/order=1", f"{model.folder}/order=2")
     asked = rows.mapInArrow(ask, f"{_ROW}, {own_schema}")
     in_order = asked.unionByName(table, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    found = in_order.mapInArrow(answer, own_schema).groupBy("row")
-    sums = found.agg(*[F.max(c).alias(c) for c in own_names[1:4]], *[F.sum(c).alias(c) for c in own_names[4:]])
-    return sums.select(
+    answered = in_order.mapInArrow(answer, f"{own_schema}, {', '.join(f'{c} binary' for c in sum_names)}")
+    found = answered.groupBy("run").applyInArrow(finish, found_schema)
+    return found.select(
         F.col("id").alias(id_column),
         "held_out",
         "n_tokens",
