@@ -49,6 +49,8 @@ CUT = 5
 REST = 0.01
 LOCAL = 1 << 18
 FREQUENT = 1 << 18
+#: Bytes of text in a run: some twenty arrays of its tokens are held at once.
+RUN_BYTES = 4 << 20
 #: Training tokens for each bucket of pairs.
 PER_BUCKET = 1 << 21
 _WORD, _END = 1 << 62, 1 << 61
@@ -234,7 +236,7 @@ class Katz:
 
 def _count_words(rows: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, RUN_BYTES):
             values, codes, ends = _coded(texts_of(batch.column(1)))
             train = np.repeat(~_held_out(batch.column(0)), np.diff(ends, prepend=0))
             n = np.bincount(codes[train], minlength=len(values))
@@ -264,7 +266,7 @@ _NAMES = ["bucket", "kind", "a", "o", "n", "x"]
 def _count_pairs(rows: DataFrame, layout: _Layout) -> DataFrame:
     def run(batches):
         ids = _Ids(layout.top)
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, RUN_BYTES):
             values, codes, ends = _coded(texts_of(batch.column(1)))
             train = np.repeat(~_held_out(batch.column(0)), np.diff(ends, prepend=0))
             keys, n = np.unique(_pairs(codes, len(values))[train], return_counts=True)
@@ -491,7 +493,7 @@ def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "
         m, first = shared.value, TaskContext.get().partitionId() << 36
         layout, ids, frequent = m.layout, _Ids(m.layout.top), _Ids(m.frequent)
         size = len(layout.top)
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, RUN_BYTES):
             values, codes, ends = _coded(texts_of(batch.column(1)))
             row, numbers = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), ids.of(values)
             here = numbers < size
