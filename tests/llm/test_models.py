@@ -119,6 +119,33 @@ def test_katz_keeps_the_bigrams_of_all_words(spark, local, frequent):
     assert all(any(math.isclose(r["score"], x, rel_tol=1e-9) for x in want[r["doc_id"]]) for r in got)
 
 
+@pytest.mark.parametrize("local, vocabulary", [(12, None), (0, None), (12, 12)])
+def test_katz_does_not_depend_on_the_number_of_buckets(spark, monkeypatch, local, vocabulary):
+    texts = corpus(random.Random(5), 150)
+    docs = table(spark, [(i, t, "en", "s") for i, t in texts])
+    one = katz.score(docs, katz.fit(docs, vocabulary=vocabulary, frequent=4, local=local)).collect()
+    monkeypatch.setattr(katz, "PER_BUCKET", 60)
+    model = katz.fit(docs, vocabulary=vocabulary, frequent=4, local=local)
+    assert model.layout.buckets > 20
+    many = katz.score(docs.repartition(5), model).collect()
+    assert len(one) == len(many) == len(texts)
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["score"], 6))
+    for a, b in zip(sorted(one, key=key), sorted(many, key=key)):
+        assert a[:5] == b[:5] and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) and math.isclose(a["score"], b["score"], rel_tol=1e-9)
+
+
+def test_katz_packed_numbers_and_look_ups():
+    rng = np.random.default_rng(7)
+    x = np.sort(rng.integers(0, 1 << 62, 500))
+    f = rng.normal(size=300)
+    assert (katz.unpack(katz.pack(x, True), True) == x).all() and (katz.unpack(katz.pack(f), kind=np.float64) == f).all()
+    assert len(katz.unpack(katz.pack(x[:0], True), True)) == 0
+    a, o, n = katz._summed(rng.integers(0, 9, 200), rng.integers(-1, 9, 200), np.ones(200, np.int64))
+    pairs, want = katz._Pairs(a, o, n), dict(zip(zip(a.tolist(), o.tolist()), n.tolist()))
+    asked = rng.integers(-2, 12, (2, 400))
+    assert n.sum() == 200 and pairs.count(*asked).tolist() == [want.get(k, 0) for k in zip(*asked.tolist())]
+
+
 def test_katz_tells_rare_words_apart_in_a_large_vocabulary(spark):
     many = " ".join(f"v{i} v{i}" for i in range(70_000))
     docs = table(spark, [(i, many, "en", "s") for i in (1, 2)] + [(3, "rare pair", "en", "s"), (4, "pair rare", "en", "s")])
