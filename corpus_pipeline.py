@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tonescale.llm import packing, phrases, quality, secrets, simhash
-from tonescale.llm.rows import numbered
+from tonescale.llm.rows import numbered, without
 from tonescale.session import materialize
 
 POLICY = "web@2"
@@ -27,7 +27,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows, row = numbered(docs, "numbered")
     found = phrases.contamination(rows.select(row, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=row)
     bad = found.filter(phrases.is_contaminated()).select(row)
-    return rows.join(bad, row, "left_anti").select(*docs.columns)
+    return without(rows, bad, row).select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -219,6 +220,23 @@ def test_packing_round_trip(spark, plain, group, slack):
     assert packing.pack_documents(table(spark, texts).limit(0)).count() == 0
 
 
+def test_packing_holds_the_ids_of_few_texts_at_once(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(2000)) for _ in range(800)]
+    docs, tasks = table(spark, [""]), []
+    made = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: tasks.append(f) or made(self, f, schema))
+    packing.token_pieces(docs, TOKENIZER)
+    bpe.encoder(TOKENIZER)._ids([f"w{i}" for i in range(2000)])
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in tasks[0](iter([pa.record_batch([pa.array(range(800)), pa.array(texts)], ["id", "text"])])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 800 and sum(map(len, texts)) > 8 << 20 and peak < 80 << 20
+
+
 def test_local_search_empties_bins():
     # Best fit leaves three bins; an exchange of two for one leaves two.
     sizes = [6, 5, 5, 4, 3, 3, 2, 2]

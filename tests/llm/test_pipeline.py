@@ -1,8 +1,12 @@
 """The corpus pipeline and the registered queries."""
 
+import pytest
+
 import __spark_entry__
 import corpus_pipeline
 from tonescale.llm import queries, secrets
+from tonescale.llm import rows as rows_of_texts
+from tonescale.session import broadcast_if_small
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,6 +53,25 @@ def test_rows_with_null_and_repeated_ids_are_judged_each_alone(spark, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in clean.collect()} == {(None, texts[0]), (3, texts[2]), (None, None)}
 
 
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_texts_are_not_shuffled_while_few_rows_go(spark, tmp_path, monkeypatch, most):
+    texts = [" ".join(f"{c}{i}x" for i in range(60)) for c in "abc"]
+    item = " ".join(f"bench{i}" for i in range(15))
+    spark.createDataFrame([("i1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = list(enumerate([*texts, texts[0], f"{texts[1]} {item}"]))
+    monkeypatch.setattr(rows_of_texts, "broadcast_if_small", lambda df: broadcast_if_small(df, most))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for stage, want in ((corpus_pipeline.near_duplicates, rows[:3]), (corpus_pipeline.decontamination, rows[:4])):
+            got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning" in plan) == (most == 0)
+            assert sorted(tuple(r) for r in got.collect() if r["doc_id"] != 4) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_stages_keep_columns_of_any_name(spark, tmp_path):
     item = " ".join(f"bench{i}" for i in range(15))
     spark.createDataFrame([("i1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -30,6 +30,8 @@ from tonescale.session import materialize
 CAPACITY = 2048
 #: Pieces that are packed together, about.
 GROUP = 30_000
+#: Bytes of text whose ids a task holds at once: with what is made on the way, some twenty times as much memory.
+RUN_BYTES = 2 << 20
 
 
 def token_pieces(
@@ -39,7 +41,7 @@ def token_pieces(
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, RUN_BYTES):
             ids, counts = encode_with_end(texts_of(batch.column(1)), path, end_id)
             n = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), n)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tonescale.llm.links import components
 from tonescale.llm.text import SPACE_CUT_LOWER, cut_words, gather, pieces, strings, text_bytes, texts_of
-from tonescale.llm.rows import numbered
+from tonescale.llm.rows import numbered, without
 from tonescale.session import materialize
 
 SHINGLE = 4
@@ -192,5 +192,5 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     # Null ids come last.
     key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(row).alias("row"))
     groups = near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text")
-    keep = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.row").alias(row))
-    return rows.join(keep, row, "left_semi").select(*docs.columns)
+    drop = groups.filter(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.row").alias(row))
+    return without(rows, drop, row).select(*docs.columns)
