@@ -1,5 +1,6 @@
 """Language model, language identification, quality classifier: exact sums and held-out accuracy."""
 
+import contextlib
 import itertools
 import math
 import random
@@ -134,6 +135,26 @@ def test_katz_does_not_depend_on_the_number_of_buckets(spark, monkeypatch, local
         assert a[:5] == b[:5] and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) and math.isclose(a["score"], b["score"], rel_tol=1e-9)
 
 
+def test_katz_writes_few_files_however_many_partitions(spark, monkeypatch, tmp_path):
+    texts = corpus(random.Random(6), 150)
+    docs = table(spark, [(i, t, "en", "s") for i, t in texts])
+    want = {r["doc_id"]: r["score"] for r in katz.score(docs, katz.fit(docs)).collect()}
+    conf = {"spark.sql.shuffle.partitions": "70", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(katz, "scratch", lambda spark: contextlib.nullcontext())
+    monkeypatch.setattr(katz, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["score"] for r in katz.score(docs, katz.fit(docs)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+    files = {p.name: len(list(p.glob("part-*"))) for p in (tmp_path / "katz-counts").iterdir()}
+    assert files and all(n <= katz.FILES * spark.sparkContext.defaultParallelism for n in files.values()), files
+
+
 def test_katz_packed_numbers_and_look_ups():
     rng = np.random.default_rng(7)
     x = np.sort(rng.integers(0, 1 << 62, 500))

@@ -53,6 +53,8 @@ FREQUENT = 1 << 18
 RUN_BYTES = 4 << 20
 #: Training tokens for each bucket of pairs.
 PER_BUCKET = 1 << 21
+#: Files of a scratch table for each core, at most.
+FILES = 2
 _WORD, _END = 1 << 62, 1 << 61
 # What a row holds: pairs of frequent tokens, with a rare word, with a rare history; rare tokens; rare histories of rare words; a text's own sums.
 # From ``_ASKED`` on: what is asked about pairs of the first three kinds.
@@ -117,7 +119,8 @@ class _Pairs:
     """Counts of sorted ``(a, o)``, to be looked up."""
 
     def __init__(self, a: np.ndarray, o: np.ndarray, c: np.ndarray) -> None:
-        self.a, at = np.unique(a, return_inverse=True)
+        first = np.append(True, a[1:] != a[:-1])[: len(a)]
+        self.a, at = a[first], np.cumsum(first) - 1
         self.o, of = np.unique(o, return_inverse=True)
         self.key, self.c = at * max(len(self.o), 1) + of, np.append(c, 0)
 
@@ -264,15 +267,17 @@ _NAMES = ["bucket", "kind", "a", "o", "n", "x"]
 
 
 def _count_pairs(rows: DataFrame, layout: _Layout) -> DataFrame:
+    def counted(ids: _Ids, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        values, codes, ends = _coded(texts_of(batch.column(1)))
+        train = np.repeat(~_held_out(batch.column(0)), np.diff(ends, prepend=0))
+        keys, n = np.unique(_pairs(codes, len(values))[train], return_counts=True)
+        h, w, numbers = keys // len(values), keys % len(values), ids.of(values)
+        return *layout.placed(values[h], values[w], numbers[h], numbers[w]), [n]
+
     def run(batches):
         ids = _Ids(layout.top)
         for batch in pieces(batches, 1, RUN_BYTES):
-            values, codes, ends = _coded(texts_of(batch.column(1)))
-            train = np.repeat(~_held_out(batch.column(0)), np.diff(ends, prepend=0))
-            keys, n = np.unique(_pairs(codes, len(values))[train], return_counts=True)
-            h, w, numbers = keys // len(values), keys % len(values), ids.of(values)
-            kind, bucket, a, o = layout.placed(values[h], values[w], numbers[h], numbers[w])
-            parts = ((k, at, *_summed(a, o, n)) for k, at, a, o, (n,) in _cut_buckets(kind, bucket, a, o, [n]))
+            parts = ((k, at, *_summed(a, o, n)) for k, at, a, o, (n,) in _cut_buckets(*counted(ids, batch)))
             yield _packed([(at, k, pack(a, True), pack(o), pack(n), None) for k, at, a, o, n in parts], _NAMES)
 
     def merge(key, table):
@@ -290,6 +295,11 @@ def _each(batches):
             yield bucket, kind, unpack(a, True), unpack(o), unpack(n), x
 
 
+def _few_files(rows: DataFrame) -> DataFrame:
+    """In at most ``FILES`` parts for each core: a file costs the executor a few processes, however little is in it."""
+    return rows.coalesce(FILES * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _count_of_counts(table: DataFrame) -> dict[int, int]:
     rows = table.filter(F.col("c") <= CUT + 1).groupBy("c").count().collect()
     return {r["c"]: r["count"] for r in rows}
@@ -382,15 +392,29 @@ def _arrays(table: DataFrame) -> list[np.ndarray]:
     return [found.column(i).to_numpy() for i in range(found.num_columns)]
 
 
-def _threshold(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` pairs of frequent tokens reach, on a scale of eight steps for each doubling: a few hundred numbers."""
+def _pair_steps(counts: DataFrame) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """How many pairs occur so often, up to ``CUT + 1``; and of those of frequent tokens ``(least count, how many)``, from the most
+    frequent ones on, by a scale of eight steps for each doubling: a few hundred numbers."""
     step = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    low = F.when(F.col("c") <= CUT + 1, F.col("c"))
+    found = counts.groupBy("frequent", step.alias("step"), low.alias("c")).agg(F.sum("n").alias("n"), F.min("c").alias("low")).collect()
+    small = {c: sum(r["n"] for r in found if r["c"] == c) for c in range(1, CUT + 2)}
+    steps: dict[int, tuple[int, int]] = {}
+    for r in found:
+        if r["frequent"]:
+            least, n = steps.get(r["step"], (r["low"], 0))
+            steps[r["step"]] = min(least, r["low"]), n + r["n"]
+    return small, [steps[k] for k in sorted(steps, reverse=True)]
+
+
+def _threshold(steps: list[tuple[int, int]], most: int) -> int:
+    """The least count that at most ``most`` pairs of frequent tokens reach."""
     total, low = 0, 1 << 62
-    for r in counts.filter("frequent").groupBy(step.alias("step")).agg(F.sum("n").alias("n"), F.min("c").alias("low")).orderBy(F.desc("step")).collect():
-        total += r["n"]
+    for least, n in steps:
+        total += n
         if total > most:
             break
-        low = r["low"]
+        low = least
     return low
 
 
@@ -402,7 +426,7 @@ def fit(
     merged = vocabulary is not None
     with scratch(spark):
         raw = scratch_path(spark, "katz-counts")
-        _count_words(rows).write.parquet(f"{raw}/words")
+        _few_files(_count_words(rows)).write.parquet(f"{raw}/words")
         words = spark.read.schema("key long, c long").parquet(f"{raw}/words")
         n, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         d1 = discounts(_count_of_counts(words))
@@ -416,11 +440,10 @@ def fit(
 
         _count_pairs(rows, layout).write.parquet(f"{folder}/order=2")
         pairs = spark.read.schema(_ROW).parquet(f"{folder}/order=2")
-        _pair_counts(pairs).write.parquet(f"{raw}/counts")
-        pair_counts = spark.read.schema("frequent boolean, c long, n long").parquet(f"{raw}/counts")
-        d2 = discounts({r["c"]: r["n"] for r in pair_counts.filter(F.col("c") <= CUT + 1).groupBy("c").agg(F.sum("n").alias("n")).collect()})
+        low_counts, steps = _pair_steps(_pair_counts(pairs))
+        d2 = discounts(low_counts)
         everything = (len(top) + 1 if merged else types + 1)
-        _histories(pairs, layout, p, n, d1, d2, everything).write.parquet(f"{raw}/histories")
+        _few_files(_histories(pairs, layout, p, n, d1, d2, everything)).write.parquet(f"{raw}/histories")
         histories = spark.read.schema("h long, c long, b double, whole double").parquet(f"{raw}/histories")
         at, found_b, found_whole = _arrays(histories.filter(F.col("h") <= len(top)).select("h", "b", "whole"))
         b, x = np.zeros(len(top) + 1), np.zeros(len(top) + 1)
@@ -433,7 +456,7 @@ def fit(
         links = _rare_links(pairs).join(histories, "h").select("bucket", F.col("h").alias("a"), "c", "b", "whole")
         tokens = _in_buckets(_rare_tokens(known_tokens, layout), _TOKENS).unionByName(_in_buckets(links, _LINKS))
         tokens.write.parquet(f"{folder}/order=1")
-        often, often_counts = _arrays(_pairs_from(pairs, _threshold(pair_counts, frequent)))
+        often, often_counts = _arrays(_pairs_from(pairs, _threshold(steps, frequent)))
 
     by_key = np.argsort(often)
     return Katz(folder, n, types, layout, d1, d2, counts, np.log10(p), b, x, unknown, often[by_key], often_counts[by_key])
@@ -488,48 +511,56 @@ def score(docs: DataFrame, model: Katz, id_column: str = "doc_id", text: str = "
     own_schema = f"run long, row long, {found_schema}"
     sum_names = ["rows", "knowns", "bases", "totals"]
 
+    def asked_of(m: Katz, ids: _Ids, frequent: _Ids, batch: pa.RecordBatch) -> tuple[list[pa.Array], tuple]:
+        """What is known at the texts of a run, as columns; and ``(kind, bucket, a, o, [times, row])`` of what others are asked."""
+        layout, size, n_rows = m.layout, len(m.layout.top), batch.num_rows
+        values, codes, ends = _coded(texts_of(batch.column(1)))
+        row, numbers = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), ids.of(values)
+        here = numbers < size
+        base, total = np.zeros(len(values)), np.zeros(len(values))
+        base[here], total[here] = m.base_log10(m.counts[numbers[here]]), (m.u + m.b)[numbers[here]]
+        distinct, pair = np.unique(_pairs(codes, len(values)), return_inverse=True)
+        h, w = distinct // len(values), distinct % len(values)
+        kind, bucket, a, o = layout.placed(values[h], values[w], numbers[h], numbers[w])
+        del distinct, h, w
+        at = np.where(kind == _BOTH, frequent.of(a), len(m.frequent))
+        often = np.zeros(len(at))
+        is_often = at < len(m.frequent)
+        often[is_often] = m.both(a[is_often], m.frequent_counts[at[is_often]])
+        own = [
+            pa.array(np.arange(n_rows)), batch.column(0), pa.array(_held_out(batch.column(0))),
+            pa.array(np.bincount(row, minlength=n_rows)), pa.array(np.bincount(row, here[codes], n_rows).astype(np.int64)),
+            pa.array(np.bincount(row, base[codes], n_rows).astype(float)), pa.array(np.bincount(row, total[codes] + often[pair], n_rows).astype(float)),
+        ]
+        del at, often
+        others = np.flatnonzero(~is_often[pair])
+        asked, times = np.unique(pair[others] * n_rows + row[others], return_counts=True)
+        del others, pair
+        which, where = asked // n_rows, asked % n_rows
+        kind, bucket, a, o = kind[which], bucket[which], a[which], o[which]
+        if layout.merged:
+            # The words themselves, beside the pairs of their class.
+            rare = np.flatnonzero(~here[codes])
+            asked, more = np.unique(codes[rare] * n_rows + row[rare], return_counts=True)
+            word = values[asked // n_rows]
+            kind, bucket = np.append(kind, np.full(len(word), _BY_WORD)), np.append(bucket, _mixed(word, layout.buckets))
+            a, o = np.append(a, word), np.append(o, np.full(len(word), -1))
+            where, times = np.append(where, asked % n_rows), np.append(times, more)
+        return own, (kind, bucket, a, o, [times, where])
+
     def ask(batches):
         """What is known at the text, as a row of each text; and what others are asked, as a row for each bucket and run of texts."""
         m, first = shared.value, TaskContext.get().partitionId() << 36
-        layout, ids, frequent = m.layout, _Ids(m.layout.top), _Ids(m.frequent)
-        size = len(layout.top)
+        ids, frequent = _Ids(m.layout.top), _Ids(m.frequent)
         for batch in pieces(batches, 1, RUN_BYTES):
-            values, codes, ends = _coded(texts_of(batch.column(1)))
-            row, numbers = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), ids.of(values)
-            here = numbers < size
-            base, total = np.zeros(len(values)), np.zeros(len(values))
-            base[here], total[here] = m.base_log10(m.counts[numbers[here]]), (m.u + m.b)[numbers[here]]
-            distinct, pair = np.unique(_pairs(codes, len(values)), return_inverse=True)
-            h, w = distinct // len(values), distinct % len(values)
-            kind, bucket, a, o = layout.placed(values[h], values[w], numbers[h], numbers[w])
-            at = np.where(kind == _BOTH, frequent.of(a), len(m.frequent))
-            often = np.zeros(len(distinct))
-            is_often = at < len(m.frequent)
-            often[is_often] = m.both(a[is_often], m.frequent_counts[at[is_often]])
             n_rows = batch.num_rows
-            own = [
-                pa.array(np.full(n_rows, first)), pa.array(np.arange(n_rows)), batch.column(0), pa.array(_held_out(batch.column(0))),
-                pa.array(np.bincount(row, minlength=n_rows)), pa.array(np.bincount(row, here[codes], n_rows).astype(np.int64)),
-                pa.array(np.bincount(row, base[codes], n_rows).astype(float)), pa.array(np.bincount(row, total[codes] + often[pair], n_rows).astype(float)),
-            ]
-            places = pa.array(((first + np.arange(n_rows)) % layout.buckets).astype(np.int32))
+            own, others = asked_of(m, ids, frequent, batch)
+            places = pa.array(((first + np.arange(n_rows)) % m.layout.buckets).astype(np.int32))
+            own = [pa.array(np.full(n_rows, first)), *own]
             yield pa.record_batch([places, pa.array(np.full(n_rows, _OWN, np.int32)), *[pa.nulls(n_rows, pa.binary())] * 4, *own], [*_NAMES, *own_names])
 
-            others = np.flatnonzero(~is_often[pair])
-            asked, times = np.unique(pair[others] * n_rows + row[others], return_counts=True)
-            which, where = asked // n_rows, asked % n_rows
-            kind, bucket, a, o = kind[which], bucket[which], a[which], o[which]
-            if layout.merged:
-                # The words themselves, beside the pairs of their class.
-                rare = np.flatnonzero(~here[codes])
-                asked, more = np.unique(codes[rare] * n_rows + row[rare], return_counts=True)
-                word = values[asked // n_rows]
-                kind, bucket = np.append(kind, np.full(len(word), _BY_WORD)), np.append(bucket, _mixed(word, layout.buckets))
-                a, o = np.append(a, word), np.append(o, np.full(len(word), -1))
-                where, times = np.append(where, asked % n_rows), np.append(times, more)
-            parts = [
-                (b, _ASKED + k, pack(a, True), pack(o), pack(n), pack(r)) for k, b, a, o, (n, r) in _cut_buckets(kind, bucket, a, o, [times, where])
-            ]
+            parts = [(b, _ASKED + k, pack(a, True), pack(o), pack(n), pack(r)) for k, b, a, o, (n, r) in _cut_buckets(*others)]
+            del others
             if parts:
                 nulls = [pa.array([first] * len(parts), pa.int64()), *[pa.nulls(len(parts), t) for t in own_types[1:]]]
                 yield pa.record_batch([*_packed(parts, _NAMES).columns, *nulls], [*_NAMES, *own_names])
