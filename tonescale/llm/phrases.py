@@ -29,6 +29,15 @@ ITEM_BLOCK = 20_000
 ITEM_BYTES = 2 << 20
 #: Candidate places that are held at once.
 _AT_ONCE = 1 << 21
+#: Text of one row of the index: what a task holds at once, and more on the way, when it makes or searches it.
+_TEXT = 2 << 20
+#: Such rows are written and read a few at a time, each column of one in a page of its own: else the JVM holds those of a whole file.
+_FILES = {
+    "parquet.block.size": 4 << 20,
+    "parquet.block.size.row.check.min": 1,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.enable.dictionary": False,
+}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -64,12 +73,12 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 
     def run(batches):
         first = TaskContext.get().partitionId() << 32
-        for i, batch in enumerate(pieces(batches, 1)):
+        for i, batch in enumerate(pieces(batches, 1, _TEXT)):
             yield index_rows(first + i, batch.column(0), texts_of(batch.column(1)))
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"run long, ids array<{kind}>, doc_ends binary, terms string, `ends` binary, places binary"
-    return materialize(rows.mapInArrow(run, schema), "index")
+    return materialize(rows.mapInArrow(run, schema), "index", options=_FILES)
 
 
 class _Run:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,14 +96,14 @@ def _remove(spark: SparkSession, made: list[str], keep: int = 0) -> int:
     return removed
 
 
-def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` to a new scratch table and read it back.
+def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = (), options: Mapping[str, int | bool] | None = None) -> DataFrame:
+    """Write ``df`` to a new scratch table, with these ``options`` of its files, and read it back.
 
     Later jobs over the result do not depend on the executors that computed it,
     and read only the columns and partitions they need. ``clear_scratch`` removes the tables.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
