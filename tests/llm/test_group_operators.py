@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from tonescale.llm import bpe, dac, packing, phrases, simhash
 from tonescale.llm.links import components
+from tonescale.session import materialize
 
 SCHEMA = "doc_id long, text string, id string, component_id string, length string"
 
@@ -98,6 +99,22 @@ def test_links_hold_across_crowded_groups(spark):
         assert roots_of(len(values), found) == want
 
 
+def test_no_exploded_keys_go_through_the_driver(spark, monkeypatch):
+    """However small the table of fingerprints: its keys are some sixty times as many rows as Spark expects."""
+    plans = {}
+
+    def stored(df, label):
+        plans[label] = df._jdf.queryExecution().sparkPlan().toString()
+        return materialize(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", stored)
+    nodes = spark.createDataFrame([(v << 40 | 1 << v % 9,) for v in range(20)], "fp long")
+    found = simhash.links(nodes, 4, 3)
+    plans["links"] = found._jdf.queryExecution().sparkPlan().toString()
+    assert [plans[x].count("SortMergeJoin") for x in ("stars", "links")] == [1, 6]
+    assert not any("BroadcastHashJoin" in plans[x] for x in ("stars", "links"))
+
+
 def test_one_document_of_each_group_stays(spark):
     text = " ".join(f"t{i}" for i in range(50))
     docs = table(spark, [text, text + " ", "other words here entirely", None])

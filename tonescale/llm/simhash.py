@@ -129,6 +129,12 @@ def _first_meeting(parts: Sequence[tuple[int, int]]) -> Column:
     return chosen
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join that sorts and merges. Spark takes exploded rows for as few as before, and files for as large as their rows,
+    so joins by size would send some hundred times the threshold through the driver."""
+    return rows.hint("merge")
+
+
 def links(nodes: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints (column ``fp``) that connect all that are within ``distance``."""
     parts = segments(distance)
@@ -139,29 +145,29 @@ def links(nodes: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> Dat
     equal = nodes.select("fp", F.explode(F.array(*whole)).alias("key"))
     hubs = equal.groupBy("key").agg(F.min("fp").alias("fp2"))
     near = (F.col("fp") != F.col("fp2")) & (_distance("fp", "fp2") <= distance)
-    stars = materialize(equal.join(hubs, "key").filter(near).select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct(), "stars")
+    stars = materialize(equal.join(_merged(hubs), "key").filter(near).select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct(), "stars")
     roots = components(stars)
     sizes = roots.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > crowd)
     crowded = materialize(roots.join(sizes, "root").select(F.col("node").alias("fp"), "root"), "crowded")
 
     # One side without the crowded fingerprints: pairs of them are never looked at here.
-    plain = nodes.join(crowded, "fp", "left_anti").select("fp", _variants(parts).alias("key"))
-    marked = nodes.join(crowded.select("fp", F.lit(True).alias("crowded")), "fp", "left")
+    plain = nodes.join(_merged(crowded), "fp", "left_anti").select("fp", _variants(parts).alias("key"))
+    marked = nodes.join(_merged(crowded.select("fp", F.lit(True).alias("crowded"))), "fp", "left")
     others = marked.select(F.col("fp").alias("fp2"), "crowded", "fp")
     others = others.select("fp2", F.coalesce("crowded", F.lit(False)).alias("crowded"), _variants(parts).alias("key"))
     once = F.col("crowded") | (F.col("fp") < F.col("fp2"))
     found = plain.join(
-        others.withColumnRenamed("key", "key2"),
+        _merged(others.withColumnRenamed("key", "key2")),
         (F.col("key") == F.col("key2")) & once & (F.col("fp") != F.col("fp2")) & (_distance("fp", "fp2") <= distance) & _first_meeting(parts),
     ).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
     # Links between two crowded groups that share a key.
     keyed = crowded.select("fp", "root", _variants(parts).alias("key"))
     meet = keyed.select("key", "root").distinct()
-    two = meet.alias("m").join(meet.withColumnRenamed("root", "root2").alias("o"), "key").filter("root < root2")
-    left = two.join(keyed, ["key", "root"]).select("key", "root2", "fp")
+    two = meet.alias("m").join(_merged(meet.withColumnRenamed("root", "root2").alias("o")), "key").filter("root < root2")
+    left = two.join(_merged(keyed), ["key", "root"]).select("key", "root2", "fp")
     right = keyed.select("key", F.col("root").alias("root2"), F.col("fp").alias("fp2"))
-    between = left.join(right, ["key", "root2"]).filter((_distance("fp", "fp2") <= distance) & _first_meeting(parts))
+    between = left.join(_merged(right), ["key", "root2"]).filter((_distance("fp", "fp2") <= distance) & _first_meeting(parts))
     return stars.unionByName(found).unionByName(between.select(F.col("fp").alias("a"), F.col("fp2").alias("b")))
 
 
