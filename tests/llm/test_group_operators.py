@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tonescale.llm import bpe, dac, packing, phrases, simhash
@@ -115,6 +116,14 @@ def test_no_exploded_keys_go_through_the_driver(spark, monkeypatch):
     assert not any("BroadcastHashJoin" in plans[x] for x in ("stars", "links"))
 
 
+def test_no_fingerprints_of_documents_go_through_the_driver(spark):
+    """Their files are small where many are equal, and their keys are structs."""
+    docs = table(spark, ["a b c", "a b c", "d e f"])
+    found = simhash.near_duplicates(docs.select(F.struct("doc_id", "id").alias("key"), "text"), "key")
+    joins = re.findall(r"\w+Join\w* \[\w+", found._jdf.queryExecution().sparkPlan().toString())
+    assert [x.split("#")[0] for x in joins if x.endswith("[fp")] == ["SortMergeJoin [fp"] * 3
+
+
 def test_one_document_of_each_group_stays(spark):
     text = " ".join(f"t{i}" for i in range(50))
     docs = table(spark, [text, text + " ", "other words here entirely", None])

@@ -178,10 +178,10 @@ def near_duplicates(
     prints = materialize(fingerprints(docs, id_column, text, size), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_column).alias("low")), "nodes")
     roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    joined = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    joined = nodes.join(_merged(roots), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     of = joined.join(lows, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(id_column, "fp", "component_id")
+    return prints.join(_merged(of), "fp").select(id_column, "fp", "component_id")
 
 
 def hexed(fp: Column) -> Column:
